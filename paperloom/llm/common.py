@@ -77,6 +77,11 @@ def prefix_sums(df: DataFrame, order: Sequence[Column | str], sums: dict[str, st
     return whole, {n: int(total[n]) for n in names}
 
 
+def small(table: DataFrame, most: int = 50_000) -> DataFrame:
+    """Ask for a broadcast of a narrow table if it is counted to have few rows, else leave the join to Spark."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialise, n_words, prefix_sums
+from paperloom.llm.common import materialise, n_words, prefix_sums, small
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -75,20 +75,33 @@ def flight(sizes: list[int], chance: list[float], seed: int) -> list[float]:
     return chance
 
 
-def land(sizes: list[int], chance: list[float]) -> list[float]:
-    """Round the last fractional chances so that the words, then the count, stay as near as they can."""
+def land(sizes: list[int], start: list[float], chance: list[float], repairs: int = 3) -> list[float]:
+    """Round the last fractional chances so that the words, then the count, stay as near as they can.
+
+    Where large documents leave the words off, the count gives way: a few settled documents are turned over, each time
+    the one that brings the words nearest to the target.
+    """
     left = [k for k, p in enumerate(chance) if 0 < p < 1]
-    best = min(product((0.0, 1.0), repeat=len(left)), key=lambda x: (abs(sum((v - chance[k]) * sizes[k] for v, k in zip(x, left))), abs(sum(v - chance[k] for v, k in zip(x, left))), x))
+    off = sum((p - q) * n for p, q, n in zip(chance, start, sizes) if p in (0.0, 1.0)) - sum(start[k] * sizes[k] for k in left)
+    best = min(product((0.0, 1.0), repeat=len(left)), key=lambda x: (abs(off + sum(v * sizes[k] for v, k in zip(x, left))), abs(sum(v - chance[k] for v, k in zip(x, left))), x))
     chance = list(chance)
     for v, k in zip(best, left):
         chance[k] = v
+    off += sum(v * sizes[k] for v, k in zip(best, left))
+    for _ in range(repairs):
+        k = min(range(len(sizes)), key=lambda k: abs(off + (1 - 2 * chance[k]) * sizes[k]), default=None)
+        if k is None or abs(off + (1 - 2 * chance[k]) * sizes[k]) >= abs(off) - 1:
+            break
+        off += (1 - 2 * chance[k]) * sizes[k]
+        chance[k] = 1 - chance[k]
     return chance
 
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "_order", "doc_id", "_row"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-    chance = flight(pdf["size"].tolist(), pdf["_chance"].tolist(), int(pdf["_order"].iloc[0]))
-    pdf["_chance"] = land(pdf["size"].tolist(), chance) if pdf["_blocks"].iloc[0] == 1 else chance
+    sizes, start = pdf["size"].tolist(), pdf["_chance"].tolist()
+    chance = flight(sizes, start, int(pdf["_order"].iloc[0]))
+    pdf["_chance"] = land(sizes, start, chance) if pdf["_blocks"].iloc[0] == 1 else chance
     return pdf
 
 
@@ -102,9 +115,10 @@ def balance(rows: DataFrame) -> DataFrame:
     while True:
         turn += 1
         blocks = open_.groupBy("_rank").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
-        spread = open_.join(blocks, "_rank").withColumn("_order", F.xxhash64("doc_id", "_row", F.lit(turn)))
+        spread = open_.join(small(blocks), "_rank").withColumn("_order", F.xxhash64("doc_id", "_row", F.lit(turn)))
         spread = spread.withColumn("_block", F.pmod("_order", "_blocks"))
-        flown = materialise(spread.groupBy("_rank", "_block").applyInPandas(_fly, spread.schema), "flight").select(rows.columns)
+        dealt = spread.repartition("_rank", "_block")  # else a source's blocks can stay together
+        flown = materialise(dealt.groupBy("_rank", "_block").applyInPandas(_fly, spread.schema), "flight").select(rows.columns)
         done.append(flown.where(F.col("_chance").isin(0.0, 1.0)))
         open_ = flown.where(~F.col("_chance").isin(0.0, 1.0))
         if open_.isEmpty():
