@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, sharding
+from paperloom.llm import jaccard_join, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op5_mixing, op8_packing, op4_quality_rules, op7_secret_scan, op3_license_scan, op2_line_dedup)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_digest(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op5_mixing, op8_packing, op4_quality_rules, op7_secret_scan, op3_license_scan, op2_line_dedup, op9_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
