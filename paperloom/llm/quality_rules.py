@@ -168,6 +168,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     names = [f"`{c}`" for c in docs.columns]
     slim = docs.select("text")
     model = fit(_patterns(count_text(slim).drop("text")))
-    counted = count_text(docs.select(F.struct(*names).alias("_row"), "text")).select("_row", *COUNTS)
+    # the random column keeps the filter above the counts, which would otherwise be computed anew for each use in it
+    counted = count_text(docs.select(F.struct(*names).alias("_row"), "text")).select("_row", *COUNTS, F.rand(0).alias("_above"))
     judged = counted.withColumn("_failed", base_failed()).select("*", *votes())
-    return judged.where(~F.col("_failed") & (model.posterior() >= 0.5)).select("_row.*")
+    return judged.where(~F.col("_failed") & (model.posterior() >= 0.5) & (F.col("_above") >= 0)).select("_row.*")
