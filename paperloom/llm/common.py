@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -110,6 +110,67 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of text that are hashed at a time; one longer text is cut at white space.
+HASH_CHUNK = 1 << 20
+_BASE = 0x100000001B3
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _powers(base: int, n: int, made: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    """base to the powers 1 to n, kept for the next chunk."""
+    if base not in made or len(made[base]) < n:
+        made[base] = np.multiply.accumulate(np.full(max(n, HASH_CHUNK + 1), base, dtype=np.uint64))
+    return made[base][:n]
+
+
+def _hash_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and start positions of the words of data: differences of one running polynomial, all words at once."""
+    codes = np.frombuffer(data, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _IS_SPACE[codes], [True]])))
+    starts, ends = edges[::2], edges[1::2]
+    upto = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(codes)), out=upto[1:])
+    back = _powers(pow(_BASE, -1, 1 << 64), len(codes))
+    return mix64((upto[ends] - upto[starts]) * back[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def _cut(text: bytes) -> Iterator[bytes]:
+    """Parts of at most HASH_CHUNK bytes that end at white space, or longer where a word is longer."""
+    while len(text) > HASH_CHUNK:
+        at = max(text.rfind(bytes([c]), 0, HASH_CHUNK) for c in (9, 10, 11, 12, 13, 32))
+        if at < 0:
+            after = [k for c in (9, 10, 11, 12, 13, 32) if (k := text.find(bytes([c]), HASH_CHUNK)) >= 0]
+            at = min(after, default=len(text) - 1)
+        yield text[: at + 1]
+        text = text[at + 1 :]
+    yield text
+
+
+def hashed_words(texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words (between ASCII white space, A-Z lower-cased), in order."""
+    group: list[bytes] = []
+    size = 0
+
+    def flush() -> Iterator[np.ndarray]:
+        if group:
+            begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in group])])
+            hashes, starts = _hash_chunk(b"\n".join(group).lower())
+            yield from np.split(hashes, np.searchsorted(starts, begins[1:-1]))
+        group.clear()
+
+    for text in texts:
+        text = text or b""
+        if size + len(text) > HASH_CHUNK:
+            yield from flush()
+            size = 0
+        if len(text) > HASH_CHUNK:
+            yield np.concatenate([_hash_chunk(part.lower())[0] for part in _cut(text)])
+        else:
+            group.append(text)
+            size += len(text) + 1
+    yield from flush()
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the windows of k neighbouring entries of h."""
     n = len(h) - k + 1
@@ -117,5 +178,5 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     out = h[:n].copy()
     for i in range(1, k):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
     return mix64(out)
