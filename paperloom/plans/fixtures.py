@@ -71,7 +71,8 @@ def topic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, seq, level, title, page: an outline of each order from its line items."""
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber AS seq", "cast(1 + l_partkey % 3 AS int) AS level", "concat(CASE l_partkey % 4 WHEN 0 THEN 'Chapter 3: ' WHEN 1 THEN '1.2 ' ELSE '' END, 'Part ', cast(l_partkey AS string)) AS title", "cast(CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE l_linenumber * 3 + l_suppkey % 3 END AS int) AS page")
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    return items.selectExpr("l_orderkey AS doc_id", "l_linenumber AS seq", "cast(1 + l_partkey % 3 AS int) AS level", "concat(CASE l_partkey % 4 WHEN 0 THEN 'Chapter 3: ' WHEN 1 THEN '1.2 ' ELSE '' END, 'Part ', cast(l_partkey AS string)) AS title", "cast(CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE l_linenumber * 3 + l_suppkey % 3 END AS int) AS page")
 
 
 CTE = {
@@ -80,7 +81,7 @@ CTE = {
     "options": f"SELECT question_id, k, substr('ABCD', k + 1, 1) AS label, {_OPTION_TEXT} AS text, k = question_id % 5 AS is_correct FROM stems, (SELECT cast(unnest(range(4)) AS INTEGER) AS k) WHERE type = 'mcq'",
     "topics": "SELECT cast(n_nationkey AS BIGINT) AS topic_id, cast(n_nationkey % 5 AS BIGINT) AS course_id, n_name AS name, cast(CASE WHEN n_nationkey < 5 THEN NULL ELSE n_nationkey % 5 END AS BIGINT) AS parent_id, n_nationkey % 3 <> 0 AS is_auto FROM nation",
     "topic_map": "SELECT doc_id % 25 AS topic_id, doc_id AS chunk_id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE doc_id % 97 / 100.0::DOUBLE END AS score FROM documents UNION ALL SELECT (doc_id * 7 + 3) % 25, doc_id, 0.05::DOUBLE FROM documents WHERE (doc_id * 7 + 3) % 25 <> doc_id % 25",
-    "outline": "SELECT l_orderkey AS doc_id, l_linenumber AS seq, 1 + l_partkey % 3 AS level, concat(CASE l_partkey % 4 WHEN 0 THEN 'Chapter 3: ' WHEN 1 THEN '1.2 ' ELSE '' END, 'Part ', l_partkey) AS title, CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE l_linenumber * 3 + l_suppkey % 3 END AS page FROM lineitem",
+    "outline": "SELECT l_orderkey AS doc_id, l_linenumber AS seq, 1 + l_partkey % 3 AS level, concat(CASE l_partkey % 4 WHEN 0 THEN 'Chapter 3: ' WHEN 1 THEN '1.2 ' ELSE '' END, 'Part ', l_partkey) AS title, CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE l_linenumber * 3 + l_suppkey % 3 END AS page FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)",
 }
 
 
