@@ -1 +1,431 @@
-"""To come."""
+"""Queries over blueprints, question checks, review states, exams, exports, jobs and model budgets."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from paperloom.functions import notation
+from paperloom.functions.ordinals import ordinal, ordinal_sql
+from paperloom.operators.apportion import largest_remainder
+from paperloom.plans.fixtures import options, stems, strip, topic_map, with_sql
+from paperloom.registry import query, table
+
+# blueprints: orders, with counts by type and a difficulty mix from their keys
+_COUNTS = {"mcq": "o_orderkey % 7", "true_false": "o_orderkey % 5", "short_answer": "o_orderkey % 3", "essay": "o_orderkey % 2"}
+_MIX = {"easy": "(1 + o_custkey % 3)", "medium": "2", "hard": "(o_custkey % 2)"}
+_CELLS = (
+    "SELECT o_orderkey AS blueprint_id, t.type, t.type_ord, t.total, d.level, d.level_ord, d.w FROM orders, "
+    + "LATERAL (VALUES " + ", ".join(f"('{t}', {k}, {e})" for k, (t, e) in enumerate(_COUNTS.items())) + ") AS t(type, type_ord, total), "
+    + "LATERAL (VALUES " + ", ".join(f"('{d}', {k}, {e})" for k, (d, e) in enumerate(_MIX.items())) + ") AS d(level, level_ord, w)"
+)
+_SHARES = f"SELECT *, fl + CASE WHEN row_number() OVER (PARTITION BY blueprint_id, type ORDER BY round(raw - fl, 9) DESC, level_ord) <= total - sum(fl) OVER (PARTITION BY blueprint_id, type) THEN 1 ELSE 0 END AS share FROM (SELECT *, floor(raw)::BIGINT AS fl FROM (SELECT *, total * w / (sum(w) OVER (PARTITION BY blueprint_id, type))::DOUBLE AS raw FROM ({_CELLS})))"
+
+
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """blueprint_id, type, level and share of every combination that gets a question."""
+    types = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(k).alias("type_ord"), F.expr(e).alias("total")) for k, (t, e) in enumerate(_COUNTS.items())))
+    levels = F.array(*(F.struct(F.lit(d).alias("level"), F.lit(k).alias("level_ord"), F.expr(e).cast("long").alias("w")) for k, (d, e) in enumerate(_MIX.items())))
+    cells = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("blueprint_id"), F.explode(types).alias("t"), levels.alias("l")).select("blueprint_id", "t.*", F.explode("l").alias("d")).select("blueprint_id", "type", "type_ord", "total", "d.*")
+    return largest_remainder(cells, ["blueprint_id", "type"], "total", "w", "level_ord")
+
+
+@query("largest_remainder", f"SELECT blueprint_id, type, level, share FROM ({_SHARES})")
+def q_largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _slots(spark, sf_dir).select("blueprint_id", "type", "level", "share")
+
+
+@query("blueprint_expand", f"SELECT blueprint_id, type, level, share FROM ({_SHARES}) WHERE share > 0")
+def blueprint_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _slots(spark, sf_dir).where("share > 0").select("blueprint_id", "type", "level", "share")
+
+
+@query("slot_explode", f"SELECT blueprint_id, type, level, unnest(range(1, share + 1)) AS item FROM ({_SHARES}) WHERE share > 0")
+def slot_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blueprint_expand(spark, sf_dir).select("blueprint_id", "type", "level", F.explode(F.sequence(F.lit(1).cast("long"), "share")).alias("item"))
+
+
+@query("ceil_div", "SELECT o_orderkey, cast(ceil((o_orderkey % 17) / 4.0) AS BIGINT) AS per_type FROM orders")
+def ceil_div(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.ceil((F.col("o_orderkey") % 17) / 4.0).alias("per_type"))
+
+
+@query("practice_plan", "SELECT o_orderkey, t AS topic, per_type, cast(ceil(per_type / 3.0) AS BIGINT) AS per_topic FROM (SELECT o_orderkey, cast(ceil((o_orderkey % 17) / 4.0) AS BIGINT) AS per_type, unnest(range(3)) AS t FROM orders) WHERE per_type > 0")
+def practice_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ceilings twice, so that a plan can overshoot."""
+    each = table(spark, sf_dir, "orders").select("o_orderkey", F.ceil((F.col("o_orderkey") % 17) / 4.0).alias("per_type"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("topic"))
+    return each.where("per_type > 0").select("o_orderkey", "topic", "per_type", F.ceil(F.col("per_type") / 3.0).alias("per_topic"))
+
+
+@query("config_validation", "SELECT o_orderkey, concat_ws(',', CASE WHEN t < 1 THEN 'no_questions' END, CASE WHEN m NOT BETWEEN 0.99 AND 1.01 THEN 'mix_sum' END, CASE WHEN p <= 0 THEN 'points' END) AS reasons FROM (SELECT o_orderkey, o_orderkey % 7 + o_orderkey % 5 AS t, CASE WHEN o_orderkey % 4 = 0 THEN 0.9 ELSE 1.0 END AS m, o_orderkey % 9 AS p FROM orders)")
+def config_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons for a rejection of a blueprint's configuration; none: accepted."""
+    k = F.col("o_orderkey")
+    c = table(spark, sf_dir, "orders").select("o_orderkey", (k % 7 + k % 5).alias("t"), F.when(k % 4 == 0, 0.9).otherwise(1.0).alias("m"), (k % 9).alias("p"))
+    reasons = F.concat_ws(",", F.when(F.col("t") < 1, "no_questions"), F.when(~F.col("m").between(0.99, 1.01), "mix_sum"), F.when(F.col("p") <= 0, "points"))
+    return c.select("o_orderkey", reasons.alias("reasons"))
+
+
+_CONFIG = "'{\"counts\":{\"mcq\":' || (o_orderkey % 7) || ',\"essay\":' || (o_orderkey % 3) || '},\"total_points\":' || (o_orderkey % 90) || '}'"
+CONFIG_SCHEMA = "struct<counts: struct<mcq: bigint, essay: bigint>, total_points: bigint>"
+
+
+def _config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit('{"counts":{"mcq":'), (k % 7).cast("string"), F.lit(',"essay":'), (k % 3).cast("string"), F.lit('},"total_points":'), (k % 90).cast("string"), F.lit("}"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("config_json"))
+
+
+@query("json_config_decode", f"SELECT o_orderkey, (c->'counts'->>'mcq')::BIGINT AS mcq, (c->'counts'->>'essay')::BIGINT AS essay, (c->>'total_points')::BIGINT AS total_points FROM (SELECT o_orderkey, ({_CONFIG})::JSON AS c FROM orders)")
+def json_config_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _config(spark, sf_dir).select("o_orderkey", F.from_json("config_json", CONFIG_SCHEMA).alias("c"))
+    return c.select("o_orderkey", "c.counts.mcq", "c.counts.essay", "c.total_points")
+
+
+@query("json_list_projection", f"SELECT o_orderkey, (c->'counts'->>'mcq')::BIGINT + (c->'counts'->>'essay')::BIGINT AS total_questions, (c->>'total_points')::BIGINT AS total_points FROM (SELECT o_orderkey, ({_CONFIG})::JSON AS c FROM orders)")
+def json_list_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = json_config_decode(spark, sf_dir)
+    return d.select("o_orderkey", (F.col("mcq") + F.col("essay")).alias("total_questions"), "total_points")
+
+
+@query("json_config_encode")
+def json_config_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _config(spark, sf_dir).select("o_orderkey", F.from_json("config_json", CONFIG_SCHEMA).alias("c"))
+    return c.select("o_orderkey", F.to_json("c").alias("config_json"))
+
+
+def repair_json(text: Column, schema: str) -> Column:
+    """Parse as it is, then without code fences, then the outermost braces; null if all fail."""
+    strict = {"mode": "PERMISSIVE"}
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    tries = [F.from_json(t, schema, strict) for t in (text, fenced, braces)]
+    first = lambda parsed: F.when(F.coalesce(*(parsed[f] for f in ("counts",))).isNotNull(), parsed)
+    return F.coalesce(*map(first, tries))
+
+
+@query("json_repair", f"SELECT o_orderkey, (c->'counts'->>'mcq')::BIGINT AS mcq FROM (SELECT o_orderkey, ({_CONFIG})::JSON AS c FROM orders)")
+def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of models: plain, in a code fence, or with words around."""
+    k = F.col("o_orderkey") % 3
+    reply = F.when(k == 0, F.col("config_json")).when(k == 1, F.concat(F.lit("```json\n"), "config_json", F.lit("\n```"))).otherwise(F.concat(F.lit("Here it is: "), "config_json", F.lit(" Done.")))
+    return _config(spark, sf_dir).select("o_orderkey", repair_json(reply, CONFIG_SCHEMA)["counts"]["mcq"].alias("mcq"))
+
+
+@query("enum_parse_default", "SELECT o_orderkey, CASE lower(trim(o_orderpriority)) WHEN '1-urgent' THEN 'hard' WHEN '2-high' THEN 'hard' WHEN '5-low' THEN 'easy' ELSE 'medium' END AS level FROM orders")
+def enum_parse_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.lower(F.trim("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(p.isin("1-urgent", "2-high"), "hard").when(p == "5-low", "easy").otherwise("medium").alias("level"))
+
+
+_OPT_NORM = "trim(regexp_replace(regexp_replace(" + strip("lower(text)") + ", '^\\.+|\\.+$', '', 'g'), '\\s+', ' ', 'g'))"
+#: Options that refer to other options.
+CATCH_ALL = ("all of the above", "all of the above.", "none of the above", "none of the above.", "all of these", "none of these", "both a and b", "both of the above")
+_CHECKED = f"SELECT question_id, count(*) AS n, count_if(is_correct) AS c, count(*) - count(DISTINCT {_OPT_NORM}) AS dup, count_if({_OPT_NORM} IN ({', '.join(repr(x) for x in CATCH_ALL)})) AS ca, max(length(text)) > 3 * avg(length(text)) AS outlier FROM options GROUP BY 1"
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    norm = notation.option_text(F.col("text"))
+    n = F.length("text")
+    return options(spark, sf_dir).groupBy("question_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"), (F.count("*") - F.count_distinct(norm)).alias("dup"), F.count_if(norm.isin(*CATCH_ALL)).alias("ca"), (F.max(n) > 3 * F.avg(n)).alias("outlier"))
+
+
+_FAIL = (F.col("n") != 4) | (F.col("c") != 1) | (F.col("dup") > 0)
+
+
+@query("validate_distractors", with_sql("stems options", f"SELECT question_id, CASE WHEN n <> 4 OR c <> 1 OR dup > 0 THEN 'fail' WHEN ca > 0 OR outlier THEN 'warn' ELSE 'pass' END AS outcome, CASE WHEN n <> 4 OR c <> 1 OR dup > 0 THEN 0.0 WHEN ca > 0 OR outlier THEN 0.5 ELSE 1.0 END AS score, n AS option_count, c AS correct_count FROM ({_CHECKED})"))
+def validate_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = F.when(_FAIL, "fail").when((F.col("ca") > 0) | F.col("outlier"), "warn").otherwise("pass")
+    score = F.when(_FAIL, 0.0).when((F.col("ca") > 0) | F.col("outlier"), 0.5).otherwise(1.0)
+    return _checked(spark, sf_dir).select("question_id", outcome.alias("outcome"), score.alias("score"), F.col("n").alias("option_count"), F.col("c").alias("correct_count"))
+
+
+@query("length_outlier", with_sql("stems options", "SELECT question_id, arg_min(label, k) AS label FROM (SELECT *, max(length(text)) OVER w AS m, avg(length(text)) OVER w AS a FROM options WINDOW w AS (PARTITION BY question_id)) WHERE length(text) = m AND m > 3 * a GROUP BY 1"))
+def length_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of the longest options, if it is over three times the mean."""
+    best = F.min_by(F.struct("label", F.length("text").alias("m")), F.struct((-F.length("text")).alias("l"), F.col("k")))
+    return options(spark, sf_dir).groupBy("question_id").agg(best.alias("b"), F.avg(F.length("text")).alias("a")).where("b.m > 3 * a").select("question_id", "b.label")
+
+
+@query("mcq_structure", with_sql("stems options", "SELECT question_id, length(trim(any_value(stem))) > 0 AND count(*) = 4 AND string_agg(label, '' ORDER BY label) = 'ABCD' AND count_if(is_correct) = 1 AS ok FROM options JOIN stems USING (question_id) GROUP BY 1"))
+def mcq_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = options(spark, sf_dir).groupBy("question_id").agg(F.collect_list(F.struct("label", "is_correct")).alias("o"))
+    joined = stems(spark, sf_dir).join(own, "question_id")
+    keys = F.array_sort(F.transform("o", lambda x: x["label"])) == F.array(*map(F.lit, "ABCD"))
+    one = F.size(F.filter("o", lambda x: x["is_correct"])) == 1
+    return joined.select("question_id", ((F.length(F.trim("stem")) > 0) & (F.size("o") == 4) & keys & one).alias("ok"))
+
+
+@query("array_first_match", with_sql("stems options", "SELECT question_id, coalesce(min(CASE WHEN is_correct THEN label END), '?') AS answer FROM options GROUP BY 1"))
+def array_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = options(spark, sf_dir).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("k", "label", "is_correct"))).alias("o"))
+    return own.select("question_id", F.coalesce(F.get(F.filter("o", lambda x: x["is_correct"]), F.lit(0))["label"], F.lit("?")).alias("answer"))
+
+
+@query("array_join_text", with_sql("stems options", "SELECT question_id, string_agg(label || ') ' || text, chr(10) ORDER BY k) AS listing FROM options GROUP BY 1"))
+def array_join_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = options(spark, sf_dir).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("k", "label", "text"))).alias("o"))
+    return own.select("question_id", F.array_join(F.transform("o", lambda x: F.concat(x["label"], F.lit(") "), x["text"])), "\n").alias("listing"))
+
+
+@query("array_slice_first_n", with_sql("topic_map", "SELECT topic_id, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS first_ids FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY chunk_id) AS r FROM topic_map) WHERE r <= 3 GROUP BY 1"))
+def array_slice_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy("chunk_id"))
+    top = topic_map(spark, sf_dir).withColumn("r", rank).where("r <= 3").groupBy("topic_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("ids"))
+    return top.select("topic_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("first_ids"))
+
+
+_GROUND = "SELECT question_id, count(c) AS sources, count(CASE WHEN c % 3 <> 0 THEN 1 END) AS linked FROM (SELECT q.question_id, m.chunk_id AS c FROM stems q LEFT JOIN topic_map m ON m.topic_id = q.set_id AND m.score > 0.9) GROUP BY 1"
+
+
+@query("validate_grounding", with_sql("stems topic_map", f"SELECT question_id, CASE WHEN sources = 0 THEN 'fail' WHEN linked = 0 THEN 'warn' ELSE 'pass' END AS outcome, CASE WHEN sources = 0 THEN 0.0 WHEN linked = 0 THEN 0.5 ELSE 1.0 END AS score FROM ({_GROUND})"))
+def validate_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No sources fail; sources without a chunk warn."""
+    sources = topic_map(spark, sf_dir).where("score > 0.9").groupBy(F.col("topic_id").alias("set_id")).agg(F.count("*").alias("sources"), F.count_if(F.col("chunk_id") % 3 != 0).alias("linked"))
+    q = stems(spark, sf_dir).join(sources, "set_id", "left").fillna(0, ["sources", "linked"])
+    none, loose = F.col("sources") == 0, F.col("linked") == 0
+    return q.select("question_id", F.when(none, "fail").when(loose, "warn").otherwise("pass").alias("outcome"), F.when(none, 0.0).when(loose, 0.5).otherwise(1.0).alias("score"))
+
+
+query("validate_grounding_batch", with_sql("stems topic_map", f"SELECT question_id, CASE WHEN sources = 0 THEN 'fail' WHEN linked = 0 THEN 'warn' ELSE 'pass' END AS outcome, CASE WHEN sources = 0 THEN 0.0 WHEN linked = 0 THEN 0.5 ELSE 1.0 END AS score FROM ({_GROUND})"))(validate_grounding)
+
+_VERDICT = "CASE question_id % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'ambiguous' ELSE 'error' END"
+
+
+@query("verify_tf", with_sql("stems", f"SELECT question_id, CASE v WHEN 'incorrect' THEN CASE WHEN conf >= 0.8 THEN 'flip' ELSE 'keep' END WHEN 'ambiguous' THEN 'reject' ELSE 'keep' END AS decision FROM (SELECT question_id, {_VERDICT} AS v, (question_id % 10) / 10.0 AS conf FROM stems)"))
+def verify_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A confident contrary verdict flips, an ambiguous one rejects, and errors keep."""
+    q = stems(spark, sf_dir).select("question_id", F.expr(_VERDICT).alias("v"), ((F.col("question_id") % 10) / 10.0).alias("conf"))
+    flip = (F.col("v") == "incorrect") & (F.col("conf") >= 0.8)
+    return q.select("question_id", F.when(flip, "flip").when(F.col("v") == "ambiguous", "reject").otherwise("keep").alias("decision"))
+
+
+@query("persist_correctness", with_sql("stems", f"SELECT question_id, CASE v WHEN 'correct' THEN 1.0 WHEN 'ambiguous' THEN 0.5 WHEN 'incorrect' THEN 0.0 END AS score FROM (SELECT question_id, {_VERDICT} AS v FROM stems)"))
+def persist_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = F.create_map(*(F.lit(x) for x in ("correct", 1.0, "ambiguous", 0.5, "incorrect", 0.0)))
+    return stems(spark, sf_dir).select("question_id", scores[F.expr(_VERDICT)].alias("score"))
+
+
+query("map_lookup", with_sql("stems", f"SELECT question_id, CASE v WHEN 'correct' THEN 1.0 WHEN 'ambiguous' THEN 0.5 WHEN 'incorrect' THEN 0.0 END AS score FROM (SELECT question_id, {_VERDICT} AS v FROM stems)"))(persist_correctness)
+
+
+@query("validate_triviality", with_sql("stems", "SELECT question_id, CASE WHEN NOT t THEN 'pass' WHEN difficulty = 'easy' OR bloom = 'remember' THEN 'warn' ELSE 'fail' END AS outcome FROM (SELECT *, regexp_matches(lower(trim(stem)), '^(define\\s+|what\\s+is\\s+(?:a|an|the)\\s+\\w)') AS t FROM stems)"))
+def validate_triviality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.functions.rules import is_trivial
+
+    wanted = (F.col("difficulty") == "easy") | (F.col("bloom") == "remember")
+    return stems(spark, sf_dir).select("question_id", F.when(~is_trivial(F.col("stem")), "pass").when(wanted, "warn").otherwise("fail").alias("outcome"))
+
+
+@query("validators_run", with_sql("stems options topic_map", f"SELECT question_id, 'distractor' AS validation_type, CASE WHEN n <> 4 OR c <> 1 OR dup > 0 THEN 0.0 WHEN ca > 0 OR outlier THEN 0.5 ELSE 1.0 END AS score FROM ({_CHECKED}) UNION ALL SELECT question_id, 'grounding', CASE WHEN sources = 0 THEN 0.0 WHEN linked = 0 THEN 0.5 ELSE 1.0 END FROM ({_GROUND})"))
+def validators_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the validators, one after the other."""
+    rows = lambda df, kind: df.select("question_id", F.lit(kind).alias("validation_type"), "score")
+    return rows(validate_distractors(spark, sf_dir), "distractor").unionByName(rows(validate_grounding(spark, sf_dir), "grounding"))
+
+
+query("sink_validation", with_sql("stems options topic_map", f"SELECT question_id, 'distractor' AS validation_type, CASE WHEN n <> 4 OR c <> 1 OR dup > 0 THEN 0.0 WHEN ca > 0 OR outlier THEN 0.5 ELSE 1.0 END AS score FROM ({_CHECKED}) UNION ALL SELECT question_id, 'grounding', CASE WHEN sources = 0 THEN 0.0 WHEN linked = 0 THEN 0.5 ELSE 1.0 END FROM ({_GROUND})"))(validators_run)
+
+
+@query("question_transitions", with_sql("stems", "SELECT question_id, a AS action, CASE WHEN a = status THEN 'conflict' ELSE 'ok' END AS result, CASE WHEN a = status THEN status ELSE a END AS new_status FROM (SELECT *, CASE WHEN question_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS a FROM stems)"))
+def question_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approving an approved question, or rejecting a rejected one, is a conflict."""
+    q = stems(spark, sf_dir).withColumn("a", F.when(F.col("question_id") % 2 == 0, "approved").otherwise("rejected"))
+    same = F.col("a") == F.col("status")
+    return q.select("question_id", F.col("a").alias("action"), F.when(same, "conflict").otherwise("ok").alias("result"), F.when(same, F.col("status")).otherwise(F.col("a")).alias("new_status"))
+
+
+@query("question_patch", with_sql("stems", "SELECT question_id, coalesce(p, stem) AS stem, CASE WHEN p IS NOT NULL AND status = 'rejected' THEN 'reviewed' ELSE status END AS status FROM (SELECT *, CASE WHEN question_id % 3 = 0 THEN 'New ' || stem END AS p FROM stems)"))
+def question_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only given fields change; edited content takes a rejected question back to review."""
+    q = stems(spark, sf_dir)
+    patch = q.where("question_id % 3 = 0").select("question_id", F.concat(F.lit("New "), "stem").alias("p"))
+    j = q.join(patch, "question_id", "left")
+    return j.select("question_id", F.coalesce("p", "stem").alias("stem"), F.when(F.col("p").isNotNull() & (F.col("status") == "rejected"), "reviewed").otherwise(F.col("status")).alias("status"))
+
+
+@query("replacement_candidates", with_sql("stems", "SELECT type, question_id FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY question_id DESC) AS r FROM stems WHERE status = 'approved' AND question_id NOT IN (SELECT question_id FROM stems WHERE blueprint_id = 2)) WHERE r <= 100"))
+def replacement_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = stems(spark, sf_dir)
+    free = q.where("status = 'approved'").join(q.where("blueprint_id = 2").select("question_id"), "question_id", "left_anti")
+    return free.withColumn("r", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("question_id")))).where("r <= 100").select("type", "question_id")
+
+
+@query("blueprint_replace", with_sql("stems", "SELECT a.question_id AS old_id, b.question_id AS new_id, CASE WHEN a.blueprint_id IS NULL THEN 'not_mapped' WHEN b.status <> 'approved' THEN 'not_approved' WHEN a.type <> b.type THEN 'other_type' WHEN b.blueprint_id = a.blueprint_id THEN 'present' ELSE 'ok' END AS verdict FROM stems a JOIN stems b ON b.question_id = a.question_id + 400"))
+def blueprint_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules in their order; the first that is broken names the verdict."""
+    q = stems(spark, sf_dir)
+    a, b = q.alias("a"), q.withColumn("key", F.col("question_id") - 400).alias("b")
+    verdict = F.when(F.col("a.blueprint_id").isNull(), "not_mapped").when(F.col("b.status") != "approved", "not_approved").when(F.col("a.type") != F.col("b.type"), "other_type").when(F.col("b.blueprint_id") == F.col("a.blueprint_id"), "present").otherwise("ok")
+    return a.join(b, F.col("a.question_id") == F.col("b.key")).select(F.col("a.question_id").alias("old_id"), F.col("b.question_id").alias("new_id"), verdict.alias("verdict"))
+
+
+@query("course_delete", with_sql("stems options", "SELECT question_id, label FROM options WHERE question_id IN (SELECT question_id FROM stems WHERE course_id <> 2)"))
+def course_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the options after a course goes with all that hangs on it."""
+    gone = stems(spark, sf_dir).where("course_id = 2").select("question_id")
+    return options(spark, sf_dir).join(gone, "question_id", "left_anti").select("question_id", "label")
+
+
+@query("blueprint_delete_cascade", with_sql("stems", "SELECT question_id, CASE WHEN blueprint_id = 4 THEN NULL ELSE blueprint_id END AS blueprint_id FROM stems"))
+def blueprint_delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stems(spark, sf_dir).select("question_id", F.nullif("blueprint_id", F.lit(4)).alias("blueprint_id"))
+
+
+@query("document_delete", with_sql("topic_map", "SELECT topic_id, chunk_id FROM topic_map WHERE chunk_id % 10 <> 3"))
+def document_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "documents").where("doc_id % 10 = 3").select(F.col("doc_id").alias("chunk_id"))
+    return topic_map(spark, sf_dir).join(gone, "chunk_id", "left_anti").select("topic_id", "chunk_id")
+
+
+@query("exam_move", "SELECT l_orderkey AS exam_id, l_partkey AS question_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE r WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE r END) AS position FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem)")
+def exam_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Swap the second and third slot and number anew."""
+    own = Window.partitionBy("l_orderkey")
+    r = table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(own.orderBy("l_linenumber", "l_partkey")))
+    place = F.when(F.col("r") == 2, 3).when(F.col("r") == 3, 2).otherwise(F.col("r"))
+    return r.select(F.col("l_orderkey").alias("exam_id"), F.col("l_partkey").alias("question_id"), F.row_number().over(own.orderBy(place)).alias("position"))
+
+
+@query("exam_reorder", "SELECT exam_id, count(*) <> count(DISTINCT position) OR min(position) < 1 AS rejected FROM (SELECT l_orderkey AS exam_id, l_linenumber AS position FROM lineitem) GROUP BY 1")
+def exam_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a place given twice are rejected."""
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("exam_id"), F.col("l_linenumber").alias("position"))
+    return p.groupBy("exam_id").agg(((F.count("*") != F.count_distinct("position")) | (F.min("position") < 1)).alias("rejected"))
+
+
+@query("export_render", with_sql("stems options", "SELECT set_id, string_agg(concat('\\item ', stem, CASE WHEN type = 'mcq' THEN coalesce(chr(10) || o, '') WHEN type = 'true_false' THEN ' (True/False)' ELSE chr(10) || '\\vspace{3cm}' END), chr(10) ORDER BY " + ordinal_sql("type", "question_type") + ", question_id) AS body FROM (SELECT q.*, o.o FROM stems q LEFT JOIN (SELECT question_id, string_agg(label || ') ' || text, chr(10) ORDER BY k) AS o FROM options GROUP BY 1) o USING (question_id)) GROUP BY 1"))
+def export_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The body of an exam paper for each set, by type and id."""
+    q = stems(spark, sf_dir).join(array_join_text(spark, sf_dir), "question_id", "left")
+    tail = F.when(F.col("type") == "mcq", F.coalesce(F.concat(F.lit("\n"), "listing"), F.lit(""))).when(F.col("type") == "true_false", " (True/False)").otherwise("\n\\vspace{3cm}")
+    item = F.struct(ordinal(F.col("type"), "question_type").alias("o"), "question_id", F.concat(F.lit("\\item "), "stem", tail).alias("s"))
+    return q.groupBy("set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), "\n").alias("body"))
+
+
+@query("prompt_render", with_sql("stems", "SELECT question_id, concat('Topic: ', set_id, chr(10), 'Difficulty: ', difficulty, chr(10), CASE WHEN bloom <> 'create' THEN concat('Level: ', bloom, chr(10)) ELSE '' END, stem) AS prompt FROM stems"))
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("bloom") != "create", F.concat(F.lit("Level: "), "bloom", F.lit("\n"))).otherwise("")
+    return stems(spark, sf_dir).select("question_id", F.concat(F.lit("Topic: "), F.col("set_id").cast("string"), F.lit("\nDifficulty: "), "difficulty", F.lit("\n"), level, "stem").alias("prompt"))
+
+
+def _gates(kind: str) -> str:
+    return f"SELECT question_id, CASE WHEN length(trim(stem)) = 0 THEN 'empty' WHEN dup THEN 'duplicate' WHEN t AND difficulty <> 'easy' AND bloom <> 'remember' THEN 'trivial' ELSE 'accepted' END AS gate FROM (SELECT *, row_number() OVER (PARTITION BY set_id, lower(stem) ORDER BY question_id) > 1 AS dup, regexp_matches(lower(trim(stem)), '^(define\\s+|what\\s+is\\s+(?:a|an|the)\\s+\\w)') AS t FROM stems WHERE type = '{kind}')"
+
+
+def _generation(name: str, kind: str) -> None:
+    @query(name, with_sql("stems", _gates(kind)))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Each candidate with the first gate that stops it."""
+        from paperloom.functions.rules import reject_trivial
+
+        q = stems(spark, sf_dir).where(F.col("type") == kind)
+        again = F.row_number().over(Window.partitionBy("set_id", F.lower("stem")).orderBy("question_id")) > 1
+        gate = F.when(F.length(F.trim("stem")) == 0, "empty").when(F.col("dup"), "duplicate").when(reject_trivial(F.col("stem"), F.col("difficulty"), F.col("bloom")), "trivial").otherwise("accepted")
+        return q.withColumn("dup", again).select("question_id", gate.alias("gate"))
+
+
+for _name, _kind in (("gen_mcq", "mcq"), ("gen_tf", "true_false"), ("gen_sa", "short_answer"), ("gen_essay", "essay")):
+    _generation(_name, _kind)
+
+
+@query("persist_sources", with_sql("stems topic_map", "SELECT question_id, chunk_id FROM stems JOIN topic_map ON topic_id = set_id WHERE score > 0.9"))
+def persist_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = topic_map(spark, sf_dir).where("score > 0.9").select(F.col("topic_id").alias("set_id"), "chunk_id")
+    return stems(spark, sf_dir).join(m, "set_id").select("question_id", "chunk_id")
+
+
+@query("agg_job_summary", with_sql("stems", "SELECT set_id, count(*) AS requested, count_if(status = 'approved') AS generated, count_if(status = 'rejected') AS failed, round(count_if(bloom = 'remember') / count(*)::DOUBLE, 2) AS trivial_share FROM stems GROUP BY 1"))
+def agg_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count("*")
+    return stems(spark, sf_dir).groupBy("set_id").agg(n.alias("requested"), F.count_if(F.col("status") == "approved").alias("generated"), F.count_if(F.col("status") == "rejected").alias("failed"), F.round(F.count_if(F.col("bloom") == "remember") / n, 2).alias("trivial_share"))
+
+
+@query("json_job_summary")
+def json_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = agg_job_summary(spark, sf_dir)
+    return s.select("set_id", F.to_json(F.struct(*s.columns)).alias("summary"))
+
+
+query("json_detail_encode")(lambda spark, sf_dir: validate_distractors(spark, sf_dir).select("question_id", F.to_json(F.struct("outcome", "score", "option_count", "correct_count")).alias("detail")))
+
+
+@query("progress_pct", "SELECT l_orderkey, l_linenumber, cast(floor(r / n::DOUBLE * 90) AS BIGINT) AS pct FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)")
+def progress_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Window.partitionBy("l_orderkey")
+    r = table(spark, sf_dir, "lineitem").withColumns({"r": F.row_number().over(own.orderBy("l_linenumber", "l_partkey")), "n": F.count("*").over(own)})
+    return r.select("l_orderkey", "l_linenumber", F.floor(F.col("r") / F.col("n") * 90).alias("pct"))
+
+
+@query("seed_derive", "SELECT o_orderkey, ('0x' || right(md5(o_orderkey::VARCHAR), 8))::BIGINT AS seed, xor(('0x' || right(md5(o_orderkey::VARCHAR), 8))::BIGINT, 2 * 2654435769) AS second_seed FROM orders")
+def seed_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The low 32 bits of an id, and the seed of the second attempt."""
+    seed = F.conv(F.right(F.md5(F.col("o_orderkey").cast("string")), F.lit(8)), 16, 10).cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", seed.alias("seed"), seed.bitwiseXOR(F.lit(2 * 2654435769)).alias("second_seed"))
+
+
+@query("math_scalars", "SELECT o_orderkey, round_even(o_totalprice / 1000, 1) AS half_even, floor(o_totalprice) AS fl, ceil(o_totalprice) AS ce, least(1.0, greatest(0.0, o_totalprice / 100000)) AS clamped FROM orders")
+def math_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.bround(p / 1000, 1).alias("half_even"), F.floor(p).alias("fl"), F.ceil(p).alias("ce"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p / 100000)).alias("clamped"))
+
+
+@query("grounding_gate", with_sql("stems", "SELECT question_id FROM stems WHERE set_id % 6 <> 0"))
+def grounding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that the model calls ungrounded are dropped whole."""
+    q = stems(spark, sf_dir).withColumn("insufficient", F.col("set_id") % 6 == 0)
+    return q.where(~F.col("insufficient")).select("question_id")
+
+
+@query("nonempty_sa", with_sql("stems", "SELECT question_id FROM stems WHERE type IN ('short_answer', 'essay') AND length(trim(stem)) > 0"))
+def nonempty_sa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stems(spark, sf_dir).where(F.col("type").isin("short_answer", "essay") & (F.length(F.trim("stem")) > 0)).select("question_id")
+
+
+# model calls: events as calls (user: provider, hundred times the value: tokens)
+_CALLS = "SELECT event_id, user_id % 20 AS provider, ts, cast(floor(abs(value) * 100) AS BIGINT) AS tokens, event_type FROM events"
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", (F.col("user_id") % 20).alias("provider"), "ts", F.floor(F.abs("value") * 100).alias("tokens"), "event_type")
+
+
+@query("rt_token_budget", f"SELECT event_id, sum(tokens) OVER (PARTITION BY provider ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)::BIGINT AS offered FROM ({_CALLS})")
+def rt_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that a provider was offered in the 60 seconds up to each call."""
+    c = calls(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    load = F.sum("tokens").over(Window.partitionBy("provider").orderBy("us").rangeBetween(-60_000_000, 0))
+    return c.select("event_id", load.alias("offered"))
+
+
+@query("rt_circuit_breaker", f"SELECT event_id, coalesce(epoch_us(ts) - f <= 600000000, false) AS open FROM (SELECT *, max(CASE WHEN event_type = 'error' OR tokens % 7 = 0 THEN epoch_us(ts) END) OVER (PARTITION BY provider ORDER BY epoch_us(ts), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM ({_CALLS}))")
+def rt_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that come within 600 seconds of their provider's last failure."""
+    c = calls(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    before = Window.partitionBy("provider").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    failed = F.max(F.when((F.col("event_type") == "error") | (F.col("tokens") % 7 == 0), F.col("us"))).over(before)
+    return c.select("event_id", F.coalesce(F.col("us") - failed <= 600_000_000, F.lit(False)).alias("open"))
+
+
+@query("rt_throttle", f"SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY provider ORDER BY epoch_us(ts), event_id) < 6500000, false) AS too_soon FROM ({_CALLS})")
+def rt_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = calls(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    last = F.lag("us").over(Window.partitionBy("provider").orderBy("us", "event_id"))
+    return c.select("event_id", F.coalesce(F.col("us") - last < 6_500_000, F.lit(False)).alias("too_soon"))
+
+
+@query("rt_retry_backoff", "SELECT event_id, least(20.0, pow(2, event_id % 6)) AS wait_s FROM events")
+def rt_retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.least(F.lit(20.0), F.pow(F.lit(2.0), F.col("event_id") % 6)).alias("wait_s"))
+
+
+@query("rt_job_lifecycle", "SELECT user_id AS job_id, arg_max(event_type, epoch_us(ts)::HUGEINT * 1000000 + event_id % 1000000) AS status, count(*) AS n_events FROM events GROUP BY 1")
+def rt_job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state of each job from its log."""
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max_by("event_type", F.struct("ts", F.col("event_id") % 1000000)).alias("status"), F.count("*").alias("n_events"))
+
+
+for _alias in ("sink_job_progress", "rt_polling"):
+    query(_alias, "SELECT user_id AS job_id, arg_max(event_type, epoch_us(ts)::HUGEINT * 1000000 + event_id % 1000000) AS status, count(*) AS n_events FROM events GROUP BY 1")(rt_job_lifecycle)

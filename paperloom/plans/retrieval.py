@@ -1 +1,296 @@
-"""To come."""
+"""Queries over vector and token similarity, retrieval and duplicate checks."""
+
+from __future__ import annotations
+
+import difflib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from paperloom.functions import similarity
+from paperloom.plans.fixtures import derived, stems, topic_map, topics, with_sql
+from paperloom.registry import query, table
+
+_PAIRS = "(SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
+_DOT = "list_inner_product(x, y)"
+_NORM = "sqrt(list_inner_product({0}, {0}))"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.col("embedding").alias("x")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
+
+
+def _similarity(name: str, f, sql: str) -> None:  # noqa: ANN001
+    @query(name, f"SELECT vec_id, round({sql}, 5) AS value FROM {_PAIRS}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _pairs(spark, sf_dir).select("vec_id", F.round(f(F.col("x"), F.col("y")), 5).alias("value"))
+
+
+_similarity("cosine_unit", similarity.dot, _DOT)
+_similarity("cosine_general", similarity.cosine, f"{_DOT} / (({_NORM.format('x')} + 1e-10) * ({_NORM.format('y')} + 1e-10))")
+_similarity("cosine_distance_pg", lambda x, y: 1 - similarity.cosine(x, y), f"1 - {_DOT} / (({_NORM.format('x')} + 1e-10) * ({_NORM.format('y')} + 1e-10))")
+_similarity("l2_normalise", lambda x, y: similarity.dot(similarity.l2_normalise(x), y), f"{_DOT} / {_NORM.format('x')}")
+
+#: The request's query vectors: the stored vectors with these ids.
+QUERY_IDS = (0, 1, 2, 3, 4)
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
+    """The few vectors of a request, as values."""
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*QUERY_IDS)).collect()
+    return sorted((r["vec_id"], list(r["embedding"])) for r in rows)
+
+
+def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """Exact k nearest of each query vector by cosine; the queries are literals, so nothing is joined."""
+    each = F.explode(F.array(*(F.struct(F.lit(q).alias("query_id"), F.array(*map(F.lit, v)).alias("q")) for q, v in queries)))
+    scored = vectors.select("vec_id", "embedding", each.alias("s")).select("vec_id", F.col("s.query_id").alias("query_id"), F.round(similarity.cosine(F.col("embedding"), F.col("s.q")), 5).alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+_SIMS = "SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / ((sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-10) * (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) + 1e-10)), 5) AS sim FROM embeddings e, embeddings q WHERE q.vec_id < 5"
+_RANKED = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM ({_SIMS})"
+
+
+@query("topk_vector", f"SELECT query_id, vec_id, sim, rank FROM ({_RANKED}) WHERE rank <= 10")
+def topk_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), 10)
+
+
+@query("retrieve_by_query", f"SELECT query_id, vec_id, greatest(0.0, sim) AS score FROM ({_RANKED}) WHERE rank <= 10 AND sim >= 0.25")
+def retrieve_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold comes after the limit."""
+    return topk_vector(spark, sf_dir).where("sim >= 0.25").select("query_id", "vec_id", F.greatest(F.lit(0.0), "sim").alias("score"))
+
+
+@query("topk_map_sim", f"SELECT query_id AS topic_id, vec_id AS chunk_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM ({_SIMS}) WHERE vec_id % 10 <> query_id AND sim >= 0.1) WHERE r <= 8")
+def topk_map_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that are mapped already (here by id) use up no place."""
+    vectors = table(spark, sf_dir, "embeddings")
+    each = F.explode(F.array(*(F.struct(F.lit(q).alias("topic_id"), F.array(*map(F.lit, v)).alias("q")) for q, v in query_vectors(spark, sf_dir))))
+    scored = vectors.select("vec_id", "embedding", each.alias("s")).select("s.topic_id", F.col("vec_id").alias("chunk_id"), F.round(similarity.cosine(F.col("embedding"), F.col("s.q")), 5).alias("sim"))
+    free = scored.where((F.col("chunk_id") % 10 != F.col("topic_id")) & (F.col("sim") >= 0.1))
+    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("sim"), "chunk_id"))
+    return free.withColumn("r", rank).where("r <= 8").select("topic_id", "chunk_id", "sim")
+
+
+@query("euclid_argmin", "SELECT vec_id, arg_min(c, d) AS centre FROM (SELECT e.vec_id, q.vec_id AS c, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS d FROM embeddings e, embeddings q WHERE q.vec_id < 5 ORDER BY c) GROUP BY 1")
+def euclid_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of given centres; the first of equals wins."""
+    distances = [F.struct(F.round(F.sqrt(similarity.dot(d := F.zip_with("embedding", F.array(*map(F.lit, v)), lambda a, b: a.cast("double") - b), d)), 6).alias("d"), F.lit(q).alias("c")) for q, v in query_vectors(spark, sf_dir)]
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_min(F.array(*distances))["c"].cast("long").alias("centre"))
+
+
+@query("agg_centroid", "SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS first_mean, round(avg(embedding[64]::DOUBLE), 6) AS last_mean, count(*) AS n FROM embeddings GROUP BY 1")
+def agg_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vector of each label; its first and last component are shown."""
+    mean = lambda k: F.round(F.avg(F.col("embedding")[k].cast("double")), 6)
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(mean(0).alias("first_mean"), mean(63).alias("last_mean"), F.count("*").alias("n"))
+
+
+@query("kmeans")
+def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k between 5 and 40, one for every 20 vectors; seeded."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
+    k = max(5, min(40, vectors.count() // 20))
+    return KMeans(k=k, seed=42, maxIter=50).fit(vectors).transform(vectors).select("vec_id", F.col("prediction").alias("cluster"))
+
+
+query("cluster_topics")(lambda spark, sf_dir: kmeans(spark, sf_dir).groupBy("cluster").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id")))
+
+
+@query("theta_similarity", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id WHERE round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) >= 0.3")
+def theta_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated query set against the vectors of its own scope (the label)."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
+    both = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y")).join(q, "label").where("a <> b")
+    return both.select("a", "b", F.round(similarity.dot(F.col("x"), F.col("y")), 5).alias("sim")).where("sim >= 0.3")
+
+
+@query("agg_max_similarity", "SELECT a.vec_id AS a, round(coalesce(max(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 0), 5) AS max_sim FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND b.vec_id <> a.vec_id AND b.vec_id % 3 = 0 WHERE a.vec_id % 50 = 0 GROUP BY 1")
+def agg_max_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
+    others = e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("b"), F.col("label").alias("l"), F.col("embedding").alias("y"))
+    both = q.join(others, (F.col("label") == F.col("l")) & (F.col("a") != F.col("b")), "left")
+    return both.groupBy("a").agg(F.round(F.coalesce(F.max(similarity.dot(F.col("x"), F.col("y"))), F.lit(0.0)), 5).alias("max_sim"))
+
+
+_TOK = "list_distinct(list_filter(regexp_split_to_array(lower(stem), '[^\\pL\\pN_]+'), lambda x: length(x) >= 3))"
+
+
+@query("jaccard", with_sql("stems", "").rstrip() + f", t AS (SELECT question_id, set_id, {_TOK} AS a FROM stems) SELECT x.question_id AS a, y.question_id AS b, round(len(list_intersect(x.a, y.a)) / len(list_distinct(list_concat(x.a, y.a)))::DOUBLE, 6) AS sim FROM t x JOIN t y ON x.set_id = y.set_id AND x.question_id < y.question_id")
+def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between the questions of a set."""
+    t = stems(spark, sf_dir).select("question_id", "set_id", similarity.tokens(F.col("stem")).alias("t"))
+    x, y = t.alias("x"), t.alias("y")
+    both = x.join(y, (F.col("x.set_id") == F.col("y.set_id")) & (F.col("x.question_id") < F.col("y.question_id")))
+    return both.select(F.col("x.question_id").alias("a"), F.col("y.question_id").alias("b"), F.round(similarity.jaccard(F.col("x.t"), F.col("y.t")), 6).alias("sim"))
+
+
+@query("theta_jaccard", with_sql("stems", "").rstrip() + f", t AS (SELECT question_id, {_TOK} AS a FROM stems) SELECT x.question_id AS a, y.question_id AS b FROM t x JOIN t y ON x.question_id < y.question_id WHERE len(list_intersect(x.a, y.a)) > 0.1 * len(list_distinct(list_concat(x.a, y.a)))")
+def theta_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs above 0.1, found by the rarest tokens: with a threshold t, a pair shares one of a set's first n - ceil(t n) + 1 tokens in any one order."""
+    t = stems(spark, sf_dir).select("question_id", similarity.tokens(F.col("stem")).alias("t"))
+    each = t.select("question_id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy("df", "token"))
+    prefix = each.join(often, "token").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(0.1 * F.col("n")) + 1)
+    x, y = prefix.alias("x"), prefix.alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.question_id") < F.col("y.question_id"))).select(F.col("x.question_id").alias("a"), F.col("y.question_id").alias("b")).distinct()
+    both = pairs.join(t.select(F.col("question_id").alias("a"), F.col("t").alias("s")), "a").join(t.select(F.col("question_id").alias("b"), "t"), "b")
+    return both.where(F.size(F.array_intersect("s", "t")) > 0.1 * F.size(F.array_union("s", "t"))).select("a", "b")
+
+
+@F.pandas_udf("double")
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Twice the matched characters over all characters, by longest matching blocks."""
+    return _ratio(F.lower(a), F.lower(b))
+
+
+@query("ratcliff_obershelp")
+def ratcliff_obershelp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    both = p.select("p_partkey", F.col("p_name").alias("x")).join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("y")), "p_partkey")
+    return both.select("p_partkey", F.round(matching_ratio(F.col("x"), F.col("y")), 6).alias("ratio"))
+
+
+def occurrences(text: Column, needle: Column) -> Column:
+    """Non-overlapping occurrences."""
+    return F.floor((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle))
+
+
+@query("tf_relevance_v1", with_sql("topics", "SELECT topic_id, doc_id, round(s / max(s) OVER (PARTITION BY topic_id), 6) AS score FROM (SELECT topic_id, doc_id, ((length(t) - length(replace(t, n, ''))) // length(n)) / greatest(1, len(regexp_extract_all(t, '[a-z]{3,}')))::DOUBLE * CASE WHEN contains(substr(t, 1, 120), n) THEN 2 ELSE 1 END AS s FROM (SELECT topic_id, course_id, substr(lower(name), 1, 2) AS n FROM topics) JOIN (SELECT doc_id, doc_id % 5 AS course_id, lower(text) AS t FROM documents) USING (course_id)) WHERE s > 0"))
+def tf_relevance_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase count over word count, doubled for an early hit, over the topic's best; within a course."""
+    t = topics(spark, sf_dir).select("topic_id", "course_id", F.substring(F.lower("name"), 1, 2).alias("n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("course_id"), F.lower("text").alias("t")).withColumn("words", F.greatest(F.lit(1), F.regexp_count("t", F.lit("[a-z]{3,}"))))
+    s = occurrences(F.col("t"), F.col("n")) / F.col("words") * F.when(F.instr(F.substring("t", 1, 120), F.col("n")) > 0, 2).otherwise(1)
+    scored = d.join(F.broadcast(t), "course_id").withColumn("s", s).where("s > 0")
+    return scored.select("topic_id", "doc_id", F.round(F.col("s") / F.max("s").over(Window.partitionBy("topic_id")), 6).alias("score"))
+
+
+_V2 = "SELECT topic_id, doc_id, round((2 * ((length(t) - length(replace(t, n, ''))) // length(n)) + ((length(t) - length(replace(t, k, ''))) // length(k))) / greatest(1, len(regexp_extract_all(t, '[a-z]{3,}')))::DOUBLE, 6) AS s FROM (SELECT topic_id, course_id, substr(lower(name), 1, 2) AS n, substr(lower(name), 1, 3) AS k FROM topics) JOIN (SELECT doc_id, doc_id % 5 AS course_id, lower(text) AS t FROM documents) USING (course_id)"
+
+
+def _v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = topics(spark, sf_dir).select("topic_id", "course_id", F.substring(F.lower("name"), 1, 2).alias("n"), F.substring(F.lower("name"), 1, 3).alias("k"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("course_id"), F.lower("text").alias("t"))
+    s = (2 * occurrences(F.col("t"), F.col("n")) + occurrences(F.col("t"), F.col("k"))) / F.greatest(F.lit(1), F.regexp_count("t", F.lit("[a-z]{3,}")))
+    return d.join(F.broadcast(t), "course_id").select("topic_id", "doc_id", F.round(s, 6).alias("s"))
+
+
+@query("tf_relevance_v2", with_sql("topics", f"SELECT topic_id, doc_id, s FROM ({_V2}) WHERE s > 0"))
+def tf_relevance_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _v2(spark, sf_dir).where("s > 0")
+
+
+@query("topk_map_tf", with_sql("topics", f"SELECT topic_id, doc_id, round(least(s, 0.75), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY s DESC, doc_id) AS r FROM ({_V2}) WHERE s >= 0.01) WHERE r <= 5"))
+def topk_map_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("s"), "doc_id"))
+    return _v2(spark, sf_dir).where("s >= 0.01").withColumn("r", rank).where("r <= 5").select("topic_id", "doc_id", F.round(F.least("s", F.lit(0.75)), 4).alias("score"))
+
+
+_PAGE_HITS = "SELECT t.topic_id, c.doc_id AS chunk_id FROM topics t JOIN (SELECT doc_id, doc_id % 5 AS course_id, doc_id % 80 AS page FROM documents) c ON c.course_id = t.course_id AND c.page BETWEEN t.topic_id * 3 AND t.topic_id * 3 + 2 WHERE t.topic_id % 4 <> 0"
+
+
+@query("topic_chunk_map", with_sql("topics", "").rstrip() + f", p AS ({_PAGE_HITS}), tf AS (SELECT topic_id, doc_id AS chunk_id, round(least(s, 0.75), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY s DESC, doc_id) AS r FROM ({_V2}) WHERE s >= 0.01 AND topic_id NOT IN (SELECT topic_id FROM p)) WHERE r <= 5) SELECT topic_id, chunk_id, 0.8 AS score FROM p UNION ALL SELECT topic_id, chunk_id, score FROM tf")
+def topic_chunk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page matches first; topics without any fall back to term frequency."""
+    t = topics(spark, sf_dir)
+    c = table(spark, sf_dir, "documents").selectExpr("doc_id AS chunk_id", "doc_id % 5 AS course_id", "doc_id % 80 AS page")
+    pages = c.join(F.broadcast(t.where("topic_id % 4 <> 0")), "course_id").where("page BETWEEN topic_id * 3 AND topic_id * 3 + 2").select("topic_id", "chunk_id", F.lit(0.8).alias("score"))
+    rest = _v2(spark, sf_dir).where("s >= 0.01").join(pages.select("topic_id").distinct(), "topic_id", "left_anti")
+    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("s"), "doc_id"))
+    tf = rest.withColumn("r", rank).where("r <= 5").select("topic_id", F.col("doc_id").alias("chunk_id"), F.round(F.least("s", F.lit(0.75)), 4).alias("score"))
+    return pages.unionByName(tf)
+
+
+_BL = "SELECT DISTINCT course_id, lower(trim(stem)) AS key FROM stems WHERE status = 'rejected'"
+
+
+@query("is_blacklisted", with_sql("stems", f"SELECT question_id, b.key IS NOT NULL AS listed FROM stems s LEFT JOIN ({_BL}) b ON b.course_id = s.course_id AND b.key = lower(trim(s.stem))"))
+def is_blacklisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By exact fingerprint within the course."""
+    q = stems(spark, sf_dir).withColumn("fingerprint", F.sha2(F.lower(F.trim("stem")), 256))
+    listed = q.where("status = 'rejected'").select("course_id", "fingerprint").distinct().withColumn("listed", F.lit(True))
+    return q.join(listed, ["course_id", "fingerprint"], "left").select("question_id", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+@query("is_recent_duplicate", with_sql("stems", "SELECT question_id, count(*) OVER (PARTITION BY course_id, lower(trim(stem)) ORDER BY question_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS duplicate FROM stems"))
+def is_recent_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = Window.partitionBy("course_id", F.sha2(F.lower(F.trim("stem")), 256)).orderBy("question_id").rowsBetween(Window.unboundedPreceding, -1)
+    return stems(spark, sf_dir).select("question_id", (F.count("*").over(before) > 0).alias("duplicate"))
+
+
+@query("diversity_context", with_sql("stems", "SELECT course_id, count_if(status = 'rejected') AS n_blacklist, least(100, count(*)) AS n_recent FROM stems GROUP BY 1"))
+def diversity_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stems(spark, sf_dir).groupBy("course_id").agg(F.count_if(F.col("status") == "rejected").alias("n_blacklist"), F.least(F.lit(100), F.count("*")).alias("n_recent"))
+
+
+_GEN = """, c AS (SELECT m.topic_id, m.chunk_id, coalesce(m.score, 0.0) AS score, d.content, regexp_matches(substr(d.content, 1, 300), '(?im)^\\s*references') AS bad FROM topic_map m JOIN derived d ON d.doc_id = m.chunk_id),
+ok AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, chunk_id) AS f FROM c) WHERE f <= 30 AND NOT bad AND chunk_id % 7 <> 0),
+fb AS (SELECT topic_id, chunk_id, 0.5::DOUBLE AS score FROM c WHERE topic_id NOT IN (SELECT topic_id FROM ok)),
+al AS (SELECT topic_id, chunk_id, score FROM ok UNION ALL SELECT * FROM fb)
+SELECT topic_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY chunk_id % 3 = 0, score DESC, chunk_id) AS rank FROM al) WHERE rank <= 10"""
+
+
+@query("retrieve_for_generation", with_sql("derived topic_map", "").rstrip() + _GEN)
+def retrieve_for_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each topic (three times k), without boilerplate and used chunks; all chunks of the topic if none is left; fresh ones first."""
+    k = 10
+    own = Window.partitionBy("topic_id")
+    heading = F.substring("content", 1, 300).rlike(r"(?im)^\s*references")
+    joined = topic_map(spark, sf_dir).join(derived(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), heading.alias("bad")), "chunk_id").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    ranked = joined.withColumn("f", F.row_number().over(own.orderBy(F.desc("score"), "chunk_id")))
+    good = (F.col("f") <= 3 * k) & ~F.col("bad") & (F.col("chunk_id") % 7 != 0)
+    staged = ranked.withColumn("good", good).withColumn("n_good", F.count_if("good").over(own)).where("good OR n_good = 0")
+    score = F.when(F.col("good"), F.col("score")).otherwise(F.lit(0.5))
+    rank = F.row_number().over(own.orderBy(F.col("chunk_id") % 3 == 0, F.desc(score), "chunk_id"))
+    return staged.withColumn("rank", rank).where(F.col("rank") <= k).select("topic_id", "chunk_id", "rank")
+
+
+query("retrieve_for_slot", with_sql("derived topic_map", "").rstrip() + _GEN)(retrieve_for_generation)
+
+
+@query("context_build", with_sql("derived topic_map", "SELECT topic_id, string_agg(concat('[Evidence ', r, ']', chr(10), CASE WHEN length(trim(content)) > 1400 THEN substr(trim(content), 1, 1400) || ' …' ELSE trim(content) END), chr(10) || chr(10) ORDER BY r) AS context FROM (SELECT topic_id, content, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC NULLS LAST, chunk_id) AS r FROM topic_map m JOIN derived d ON d.doc_id = m.chunk_id) WHERE r <= 2 GROUP BY 1"))
+def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best chunks of each topic, cut to 1400 characters."""
+    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc_nulls_last("score"), "chunk_id"))
+    top = topic_map(spark, sf_dir).withColumn("r", rank).where("r <= 2")
+    body = F.trim("content")
+    cut = F.when(F.length(body) > 1400, F.concat(F.substring(body, 1, 1400), F.lit(" …"))).otherwise(body)
+    sections = top.join(derived(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), "chunk_id").select("topic_id", "r", F.concat(F.lit("[Evidence "), F.col("r").cast("string"), F.lit("]\n"), cut).alias("s"))
+    return sections.groupBy("topic_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "s"))), lambda x: x["s"]), "\n\n").alias("context"))
+
+
+@query("dup_in_job")
+def dup_in_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within a set, in order: a question is a duplicate if it is too similar to one that was accepted before."""
+
+    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[set[str]] = []
+        flags = []
+        for tokens in pdf.sort_values("question_id")["t"].map(set):
+            near = any(len(tokens & k) > 0.3 * len(tokens | k) for k in kept)
+            flags.append(near)
+            if not near:
+                kept.append(tokens)
+        return pd.DataFrame({"question_id": sorted(pdf["question_id"]), "duplicate": flags})
+
+    t = stems(spark, sf_dir).select("set_id", "question_id", similarity.tokens(F.col("stem")).alias("t"))
+    return t.groupBy("set_id").applyInPandas(accept, "question_id long, duplicate boolean")
+
+
