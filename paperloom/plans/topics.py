@@ -1 +1,136 @@
-"""To come."""
+"""Queries over topic extraction, selection and upkeep."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from paperloom.operators import topics as ops
+from paperloom.plans.fixtures import outline, topics, with_sql
+from paperloom.registry import query, table
+
+# extractor results: orders as courses, line items as the methods that were tried
+_RESULTS = "SELECT l_orderkey AS course_id, l_linenumber AS method, count(*) * 3 AS n, round(0.3 + (min(l_partkey) % 70) / 100.0, 2) AS conf, round((min(l_suppkey) % 40) / 100.0, 2) AS cov FROM lineitem GROUP BY 1, 2"
+_SCORED = f"SELECT *, n BETWEEN 3 AND 50 AND conf > 0 AS usable, n BETWEEN 3 AND 50 AND conf > 0 AND cov >= 0.2 AS sane, conf * CASE WHEN n BETWEEN 3 AND 50 AND conf > 0 AND cov >= 0.2 THEN 1.3 WHEN n BETWEEN 3 AND 50 AND conf > 0 THEN 1.0 ELSE 0.7 END + least(1.0, n / 20.0) * 0.1 AS score FROM ({_RESULTS})"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("course_id"), F.col("l_linenumber").alias("method")).agg((F.count("*") * 3).alias("n"), F.round(0.3 + (F.min("l_partkey") % 70) / 100.0, 2).alias("conf"), F.round((F.min("l_suppkey") % 40) / 100.0, 2).alias("cov"))
+    usable = F.col("n").between(3, 50) & (F.col("conf") > 0)
+    r = r.withColumn("usable", usable).withColumn("sane", usable & (F.col("cov") >= 0.2))
+    return r.withColumn("score", F.col("conf") * F.when(F.col("sane"), 1.3).when(F.col("usable"), 1.0).otherwise(0.7) + F.least(F.lit(1.0), F.col("n") / 20.0) * 0.1)
+
+
+@query("extractor_score", f"SELECT course_id, method, round(score, 6) AS score FROM ({_SCORED})")
+def extractor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("course_id", "method", F.round("score", 6).alias("score"))
+
+
+_STOP = "max(CASE WHEN sane AND conf >= 0.75 THEN 1 ELSE 0 END) OVER (PARTITION BY course_id ORDER BY method ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query("topic_select", f"SELECT course_id, method FROM (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY round(score, 9) DESC, method) AS r FROM (SELECT *, {_STOP} AS stopped FROM ({_SCORED})) WHERE coalesce(stopped, 0) = 0) WHERE r = 1")
+def topic_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best extractor; those after a first one that is sane and sure do not compete."""
+    own = Window.partitionBy("course_id")
+    sure = F.when(F.col("sane") & (F.col("conf") >= 0.75), 1).otherwise(0)
+    stopped = F.coalesce(F.max(sure).over(own.orderBy("method").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = _scored(spark, sf_dir).withColumn("stopped", stopped).where("stopped = 0")
+    return open_.withColumn("r", F.row_number().over(own.orderBy(F.desc(F.round("score", 9)), "method"))).where("r = 1").select("course_id", "method")
+
+
+@query("low_confidence_flag", f"SELECT course_id, method, (conf < 0.45 OR (NOT sane AND cov < 0.2)) AND NOT (conf >= 0.75 AND sane) AS low FROM ({_SCORED})")
+def low_confidence_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = ((F.col("conf") < 0.45) | (~F.col("sane") & (F.col("cov") < 0.2))) & ~((F.col("conf") >= 0.75) & F.col("sane"))
+    return _scored(spark, sf_dir).select("course_id", "method", low.alias("low"))
+
+
+@query("agg_confidence", with_sql("outline", "SELECT doc_id, round(least(0.98, 0.60 + 0.04 * least(count_if(level = 1), 8) + 0.01 * least(count_if(level = 2), 20)), 6) AS confidence FROM outline GROUP BY 1"))
+def agg_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of an outline, from its chapters and sections."""
+    n = lambda level, most: F.least(F.count_if(F.col("level") == level), F.lit(most))
+    return outline(spark, sf_dir).groupBy("doc_id").agg(F.round(F.least(F.lit(0.98), 0.60 + 0.04 * n(1, 8) + 0.01 * n(2, 20)), 6).alias("confidence"))
+
+
+_NEXT = "first_value(page IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+
+
+@query("pdf_outline_topics", with_sql("outline", f"SELECT doc_id, seq, CASE level WHEN 1 THEN 'CHAPTER' WHEN 2 THEN 'SECTION' ELSE 'SUBSECTION' END AS level, page, CASE WHEN {_NEXT} IS NULL THEN 99 ELSE greatest({_NEXT} - 1, page) END AS end_page, 0.95 AS confidence FROM outline"))
+def pdf_outline_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    follows = F.first("page", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing))
+    level = F.when(F.col("level") == 1, "CHAPTER").when(F.col("level") == 2, "SECTION").otherwise("SUBSECTION")
+    rows = outline(spark, sf_dir).withColumn("n", follows)
+    return rows.select("doc_id", "seq", level.alias("level"), "page", F.when(F.col("n").isNull(), 99).otherwise(F.greatest(F.col("n") - 1, "page")).alias("end_page"), F.lit(0.95).alias("confidence"))
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr("p_partkey % 50 AS course_id", "p_partkey AS seq", "p_name AS title", "(p_partkey % 97) / 100.0D AS confidence", "cast(p_size AS bigint) AS page")
+
+
+@query("topic_postprocess")
+def topic_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.postprocess(_extracted(spark, sf_dir))
+
+
+@query("heading_merge")
+def heading_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "cast(l_suppkey % 3 AS bigint) AS page", "cast(l_linenumber AS bigint) AS seq", "l_quantity AS size", "cast(l_partkey AS string) AS text")
+    return ops.merge_headings(spans)
+
+
+query("layout_topics")(lambda spark, sf_dir: heading_merge(spark, sf_dir).where("size >= 40").select("doc_id", "page", "text", F.when(F.col("size") >= 45, "CHAPTER").otherwise("SECTION").alias("level")))
+
+
+@query("toc_union", with_sql("outline", "SELECT doc_id, seq, title, 'outline' AS origin FROM outline WHERE doc_id % 3 <> 0 UNION ALL SELECT l_orderkey, l_linenumber, 'Line ' || l_partkey, 'text' FROM lineitem WHERE l_orderkey NOT IN (SELECT doc_id FROM outline WHERE doc_id % 3 <> 0)"))
+def toc_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's outline, or its scanned contents where it has none."""
+    first = outline(spark, sf_dir).where("doc_id % 3 <> 0").select("doc_id", "seq", "title", F.lit("outline").alias("origin"))
+    scanned = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), F.concat(F.lit("Line "), F.col("l_partkey").cast("string")).alias("title"), F.lit("text").alias("origin"))
+    return first.unionByName(scanned.join(first.select("doc_id").distinct(), "doc_id", "left_anti"))
+
+
+@query("toc_from_text", with_sql("outline", "SELECT doc_id, seq, title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(trim(title)) ORDER BY seq) AS r FROM outline WHERE seq <= 20) WHERE r = 1"))
+def toc_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the first 20 lines, the first of each title."""
+    rank = F.row_number().over(Window.partitionBy("doc_id", F.lower(F.trim("title"))).orderBy("seq"))
+    return outline(spark, sf_dir).where("seq <= 20").withColumn("r", rank).where("r = 1").select("doc_id", "seq", "title")
+
+
+@query("topic_reextract", with_sql("topics", "SELECT topic_id, name, 'MANUAL' AS source FROM topics WHERE NOT is_auto UNION ALL SELECT 1000 + r_regionkey, r_name, 'AUTO' FROM region"))
+def topic_reextract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manual topics stay, automatic ones are replaced."""
+    manual = topics(spark, sf_dir).where("NOT is_auto").select("topic_id", "name", F.lit("MANUAL").alias("source"))
+    return manual.unionByName(table(spark, sf_dir, "region").select((1000 + F.col("r_regionkey")).cast("long").alias("topic_id"), F.col("r_name").alias("name"), F.lit("AUTO").alias("source")))
+
+
+@query("topic_crud", with_sql("topics", "SELECT topic_id, CASE WHEN topic_id = 3 THEN 'Renamed' ELSE name END AS name FROM topics WHERE topic_id <> 7 UNION ALL SELECT 99, 'New'"))
+def topic_crud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One topic renamed, one deleted, one created."""
+    t = topics(spark, sf_dir).where("topic_id <> 7").select("topic_id", F.when(F.col("topic_id") == 3, "Renamed").otherwise(F.col("name")).alias("name"))
+    return t.unionByName(spark.range(99, 100).select(F.col("id").alias("topic_id"), F.lit("New").alias("name")))
+
+
+@query("topic_tree_view", with_sql("topics", "SELECT t.topic_id, repeat('  ', CASE WHEN t.parent_id IS NULL THEN 0 ELSE 1 END) || t.name AS line, coalesce(p.name, t.name) AS top FROM topics t LEFT JOIN topics p ON p.topic_id = t.parent_id"))
+def topic_tree_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = topics(spark, sf_dir)
+    parents = t.select(F.col("topic_id").alias("parent_id"), F.col("name").alias("parent_name"))
+    depth = F.when(F.col("parent_id").isNull(), "").otherwise("  ")
+    return t.join(parents, "parent_id", "left").select("topic_id", F.concat(depth, "name").alias("line"), F.coalesce("parent_name", "name").alias("top"))
+
+
+@query("regex_topics", "SELECT l_orderkey AS doc_id, round(least(0.72, 0.30 + 0.20 * (count_if(l_partkey % 4 = 1) / count(*)::DOUBLE) + 0.15 * (count_if(l_partkey % 4 = 0) / count(*)::DOUBLE)), 6) AS confidence FROM lineitem GROUP BY 1")
+def regex_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence of heading lines, from the shares of numbered and labelled ones."""
+    share = lambda k: F.count_if(F.col("l_partkey") % 4 == k) / F.count("*")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.round(F.least(F.lit(0.72), 0.30 + 0.20 * share(1) + 0.15 * share(0)), 6).alias("confidence"))
+
+
+@query("topic_names_v1", "WITH w AS (SELECT w AS name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) GROUP BY 1 ORDER BY n DESC, name LIMIT 60) SELECT name, n FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.name <> a.name AND contains(b.name, a.name))")
+def topic_names_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 60 most frequent words without those that lie in another one."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("name"))
+    top = words.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(60)
+    names = top.agg(F.collect_list("name").alias("names"))  # 60 at most
+    inside = F.exists("names", lambda x: (x != F.col("name")) & F.contains(x, F.col("name")))
+    return top.join(F.broadcast(names)).where(~inside).select("name", "n")
