@@ -131,13 +131,14 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return options(spark, sf_dir).groupBy("question_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"), (F.count("*") - F.count_distinct(norm)).alias("dup"), F.count_if(norm.isin(*CATCH_ALL)).alias("ca"), (F.max(n) > 3 * F.avg(n)).alias("outlier"))
 
 
-_FAIL = (F.col("n") != 4) | (F.col("c") != 1) | (F.col("dup") > 0)
+def _fails() -> Column:
+    return (F.col("n") != 4) | (F.col("c") != 1) | (F.col("dup") > 0)
 
 
 @query("validate_distractors", with_sql("stems options", f"SELECT question_id, CASE WHEN n <> 4 OR c <> 1 OR dup > 0 THEN 'fail' WHEN ca > 0 OR outlier THEN 'warn' ELSE 'pass' END AS outcome, CASE WHEN n <> 4 OR c <> 1 OR dup > 0 THEN 0.0 WHEN ca > 0 OR outlier THEN 0.5 ELSE 1.0 END AS score, n AS option_count, c AS correct_count FROM ({_CHECKED})"))
 def validate_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcome = F.when(_FAIL, "fail").when((F.col("ca") > 0) | F.col("outlier"), "warn").otherwise("pass")
-    score = F.when(_FAIL, 0.0).when((F.col("ca") > 0) | F.col("outlier"), 0.5).otherwise(1.0)
+    outcome = F.when(_fails(), "fail").when((F.col("ca") > 0) | F.col("outlier"), "warn").otherwise("pass")
+    score = F.when(_fails(), 0.0).when((F.col("ca") > 0) | F.col("outlier"), 0.5).otherwise(1.0)
     return _checked(spark, sf_dir).select("question_id", outcome.alias("outcome"), score.alias("score"), F.col("n").alias("option_count"), F.col("c").alias("correct_count"))
 
 

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from paperloom.functions import similarity
@@ -150,7 +151,7 @@ def theta_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where(F.size(F.array_intersect("s", "t")) > 0.1 * F.size(F.array_union("s", "t"))).select("a", "b")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 

@@ -26,5 +26,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-from paperloom.plans import assessment, chunks, relational, retrieval, text, topics  # noqa: E402, F401
