@@ -111,7 +111,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that are hashed at a time; one longer text is cut at white space.
-HASH_CHUNK = 1 << 20
+HASH_CHUNK = 1 << 18
 _BASE = 0x100000001B3
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -171,6 +171,13 @@ def hashed_words(texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
     yield from flush()
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, so that what is made of a batch stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the windows of k neighbouring entries of h."""
     n = len(h) - k + 1
