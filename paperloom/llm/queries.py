@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import jaccard_join, language_id, license_scan, line_dedup, media, mixing, packing, quality_rules, secret_scan, sharding
+from paperloom.llm.oracles import ORACLES
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +56,4 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op5_mixing, op8_packing, op4_quality_rules, op7_secret_scan, op3_license_scan, op2_line_dedup, op9_jaccard_join, op6_language_id, op10_media_columns)}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
