@@ -105,7 +105,8 @@ def _written(spans: Column, rules: Sequence[Rule]) -> Column:
 def findings(paths: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Join the ledger back to all rows of paths (any columns and text): adds _spans, sorted by start and kind."""
     names = [f"`{c}`" for c in paths.columns if c != "text"]
-    entries = ledger.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("_spans"))
+    # written before the join, so that a blob with very many paths can be split there
+    entries = materialise(ledger.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("_spans")), "entries")
     return paths.select(*names, _address(F.col("text")).alias("blob")).join(entries, "blob", "left")
 
 
