@@ -90,7 +90,9 @@ def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, seed_words:
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), per_line.alias("l"))
     lists = materialise(own.select("doc_id", "text_hash", F.col("l.line").alias("lines"), F.col("l.words").alias("words")), "lines")
     seeds = lists.select(F.struct("doc_id", "text_hash").alias("doc"), F.explode(F.arrays_zip("lines", "words")).alias("l")).where(F.col("l.words") >= seed_words).select("doc", F.col("l.lines").alias("line"))
-    held = seeds.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    ends = seeds.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    # written before the join, so that a line with very many holders can be split there
+    held = materialise(ends.where(~F.col("first").eqNullSafe(F.col("last"))).drop("last"), "held")
     pairs = seeds.join(held, "line").where(~F.col("doc").eqNullSafe(F.col("first"))).select("doc", "first").distinct()
     same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.text_hash") == F.col(f"{y}.text_hash"))
     later = pairs.join(lists.alias("b"), same("doc", "b")).select("first", "doc", F.col("lines").alias("b_lines"), "words")
