@@ -1,7 +1,7 @@
 """The registry with every query of the library in it."""
 
-from paperloom.plans import assessment, chunks, relational, retrieval, text, topics
+from paperloom.plans import assessment, boundary, chunks, relational, retrieval, text, topics
 from paperloom.registry import ORACLES, QUERIES
 
-MODULES = (assessment, chunks, relational, retrieval, text, topics)
+MODULES = (assessment, boundary, chunks, relational, retrieval, text, topics)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
