@@ -116,7 +116,7 @@ _BASE = 0x100000001B3
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def _powers(base: int, n: int, made: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+def powers(base: int, n: int, made: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
     """base to the powers 1 to n, kept for the next chunk."""
     if base not in made or len(made[base]) < n:
         made[base] = np.multiply.accumulate(np.full(max(n, HASH_CHUNK + 1), base, dtype=np.uint64))
@@ -129,8 +129,8 @@ def _hash_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(np.diff(np.concatenate([[True], _IS_SPACE[codes], [True]])))
     starts, ends = edges[::2], edges[1::2]
     upto = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(codes)), out=upto[1:])
-    back = _powers(pow(_BASE, -1, 1 << 64), len(codes))
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(codes)), out=upto[1:])
+    back = powers(pow(_BASE, -1, 1 << 64), len(codes))
     return mix64((upto[ends] - upto[starts]) * back[starts] + (ends - starts).astype(np.uint64)), starts
 
 

@@ -3,8 +3,9 @@
 Documents are lists of line hashes. Each line that several documents hold names the earliest of them, so a document is
 paired with the earliest holders of its lines: as many pairs as lines at most, however many documents share a line.
 Spark joins the two lists of each pair, patience diff aligns them (lines that are unique on both sides and keep their
-order, then the same between them), and aligned blocks of enough words are deleted from the later document. A line that
-only many short pages share, such as a menu entry, forms no block of enough words and stays.
+order, then the same between them), and aligned blocks of enough words are deleted from the later document. What it
+leaves (lines that repeat, blocks in another order) is looked up by hashes of the shortest runs of enough words. A line
+that only many short pages share, such as a menu entry, forms no block of enough words and stays.
 
 Earlier means a smaller doc_id (null first), then a smaller text hash. Defined results: a null text stays null and has
 no lines; rows that are wholly equal in doc_id and text are one document, so none is deleted for the other's sake; an
@@ -17,12 +18,15 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import SPACES, materialise
+from paperloom.llm.common import SPACES, materialise, mix64, powers
 
+#: Base of the polynomial hash of a run.
+BASE = 0x9E3779B97F4A7C15
 #: Words of a line that can seed a pair; words of a block that is deleted.
 SEED_WORDS, BLOCK_WORDS = 4, 20
 
@@ -68,8 +72,31 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def runs(lines: np.ndarray, words: np.ndarray, begins: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of the shortest runs of ``least`` words or more from each line on and up to each line.
+
+    The documents lie one after the other and start at ``begins`` (which ends with the number of lines). A line of a longer
+    run is in one of these runs that lies within it: up to the line, or else from the longer run's first line on.
+    """
+    n = len(lines)
+    upto = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    doc = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    at = np.arange(n)
+    end = np.searchsorted(upto, upto[:-1] + least, side="left")
+    start = np.searchsorted(upto, upto[1:] - least, side="right") - 1
+    on, up = end <= begins[doc + 1], start >= begins[doc]
+    both = np.unique(np.concatenate([at[on] * (n + 1) + end[on], start[up] * (n + 1) + at[up] + 1]))
+    start, end = both // (n + 1), both % (n + 1)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(lines.view(np.uint64)) * powers(BASE, n), dtype=np.uint64)])
+    back = powers(pow(BASE, -1, 1 << 64), n)
+    return start, end, mix64((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)).view(np.int64)
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
-    """Positions in b of aligned blocks (unbroken on both sides) whose lines have ``least`` words or more together."""
+    """Positions in b of blocks (unbroken on both sides) whose lines have ``least`` words or more together.
+
+    Aligned blocks first; where lines of b that a has are left, all runs of b are looked up among those of a.
+    """
     out, block = [], []
     for i, j in [*patience(a, b), (-9, -9)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
@@ -77,7 +104,14 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> l
                 out += [k for _, k in block]
             block = []
         block.append((i, j))
-    return out
+    own, gone = set(a), set(out)
+    if any(line in own for k, line in enumerate(b) if k not in gone):
+        known = dict(zip(b, words))
+        of_a, of_b = (runs(np.array(x, dtype=np.int64), np.array([known.get(line, 0) for line in x], dtype=np.int64), np.array([0, len(x)]), least) for x in (a, b))
+        start, end = (x[np.isin(of_b[2], of_a[2])] for x in of_b[:2])
+        deep = np.cumsum(np.bincount(start, minlength=len(b) + 1) - np.bincount(end, minlength=len(b) + 1))
+        gone.update(np.flatnonzero(deep[:-1]).tolist())
+    return sorted(gone)
 
 
 def _lines(text: Column) -> Column:

@@ -114,6 +114,29 @@ def test_patience_aligns_rising_pairs():
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1), (2, 2)]
 
 
+def brute_blocks(a, b, words, least):
+    """Positions in b of all runs of lines of so many words that a has as well."""
+    gone = set()
+    for s in range(len(b)):
+        for e in range(s + 1, len(b) + 1):
+            if sum(words[s:e]) >= least and any(a[i : i + e - s] == b[s:e] for i in range(len(a))):
+                gone.update(range(s, e))
+    return sorted(gone)
+
+
+def test_common_blocks_are_all_found():
+    words = {1: 12, 2: 12, 3: 3}
+    for a, b, want in (([1, 2, 3, 1, 2], [1, 2], [0, 1]), ([1, 2], [9, 1, 2, 9, 1, 2, 9], [1, 2, 4, 5]), ([1, 2, 3, 2, 1], [2, 1, 3, 1, 2], [0, 1, 3, 4])):
+        own = [words.get(line, 0) for line in b]
+        assert line_dedup.common_blocks(a, b, own, 20) == brute_blocks(a, b, own, 20) == want
+    rng = np.random.default_rng(11)
+    for _ in range(400):
+        size = rng.integers(0, 9, 6)
+        a, b = (rng.integers(0, 6, rng.integers(0, 16)).tolist() for _ in range(2))
+        own = [int(size[line]) for line in b]
+        assert line_dedup.common_blocks(a, b, own, 12) == brute_blocks(a, b, own, 12)
+
+
 def test_licenses(docs, rows):
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = {(r["doc_id"], r["n_words"]): r for r in license_scan.scan_digest(docs).collect()}
