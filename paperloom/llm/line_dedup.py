@@ -1,7 +1,8 @@
 """Line deduplication by pairwise alignment.
 
-Documents are lists of line hashes. Each line that several documents hold names the earliest of them, so a document is
-paired with the earliest holders of its lines: as many pairs as lines at most, however many documents share a line.
+Documents are lists of line hashes. Each shortest run of lines with enough words (from each line on and up to each line)
+that several documents hold names the earliest of them, so a document is paired with the earliest holders of its runs:
+at most two pairs a line, however many documents share a run, and no shared block is without a pair.
 Spark joins the two lists of each pair, patience diff aligns them (lines that are unique on both sides and keep their
 order, then the same between them), and aligned blocks of enough words are deleted from the later document. What it
 leaves (lines that repeat, blocks in another order) is looked up by hashes of the shortest runs of enough words. A line
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import SPACES, materialise, mix64, powers
+from paperloom.llm.common import SPACES, materialise, mix64, powers, slices
 
 #: Base of the polynomial hash of a run.
 BASE = 0x9E3779B97F4A7C15
-#: Words of a line that can seed a pair; words of a block that is deleted.
-SEED_WORDS, BLOCK_WORDS = 4, 20
+#: Words of a block that is deleted.
+BLOCK_WORDS = 20
 
 Span = tuple[int, int, int, int]
 
@@ -118,14 +119,29 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
+def _run_seeds(lists: DataFrame, block_words: int) -> DataFrame:
+    """doc and run: the hashes of the shortest runs of enough words of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            lines, words = batch.column(2), batch.column(3)
+            begins = np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            start, _, found = runs(lines.flatten().to_numpy(zero_copy_only=False), words.flatten().to_numpy(zero_copy_only=False), begins, block_words)
+            doc = pa.array(np.searchsorted(begins, start, side="right") - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(found)], names=["doc_id", "text_hash", "run"])
+
+    made = lists.mapInArrow(run, f"doc_id {dict(lists.dtypes)['doc_id']}, text_hash long, run long")
+    return made.select(F.struct("doc_id", "text_hash").alias("doc"), "run")
+
+
+def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, text_hash and the positions of the lines to delete, for documents that have any."""
     per_line = F.transform(_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.array_remove(F.split(x, SPACES), "")).alias("words")))
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), per_line.alias("l"))
     lists = materialise(own.select("doc_id", "text_hash", F.col("l.line").alias("lines"), F.col("l.words").alias("words")), "lines")
-    seeds = lists.select(F.struct("doc_id", "text_hash").alias("doc"), F.explode(F.arrays_zip("lines", "words")).alias("l")).where(F.col("l.words") >= seed_words).select("doc", F.col("l.lines").alias("line"))
-    held = seeds.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    pairs = seeds.join(held, "line").where(~F.col("doc").eqNullSafe(F.col("first"))).select("doc", "first").distinct()
+    seeds = _run_seeds(lists, block_words)
+    held = seeds.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    pairs = seeds.join(held, "run").where(~F.col("doc").eqNullSafe(F.col("first"))).select("doc", "first").distinct()
     same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.text_hash") == F.col(f"{y}.text_hash"))
     later = pairs.join(lists.alias("b"), same("doc", "b")).select("first", "doc", F.col("lines").alias("b_lines"), "words")
     both = later.join(lists.alias("a"), same("first", "a")).select("doc.doc_id", "doc.text_hash", F.col("a.lines").alias("a_lines"), "b_lines", later["words"])

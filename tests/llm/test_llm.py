@@ -137,6 +137,28 @@ def test_common_blocks_are_all_found():
         assert line_dedup.common_blocks(a, b, own, 12) == brute_blocks(a, b, own, 12)
 
 
+def test_line_dedup_leaves_no_shared_block(spark):
+    """Lines of few words, and blocks whose lines stood earlier in other documents each, against brute force."""
+    some = [f"l{k} " * (1 + k % 3) for k in range(24)]
+    verse, split = [f"v{k}" for k in range(25)], [" ".join(f"s{line}x{k}" for k in range(10)) for line in range(5)]
+    rows = [(k, f"own{k}\n{line}\nend{k}") for k, line in enumerate(split)]
+    rows += [(10, "\n".join(["c", *split, "d"])), (11, "\n".join(["e", *split, "f"])), (12, "\n".join(["a", *verse])), (13, "\n".join([*verse, "b"]))]
+    rng = np.random.default_rng(3)
+    for doc_id in range(100, 130):
+        parts = [some[s : s + rng.integers(1, 14)] for s in rng.integers(0, 24, 4)]
+        rows.append((doc_id, "\n".join([line for part in parts for line in part] + [""] * int(rng.integers(0, 3)))))
+    rows.append((None, rows[-1][1]))
+    want, earlier = {}, []
+    for doc_id, text in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        lines = text.split("\n")
+        n = [len(line.split()) for line in lines]
+        want[doc_id] = sorted({k for a in earlier for k in brute_blocks(a, lines, n, 20)})
+        earlier.append(lines)
+    assert want[11] == [1, 2, 3, 4, 5] and want[13] == [*range(25)]
+    got = {r["doc_id"]: r["deleted"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_licenses(docs, rows):
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = {(r["doc_id"], r["n_words"]): r for r in license_scan.scan_digest(docs).collect()}
