@@ -14,6 +14,7 @@ no rows. Further columns play no part.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -29,13 +30,19 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def byte_bpe(path: str) -> Callable[[str], list[int]]:
-    """The encoder of a byte-level BPE rank file; the ids equal those of the tokenizers file of the same vocabulary."""
+    """The encoder of a byte-level BPE rank file; the ids equal those of the tokenizers file of the same vocabulary.
+
+    That file, of the same name, lists the added tokens; where a text has one of them, it is that token.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+        added = {token["content"]: token["id"] for token in json.load(f)["added_tokens"]}
+    bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: bpe.encode(text, allowed_special="all") if any(token in text for token in added) else bpe.encode_ordinary(text)
 
 
 def cut_points(n: int, most: int) -> list[tuple[int, int]]:

@@ -310,6 +310,19 @@ def test_packing(docs, rows):
         assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
 
 
+def test_added_tokens_in_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    rows = list(enumerate([f"end {end} start", end, f"{end}{end}  a\n {end} \n{end}é", f"<|endoftext|{end}|>", "<|endoftext>", f"{'word ' * 3000}{end} x"]))
+    got = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string"), 2048, with_ids=True).collect()
+    ids = {d: [i for r in sorted((r for r in got if r["doc_id"] == d), key=lambda r: r["piece"]) for i in r["ids"]] for d, _ in rows}
+    assert ids == {d: [*t.encode(text, add_special_tokens=False).ids, 0] for d, text in rows}
+    assert ids[0] == [437, 220, 50256, 923, 0]
+
+
 def test_two_fit_fills_gaps_better():
     counts = np.zeros(11, dtype=np.int64)
     for n in (6, 3, 2, 2, 7, 3):
