@@ -375,6 +375,13 @@ def test_jaccard_on_groups_of_near_copies(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_repeated_ids_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (2, b), (2, c), (2, c), (3, a), (3, c + " more"), (4, "d"), (4, a), (5, None), (None, a)]
+    kept = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (2, b), (2, c), (4, "d"), (5, None), (None, a)], key=str)
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(7)
     for _ in range(600):
