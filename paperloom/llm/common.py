@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, LongType, MapType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: White space of the word rules: space, tab, LF, VT, FF and CR, and nothing else.
@@ -21,8 +23,14 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/paperloom-{os.getuid()}"
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own in local mode.
+
+    On a cluster a local folder would be another one on each machine, so there the setting must be given.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or f"/tmp/paperloom-{os.getuid()}"
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -77,11 +85,33 @@ def prefix_sums(df: DataFrame, order: Sequence[Column | str], sums: dict[str, st
     return whole, {n: int(total[n]) for n in names}
 
 
-def small(table: DataFrame, most: int = 50_000) -> DataFrame:
-    """Ask for a broadcast of a narrow table if it is counted to have few rows, else leave the join to Spark."""
+#: Bytes of rows that are broadcast at most (8 bytes for each column and 8 for the row; twice to four times that as a hash table).
+BROADCAST_BYTES = 24 << 20
+
+
+def small(table: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Ask for a broadcast of a table of numbers (or of short keys) if it is counted to have few bytes, else leave the join to Spark."""
+    most = most_bytes // (8 * len(table.columns) + 8)
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+def _hashable(column: Column, kind: DataType) -> Column:
+    """column without maps, which have no order and no hash in Spark: their entries in the order of the keys instead."""
+    if isinstance(kind, MapType):
+        keys = F.array_sort(F.map_keys(column))
+        return F.transform(keys, lambda k: F.struct(k.alias("k"), _hashable(F.element_at(column, k), kind.valueType).alias("v")))
+    if isinstance(kind, ArrayType) and "map<" in kind.simpleString():
+        return F.transform(column, lambda x: _hashable(x, kind.elementType))
+    if isinstance(kind, StructType) and "map<" in kind.simpleString():
+        return F.when(column.isNotNull(), F.struct(*(_hashable(column.getField(f.name), f.dataType).alias(f.name) for f in kind.fields)))
+    return column
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row, of any type and name."""
+    return F.xxhash64(*(_hashable(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields))
+
+
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
@@ -171,11 +201,20 @@ def hashed_words(texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
     yield from flush()
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most so many rows, so that what is made of a batch stays small."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500, column: int | None = None, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, so that what is made of a batch stays small.
+
+    If the place of a text (or binary) column is given, a slice also has at most ``most_bytes`` of it, or one row.
+    """
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        size = None if column is None else np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        start = 0
+        while start < batch.num_rows:
+            stop = min(start + rows, batch.num_rows)
+            if size is not None:
+                stop = min(stop, max(start + 1, int(np.searchsorted(size, size[start] + most_bytes, side="right")) - 1))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:

@@ -5,8 +5,9 @@ its offset, so each row knows the byte at which it starts. The byte axis is cut
 shard in which its middle byte lies: shards are contiguous, and each is within one row's size of the target.
 
 Defined results: a null text has no bytes but still the overhead; an empty table gives no rows; repeated rows are rows
-of their own, next to each other; further columns, whatever their names, are carried along (names starting with an
-underscore are kept for this module).
+of their own, next to each other; rows that tie in the order are laid out by their place in the input; very long texts
+count as one row each, so a shard is off its target by one such row at most. Further columns, whatever their names and
+types, are carried along; only an input column that is itself named shard, slot or shard_start gives way to the new one.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ def assign_shards(rows: DataFrame, n_shards: int, size: str, order: Sequence[str
     ``size`` names a long column of positive sizes. Rows that tie in ``order`` are spread by their place in the input,
     so a key that holds a third of all rows still falls into many range partitions.
     """
-    tied = rows.withColumns({"_one": F.lit(1).cast("long"), "_tie": F.monotonically_increasing_id()})
-    laid, total = prefix_sums(tied, [*order, "_tie"], {"shard_start": size, "_row": "_one"}, "shards")
-    middle = 2 * F.col("shard_start") + F.col(size)
+    kept = [c for c in rows.columns if c.lower() not in ("shard", "slot", "shard_start")]
+    keys = [(F.col(f"`{o}`") if isinstance(o, str) else o).alias(f"key{k}") for k, o in enumerate(order)]
+    tied = rows.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), *keys, F.col(f"`{size}`").alias("size"), F.lit(1).cast("long").alias("one"), F.monotonically_increasing_id().alias("tie"))
+    laid, total = prefix_sums(tied, [*(f"key{k}" for k in range(len(keys))), "tie"], {"shard_start": "size", "place": "one"}, "shards")
+    middle = 2 * F.col("shard_start") + F.col("size")
     cut = laid.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.lit(max(1, 2 * total["shard_start"])))).cast("int"))
-    first = cut.groupBy("shard").agg(F.min("_row").alias("_first"))  # n_shards rows
-    placed = cut.join(F.broadcast(first), "shard").withColumn("slot", F.col("_row") - F.col("_first"))
-    return placed.drop("_one", "_tie", "_row", "_first")
+    first = cut.groupBy("shard").agg(F.min("place").alias("first"))  # n_shards rows
+    return cut.join(F.broadcast(first), "shard").select("row.*", "shard", (F.col("place") - F.col("first")).alias("slot"), "shard_start")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
