@@ -1,32 +1,37 @@
 """Mixing sources to target weights with the cube method of balanced sampling.
 
 Each source has a target in words. A document is taken floor(target / source size) times for sure and once more with
-the fractional rest as its inclusion probability. The flight phase moves the fractional probabilities of three
-documents at a time, the largest ones first, along the one direction that leaves both the number of documents and their words unchanged, until
-one of them is 0 or 1. It runs in bounded blocks of a source side by side; what stays fractional (two documents of a
-block at most) goes on to the next round, until a source fits into one block, whose last one or two documents are
-landed where the source's words come closest to the target.
-
-Defined results: a null text has size 0; a null source is a source of its own, after all others; sources without words
-get target 0; repeated rows are documents of their own; an empty table gives no rows. Every choice comes from hashes of
-the rows, so reruns agree.
+the fractional rest as its inclusion probability. The flight phase moves these probabilities along directions that leave
+both the number of documents and their words unchanged, to one of the two ends of the way, drawn so that every
+probability keeps its expectation; each step settles a document. Steps are led by the largest open document and balanced
+by those next to it in size, so that only small documents are left. The flight runs in bounded blocks of a source side
+by side; what stays fractional (two documents of a block at most) goes on to the next round, until a source fits into one
+block, whose last one or two documents are landed by draws with their remaining probabilities, the first of which keeps
+the number of documents.
+
+Defined results: a null text has size 0; very long texts are documents like others; a null source is a source of its own,
+after all others; sources without words get target 0; repeated rows are documents of their own; ties are broken by
+hashes; an empty table gives no rows; further columns may have any name and type and count as part of the row. Every draw
+comes from hashes of the rows, so reruns agree.
 """
 
 from __future__ import annotations
 
-from itertools import product
 from random import Random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialise, n_words, prefix_sums, small
+from paperloom.llm.common import materialise, n_words, prefix_sums, row_hash, small
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Documents of a flight block.
 BLOCK = 4096
+#: Documents that take part in a step of the flight.
+STEP = 48
 NEAR = 1e-9
 
 
@@ -51,57 +56,61 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return table.select("source", "source_size", "source_rows", target.alias("target"), "_rank")
 
 
+def _draw(chance: np.ndarray, way: np.ndarray, draw: float) -> np.ndarray:
+    """Go along ``way`` or against it until a chance is 0 or 1; the nearer end is likelier, so no expectation moves."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up, down = (1 - chance) / np.abs(way), chance / np.abs(way)
+    moving = way != 0
+    ahead = np.min(np.where(way > 0, up, down)[moving])
+    back = np.min(np.where(way > 0, down, up)[moving])
+    moved = chance + way * (ahead if draw * (ahead + back) < back else -back)
+    return np.where(moved < NEAR, 0.0, np.where(moved > 1 - NEAR, 1.0, moved))
+
+
+def _direction(sizes: np.ndarray) -> np.ndarray:
+    """A direction in the null space of (count, words): the first document, and the smallest change of the others that balances it."""
+    others = sizes[1:] - sizes[1:].mean()
+    spread = float(others @ others)
+    way = np.empty(len(sizes))
+    if spread == 0 and sizes[0] != sizes[1]:
+        way[:] = 0.0  # the others are of one size, which is not that of the first: they can only balance each other
+        way[1:3] = 1.0, -1.0
+        return way
+    way[0] = 1.0
+    way[1:] = -1.0 / len(others)
+    if spread:
+        way[1:] -= others * (float(sizes[0] - sizes[1:].mean()) / spread)
+    return way / np.abs(way).max()
+
+
 def flight(sizes: list[int], chance: list[float], seed: int) -> list[float]:
-    """Move chances along the null space of (count, words) until at most two are between 0 and 1.
+    """Move chances along the null space of (count, words) until at most two are between 0 and 1."""
+    sizes, chance, draw = np.asarray(sizes, dtype=float), np.asarray(chance, dtype=float).copy(), Random(seed).random
+    open_, after = np.arange(min(STEP, len(sizes))), min(STEP, len(sizes))
+    while True:
+        open_ = open_[(chance[open_] > 0) & (chance[open_] < 1)]
+        more = np.arange(after, min(after + STEP - len(open_), len(sizes)))
+        if len(more):
+            open_, after = np.concatenate([open_, more]), after + len(more)
+        elif len(open_) <= 2:
+            return chance.tolist()
+        if len(open_) > 2:
+            chance[open_] = _draw(chance[open_], _direction(sizes[open_]), draw())
 
-    The first open document is pushed to the end that was drawn with its own chance; those after it give way. With the
-    largest documents first, only small ones are left for the landing.
-    """
-    chance, open_, draw, head, goal = list(chance), [], Random(seed).random, -1, 0
-    for k in range(len(sizes)):
-        open_.append(k)
-        while len(open_) > 2:
-            a, b, c = (sizes[x] for x in open_)
-            step = (b - c, c - a, a - b) if not a == b == c else (1, -1, 0)
-            if open_[0] != head:
-                head = open_[0]
-                goal = 1 if draw() < chance[head] else -1
-            sign = goal if step[0] >= 0 else -goal
-            far = min(((1 - chance[x]) if sign * u > 0 else chance[x]) / abs(u) for x, u in zip(open_, step) if u)
-            for x, u in zip(open_, step):
-                chance[x] += sign * far * u
-                chance[x] = 0.0 if chance[x] < NEAR else 1.0 if chance[x] > 1 - NEAR else chance[x]
-            open_ = [x for x in open_ if 0 < chance[x] < 1]
-    return chance
-
-
-def land(sizes: list[int], start: list[float], chance: list[float], repairs: int = 3) -> list[float]:
-    """Round the last fractional chances so that the words, then the count, stay as near as they can.
-
-    Where large documents leave the words off, the count gives way: a few settled documents are turned over, each time
-    the one that brings the words nearest to the target.
-    """
-    left = [k for k, p in enumerate(chance) if 0 < p < 1]
-    off = sum((p - q) * n for p, q, n in zip(chance, start, sizes) if p in (0.0, 1.0)) - sum(start[k] * sizes[k] for k in left)
-    best = min(product((0.0, 1.0), repeat=len(left)), key=lambda x: (abs(off + sum(v * sizes[k] for v, k in zip(x, left))), abs(sum(v - chance[k] for v, k in zip(x, left))), x))
-    chance = list(chance)
-    for v, k in zip(best, left):
-        chance[k] = v
-    off += sum(v * sizes[k] for v, k in zip(best, left))
-    for _ in range(repairs):
-        k = min(range(len(sizes)), key=lambda k: abs(off + (1 - 2 * chance[k]) * sizes[k]), default=None)
-        if k is None or abs(off + (1 - 2 * chance[k]) * sizes[k]) >= abs(off) - 1:
-            break
-        off += (1 - 2 * chance[k]) * sizes[k]
-        chance[k] = 1 - chance[k]
-    return chance
+
+def land(chance: list[float], seed: int) -> list[float]:
+    """Settle the last one or two chances: first with the number of documents kept, then by a draw."""
+    chance, draw = np.asarray(chance, dtype=float).copy(), Random(seed).random
+    while len(left := np.flatnonzero((chance > 0) & (chance < 1))):
+        chance[left[:2]] = _draw(chance[left[:2]], np.array([1.0, -1.0])[: len(left)], draw())
+    return chance.tolist()
 
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "_order", "doc_id", "_row"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-    sizes, start = pdf["size"].tolist(), pdf["_chance"].tolist()
-    chance = flight(sizes, start, int(pdf["_order"].iloc[0]))
-    pdf["_chance"] = land(sizes, start, chance) if pdf["_blocks"].iloc[0] == 1 else chance
+    seed = int(pdf["_order"].min())
+    chance = flight(pdf["size"].tolist(), pdf["_chance"].tolist(), seed)
+    pdf["_chance"] = land(chance, seed + 1) if pdf["_blocks"].iloc[0] == 1 else chance
     return pdf
 
 
@@ -134,8 +143,7 @@ def decide(docs: DataFrame, share: float = 1.5) -> DataFrame:
 
     Only ids, sizes and hashes are shuffled. Equal rows are counted first and told apart by number afterwards.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(*columns).alias("_hash"))
+    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_hash(docs).alias("_hash"))
     counted = materialise(slim.groupBy("doc_id", "source", "size", "_hash").agg(F.count("*").alias("_n")), "mix")
     weighed = counted.select("source", (F.col("size") * F.col("_n")).alias("size"), "_n")
     targets = source_targets(weighed, share).drop("source_rows")
@@ -152,15 +160,14 @@ def mix(docs: DataFrame, share: float = 1.5) -> DataFrame:
 
     Equal rows are merged before they are joined to their number of copies; whichever of them is taken is the same.
     """
-    names = docs.columns
-    columns = [F.col(f"`{c}`") for c in names]
-    keyed = docs.withColumn("_hash", F.xxhash64(*columns)).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    copies = decide(docs, share).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "_hash").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
-    joined = keyed.join(copies.where("_copies > 0"), ["_id", "_hash"])
-    single = joined.where("_n = 1")
-    merged = joined.where("_n > 1").groupBy("_id", "_hash").agg(*(F.first(c).alias(n) for c, n in zip(columns, names)), F.first("_copies").alias("_copies"))
-    both = single.select(*columns, "_copies").unionByName(merged.select(*columns, "_copies"))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
+    keyed = docs.select(key, row_hash(docs).alias("hash"), F.struct(*columns).alias("row"))
+    copies = decide(docs, share).groupBy(key, F.col("_hash").alias("hash")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    joined = keyed.join(copies.where("copies > 0"), ["id", "hash"])
+    merged = joined.where("n > 1").groupBy("id", "hash").agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    both = joined.where("n = 1").select("row", "copies").unionByName(merged.select("row", "copies"))
+    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def mix_digest(docs: DataFrame, share: float = 1.5) -> DataFrame:
