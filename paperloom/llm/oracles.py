@@ -17,23 +17,22 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTI
 
 
 def _template_rows() -> str:
-    rows = []
-    for wordings, exact in ((license_scan.PHRASES, True), ({v: k for k, v in license_scan.NOTICES.items()}, False)):
-        for wording, label in wordings.items():
-            w = wording.split()
-            rows += [f"('{w[k]} {w[k + 1]}', {k}, '{label}', {str(exact).lower()}, {len(w) - 1})" for k in range(len(w) - 1)]
-    return ", ".join(rows)
+    """A row for each template: number, label, exact, words of a window, words."""
+    words = [[w.decode() for w in license_scan.words_of(t.wording.encode())] for t in license_scan.TEMPLATES]
+    return ", ".join(f"({k}, '{t.label}', {str(t.exact).lower()}, {t.window}, {w!r})" for k, (t, w) in enumerate(zip(license_scan.TEMPLATES, words)))
 
 
 LICENSES = f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
-g AS (SELECT doc_id, unnest(range(len(ws) - 1)) AS pos, unnest(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) AS gram FROM w WHERE len(ws) > 1),
-t(gram, place, label, exact, pairs) AS (VALUES {_template_rows()}),
-v AS (SELECT doc_id, label, exact, pairs, pos - place AS diagonal, bit_or(1::BIGINT << place) AS votes, min(pos) AS first, max(pos) + 1 AS last FROM g JOIN t USING (gram) GROUP BY ALL),
-e AS (SELECT * FROM v WHERE CASE WHEN exact THEN bit_count(votes) = pairs ELSE bit_count(votes) >= {license_scan.LEAST_VOTES} END),
-a AS (SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER k > {license_scan.NEIGHBOUR}, true) THEN 1 ELSE 0 END AS apart FROM e WINDOW k AS (PARTITION BY doc_id, label, exact, pairs ORDER BY diagonal)),
-n AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, label, exact, pairs ORDER BY diagonal) AS span FROM a),
-s AS (SELECT doc_id, label, exact, pairs, span, bit_count(bit_or(votes)) / pairs::DOUBLE AS coverage, min(first) AS first, max(last) AS last FROM n GROUP BY doc_id, label, exact, pairs, span),
-f AS (SELECT * FROM s WHERE exact OR (coverage >= {license_scan.COVERAGE} AND last - first + 1 <= {license_scan.STRETCH} * (pairs + 1))),
+g AS (SELECT doc_id, k, unnest(range(len(ws) - k + 1)) AS pos, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS gram FROM w, (VALUES ({license_scan.PAIR}), ({license_scan.FOUR})) AS sizes(k) WHERE len(ws) >= k),
+t(template, label, exact, k, tw) AS (VALUES {_template_rows()}),
+p AS (SELECT template, exact, k, len(tw) - k + 1 AS grams, unnest(range(len(tw) - k + 1)) AS place, unnest(list_transform(range(1, len(tw) - k + 2), lambda i: array_to_string(tw[i:i + k - 1], ' '))) AS gram FROM t),
+v AS (SELECT doc_id, template, exact, grams, pos - place AS diagonal, count(DISTINCT place) AS votes, min(pos) AS first, max(pos + p.k - 1) AS last FROM g JOIN p ON g.gram = p.gram AND g.k = p.k GROUP BY ALL),
+e AS (SELECT * FROM v WHERE CASE WHEN exact THEN votes = grams ELSE votes >= least({license_scan.LEAST_VOTES}, grams) END),
+a AS (SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER k > {license_scan.NEIGHBOUR}, true) THEN 1 ELSE 0 END AS apart FROM e WINDOW k AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+n AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM a),
+s AS (SELECT doc_id, template, span, list(diagonal) AS diagonals, min(first) AS first, max(last) AS last FROM n GROUP BY 1, 2, 3),
+m AS (SELECT s.doc_id, label, exact, template, first, last, len(tw) AS long, len(list_filter(range(len(tw)), lambda i: len(list_filter(diagonals, lambda d: i + d >= 0 AND ws[i + d + 1] = tw[i + 1])) > 0)) / len(tw)::DOUBLE AS coverage FROM s JOIN t USING (template) JOIN w USING (doc_id)),
+f AS (SELECT * FROM m WHERE CASE WHEN exact THEN coverage = 1 ELSE coverage >= {license_scan.COVERAGE} AND last - first + 1 <= {license_scan.STRETCH} * long END),
 r AS (SELECT doc_id, count(*) FILTER (exact) AS n_base, min(first) FILTER (exact) AS first_word, max(first) FILTER (exact) AS last_word, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (exact)), ','), '') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(coverage) AS score FROM f GROUP BY doc_id)
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM w LEFT JOIN r USING (doc_id)"""
 
