@@ -1,13 +1,16 @@
 """Interleaved document sequences with media columns.
 
 An HTML page is parsed into ordered items: texts, and references to media with their captions. Media are stored once for
-each digest of their file; a digest join resolves the references, and positions and captions stay with their items. The
-payload of a medium is stored without loss as an 8-bit grey image of 64 samples a row (PNG), is read back from the
-stored bytes, and its features are computed from what was read.
-
-Defined results: a null text or page counts as empty (an empty payload is one row of zeros); references without a stored
-medium keep their place with a null payload; repeated rows are rows of their own that share the stored medium; an empty
-table gives no rows; further columns play no part.
+each digest of their payload; a digest join resolves the references, however many a page has, and positions and captions
+stay with their items. The payload of a medium is stored without loss as an 8-bit grey image of 64 samples a row (PNG),
+is read back from the stored bytes, and its features are computed from what was read.
+
+Defined results: a null text or page counts as empty (an empty payload is one row of zeros, an empty page has no items);
+very long texts are handled in slices that are bounded in bytes; references without a stored medium keep their place with
+a null payload; references to one digest resolve to the same medium each; in a figure within a figure, a caption belongs
+to the innermost; repeated rows are rows of their own that share the stored medium; an empty table gives no rows; further
+columns are carried along by interleave() and resolve(), but those named like a new column (items; an item's fields; the
+media's columns) give way to it.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import slices, utf8_bytes
+
 ROW = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
@@ -81,7 +86,7 @@ class _Items(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.hidden = 0
-        self.figure: int | None = None  # where the items of the open figure start
+        self.figures: list[int] = []  # where the items of each open figure start
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -95,7 +100,7 @@ class _Items(HTMLParser):
         self.hidden += tag in self.SILENT
         if tag == "figure":
             self.flush()
-            self.figure = len(self.items)
+            self.figures.append(len(self.items))
         elif tag == "figcaption":
             self.flush()
             self.caption = []
@@ -109,12 +114,13 @@ class _Items(HTMLParser):
         self.hidden = max(0, self.hidden - (tag in self.SILENT))
         if tag == "figcaption" and self.caption is not None:
             words = " ".join("".join(self.caption).split())
-            for item in self.items[self.figure if self.figure is not None else len(self.items) :]:
+            for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
                 item["caption"] = words if item["kind"] != "text" else None
             self.caption = None
         elif tag == "figure":
             self.flush()
-            self.figure = None
+            if self.figures:
+                self.figures.pop()
         elif tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article"):
             self.flush()
 
@@ -133,63 +139,84 @@ def parse(html: str | None) -> list[dict]:
 
 def interleave(pages: DataFrame) -> DataFrame:
     """Replace the column html by ``items``; all other columns stay."""
-    names = [c for c in pages.columns if c != "html"]
+    names = [c for c in pages.columns if c not in ("html", "items")]
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = pa.array([parse(h.as_py()) for h in batch.column(batch.num_columns - 1)], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], items], names=[*names, "items"])
+            for part in slices([batch], column=batch.num_columns - 1):
+                items = pa.array([parse(h.as_py()) for h in part.column(part.num_columns - 1)], kind)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], items], names=[*names, "items"])
 
-    schema = "".join(f"`{n}` {t}, " for n, t in pages.dtypes if n != "html")
+    schema = "".join(f"`{n}` {t}, " for n, t in pages.dtypes if n in names)
     return pages.select(*(f"`{n}`" for n in names), "html").mapInArrow(run, f"{schema}items {ITEMS}")
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
-    """A row for each item, in place: the columns of sequences, the item's fields, and those of media (one row a digest)."""
-    names = [f"`{c}`" for c in sequences.columns if c != "items"]
-    each = sequences.select(*names, F.explode_outer("items").alias("item")).select(*names, "item.*")
-    return each.join(media, "digest", "left")
+    """A row for each item, in place: the columns of sequences, the item's fields, and those of media (one row a digest).
+
+    Texts have no digest; in the join each goes by a key drawn for it, so that they do not gather in one task.
+    """
+    new = {"position", "kind", "text", "digest", "caption", *(c.lower() for c in media.columns)}
+    kept = [F.col(f"`{c}`") for c in sequences.columns if c != "items" and c.lower() not in new]
+    each = sequences.select(F.struct(*kept, F.lit(0).alias("_none")).alias("row"), F.explode_outer("items").alias("item"))
+    keyed = each.withColumn("key", F.coalesce("item.digest", F.concat(F.lit("no medium "), F.rand(0).cast("string"))))
+    stored = media.select(F.col("digest").alias("stored"), F.struct(*(f"`{c}`" for c in media.columns if c != "digest")).alias("medium"))
+    return keyed.join(stored, F.col("key") == F.col("stored"), "left").select("row.*", "item.*", "medium.*").drop("_none")
+
+
+def _digest(text: Column) -> Column:
+    """SHA-256 of a text's payload, in lowercase hexadecimal digits."""
+    n = utf8_bytes(text)
+    rows = F.greatest(F.lit(1).cast("long"), F.ceil(n / ROW)) * ROW
+    return F.sha2(F.rpad(F.coalesce(text, F.lit("")).cast("binary"), rows.cast("int"), F.lit(b"\x00")), 256)
 
 
-def encoded(texts: DataFrame, page: bool) -> DataFrame:
-    """Store the text of every row. page: rows of doc_id, n_bytes and html, else rows of digest and media."""
-    doc_type = dict(texts.dtypes)["doc_id"]
+def stored_media(texts: DataFrame) -> DataFrame:
+    """digest and media (the stored file) of the payload of every text, one row for each digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-            if page:
-                digests = [hashlib.sha256(store(pad(d))).hexdigest() for d in data]
-                html = [f'<figure><img src="media:{x}"><figcaption>{len(d)} bytes</figcaption></figure>' for x, d in zip(digests, data)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array(html, pa.string())], names=["doc_id", "n_bytes", "html"])
-            else:
-                for start in range(0, len(data), 500):
-                    files = [store(pad(d)) for d in data[start : start + 500]]
-                    yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(f).hexdigest() for f in files], pa.string()), pa.array(files, pa.binary())], names=["digest", "media"])
+        for part in slices(batches, column=0):
+            data = [pad(t.as_py() or b"") for t in part.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(d).hexdigest() for d in data], pa.string()), pa.array([store(d) for d in data], pa.binary())], names=["digest", "media"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, n_bytes long, html string" if page else "digest string, media binary")
+    return texts.select("text").mapInArrow(run, "digest string, media binary").groupBy("digest").agg(F.first("media").alias("media"))
 
 
 def described(media: DataFrame) -> DataFrame:
     """digest and media (stored files) to digest and what is found in the samples that are read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in slices(batches, column=1):
             rows = []
-            for file in batch.column(1):
+            for file in part.column(1):
                 stored = file.as_py()
                 samples = read(stored)
                 rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ROW:]), len(stored), hashlib.sha256(stored).hexdigest(), features(samples)))
-            columns = list(zip(*rows)) or [()] * 6
+            columns = list(zip(*rows))
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    return media.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
 
-    return media.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def document_pages(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and html: the lines of the text as paragraphs, and after the first of them the text's own image with its caption."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    plain = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    first = F.substring_index(plain, "\n", 1)
+    rest = F.replace(F.substr(plain, F.length(first) + 2), F.lit("\n"), F.lit("</p><p>"))
+    n = utf8_bytes(F.col("text"))
+    figure = F.concat(F.lit('<figure><img src="media:'), _digest(F.col("text")), F.lit('"><figcaption>'), n.cast("string"), F.lit(" bytes</figcaption></figure>"))
+    return docs.select("doc_id", n.alias("n_bytes"), F.concat(F.lit("<p>"), first, F.lit("</p>"), figure, F.lit("<p>"), rest, F.lit("</p>")).alias("html"))
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Every document's text as a medium: stored once for each digest, referred to from a page, resolved and read back."""
-    media = encoded(docs, page=False).groupBy("digest").agg(F.first("media").alias("media"))
-    items = resolve(interleave(encoded(docs, page=True)), described(media))
-    return items.where("kind = 'image'").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    """Every document as an interleaved sequence of its paragraphs and its text's medium, which is resolved and read back.
+
+    Only the references go through the join; n_texts counts the text items around them.
+    """
+    sequences = interleave(document_pages(docs))
+    references = sequences.withColumn("n_texts", F.size(F.filter("items", lambda i: i["kind"] == "text")).cast("long")).withColumn("items", F.filter("items", lambda i: i["digest"].isNotNull()))
+    found = resolve(references, described(stored_media(docs)))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_texts")
