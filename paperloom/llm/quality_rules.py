@@ -1,16 +1,20 @@
 """Quality rules as weak supervision: rules vote or abstain, and expectation-maximisation weighs their votes.
 
 Every document gets its counts, and each rule votes good (1), bad (-1) or abstains (0) on them. No label is used: the
-documents are counted by vote pattern (at most 3 to the number of rules), and expectation-maximisation over these
-patterns estimates how often the rules are right about good and bad documents. A document is kept if its posterior
-probability of being good is at least a half and no base rule fails. All of it is DataFrame operations.
-
-Defined results: a null or empty text has no words, fails the base rules and is not kept; repeated rows get the same
-verdict each; an empty table gives no rows; further columns, whatever their names, play no part.
+documents are counted by vote pattern, and expectation-maximisation over these patterns estimates how often each rule
+votes what on good and on bad documents. There are at most 2 to the number of rules that only know a fault, times 3 to
+the number of the others, patterns (20736; some dozens in fact), however many documents there are, so all rounds run over
+them in one row of one expression. A document is kept if its posterior probability of being good is at least a half and
+no base rule fails. All of it is DataFrame operations.
+
+Defined results: a null or empty text has no words, fails the base rules and is not kept; very long texts are counted
+whole; repeated rows get the same verdict each; a posterior of exactly a half keeps; an empty table gives no rows;
+further columns, whatever their names and types, play no part and are kept by keep_good().
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from math import log
 
@@ -32,10 +36,10 @@ def rules() -> dict[str, tuple[Column, Column]]:
     per_word = lambda part: _share(part, "n_words")
     symbols, enders, length = _share("n_symbols", "word_chars"), per_word("n_enders"), per_word("word_chars")
     return {
-        "length": (n >= 100, n < 50),
+        "length": (never, n < 50),
         "sentences": (enders.between(0.02, 0.35), enders < 0.004),
         "word_length": (length.between(3.5, 8.0), (length < 2.5) | (length > 14)),
-        "variety": ((n >= 80) & (per_word("n_distinct") > 0.35), (n >= 80) & (per_word("n_distinct") < 0.15)),
+        "variety": (per_word("n_distinct") > 0.3, (n >= 80) & (per_word("n_distinct") < 0.15)),
         "symbols": (never, symbols > 0.04),
         "symbol_runs": (never, per_word("n_symbol_runs") > 0.08),
         "bars": (never, per_word("n_bars") > 0.15),
@@ -106,46 +110,63 @@ class VoteModel:
         return 1 / (1 + F.exp(-odds))
 
 
-#: Rates before any document is seen: votes on good and on bad documents. A bad document is bad in some way, not in every way.
-START = {(1, "good"): 0.8, (1, "bad"): 0.6, (-1, "good"): 0.02, (-1, "bad"): 0.4}
+#: What is believed before any document is seen: the share of good documents, and the rates of votes on good and on bad
+#: ones. A bad document is bad in some way, not in every way.
+PRIOR, START = 0.9, {(1, "good"): 0.9, (1, "bad"): 0.7, (-1, "good"): 0.005, (-1, "bad"): 0.3}
+#: Rounds of expectation-maximisation; documents that the beliefs count as in each estimate, as a share of all documents and at least.
+ROUNDS, WEIGHT, LEAST_WEIGHT = 40, 0.01, 4.0
+#: Rates stay this far from 0 and 1.
+MARGIN = 1e-3
 
 
-def fit(patterns: DataFrame, rounds: int = 25, weight: float = 0.05) -> VoteModel:
-    """Expectation-maximisation over counted vote patterns (column ``n`` and the vote columns).
+def fit(patterns: DataFrame, names: Sequence[str] | None = None, rounds: int = ROUNDS) -> VoteModel:
+    """Expectation-maximisation over counted vote patterns (column ``n`` and a vote column for each name).
 
-    Every round is one aggregation of the patterns. ``weight`` is the share of each class that the starting rates count
-    as in each estimate, so a rule that hardly ever votes stays where it started.
-    """
-    model = VoteModel(0.9, {(k, *way): p for k in rules() for way, p in START.items()})
-    for _ in range(rounds):
-        share = {"good": F.col("n") * F.col("_p"), "bad": F.col("n") * (1 - F.col("_p"))}
-        sums = [F.sum(w).alias(kind) for kind, w in share.items()]
-        sums += [F.sum(F.when(F.col(f"_v_{k}") == v, share[kind]).otherwise(0.0)).alias(f"{k} {v} {kind}") for k, v, kind in model.rates]
-        got = patterns.withColumn("_p", model.posterior()).agg(*sums).first()
-        if not (got["good"] or got["bad"]):
-            break
-        new = _estimate(got.asDict(), weight)
-        moved = max(abs(new.prior - model.prior), *(abs(new.rates[k] - model.rates[k]) for k in new.rates))
-        model = new
-        if moved < 1e-4:
-            break
-    return model
-
-
-def _estimate(got: dict[str, float], weight: float) -> VoteModel:
-    """New rates from expected counts, held to what the votes mean.
-
-    A rule's bad vote comes on 1 in 20 good documents at most and is at least five times likelier on bad ones; a good
-    vote speaks for a document, but at most at three to one.
+    The estimates are posterior means with the beliefs as a weak prior, so a rule that hardly ever votes stays where it
+    started. What gives the two classes their meaning is an anchor: a document that some rule votes for and none against
+    counts as good. How often each rule is right, and what its vote weighs, is estimated; a rule that goes off alone on
+    documents that are like the good ones loses its weight. The patterns become one array, and every round is a step of
+    one fold.
     """
-    rates = {}
-    for k in rules():
-        rate = lambda v, kind: (got[f"{k} {v} {kind}"] + (weight * got[kind] + 1) * START[v, kind]) / (got[kind] + weight * got[kind] + 1)  # noqa: B023, E731
-        alarm = min(0.05, max(0.001, rate(-1, "good")))
-        right = min(0.999, max(0.001, rate(1, "good")))
-        rates |= {(k, -1, "good"): alarm, (k, -1, "bad"): min(0.999, max(5 * alarm, rate(-1, "bad")))}
-        rates |= {(k, 1, "good"): right, (k, 1, "bad"): min(right, max(right / 3, rate(1, "bad")))}
-    return VoteModel(min(0.99, max(0.5, got["good"] / (got["good"] + got["bad"]))), rates)
+    names = list(names or rules())
+    state = "good double, prior double, rates array<struct<up_good:double,up_bad:double,down_good:double,down_bad:double>>"
+    cast = F.array(*(F.col(f"_v_{k}").cast("int") for k in names))
+    anchored = F.array_contains(cast, 1) & ~F.array_contains(cast, -1)
+    counted = patterns.agg(F.collect_list(F.struct(cast.alias("votes"), F.col("n").cast("double").alias("n"), anchored.alias("anchored"))).alias("seen"))
+    total = F.aggregate("seen", F.lit(0.0), lambda s, x: s + x["n"])
+    counted = counted.withColumn("total", total).withColumn("weight", F.greatest(F.lit(LEAST_WEIGHT), F.lit(WEIGHT) * F.col("total")))
+    belief = F.struct(*(F.lit(START[way]).alias(f"{'up' if way[0] == 1 else 'down'}_{way[1]}") for way in START))
+    start = F.struct(F.lit(0.0).alias("good"), F.lit(PRIOR).alias("prior"), F.array(*[belief] * len(names)).alias("rates")).cast(f"struct<{state.replace(' ', ':').replace(',:', ',')}>")
+
+    def odds(acc: Column, pattern: Column) -> Column:
+        says = F.zip_with(pattern["votes"], acc["rates"], lambda v, r: F.when(v == 1, F.log(r["up_good"] / r["up_bad"])).when(v == -1, F.log(r["down_good"] / r["down_bad"])).otherwise(0.0))
+        return F.aggregate(says, F.log(acc["prior"] / (1 - acc["prior"])), lambda s, x: s + x)
+
+    def held(x: Column) -> Column:
+        return F.greatest(F.lit(MARGIN), F.least(F.lit(1 - MARGIN), x))
+
+    def new_rates(shares: Column, good: Column) -> Column:
+        bad = F.col("total") - good
+
+        def rate(rule: Column, vote: int, kind: str) -> Column:
+            voted = F.aggregate(shares, F.lit(0.0), lambda s, x: s + F.when(F.get(x["votes"], rule) == vote, x[kind]).otherwise(0.0))
+            return held((voted + F.col("weight") * START[vote, kind]) / ((good if kind == "good" else bad) + F.col("weight")))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.struct(*(rate(k, *way).alias(f"{'up' if way[0] == 1 else 'down'}_{way[1]}") for way in START)))
+
+    def step(acc: Column, _: Column) -> Column:
+        shares = F.transform("seen", lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), (x["n"] * F.when(x["anchored"], 1.0).otherwise(1 / (1 + F.exp(-odds(acc, x))))).alias("good")))
+        both = F.transform(shares, lambda x: F.struct(x["votes"].alias("votes"), x["good"].alias("good"), (x["n"] - x["good"]).alias("bad")))
+        # an array of one entry gives the shares a name, so that they are computed once a round
+        def estimate(kept: Column) -> Column:
+            good = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x["good"])
+            prior = held((good + F.col("weight") * PRIOR) / (F.col("total") + F.col("weight")))
+            return F.struct(good.alias("good"), prior.alias("prior"), new_rates(kept, good).alias("rates"))
+
+        return F.get(F.transform(F.array(both), estimate), 0)
+
+    fitted = counted.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("m")).select("m.prior", "m.rates").first()
+    return VoteModel(fitted["prior"], {(k, *way): r[f"{'up' if way[0] == 1 else 'down'}_{way[1]}"] for k, r in zip(names, fitted["rates"]) for way in START})
 
 
 def _patterns(counted: DataFrame) -> DataFrame:
@@ -164,11 +185,9 @@ def quality_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
-    names = [f"`{c}`" for c in docs.columns]
-    slim = docs.select("text")
-    model = fit(_patterns(count_text(slim).drop("text")))
-    # the random column keeps the filter above the counts, which would otherwise be computed anew for each use in it
-    counted = count_text(docs.select(F.struct(*names).alias("_row"), "text")).select("_row", *COUNTS, F.rand(0).alias("_above"))
-    judged = counted.withColumn("_failed", base_failed()).select("*", *votes())
-    return judged.where(~F.col("_failed") & (model.posterior() >= 0.5) & (F.col("_above") >= 0)).select("_row.*")
+    """The rows of docs that are kept, with their columns. Rows are written once with their votes, so texts are counted once."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    judged = materialise(count_text(rows).withColumn("failed", base_failed()).select("row", "failed", *votes()), "judged")
+    names = [f"_v_{k}" for k in rules()]
+    model = fit(materialise(judged.groupBy(*names).agg(F.count("*").alias("n")), "votes"))
+    return judged.where(~F.col("failed") & (model.posterior() >= 0.5)).select("row.*")
