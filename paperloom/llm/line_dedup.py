@@ -9,8 +9,9 @@ leaves (lines that repeat, blocks in another order) is looked up by hashes of th
 that only many short pages share, such as a menu entry, forms no block of enough words and stays.
 
 Earlier means a smaller doc_id (null first), then a smaller text hash. Defined results: a null text stays null and has
-no lines; rows that are wholly equal in doc_id and text are one document, so none is deleted for the other's sake; an
-empty table gives no rows; further columns are carried along by drop_repeats.
+no lines; an empty text is one line without words, and is never deleted; very long texts are aligned whole, a pair at a
+time; rows that are wholly equal in doc_id and text are one document, so none is deleted for the other's sake; an empty
+table gives no rows; further columns, whatever their names and types, are carried along by drop_repeats.
 """
 
 from __future__ import annotations
@@ -158,28 +159,26 @@ def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame
 
 
 def drop_repeats(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with repeated blocks deleted from text, and the columns _gone (deleted lines) and _n_lines added."""
-    gone = repeated_lines(docs, block_words).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    joined = keyed.join(gone.withColumnRenamed("gone", "_gone"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    left = F.array_join(F.filter(F.col("_all"), lambda x, k: ~F.array_contains("_gone", k)), "\n")
-    split = joined.withColumn("_all", F.when(F.col("_gone").isNotNull(), _lines(F.col("text"))))
-    n = F.size(_lines(F.col("text")))
-    out = split.withColumn("_n_lines", n).withColumn("text", F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text")))
-    return out.drop("_id", "_hash", "_text_hash", "_all")
+    """row (the columns of docs), text with repeated blocks deleted, gone (positions of deleted lines, null if none) and n_lines."""
+    gone = repeated_lines(docs, block_words).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "gone")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    split = joined.withColumn("every", F.when(F.col("gone").isNotNull(), _lines(F.col("text"))))
+    left = F.array_join(F.filter("every", lambda x, k: ~F.array_contains("gone", k)), "\n")
+    return split.select("row", F.when(F.col("gone").isNotNull(), left).otherwise(F.col("text")).alias("text"), "gone", F.size(_lines(F.col("text"))).alias("n_lines"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_deleted, deleted (line positions from 0) and the text that is left."""
     out = drop_repeats(docs.select("doc_id", "text"))
     none = F.array().cast("array<int>")
-    return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_deleted"), F.coalesce("_gone", none).alias("deleted"), "text")
+    return out.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"), F.coalesce("gone", none).alias("deleted"), "text")
 
 
 def keep_new_lines(docs: DataFrame) -> DataFrame:
     """docs with its columns: repeated blocks deleted, n_chars brought up to date, rows dropped of which nothing is left."""
-    names = docs.columns
-    out = drop_repeats(docs).where("_gone is null or text <> ''")
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*(f"`{c}`" for c in names))
+    out = drop_repeats(docs).where("gone is null or text <> ''")
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("gone").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
