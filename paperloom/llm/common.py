@@ -42,13 +42,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: later steps do not depend on lost executors."""
-    spark = df.sparkSession
+def write_scratch(df: DataFrame, label: str, owner: SparkSession | None = None) -> str:
+    """Write df as a table in the shared folder (of the owner's session) and return its path."""
+    spark = owner or df.sparkSession
     path = f"{scratch_dir(spark)}/paperloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: later steps do not depend on lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df, label))
 
 
 def prefix_sums(df: DataFrame, order: Sequence[Column | str], sums: dict[str, str], label: str) -> tuple[DataFrame, dict[str, int]]:
