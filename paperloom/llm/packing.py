@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialise, prefix_sums
+from paperloom.llm.common import materialise, prefix_sums, row_hash, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, most: int, ranks_path: str | None = None, with_ids:
         import public_tokenizers
 
         encode = byte_bpe(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-        for batch in batches:
+        for batch in slices(batches, column=1):
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.array([*encode(text.as_py() or ""), 0], dtype="<u4")
@@ -132,7 +132,7 @@ def places(counts: np.ndarray) -> dict[str, np.ndarray]:
 
 def pack(cut: DataFrame, most: int) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, start, length and more)."""
-    laid, _ = prefix_sums(cut.withColumn("_one", F.lit(1).cast("long")), ["length", "doc_id", "piece", "start", F.xxhash64(*cut.columns)], {"_row": "_one"}, "pieces")
+    laid, _ = prefix_sums(cut.withColumns({"_one": F.lit(1).cast("long"), "_tie": F.monotonically_increasing_id()}), ["length", "doc_id", "piece", "start", row_hash(cut), "_tie"], {"_row": "_one"}, "pieces")
     counts = np.zeros(most + 1, dtype=np.int64)
     for length, n in laid.groupBy("length").count().collect():  # at most as many rows as a sequence has tokens
         counts[length] = n
