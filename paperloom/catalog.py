@@ -1,9 +1,9 @@
 """The registry with every query of the library in it."""
 
-from paperloom.plans import assessment, boundary, chunks, relational, retrieval, text, topics
+from paperloom.plans import assessment, boundary, chunks, generation, relational, retrieval, text, topics
 from paperloom.registry import ORACLES, QUERIES
 
-MODULES = (assessment, boundary, chunks, relational, retrieval, text, topics)
+MODULES = (assessment, boundary, chunks, generation, relational, retrieval, text, topics)
 #: SQL types that would otherwise differ from those of the queries (decimals and wide sums).
 CASTS = {
     "DOUBLE": {"score": ("validate_distractors", "validate_grounding", "validate_grounding_batch", "persist_correctness", "map_lookup", "validators_run", "sink_validation"), "confidence": ("agg_confidence", "pdf_outline_topics")},

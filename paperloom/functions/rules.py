@@ -54,33 +54,48 @@ EXERCISE = [
 THRESHOLDS = {"admin": 5, "references": 5, "exercise": 4}
 
 
-def _hits(text: Column, pattern: str, cap: int) -> Column:
-    return F.least(F.regexp_count(text, F.lit(f"(?im){pattern}")), F.lit(cap))
+def _hits(text: Column, rules: list[tuple[str, str, int]], cap: int) -> Column:
+    """How often each rule's pattern is found, up to cap; one that counts once needs no more than its first place."""
+    each = [text.rlike(f"(?im){p}").cast("int") if cap == 1 else F.least(F.regexp_count(text, F.lit(f"(?im){p}")), F.lit(cap)) for _, p, _ in rules]
+    return F.array(*each)
 
 
-def _score(text: Column, rules: list[tuple[str, str, int]], cap: int) -> Column:
-    return sum((_hits(text, p, cap) * w for _, p, w in rules), F.lit(0))
+def _score(hits: Column, rules: list[tuple[str, str, int]]) -> Column:
+    return F.aggregate(F.zip_with(hits, F.array(*(F.lit(w) for _, _, w in rules)), lambda n, w: n * w), F.lit(0), lambda s, x: s + x)
 
 
-def _names(text: Column, rules: list[tuple[str, str, int]], cap: int, counted: bool) -> Column:
-    names = []
-    for name, pattern, _ in rules:
-        n = _hits(text, pattern, cap)
-        names.append(F.when(n > 0, F.concat(F.lit(f"{name}(×"), n.cast("string"), F.lit(")")) if counted else F.lit(name)))
-    return F.array_compact(F.array(*names))
+def _names(hits: Column, rules: list[tuple[str, str, int]], counted: bool) -> Column:
+    said = lambda n, name: F.concat(name, F.lit("(×"), n.cast("string"), F.lit(")")) if counted else name
+    return F.array_compact(F.zip_with(hits, F.array(*(F.lit(name) for name, _, _ in rules)), lambda n, name: F.when(n > 0, said(n, name))))
 
 
 def classify(text: Column) -> Column:
-    """struct(chunk_type, score, matched): the first class whose score reaches its threshold."""
-    admin, refs, tasks = _score(text, ADMIN, 1), _score(text, REFERENCES, 2), _score(text, EXERCISE, 3)
-    fired = _names(text, ADMIN, 1, False)
-    out = lambda kind, score, names: F.struct(F.lit(kind).alias("chunk_type"), score.cast("int").alias("score"), names.alias("matched"))
-    return (
-        F.when(admin >= THRESHOLDS["admin"], out("admin_assessment", admin, fired))
-        .when(refs >= THRESHOLDS["references"], out("references_boilerplate", refs, F.concat(fired, _names(text, REFERENCES, 2, True))))
-        .when(tasks >= THRESHOLDS["exercise"], out("exercise", tasks, F.concat(fired, _names(text, EXERCISE, 3, True))))
-        .otherwise(out("instructional", F.lit(0), F.array().cast("array<string>")))
-    )
+    """struct(chunk_type, score, matched): the first class whose score reaches its threshold.
+
+    Hits are counted once: each group's array is bound to a name by a lambda over an array of one entry, and the rules of
+    a later class are only looked at if the classes before it are not reached.
+    """
+
+    def bound(value: Column, body) -> Column:  # noqa: ANN001
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def out(kind: str, score: Column, names: Column) -> Column:
+        return F.struct(F.lit(kind).alias("chunk_type"), score.cast("int").alias("score"), names.alias("matched"))
+
+    def decide(admin: Column) -> Column:
+        fired = _names(admin, ADMIN, False)
+
+        def next_class(kind: str, rules: list[tuple[str, str, int]], cap: int, threshold: int, otherwise: Column) -> Column:
+            found = lambda x: F.when(x["s"] >= threshold, out(kind, x["s"], F.concat(fired, _names(x["h"], rules, True)))).otherwise(otherwise)
+            scored = lambda h: F.struct(h.alias("h"), _score(h, rules).alias("s"))
+            return bound(bound(_hits(text, rules, cap), scored), found)
+
+        none = out("instructional", F.lit(0), F.array().cast("array<string>"))
+        tasks = next_class("exercise", EXERCISE, 3, THRESHOLDS["exercise"], none)
+        refs = next_class("references_boilerplate", REFERENCES, 2, THRESHOLDS["references"], tasks)
+        return bound(_score(admin, ADMIN), lambda s: F.when(s >= THRESHOLDS["admin"], out("admin_assessment", s, fired)).otherwise(refs))
+
+    return bound(_hits(text, ADMIN, 1), decide)
 
 
 #: Openings that mark text as unfit for questions, citations, and cross-references.

@@ -53,10 +53,9 @@ def generate(prompts: DataFrame, provider: Provider, key: str = "id", column: st
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """Counts of hashed words, scaled to unit length: an embedding without a model."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
+    slots = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % size)
     counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
+    return F.transform(F.array(counts), lambda c: F.transform(c, lambda x: F.try_divide(x, F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))))[0]
 
 
 def default_value(kind: DataType):  # noqa: ANN201

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.functions import notation
+from paperloom.functions import notation, rules
 from paperloom.functions.ordinals import ordinal, ordinal_sql
 from paperloom.operators.apportion import largest_remainder
-from paperloom.plans.fixtures import options, stems, strip, topic_map, with_sql
+from paperloom.plans.fixtures import literal, options, stems, strip, topic_map, with_sql
+from paperloom.plans.text import tex_sql
 from paperloom.registry import query, table
 
 # blueprints: orders, with counts by type and a difficulty mix from their keys
@@ -211,7 +212,7 @@ def persist_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("map_lookup", with_sql("stems", f"SELECT question_id, CASE v WHEN 'correct' THEN 1.0 WHEN 'ambiguous' THEN 0.5 WHEN 'incorrect' THEN 0.0 END AS score FROM (SELECT question_id, {_VERDICT} AS v FROM stems)"))(persist_correctness)
 
 
-@query("validate_triviality", with_sql("stems", "SELECT question_id, CASE WHEN NOT t THEN 'pass' WHEN difficulty = 'easy' OR bloom = 'remember' THEN 'warn' ELSE 'fail' END AS outcome FROM (SELECT *, regexp_matches(lower(trim(stem)), '^(define\\s+|what\\s+is\\s+(?:a|an|the)\\s+\\w)') AS t FROM stems)"))
+@query("validate_triviality", with_sql("stems", "SELECT question_id, CASE WHEN NOT t THEN 'pass' WHEN difficulty = 'easy' OR bloom = 'remember' THEN 'warn' ELSE 'fail' END AS outcome FROM (SELECT *, regexp_matches(lower(trim(stem)), " + literal("|".join(rules.TRIVIAL)) + ") AS t FROM stems)"))
 def validate_triviality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.functions.rules import is_trivial
 
@@ -219,16 +220,16 @@ def validate_triviality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stems(spark, sf_dir).select("question_id", F.when(~is_trivial(F.col("stem")), "pass").when(wanted, "warn").otherwise("fail").alias("outcome"))
 
 
-@query("validators_run", with_sql("stems options topic_map", f"SELECT question_id, 'distractor' AS validation_type, CASE WHEN n <> 4 OR c <> 1 OR dup > 0 THEN 0.0 WHEN ca > 0 OR outlier THEN 0.5 ELSE 1.0 END AS score FROM ({_CHECKED}) UNION ALL SELECT question_id, 'grounding', CASE WHEN sources = 0 THEN 0.0 WHEN linked = 0 THEN 0.5 ELSE 1.0 END FROM ({_GROUND})"))
+VALIDATIONS_SQL = f"SELECT question_id, 'distractor' AS validation_type, CASE WHEN n <> 4 OR c <> 1 OR dup > 0 THEN 0.0 WHEN ca > 0 OR outlier THEN 0.5 ELSE 1.0 END AS score FROM ({_CHECKED}) UNION ALL SELECT question_id, 'grounding', CASE WHEN sources = 0 THEN 0.0 WHEN linked = 0 THEN 0.5 ELSE 1.0 END FROM ({_GROUND})"
+
+
+@query("validators_run", with_sql("stems options topic_map", VALIDATIONS_SQL))
 def validators_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the validators, one after the other."""
     rows = lambda df, kind: df.select("question_id", F.lit(kind).alias("validation_type"), "score")
     return rows(validate_distractors(spark, sf_dir), "distractor").unionByName(rows(validate_grounding(spark, sf_dir), "grounding"))
 
 
-query("sink_validation", with_sql("stems options topic_map", f"SELECT question_id, 'distractor' AS validation_type, CASE WHEN n <> 4 OR c <> 1 OR dup > 0 THEN 0.0 WHEN ca > 0 OR outlier THEN 0.5 ELSE 1.0 END AS score FROM ({_CHECKED}) UNION ALL SELECT question_id, 'grounding', CASE WHEN sources = 0 THEN 0.0 WHEN linked = 0 THEN 0.5 ELSE 1.0 END FROM ({_GROUND})"))(validators_run)
-
-
 @query("question_transitions", with_sql("stems", "SELECT question_id, a AS action, CASE WHEN a = status THEN 'conflict' ELSE 'ok' END AS result, CASE WHEN a = status THEN status ELSE a END AS new_status FROM (SELECT *, CASE WHEN question_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS a FROM stems)"))
 def question_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approving an approved question, or rejecting a rejected one, is a conflict."""
@@ -296,13 +297,28 @@ def exam_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("exam_id").agg(((F.count("*") != F.count_distinct("position")) | (F.min("position") < 1)).alias("rejected"))
 
 
-@query("export_render", with_sql("stems options", "SELECT set_id, string_agg(concat('\\item ', stem, CASE WHEN type = 'mcq' THEN coalesce(chr(10) || o, '') WHEN type = 'true_false' THEN ' (True/False)' ELSE chr(10) || '\\vspace{3cm}' END), chr(10) ORDER BY " + ordinal_sql("type", "question_type") + ", question_id) AS body FROM (SELECT q.*, o.o FROM stems q LEFT JOIN (SELECT question_id, string_agg(label || ') ' || text, chr(10) ORDER BY k) AS o FROM options GROUP BY 1) o USING (question_id)) GROUP BY 1"))
+_BEFORE_EXPORT = "SELECT *, question_id // 100 AS exam_id FROM stems"
+_EXPORT_SQL = f"""SELECT exam_id, string_agg(concat('\\item ', body, CASE WHEN type = 'mcq' THEN coalesce(chr(10) || o, '') WHEN type = 'true_false' THEN chr(10) || 'True / False' WHEN type = 'short_answer' THEN chr(10) || '\\vspace{{3cm}}' ELSE chr(10) || '\\vspace{{8cm}}' END), chr(10) ORDER BY {ordinal_sql("type", "question_type")}, question_id) AS paper,
+string_agg(concat('\\textbf{{Question ', position, '.}} ', CASE WHEN type = 'mcq' THEN coalesce(good, 'N/A') WHEN type = 'true_false' THEN CASE WHEN question_id % 2 = 0 THEN 'True' ELSE 'False' END WHEN type = 'short_answer' THEN concat('Model answer: ', body[:40]) ELSE 'Key points: See explanation.' END), chr(10) ORDER BY position) AS answers
+FROM (SELECT q.*, o.o, o.good, {tex_sql("stem")} AS body, row_number() OVER (PARTITION BY exam_id ORDER BY {ordinal_sql("type", "question_type")}, question_id) AS position FROM ({_BEFORE_EXPORT}) q
+LEFT JOIN (SELECT question_id, string_agg(label || ') ' || {tex_sql("text")}, chr(10) ORDER BY k) AS o, min(CASE WHEN is_correct THEN label || ') ' || {tex_sql("text")} END) AS good FROM options GROUP BY 1) o USING (question_id)) GROUP BY 1"""
+
+
+@query("export_render", with_sql("stems options", _EXPORT_SQL))
 def export_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The body of an exam paper for each set, by type and id."""
-    q = stems(spark, sf_dir).join(array_join_text(spark, sf_dir), "question_id", "left")
-    tail = F.when(F.col("type") == "mcq", F.coalesce(F.concat(F.lit("\n"), "listing"), F.lit(""))).when(F.col("type") == "true_false", " (True/False)").otherwise("\n\\vspace{3cm}")
-    item = F.struct(ordinal(F.col("type"), "question_type").alias("o"), "question_id", F.concat(F.lit("\\item "), "stem", tail).alias("s"))
-    return q.groupBy("set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), "\n").alias("body"))
+    """The paper and the answer key of each exam (the questions of a conversation), escaped, by type and number."""
+    escape = lambda x: notation.escape_tex(F.col(x))
+    line = F.concat("label", F.lit(") "), escape("text"))
+    own = options(spark, sf_dir).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("s")))).alias("o"), F.min(F.when(F.col("is_correct"), line)).alias("right"))
+    q = stems(spark, sf_dir).withColumn("exam_id", F.floor(F.col("question_id") / 100)).join(own, "question_id", "left").withColumn("body", escape("stem"))
+    q = q.withColumn("position", F.row_number().over(Window.partitionBy("exam_id").orderBy(ordinal(F.col("type"), "question_type"), "question_id")))
+    kind = F.col("type")
+    space = F.when(kind == "mcq", F.coalesce(F.concat(F.lit("\n"), F.array_join(F.transform("o", lambda x: x["s"]), "\n")), F.lit(""))).when(kind == "true_false", "\nTrue / False").when(kind == "short_answer", "\n\\vspace{3cm}").otherwise("\n\\vspace{8cm}")
+    answer = F.when(kind == "mcq", F.coalesce("right", F.lit("N/A"))).when(kind == "true_false", F.when(F.col("question_id") % 2 == 0, "True").otherwise("False")).when(kind == "short_answer", F.concat(F.lit("Model answer: "), F.substring("body", 1, 40))).otherwise("Key points: See explanation.")
+    item = F.struct("position", F.concat(F.lit("\\item "), "body", space).alias("paper"), F.concat(F.lit("\\textbf{Question "), F.col("position").cast("string"), F.lit(".} "), answer).alias("answer"))
+    rows = q.groupBy("exam_id").agg(F.array_sort(F.collect_list(item)).alias("items"))  # an exam's own questions
+    joined = lambda name: F.array_join(F.transform("items", lambda x: x[name]), "\n")
+    return rows.select("exam_id", joined("paper").alias("paper"), joined("answer").alias("answers"))
 
 
 @query("prompt_render", with_sql("stems", "SELECT question_id, concat('Topic: ', set_id, chr(10), 'Difficulty: ', difficulty, chr(10), CASE WHEN bloom <> 'create' THEN concat('Level: ', bloom, chr(10)) ELSE '' END, stem) AS prompt FROM stems"))
@@ -311,26 +327,6 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stems(spark, sf_dir).select("question_id", F.concat(F.lit("Topic: "), F.col("set_id").cast("string"), F.lit("\nDifficulty: "), "difficulty", F.lit("\n"), level, "stem").alias("prompt"))
 
 
-def _gates(kind: str) -> str:
-    return f"SELECT question_id, CASE WHEN length(trim(stem)) = 0 THEN 'empty' WHEN dup THEN 'duplicate' WHEN t AND difficulty <> 'easy' AND bloom <> 'remember' THEN 'trivial' ELSE 'accepted' END AS gate FROM (SELECT *, row_number() OVER (PARTITION BY set_id, lower(stem) ORDER BY question_id) > 1 AS dup, regexp_matches(lower(trim(stem)), '^(define\\s+|what\\s+is\\s+(?:a|an|the)\\s+\\w)') AS t FROM stems WHERE type = '{kind}')"
-
-
-def _generation(name: str, kind: str) -> None:
-    @query(name, with_sql("stems", _gates(kind)))
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Each candidate with the first gate that stops it."""
-        from paperloom.functions.rules import reject_trivial
-
-        q = stems(spark, sf_dir).where(F.col("type") == kind)
-        again = F.row_number().over(Window.partitionBy("set_id", F.lower("stem")).orderBy("question_id")) > 1
-        gate = F.when(F.length(F.trim("stem")) == 0, "empty").when(F.col("dup"), "duplicate").when(reject_trivial(F.col("stem"), F.col("difficulty"), F.col("bloom")), "trivial").otherwise("accepted")
-        return q.withColumn("dup", again).select("question_id", gate.alias("gate"))
-
-
-for _name, _kind in (("gen_mcq", "mcq"), ("gen_tf", "true_false"), ("gen_sa", "short_answer"), ("gen_essay", "essay")):
-    _generation(_name, _kind)
-
-
 @query("persist_sources", with_sql("stems topic_map", "SELECT question_id, chunk_id FROM stems JOIN topic_map ON topic_id = set_id WHERE score > 0.9"))
 def persist_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = topic_map(spark, sf_dir).where("score > 0.9").select(F.col("topic_id").alias("set_id"), "chunk_id")
@@ -417,9 +413,19 @@ def rt_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("event_id", F.coalesce(F.col("us") - last < 6_500_000, F.lit(False)).alias("too_soon"))
 
 
-@query("rt_retry_backoff", "SELECT event_id, least(20.0, pow(2, event_id % 6)) AS wait_s FROM events")
+# replies of an overloaded provider: some with a header, some with a hint in the body
+_HEADER = "CASE event_id % 4 WHEN 0 THEN cast(event_id % 30 AS {text}) WHEN 1 THEN 'soon' END"
+_BODY = "CASE event_id % 3 WHEN 0 THEN concat('Rate limit. Please try again in ', event_id % 9, '.5s') ELSE 'Rate limit.' END"
+_HINTS = [r"^\s*([0-9]+(?:\.[0-9]+)?)\s*$", r"try again in ([0-9]+(?:\.[0-9]+)?)s"]
+
+
+@query("rt_retry_backoff", f"SELECT event_id, least(20.0, coalesce(TRY_CAST(nullif(regexp_extract(coalesce(h, ''), '{_HINTS[0]}', 1), '') AS DOUBLE) + 1, TRY_CAST(nullif(regexp_extract(b, '{_HINTS[1]}', 1), '') AS DOUBLE) + 1, pow(2, attempt) + jitter)) AS wait_s FROM (SELECT event_id, {_HEADER.format(text='VARCHAR')} AS h, {_BODY} AS b, 1 + event_id % 3 AS attempt, ('0x' || md5(event_id::VARCHAR)[:4])::BIGINT / 65536.0::DOUBLE * 1.5 AS jitter FROM events)")
 def rt_retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.least(F.lit(20.0), F.pow(F.lit(2.0), F.col("event_id") % 6)).alias("wait_s"))
+    """The wait after a refusal: the header's seconds and one more, else the body's hint and one more, else 2^attempt and jitter; 20 at most."""
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(_HEADER.format(text="string")).alias("h"), F.expr(_BODY).alias("b"), (1 + F.col("event_id") % 3).alias("attempt"))
+    found = lambda column, hint: F.nullif(F.regexp_extract(F.coalesce(column, F.lit("")), hint, 1), F.lit("")).cast("double") + 1
+    jitter = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 4), 16, 10).cast("long") / 65536.0 * 1.5
+    return e.select("event_id", F.least(F.lit(20.0), F.coalesce(found("h", _HINTS[0]), found("b", _HINTS[1]), F.pow(F.lit(2.0), "attempt") + jitter)).alias("wait_s"))
 
 
 @query("rt_job_lifecycle", "SELECT user_id AS job_id, arg_max(event_type, epoch_us(ts)::HUGEINT * 1000000 + event_id % 1000000) AS status, count(*) AS n_events FROM events GROUP BY 1")
@@ -428,5 +434,5 @@ def rt_job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max_by("event_type", F.struct("ts", F.col("event_id") % 1000000)).alias("status"), F.count("*").alias("n_events"))
 
 
-for _alias in ("sink_job_progress", "rt_polling"):
+for _alias in ("rt_polling",):
     query(_alias, "SELECT user_id AS job_id, arg_max(event_type, epoch_us(ts)::HUGEINT * 1000000 + event_id % 1000000) AS status, count(*) AS n_events FROM events GROUP BY 1")(rt_job_lifecycle)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +12,9 @@ from pyspark.sql.window import Window
 
 from paperloom.functions import notation
 from paperloom.operators import chunking, models
-from paperloom.plans.assessment import CONFIG_SCHEMA, export_render
+from paperloom.operators.generation import scratch
+from paperloom.plans.assessment import _EXPORT_SQL as EXPORT_SQL
+from paperloom.plans.assessment import CONFIG_SCHEMA, VALIDATIONS_SQL, export_render, validators_run
 from paperloom.plans.chunks import _CLASS, _OFFSETS, _classified, _pages
 from paperloom.plans.fixtures import options, stems, topic_map, topics, with_sql
 from paperloom.plans.text import MATH_CASES, _cases
@@ -22,11 +22,6 @@ from paperloom.registry import query, table
 from paperloom.sources import sinks
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder under the shared scratch folder."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or f'/tmp/paperloom-{os.getuid()}'}/paperloom/{uuid.uuid4().hex}"
-
-
 _cases("norm_alias", notation.repair_math, MATH_CASES)
 
 
@@ -49,14 +44,14 @@ def src_unclassified_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sink_chunks", "SELECT doc_id % 5 AS course_id, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY 1")
 def sink_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = folder(spark)
+    path = scratch(spark)
     sinks.write_chunks(table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("course_id"), "text"), path)
     return spark.read.parquet(path).groupBy(F.col("course_id").cast("long").alias("course_id")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("sink_topics", with_sql("topics topic_map", "SELECT t.topic_id, md5(concat(course_id, chr(31), name)) AS topic_key, n FROM topics t JOIN (SELECT topic_id, count(*) AS n FROM topic_map GROUP BY 1) m USING (topic_id)"))
 def sink_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = folder(spark)
+    path = scratch(spark)
     sinks.write_topics(topics(spark, sf_dir), topic_map(spark, sf_dir), path)
     counts = spark.read.parquet(f"{path}/topic_chunk_map").groupBy("topic_id").agg(F.count("*").alias("n"))
     return spark.read.parquet(f"{path}/topics").join(counts, "topic_id").select("topic_id", "topic_key", "n")
@@ -65,7 +60,7 @@ def sink_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sink_question_family", with_sql("stems options topic_map", "SELECT 'questions' AS kind, count(*) AS n FROM stems UNION ALL SELECT 'options', count(*) FROM options UNION ALL SELECT 'sources', count(*) FROM stems JOIN topic_map ON topic_id = set_id WHERE score > 0.9"))
 def sink_question_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions, options and sources go to tables of their own."""
-    path = folder(spark)
+    path = scratch(spark)
     q = stems(spark, sf_dir)
     sources = q.join(topic_map(spark, sf_dir).where("score > 0.9").withColumnRenamed("topic_id", "set_id"), "set_id").select("question_id", "chunk_id")
     for name, rows in (("questions", q), ("options", options(spark, sf_dir)), ("sources", sources)):
@@ -74,19 +69,41 @@ def sink_question_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
 
-@query("sink_tex")
+@query("sink_tex", with_sql("stems options", f"SELECT exam_id, length(paper) AS chars, md5(paper) AS digest FROM ({EXPORT_SQL})"))
 def sink_tex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = folder(spark)
-    sinks.write_tex(export_render(spark, sf_dir), path)
-    return spark.read.text(path).agg(F.count("*").alias("lines"), F.count_if(F.col("value").startswith("\\item")).alias("items"))
+    """Every exam's paper is a file of its own, read back whole."""
+    path = scratch(spark)
+    sinks.write_tex(export_render(spark, sf_dir), path, "exam_id", "paper")
+    paper = F.regexp_replace("value", r"\n\z", "")
+    return spark.read.text(path, wholetext=True).select(F.col("exam_id").cast("long").alias("exam_id"), F.length(paper).cast("long").alias("chars"), F.md5(paper).alias("digest"))
+
+
+@query("sink_validation", with_sql("stems options topic_map", VALIDATIONS_SQL))
+def sink_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are appended, kind after kind, to the log of validations, and read back."""
+    path, rows = scratch(spark), validators_run(spark, sf_dir)
+    for kind in ("distractor", "grounding"):
+        sinks.append_rows(rows.where(F.col("validation_type") == kind), path, "validation_type")
+    return spark.read.parquet(path).select("question_id", "validation_type", "score")
+
+
+@query("sink_job_progress", "SELECT user_id AS job_id, arg_max(event_type, epoch_us(ts)::HUGEINT * 1000000 + event_id % 1000000) AS status, count(*) AS n_events FROM events GROUP BY 1")
+def sink_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates are appended in two batches; the view of the log has each job's last state."""
+    path = scratch(spark)
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "ts", (F.col("event_id") % 1000000).alias("no"), (F.col("event_id") % 2).alias("batch"))
+    for batch in (1, 0):
+        sinks.append_rows(log.where(F.col("batch") == batch), path, "batch")
+    return sinks.latest(spark.read.parquet(path), "job_id", "status", "ts", "no").withColumnRenamed("n", "n_events")
+
+
+REPLY_SCHEMA = StructType().add("level", "string").add("confidence", "double").json()
 
 
-@query("json_schema_instruction", with_sql("stems", "SELECT question_id, contains(stem, 'zzz') AS odd, length(stem) AS n FROM stems"))
+@query("json_schema_instruction", with_sql("stems", "SELECT question_id, concat(stem, chr(10), 'Reply as JSON of this schema:', chr(10), '" + REPLY_SCHEMA + "') AS prompt FROM stems"))
 def json_schema_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt with the schema of the wanted reply at its end; the prompt is still its beginning."""
-    schema = StructType.fromDDL("level string, confidence double").json()
-    q = stems(spark, sf_dir).withColumn("prompt", F.concat("stem", F.lit("\nReply as JSON of this schema:\n"), F.lit(schema)))
-    return q.where(F.col("prompt").startswith(F.col("stem")) & F.col("prompt").endswith(schema)).select("question_id", F.contains("stem", F.lit("zzz")).alias("odd"), F.length("stem").alias("n"))
+    """The prompt with the schema of the wanted reply at its end."""
+    return stems(spark, sf_dir).select("question_id", F.concat("stem", F.lit("\nReply as JSON of this schema:\n"), F.lit(REPLY_SCHEMA)).alias("prompt"))
 
 
 _LEVEL = "CASE length(stem) % 4 WHEN 0 THEN 'easy' WHEN 2 THEN 'hard' ELSE 'medium' END"
@@ -194,7 +211,7 @@ def exam_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rt_ingest_on_upload", "SELECT count(DISTINCT sha256(html)) AS processed FROM pages")
 def rt_ingest_on_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages arrive as a file stream, and each content is processed once."""
-    path, at = folder(spark), F.timestamp_micros(F.col("page_id") + 1_000_000)
+    path, at = scratch(spark), F.timestamp_micros(F.col("page_id") + 1_000_000)
     table(spark, sf_dir, "pages").select("page_id", "url", "html").write.parquet(f"{path}/in")  # the arrivals
     source = spark.readStream.schema("page_id long, url string, html string").parquet(f"{path}/in")
     once = source.select("page_id", F.sha2("html", 256).alias("sha"), at.alias("ts")).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["sha"])
@@ -205,7 +222,7 @@ def rt_ingest_on_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rt_task_queue", "SELECT count(*) AS n, count(DISTINCT event_id) AS distinct_n FROM events")
 def rt_task_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks in micro-batches with acknowledgement by checkpoint; a batch that is delivered again overwrites its own folder."""
-    path = folder(spark)
+    path = scratch(spark)
     arrived = table(spark, sf_dir, "events").select("event_id", "event_type")
     arrived.write.parquet(f"{path}/in")
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from paperloom.functions import cleaning, rules, similarity
 from paperloom.operators import chunking
+from paperloom.operators.generation import FACTS, is_fact
 from paperloom.plans.fixtures import derived, literal, outline, stems, strip, with_sql
 from paperloom.registry import query, table
 
@@ -129,18 +130,13 @@ def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where(fits).select("doc_id", "line_no", kind.alias("kind")).where("kind is not null")
 
 
-#: Signs of a key fact.
-FACTS = [r"(?i)^(theorem|lemma|proposition|corollary|definition|proof|claim|remark)\b", r"^[\s]*[-•*·]\s+\S", r"[=+\-*/^∑∏∫√≤≥≠∈∉∀∃λμσαβγδεζηθ]{2,}|\\frac|\\sum|\\int|\\prod|\\lim|\\inf|\\sup|<=>|->|<-|::", r"(?i)(^|[^\pL\pN_])(is|are|means|defined as|denoted by|denoted|called|iff)($|[^\pL\pN_])|:=|≡"]
 _FACT_SQL = " OR ".join(f"regexp_matches(line, {literal(p)})" for p in FACTS)
 
 
 @query("key_facts", with_sql("derived", "").rstrip() + ", " + _LINES + f" SELECT doc_id, line_no, substr(line, 1, 220) AS fact FROM (SELECT doc_id, line_no, {strip('raw')} AS line FROM l) WHERE length(line) >= 10 AND ({_FACT_SQL})")
 def key_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = derived(spark, sf_dir).select("doc_id", F.posexplode(F.split("content", "\n")).alias("line_no", "raw")).withColumn("line", cleaning.trim_space(F.col("raw")))
-    hit = F.lit(False)
-    for p in FACTS:
-        hit = hit | F.col("line").rlike(p)
-    return lines.where((F.length("line") >= 10) & hit).select("doc_id", "line_no", F.substring("line", 1, 220).alias("fact"))
+    return lines.where(is_fact(F.col("line"))).select("doc_id", "line_no", F.substring("line", 1, 220).alias("fact"))
 
 
 def _sql_score(rule_list: list[tuple[str, str, int]], cap: int) -> str:
@@ -180,15 +176,15 @@ def backfill_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BARE = strip("content")
-_EXCLUDED = f"SELECT doc_id, course_id, chunk_index, content, regexp_matches(substr(b, 1, 300), {literal('(?im)' + rules.EXCLUDED_HEADING)}) OR (w < 80 AND c >= 4) OR c > 0.15 * w OR (n > 0 AND s > 0.40 * n) AS excluded FROM (SELECT *, len(list_filter(regexp_split_to_array(b, '\\s+'), lambda x: x <> '')) AS w, len(regexp_extract_all(b, {literal(rules.CITATION)})) AS c, len(regexp_extract_all(b, {literal('(?i)' + rules.SEE_ALSO)})) AS s, len(list_filter(regexp_split_to_array(b, '[.!?]+'), lambda x: regexp_matches(x, '\\S'))) AS n FROM (SELECT *, {_BARE} AS b FROM derived))"
+EXCLUDED_SQL = f"SELECT doc_id, course_id, chunk_index, content, regexp_matches(substr(b, 1, 300), {literal('(?im)' + rules.EXCLUDED_HEADING)}) OR (w < 80 AND c >= 4) OR c > 0.15 * w OR (n > 0 AND s > 0.40 * n) AS excluded FROM (SELECT *, len(list_filter(regexp_split_to_array(b, '\\s+'), lambda x: x <> '')) AS w, len(regexp_extract_all(b, {literal(rules.CITATION)})) AS c, len(regexp_extract_all(b, {literal('(?i)' + rules.SEE_ALSO)})) AS s, len(list_filter(regexp_split_to_array(b, '[.!?]+'), lambda x: regexp_matches(x, '\\S'))) AS n FROM (SELECT *, {_BARE} AS b FROM derived))"
 
 
-@query("is_excluded", with_sql("derived", f"SELECT doc_id, excluded FROM ({_EXCLUDED})"))
+@query("is_excluded", with_sql("derived", f"SELECT doc_id, excluded FROM ({EXCLUDED_SQL})"))
 def is_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir).select("doc_id", rules.is_excluded(F.col("content")).alias("excluded"))
 
 
-@query("agg_excluded_count", with_sql("derived", f"SELECT course_id, count_if(excluded) AS n FROM ({_EXCLUDED}) GROUP BY 1"))
+@query("agg_excluded_count", with_sql("derived", f"SELECT course_id, count_if(excluded) AS n FROM ({EXCLUDED_SQL}) GROUP BY 1"))
 def agg_excluded_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir).groupBy("course_id").agg(F.count_if(rules.is_excluded(F.col("content"))).alias("n"))
 

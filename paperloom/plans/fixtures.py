@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.registry import table
+from paperloom.registry import spread, table
 
 _DERIVE = """CASE doc_id % 8
  WHEN 1 THEN concat('References', chr(10), '[1] A.', chr(10), text)
@@ -24,7 +24,7 @@ _DERIVE = """CASE doc_id % 8
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, course_id, chunk_index, content: every document with artefacts put in by doc_id."""
     content = F.expr(_DERIVE.format(first60="array_join(slice(split(text, ' '), 1, 60), ' ')"))
-    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("course_id"), (F.col("doc_id") % 10).alias("chunk_index"), content.alias("content"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", (F.col("doc_id") % 5).alias("course_id"), (F.col("doc_id") % 10).alias("chunk_index"), content.alias("content"))
 
 
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ _STEM_COLUMNS = {
     "difficulty": "CASE conv_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END",
     "bloom": "CASE conv_id % 6 WHEN 0 THEN 'remember' WHEN 1 THEN 'understand' WHEN 2 THEN 'apply' WHEN 3 THEN 'analyze' WHEN 4 THEN 'evaluate' ELSE 'create' END",
     "status": "CASE (conv_id + turn) % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'approved' WHEN 2 THEN 'approved' ELSE 'rejected' END",
-    "stem": "concat(CASE conv_id % 5 WHEN 0 THEN 'What is the ' WHEN 1 THEN 'Define ' WHEN 2 THEN 'Compare and contrast ' WHEN 3 THEN 'Calculate ' ELSE '' END, substr(text, 1, 120))",
+    "stem": "concat(CASE conv_id % 5 WHEN 0 THEN 'What is the ' WHEN 1 THEN 'Define ' WHEN 2 THEN 'Compare and contrast ' WHEN 3 THEN 'Calculate ' ELSE '' END, text)",
 }
 
 _OPTION_TEXT = "CASE WHEN k = 3 AND question_id % 3 = 0 THEN substr(stem, 1, 12) WHEN k = 2 AND question_id % 11 = 0 THEN 'All of the above.' WHEN k = 1 AND question_id % 13 = 0 THEN concat(stem, stem, stem) ELSE substr(stem, 1 + k * 7, 12) END"

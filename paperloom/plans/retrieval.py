@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from paperloom.functions import similarity
-from paperloom.plans.fixtures import derived, stems, topic_map, topics, with_sql
+from paperloom.functions import rules, similarity
+from paperloom.operators.generation import FACTS, build_context, context_chunks, greedy_duplicates, near_pairs, written
+from paperloom.operators.vectors import nearest
+from paperloom.plans.chunks import EXCLUDED_SQL
+from paperloom.plans.fixtures import derived, literal, stems, strip, topic_map, topics, with_sql
 from paperloom.registry import query, table
 
 _PAIRS = "(SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
@@ -35,31 +38,20 @@ _similarity("cosine_general", similarity.cosine, f"{_DOT} / (({_NORM.format('x')
 _similarity("cosine_distance_pg", lambda x, y: 1 - similarity.cosine(x, y), f"1 - {_DOT} / (({_NORM.format('x')} + 1e-10) * ({_NORM.format('y')} + 1e-10))")
 _similarity("l2_normalise", lambda x, y: similarity.dot(similarity.l2_normalise(x), y), f"{_DOT} / {_NORM.format('x')}")
 
-#: The request's query vectors: the stored vectors with these ids.
-QUERY_IDS = (0, 1, 2, 3, 4)
 
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and the stated query set among them: every id divisible by 50."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return e, e.where("id % 50 = 0")
 
-def query_vectors(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
-    """The few vectors of a request, as values."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*QUERY_IDS)).collect()
-    return sorted((r["vec_id"], list(r["embedding"])) for r in rows)
 
-
-def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """Exact k nearest of each query vector by cosine; the queries are literals, so nothing is joined."""
-    each = F.explode(F.array(*(F.struct(F.lit(q).alias("query_id"), F.array(*map(F.lit, v)).alias("q")) for q, v in queries)))
-    scored = vectors.select("vec_id", "embedding", each.alias("s")).select("vec_id", F.col("s.query_id").alias("query_id"), F.round(similarity.cosine(F.col("embedding"), F.col("s.q")), 5).alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-_SIMS = "SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / ((sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-10) * (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) + 1e-10)), 5) AS sim FROM embeddings e, embeddings q WHERE q.vec_id < 5"
+_SIMS = "SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / ((sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-10) * (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) + 1e-10)), 5) AS sim FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0"
 _RANKED = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM ({_SIMS})"
 
 
 @query("topk_vector", f"SELECT query_id, vec_id, sim, rank FROM ({_RANKED}) WHERE rank <= 10")
 def topk_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), 10)
+    return nearest(*_searched(spark, sf_dir), 10).select("query_id", "vec_id", F.col("score").alias("sim"), "rank")
 
 
 @query("retrieve_by_query", f"SELECT query_id, vec_id, greatest(0.0, sim) AS score FROM ({_RANKED}) WHERE rank <= 10 AND sim >= 0.25")
@@ -68,29 +60,25 @@ def retrieve_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_vector(spark, sf_dir).where("sim >= 0.25").select("query_id", "vec_id", F.greatest(F.lit(0.0), "sim").alias("score"))
 
 
-@query("topk_map_sim", f"SELECT query_id AS topic_id, vec_id AS chunk_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM ({_SIMS}) WHERE vec_id % 10 <> query_id AND sim >= 0.1) WHERE r <= 8")
+@query("topk_map_sim", f"SELECT query_id AS topic_id, vec_id AS chunk_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM ({_SIMS}) WHERE (vec_id + query_id) % 10 <> 0 AND sim >= 0.1) WHERE r <= 8")
 def topk_map_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that are mapped already (here by id) use up no place."""
-    vectors = table(spark, sf_dir, "embeddings")
-    each = F.explode(F.array(*(F.struct(F.lit(q).alias("topic_id"), F.array(*map(F.lit, v)).alias("q")) for q, v in query_vectors(spark, sf_dir))))
-    scored = vectors.select("vec_id", "embedding", each.alias("s")).select("s.topic_id", F.col("vec_id").alias("chunk_id"), F.round(similarity.cosine(F.col("embedding"), F.col("s.q")), 5).alias("sim"))
-    free = scored.where((F.col("chunk_id") % 10 != F.col("topic_id")) & (F.col("sim") >= 0.1))
-    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("sim"), "chunk_id"))
-    return free.withColumn("r", rank).where("r <= 8").select("topic_id", "chunk_id", "sim")
+    """Chunks that are mapped already (here by the ids) use up no place."""
+    found = nearest(*_searched(spark, sf_dir), 8, skip=lambda ids, query: (ids + query) % 10 == 0)
+    return found.where("score >= 0.1").select(F.col("query_id").alias("topic_id"), F.col("vec_id").alias("chunk_id"), F.col("score").alias("sim"))
 
 
-@query("euclid_argmin", "SELECT vec_id, arg_min(c, d) AS centre FROM (SELECT e.vec_id, q.vec_id AS c, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS d FROM embeddings e, embeddings q WHERE q.vec_id < 5 ORDER BY c) GROUP BY 1")
+@query("euclid_argmin", "SELECT vec_id, min_by(c, d * 1000000000 + c) AS centre FROM (SELECT e.vec_id, q.vec_id AS c, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS d FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) GROUP BY 1")
 def euclid_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of given centres; the first of equals wins."""
-    distances = [F.struct(F.round(F.sqrt(similarity.dot(d := F.zip_with("embedding", F.array(*map(F.lit, v)), lambda a, b: a.cast("double") - b), d)), 6).alias("d"), F.lit(q).alias("c")) for q, v in query_vectors(spark, sf_dir)]
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_min(F.array(*distances))["c"].cast("long").alias("centre"))
+    everything, centres = _searched(spark, sf_dir)
+    return nearest(centres, everything, 1, "euclid").select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("centre"))
 
 
-@query("agg_centroid", "SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS first_mean, round(avg(embedding[64]::DOUBLE), 6) AS last_mean, count(*) AS n FROM embeddings GROUP BY 1")
+@query("agg_centroid", "SELECT label, k AS component, round(avg(x), 6) AS mean, count(*) AS n FROM (SELECT label, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
 def agg_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean vector of each label; its first and last component are shown."""
-    mean = lambda k: F.round(F.avg(F.col("embedding")[k].cast("double")), 6)
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(mean(0).alias("first_mean"), mean(63).alias("last_mean"), F.count("*").alias("n"))
+    """The mean vector of each label, a row for each component."""
+    each = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("component", "x"))
+    return each.groupBy("label", F.col("component").cast("long").alias("component")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"), F.count("*").alias("n"))
 
 
 @query("kmeans")
@@ -116,11 +104,11 @@ def theta_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("a", "b", F.round(similarity.dot(F.col("x"), F.col("y")), 5).alias("sim")).where("sim >= 0.3")
 
 
-@query("agg_max_similarity", "SELECT a.vec_id AS a, round(coalesce(max(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 0), 5) AS max_sim FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND b.vec_id <> a.vec_id AND b.vec_id % 3 = 0 WHERE a.vec_id % 50 = 0 GROUP BY 1")
+@query("agg_max_similarity", "SELECT a.vec_id AS a, round(coalesce(max(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 0), 5) AS max_sim FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND b.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1")
 def agg_max_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
-    others = e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("b"), F.col("label").alias("l"), F.col("embedding").alias("y"))
+    others = e.select(F.col("vec_id").alias("b"), F.col("label").alias("l"), F.col("embedding").alias("y"))
     both = q.join(others, (F.col("label") == F.col("l")) & (F.col("a") != F.col("b")), "left")
     return both.groupBy("a").agg(F.round(F.coalesce(F.max(similarity.dot(F.col("x"), F.col("y"))), F.lit(0.0)), 5).alias("max_sim"))
 
@@ -137,18 +125,10 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("x.question_id").alias("a"), F.col("y.question_id").alias("b"), F.round(similarity.jaccard(F.col("x.t"), F.col("y.t")), 6).alias("sim"))
 
 
-@query("theta_jaccard", with_sql("stems", "").rstrip() + f", t AS (SELECT question_id, {_TOK} AS a FROM stems) SELECT x.question_id AS a, y.question_id AS b FROM t x JOIN t y ON x.question_id < y.question_id WHERE len(list_intersect(x.a, y.a)) > 0.1 * len(list_distinct(list_concat(x.a, y.a)))")
+@query("theta_jaccard", with_sql("stems", "").rstrip() + f", t AS (SELECT question_id, {_TOK} AS a FROM stems) SELECT x.question_id AS a, y.question_id AS b FROM t x JOIN t y ON x.question_id < y.question_id WHERE len(list_intersect(x.a, y.a)) > 0.72 * len(list_distinct(list_concat(x.a, y.a)))")
 def theta_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs above 0.1, found by the rarest tokens: with a threshold t, a pair shares one of a set's first n - ceil(t n) + 1 tokens in any one order."""
-    t = stems(spark, sf_dir).select("question_id", similarity.tokens(F.col("stem")).alias("t"))
-    each = t.select("question_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy("df", "token"))
-    prefix = each.join(often, "token").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(0.1 * F.col("n")) + 1)
-    x, y = prefix.alias("x"), prefix.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.question_id") < F.col("y.question_id"))).select(F.col("x.question_id").alias("a"), F.col("y.question_id").alias("b")).distinct()
-    both = pairs.join(t.select(F.col("question_id").alias("a"), F.col("t").alias("s")), "a").join(t.select(F.col("question_id").alias("b"), "t"), "b")
-    return both.where(F.size(F.array_intersect("s", "t")) > 0.1 * F.size(F.array_union("s", "t"))).select("a", "b")
+    """Pairs above 0.72."""
+    return near_pairs(stems(spark, sf_dir).select(F.col("question_id").alias("id"), similarity.tokens(F.col("stem")).alias("t")), 0.72)
 
 
 @F.pandas_udf(DoubleType())
@@ -219,79 +199,85 @@ def topic_chunk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(tf)
 
 
-_BL = "SELECT DISTINCT course_id, lower(trim(stem)) AS key FROM stems WHERE status = 'rejected'"
+@query("diversity_context", with_sql("stems", "SELECT course_id, count_if(status = 'rejected') AS n_blacklist, least(100, count(*)) AS n_recent FROM stems GROUP BY 1"))
+def diversity_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stems(spark, sf_dir).groupBy("course_id").agg(F.count_if(F.col("status") == "rejected").alias("n_blacklist"), F.least(F.lit(100), F.count("*")).alias("n_recent"))
 
 
-@query("is_blacklisted", with_sql("stems", f"SELECT question_id, b.key IS NOT NULL AS listed FROM stems s LEFT JOIN ({_BL}) b ON b.course_id = s.course_id AND b.key = lower(trim(s.stem))"))
-def is_blacklisted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By exact fingerprint within the course."""
-    q = stems(spark, sf_dir).withColumn("fingerprint", F.sha2(F.lower(F.trim("stem")), 256))
-    listed = q.where("status = 'rejected'").select("course_id", "fingerprint").distinct().withColumn("listed", F.lit(True))
-    return q.join(listed, ["course_id", "fingerprint"], "left").select("question_id", F.coalesce("listed", F.lit(False)).alias("listed"))
+# requests: a topic each; by its number it has all its mapped chunks, few of them, only boilerplate and no query, only used ones, or none
+_MAPPED = "CASE topic_id % 5 WHEN 0 THEN true WHEN 1 THEN chunk_id % 16 = 3 WHEN 2 THEN chunk_id % 8 = 1 WHEN 3 THEN chunk_id % 7 = 0 ELSE false END"
+_FLAGS = {"allowed": "chunk_id % 11 <> 0", "used": "chunk_id % 7 = 0 OR chunk_id % 5 = 4 AND chunk_id % 25 <> 9", "penalised": "chunk_id % 3 = 0"}
 
 
-@query("is_recent_duplicate", with_sql("stems", "SELECT question_id, count(*) OVER (PARTITION BY course_id, lower(trim(stem)) ORDER BY question_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS duplicate FROM stems"))
-def is_recent_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = Window.partitionBy("course_id", F.sha2(F.lower(F.trim("stem")), 256)).orderBy("question_id").rowsBetween(Window.unboundedPreceding, -1)
-    return stems(spark, sf_dir).select("question_id", (F.count("*").over(before) > 0).alias("duplicate"))
+def _requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    requests = topics(spark, sf_dir).join(vectors, F.col("id") == F.col("topic_id"), "left").select(F.col("topic_id").alias("request_id"), "course_id", F.when(F.col("topic_id") % 5 != 2, F.col("vec")).alias("q"))
+    mapped = topic_map(spark, sf_dir).where(_MAPPED).withColumnRenamed("topic_id", "request_id")
+    content = derived(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "course_id", "chunk_index", rules.is_excluded(F.col("content")).alias("boilerplate"))
+    chunks = content.join(vectors, F.col("id") == F.col("chunk_id"), "left").drop("id").withColumns({name: F.expr(flag) for name, flag in _FLAGS.items()})
+    return requests, mapped, written(chunks)  # texts are judged once; what follows reads flags and vectors
 
 
-@query("diversity_context", with_sql("stems", "SELECT course_id, count_if(status = 'rejected') AS n_blacklist, least(100, count(*)) AS n_recent FROM stems GROUP BY 1"))
-def diversity_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stems(spark, sf_dir).groupBy("course_id").agg(F.count_if(F.col("status") == "rejected").alias("n_blacklist"), F.least(F.lit(100), F.count("*")).alias("n_recent"))
+def _gen_sql(least: float) -> str:
+    flags = ", ".join(f"{flag} AS {name}" for name, flag in _FLAGS.items())
+    unit = lambda x: f"(sqrt(list_inner_product({x}, {x})) + 1e-10)"
+    return f"""k AS (SELECT *, {flags} FROM (SELECT doc_id AS chunk_id, course_id, chunk_index, excluded AS boilerplate, embedding::DOUBLE[] AS vec FROM ({EXCLUDED_SQL}) LEFT JOIN embeddings ON vec_id = doc_id)),
+rq AS (SELECT topic_id AS request_id, course_id, CASE WHEN topic_id % 5 <> 2 THEN embedding::DOUBLE[] END AS q FROM topics LEFT JOIN embeddings ON vec_id = topic_id),
+tp AS (SELECT request_id, chunk_id, 1 AS stage, coalesce(score, 0.0) AS score, boilerplate, used FROM (SELECT m.topic_id AS request_id, m.chunk_id, score, boilerplate, used, row_number() OVER (PARTITION BY m.topic_id ORDER BY score DESC NULLS LAST, m.chunk_id) AS r FROM topic_map m JOIN k USING (chunk_id) WHERE allowed AND {_MAPPED} AND (score IS NULL OR score >= {least})) WHERE r <= 30),
+sc AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS r FROM (SELECT request_id, chunk_id, boilerplate, used, round(list_inner_product(vec, q) / ({unit('vec')} * {unit('q')}), 5) AS score FROM k JOIN rq USING (course_id) WHERE allowed AND vec IS NOT NULL AND q IS NOT NULL)),
+wd AS (SELECT * FROM sc WHERE r <= 120 AND score >= least({least}, 0.05)),
+nr AS (SELECT request_id, chunk_id, 2 AS stage, score, boilerplate, used FROM (SELECT wd.*, row_number() OVER (PARTITION BY wd.request_id ORDER BY wd.score DESC, wd.chunk_id) AS place, 30 - coalesce(n, 0) AS free FROM wd LEFT JOIN (SELECT request_id, count(*) AS n FROM tp GROUP BY 1) c ON c.request_id = wd.request_id WHERE r <= 30 AND wd.score >= {least} AND NOT EXISTS (SELECT 1 FROM tp WHERE tp.request_id = wd.request_id AND tp.chunk_id = wd.chunk_id)) WHERE place <= free),
+sn AS (SELECT * FROM tp UNION ALL SELECT * FROM nr),
+fi AS (SELECT * FROM sn WHERE NOT boilerplate AND NOT used),
+em AS (SELECT request_id, course_id FROM rq WHERE request_id NOT IN (SELECT request_id FROM fi)),
+us AS (SELECT wd.*, count_if(NOT used) OVER (PARTITION BY request_id) AS fresh FROM wd WHERE score >= 0.05 AND NOT boilerplate AND request_id IN (SELECT request_id FROM em) AND NOT EXISTS (SELECT 1 FROM sn WHERE sn.request_id = wd.request_id AND sn.chunk_id = wd.chunk_id)),
+br AS (SELECT request_id, chunk_id, CASE WHEN fresh > 0 THEN 3 ELSE 4 END AS stage, score FROM us WHERE fresh = 0 OR NOT used),
+co AS (SELECT request_id, chunk_id, 5 AS stage, 0.5 AS score FROM (SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY chunk_index, chunk_id) AS r FROM em JOIN k USING (course_id) WHERE allowed AND vec IS NOT NULL AND request_id NOT IN (SELECT request_id FROM br)) WHERE r <= 20),
+st AS (SELECT request_id, chunk_id, stage, score FROM fi UNION ALL SELECT * FROM br UNION ALL SELECT * FROM co),
+gen AS (SELECT * FROM (SELECT request_id, chunk_id, stage, score::DOUBLE AS score, row_number() OVER (PARTITION BY request_id ORDER BY penalised, score DESC, stage, chunk_id) AS rank FROM st JOIN k USING (chunk_id)) WHERE rank <= 10)"""
 
 
-_GEN = """, c AS (SELECT m.topic_id, m.chunk_id, coalesce(m.score, 0.0) AS score, d.content, regexp_matches(substr(d.content, 1, 300), '(?im)^\\s*references') AS bad FROM topic_map m JOIN derived d ON d.doc_id = m.chunk_id),
-ok AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, chunk_id) AS f FROM c) WHERE f <= 30 AND NOT bad AND chunk_id % 7 <> 0),
-fb AS (SELECT topic_id, chunk_id, 0.5::DOUBLE AS score FROM c WHERE topic_id NOT IN (SELECT topic_id FROM ok)),
-al AS (SELECT topic_id, chunk_id, score FROM ok UNION ALL SELECT * FROM fb)
-SELECT topic_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY chunk_id % 3 = 0, score DESC, chunk_id) AS rank FROM al) WHERE rank <= 10"""
+def _gen_query(least: float, body: str) -> str:
+    return with_sql("derived topics topic_map", "").rstrip() + ", " + _gen_sql(least) + " " + body
 
 
-@query("retrieve_for_generation", with_sql("derived topic_map", "").rstrip() + _GEN)
+_GEN_ROWS = "SELECT request_id AS topic_id, chunk_id, stage, score, rank FROM gen"
+
+
+@query("retrieve_for_generation", _gen_query(0.0, _GEN_ROWS))
 def retrieve_for_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of each topic (three times k), without boilerplate and used chunks; all chunks of the topic if none is left; fresh ones first."""
-    k = 10
-    own = Window.partitionBy("topic_id")
-    heading = F.substring("content", 1, 300).rlike(r"(?im)^\s*references")
-    joined = topic_map(spark, sf_dir).join(derived(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), heading.alias("bad")), "chunk_id").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    ranked = joined.withColumn("f", F.row_number().over(own.orderBy(F.desc("score"), "chunk_id")))
-    good = (F.col("f") <= 3 * k) & ~F.col("bad") & (F.col("chunk_id") % 7 != 0)
-    staged = ranked.withColumn("good", good).withColumn("n_good", F.count_if("good").over(own)).where("good OR n_good = 0")
-    score = F.when(F.col("good"), F.col("score")).otherwise(F.lit(0.5))
-    rank = F.row_number().over(own.orderBy(F.col("chunk_id") % 3 == 0, F.desc(score), "chunk_id"))
-    return staged.withColumn("rank", rank).where(F.col("rank") <= k).select("topic_id", "chunk_id", "rank")
+    """The context chunks of every topic, with the stage that each comes from."""
+    return context_chunks(*_requests(spark, sf_dir)).withColumnRenamed("request_id", "topic_id")
+
+
+@query("retrieve_for_slot", _gen_query(0.1, _GEN_ROWS))
+def retrieve_for_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a least score."""
+    return context_chunks(*_requests(spark, sf_dir), min_score=0.1).withColumnRenamed("request_id", "topic_id")
 
 
-query("retrieve_for_slot", with_sql("derived topic_map", "").rstrip() + _GEN)(retrieve_for_generation)
+_FACT_HIT = " OR ".join(f"regexp_matches(line, {literal(p)})" for p in FACTS)
 
 
-@query("context_build", with_sql("derived topic_map", "SELECT topic_id, string_agg(concat('[Evidence ', r, ']', chr(10), CASE WHEN length(trim(content)) > 1400 THEN substr(trim(content), 1, 1400) || ' …' ELSE trim(content) END), chr(10) || chr(10) ORDER BY r) AS context FROM (SELECT topic_id, content, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC NULLS LAST, chunk_id) AS r FROM topic_map m JOIN derived d ON d.doc_id = m.chunk_id) WHERE r <= 2 GROUP BY 1"))
+@query("context_build", _gen_query(0.0, f""", rk AS (SELECT request_id, rank, {strip('content')} AS content FROM gen JOIN derived ON doc_id = chunk_id),
+ev AS (SELECT request_id, rank, concat('[Evidence ', rank, ']', chr(10), CASE WHEN length(content) <= 1400 THEN content WHEN contains(h, '.') AND 1400 - instr(reverse(h), '.') > 700 THEN h[:1401 - instr(reverse(h), '.')] || ' …' ELSE h || ' …' END) AS s FROM (SELECT *, content[:1400] AS h FROM rk WHERE rank <= 2)),
+es AS (SELECT request_id, string_agg(s, chr(10) || chr(10) ORDER BY rank) AS e, 7980 - sum(length(s) + 2) AS free FROM ev GROUP BY 1),
+ln AS (SELECT request_id, rank, line_no, {strip('raw')} AS line FROM (SELECT request_id, rank, unnest(string_split(d.content, chr(10))) AS raw, unnest(range(len(string_split(d.content, chr(10))))) AS line_no FROM gen JOIN derived d ON doc_id = chunk_id WHERE rank > 2)),
+fc AS (SELECT request_id, rank, line_no, substr(line, 1, 220) AS fact FROM ln WHERE length(line) >= 10 AND ({_FACT_HIT})),
+fo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, trim(lower(fact)) ORDER BY rank, line_no) AS again FROM fc) WHERE again = 1),
+fu AS (SELECT *, sum(length(fact) + 3) OVER (PARTITION BY request_id ORDER BY rank, line_no) AS spent FROM fo),
+fl AS (SELECT request_id, string_agg('• ' || fact, chr(10) ORDER BY rank, line_no) AS f FROM fu JOIN es USING (request_id) WHERE free > 100 AND spent <= free GROUP BY 1)
+SELECT request_id AS topic_id, CASE WHEN f IS NULL THEN e ELSE concat(e, chr(10), chr(10), '[Key Facts]', chr(10), f) END AS context FROM es LEFT JOIN fl USING (request_id)""".lstrip(" ")))
 def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two best chunks of each topic, cut to 1400 characters."""
-    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc_nulls_last("score"), "chunk_id"))
-    top = topic_map(spark, sf_dir).withColumn("r", rank).where("r <= 2")
-    body = F.trim("content")
-    cut = F.when(F.length(body) > 1400, F.concat(F.substring(body, 1, 1400), F.lit(" …"))).otherwise(body)
-    sections = top.join(derived(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), "chunk_id").select("topic_id", "r", F.concat(F.lit("[Evidence "), F.col("r").cast("string"), F.lit("]\n"), cut).alias("s"))
-    return sections.groupBy("topic_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "s"))), lambda x: x["s"]), "\n\n").alias("context"))
+    """Evidence and key facts of every topic's context chunks; texts are joined to the few chosen chunks only."""
+    texts = derived(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "content")
+    ranked = retrieve_for_generation(spark, sf_dir).select(F.col("topic_id").alias("request_id"), "chunk_id", "rank").join(texts, "chunk_id")
+    return build_context(ranked).withColumnRenamed("request_id", "topic_id")
 
 
 @query("dup_in_job")
 def dup_in_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Within a set, in order: a question is a duplicate if it is too similar to one that was accepted before."""
-
-    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set[str]] = []
-        flags = []
-        for tokens in pdf.sort_values("question_id")["t"].map(set):
-            near = any(len(tokens & k) > 0.3 * len(tokens | k) for k in kept)
-            flags.append(near)
-            if not near:
-                kept.append(tokens)
-        return pd.DataFrame({"question_id": sorted(pdf["question_id"]), "duplicate": flags})
-
-    t = stems(spark, sf_dir).select("set_id", "question_id", similarity.tokens(F.col("stem")).alias("t"))
-    return t.groupBy("set_id").applyInPandas(accept, "question_id long, duplicate boolean")
-
-
+    q = stems(spark, sf_dir).select(F.col("question_id").alias("id"), "set_id", similarity.tokens(F.col("stem")).alias("t"))
+    again = greedy_duplicates(near_pairs(q, 0.72, ("set_id",))).withColumn("duplicate", F.lit(True))
+    return q.join(again, "id", "left").select(F.col("id").alias("question_id"), F.coalesce("duplicate", F.lit(False)).alias("duplicate"))

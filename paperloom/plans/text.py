@@ -34,9 +34,9 @@ _register("clean_blank_lines", cleaning.limit_blank_lines, "regexp_replace(conte
 _register("clean_text", cleaning.clean, strip("regexp_replace(" + _TIDY.replace("@", _SPACED.replace("content", _NO_CONTROLS)) + ", '\\n{3,}', chr(10) || chr(10), 'g')"))
 
 
-def _tex_sql() -> str:
+def tex_sql(column: str = "content") -> str:
     """Two characters that do not occur in text stand for the backslash and the braces until the end."""
-    x = "replace(replace(replace(content, chr(92), chr(2)), '{', chr(3)), '}', chr(4))"
+    x = f"replace(replace(replace({column}, chr(92), chr(2)), '{{', chr(3)), '}}', chr(4))"
     for c in "&%$#_":
         x = f"replace({x}, {literal(c)}, {literal(chr(92) + c)})"
     for c, good in (("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}")):
@@ -46,7 +46,7 @@ def _tex_sql() -> str:
     return x
 
 
-_register("latex_escape", notation.escape_tex, _tex_sql())
+_register("latex_escape", notation.escape_tex, tex_sql())
 _register("snippet", notation.snippet, "concat(" + strip("substr(content, 1, 500)") + ", CASE WHEN length(content) > 500 THEN ' …' ELSE '' END)")
 _CUT = "CASE WHEN contains(substr(b, 1, 1400), '.') AND 1400 - instr(reverse(substr(b, 1, 1400)), '.') > 700 THEN substr(b, 1, CAST(1400 - instr(reverse(substr(b, 1, 1400)), '.') + 1 AS BIGINT)) ELSE substr(b, 1, 1400) END"
 query("evidence_truncate", with_sql("derived", f"SELECT doc_id, CASE WHEN length(b) > 1400 THEN concat({_CUT}, ' …') ELSE b END AS result FROM (SELECT doc_id, trim(content) AS b FROM derived)"))(_over_derived(notation.evidence))

@@ -26,3 +26,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few partitions (small, or in few files) dealt out to all cores, for work that is heavy for each row.
+
+    A table with about as many partitions as there are cores, or more, is left as it is, so nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

@@ -22,6 +22,16 @@ def write_topics(topics: DataFrame, mapping: DataFrame, path: str) -> None:
     mapping.write.mode("overwrite").parquet(f"{path}/topic_chunk_map")
 
 
-def write_tex(exams: DataFrame, path: str, body: str = "body") -> None:
-    """One line-delimited text file for each partition of rendered exams."""
-    exams.select(F.col(body).alias("value")).write.mode("overwrite").text(path)
+def write_tex(exams: DataFrame, path: str, key: str, body: str) -> None:
+    """A folder for each exam with its rendered text in one file: an exam is one row, so no other text is in it."""
+    exams.select(key, F.col(body).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def append_rows(rows: DataFrame, path: str, *partition: str) -> None:
+    """Append to a log; nothing that stands there is touched, and a failed job adds nothing."""
+    rows.write.mode("append").partitionBy(*partition).parquet(path)
+
+
+def latest(log: DataFrame, key: str, column: str, *order: str) -> DataFrame:
+    """The current view of a log: for each key the column of its last row, and the number of rows."""
+    return log.groupBy(key).agg(F.max_by(column, F.struct(*order)).alias(column), F.count("*").alias("n"))
