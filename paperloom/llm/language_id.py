@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.registry import spread
+
 #: Size of the hashed feature table of each language, smoothing, cost of a change of language in nats, text bytes handled at a time.
 BUCKETS, SMOOTH, SWITCH, CHUNK = 1 << 16, 0.5, 9.0, 4_000_000
 #: A language uses a script that at least this share of its letters is in.
@@ -100,7 +102,7 @@ def train(labelled: DataFrame) -> LanguageModel:
             there = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there), pa.array(sums[there].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    counts = labelled.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = spread(labelled.select("text", "lang")).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique(), key=lambda x: x.encode())
     dense = np.zeros((BUCKETS + len(_KINDS), len(languages)))
     dense[counts["bucket"].to_numpy(dtype=np.int64), [languages.index(x) for x in counts["lang"]]] = counts["n"]
@@ -181,7 +183,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 out = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], kind)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *out], names=["doc_id", "lang_pred", "score", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

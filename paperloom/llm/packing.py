@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import materialise, prefix_sums, row_hash, slices
+from paperloom.registry import spread
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -70,7 +71,7 @@ def pieces(docs: DataFrame, most: int, ranks_path: str | None = None, with_ids:
             names = [n for n in out if with_ids or n != "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(out[n], types.get(n, pa.int64())) for n in names], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 def pack_counts(counts: np.ndarray) -> list[tuple[list[int], int]]:
