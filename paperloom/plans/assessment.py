@@ -12,6 +12,7 @@ from paperloom.operators.apportion import largest_remainder
 from paperloom.plans.fixtures import literal, options, stems, strip, topic_map, with_sql
 from paperloom.plans.text import tex_sql
 from paperloom.registry import query, table
+from paperloom.streaming.budgets import time_slices
 
 # blueprints: orders, with counts by type and a difficulty mix from their keys
 _COUNTS = {"mcq": "o_orderkey % 7", "true_false": "o_orderkey % 5", "short_answer": "o_orderkey % 3", "essay": "o_orderkey % 2"}
@@ -368,11 +369,37 @@ def math_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.bround(p / 1000, 1).alias("half_even"), F.floor(p).alias("fl"), F.ceil(p).alias("ce"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p / 100000)).alias("clamped"))
 
 
-@query("grounding_gate", with_sql("stems", "SELECT question_id FROM stems WHERE set_id % 6 <> 0"))
+# replies of the generating model for each set: some call their context insufficient, some hold no question, some are no JSON
+_SET_REPLY = "CASE set_id % 6 WHEN 0 THEN '{\"insufficient_context\": true, \"questions\": [{\"stem\": \"x\"}]}' WHEN 1 THEN '{\"insufficient_context\": false, \"questions\": []}' WHEN 2 THEN 'no reply' WHEN 3 THEN '{\"questions\": [{\"stem\": \"x\"}]}' ELSE '{\"insufficient_context\": false, \"questions\": [{\"stem\": \"x\"}, {\"stem\": \"y\"}]}' END"
+
+
+@query("grounding_gate", with_sql("stems", f"SELECT question_id, n FROM (SELECT question_id, CASE WHEN json_valid(r) THEN coalesce((r::JSON ->> 'insufficient_context')::BOOLEAN, false) END AS short, CASE WHEN json_valid(r) THEN json_array_length(r::JSON, '$.questions')::INTEGER END AS n FROM (SELECT question_id, {_SET_REPLY} AS r FROM stems)) WHERE NOT short AND n > 0"))
 def grounding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches that the model calls ungrounded are dropped whole."""
-    q = stems(spark, sf_dir).withColumn("insufficient", F.col("set_id") % 6 == 0)
-    return q.where(~F.col("insufficient")).select("question_id")
+    """Batches whose reply calls the context insufficient, holds no question, or cannot be read are dropped whole."""
+    reply = F.from_json(F.expr(_SET_REPLY), "insufficient_context boolean, questions array<struct<stem:string>>")
+    q = stems(spark, sf_dir).select("question_id", reply.alias("r"))
+    return q.where(~F.coalesce("r.insufficient_context", F.lit(False)) & (F.size("r.questions") > 0)).select("question_id", F.size("r.questions").alias("n"))
+
+
+# verdicts of the checking model on multiple choice as it writes them, the key that it names, and the key that was claimed
+_MCQ_VERDICT = {
+    "raw": "CASE question_id % 6 WHEN 0 THEN 'Correct' WHEN 1 THEN ' wrong correct ' WHEN 2 THEN 'WRONG_CORRECT' WHEN 3 THEN 'multiple_correct' WHEN 4 THEN 'no idea' ELSE 'error' END",
+    "named": "CASE question_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' b' WHEN 2 THEN 'E' ELSE 'A' END",
+    "claimed": "CASE WHEN question_id % 2 = 0 THEN 'A' ELSE 'B' END",
+    "confidence": "CASE WHEN question_id % 7 < 5 THEN 0.8 ELSE 0.6 END",
+}
+_MCQ_SEEN = ", ".join(f"{x} AS {name}" for name, x in _MCQ_VERDICT.items())
+
+
+@query("verify_mcq", with_sql("stems", f"SELECT question_id, verdict, key, CASE WHEN verdict = 'multiple_correct' OR (verdict = 'wrong_correct' AND confidence >= 0.8 AND key <> claimed) THEN 'reject' ELSE 'keep' END AS decision FROM (SELECT question_id, claimed, confidence, CASE WHEN v IN ('correct', 'wrong_correct', 'multiple_correct', 'ambiguous', 'error') THEN v ELSE 'ambiguous' END AS verdict, CASE WHEN k IN ('A', 'B', 'C', 'D') THEN k ELSE claimed END AS key FROM (SELECT question_id, claimed, confidence, replace(trim(lower(raw)), ' ', '_') AS v, trim(upper(named)) AS k FROM (SELECT question_id, {_MCQ_SEEN} FROM stems WHERE type = 'mcq')))"))
+def verify_mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several right options reject, a confident other key rejects; a verdict that names the claimed key contradicts itself and keeps."""
+    seen = stems(spark, sf_dir).where("type = 'mcq'").select("question_id", *(F.expr(x).alias(name) for name, x in _MCQ_VERDICT.items()))
+    said, named = F.replace(F.trim(F.lower("raw")), F.lit(" "), F.lit("_")), F.trim(F.upper("named"))
+    verdict = F.when(said.isin("correct", "wrong_correct", "multiple_correct", "ambiguous", "error"), said).otherwise("ambiguous")
+    judged = seen.select("question_id", "claimed", "confidence", verdict.alias("verdict"), F.when(named.isin(*"ABCD"), named).otherwise(F.col("claimed")).alias("key"))
+    other = (F.col("verdict") == "wrong_correct") & (F.col("confidence") >= 0.8) & (F.col("key") != F.col("claimed"))
+    return judged.select("question_id", "verdict", "key", F.when(other | (F.col("verdict") == "multiple_correct"), "reject").otherwise("keep").alias("decision"))
 
 
 @query("nonempty_sa", with_sql("stems", "SELECT question_id FROM stems WHERE type IN ('short_answer', 'essay') AND length(trim(stem)) > 0"))
@@ -389,28 +416,32 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", (F.col("user_id") % 20).alias("provider"), "ts", F.floor(F.abs("value") * 100).alias("tokens"), "event_type")
 
 
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
 @query("rt_token_budget", f"SELECT event_id, sum(tokens) OVER (PARTITION BY provider ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)::BIGINT AS offered FROM ({_CALLS})")
 def rt_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that a provider was offered in the 60 seconds up to each call."""
-    c = calls(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    load = F.sum("tokens").over(Window.partitionBy("provider").orderBy("us").rangeBetween(-60_000_000, 0))
-    return c.select("event_id", load.alias("offered"))
+    sliced = time_slices(_timed(spark, sf_dir), 60_000_000)
+    load = F.sum("tokens").over(Window.partitionBy("provider", "slice").orderBy("us").rangeBetween(-60_000_000, 0))
+    return sliced.select("event_id", "own", load.alias("offered")).where("own").drop("own")
 
 
 @query("rt_circuit_breaker", f"SELECT event_id, coalesce(epoch_us(ts) - f <= 600000000, false) AS open FROM (SELECT *, max(CASE WHEN event_type = 'error' OR tokens % 7 = 0 THEN epoch_us(ts) END) OVER (PARTITION BY provider ORDER BY epoch_us(ts), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM ({_CALLS}))")
 def rt_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that come within 600 seconds of their provider's last failure."""
-    c = calls(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    before = Window.partitionBy("provider").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    sliced = time_slices(_timed(spark, sf_dir), 600_000_000)
+    before = Window.partitionBy("provider", "slice").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     failed = F.max(F.when((F.col("event_type") == "error") | (F.col("tokens") % 7 == 0), F.col("us"))).over(before)
-    return c.select("event_id", F.coalesce(F.col("us") - failed <= 600_000_000, F.lit(False)).alias("open"))
+    return sliced.select("event_id", "own", F.coalesce(F.col("us") - failed <= 600_000_000, F.lit(False)).alias("open")).where("own").drop("own")
 
 
 @query("rt_throttle", f"SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY provider ORDER BY epoch_us(ts), event_id) < 6500000, false) AS too_soon FROM ({_CALLS})")
 def rt_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = calls(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    last = F.lag("us").over(Window.partitionBy("provider").orderBy("us", "event_id"))
-    return c.select("event_id", F.coalesce(F.col("us") - last < 6_500_000, F.lit(False)).alias("too_soon"))
+    sliced = time_slices(_timed(spark, sf_dir), 6_500_000)
+    last = F.lag("us").over(Window.partitionBy("provider", "slice").orderBy("us", "event_id"))
+    return sliced.select("event_id", "own", F.coalesce(F.col("us") - last < 6_500_000, F.lit(False)).alias("too_soon")).where("own").drop("own")
 
 
 # replies of an overloaded provider: some with a header, some with a hint in the body

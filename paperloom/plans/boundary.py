@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from paperloom.functions import notation
-from paperloom.operators import chunking, models
+from paperloom.operators import chunking, models, slots
 from paperloom.operators.generation import scratch
 from paperloom.plans.assessment import _EXPORT_SQL as EXPORT_SQL
 from paperloom.plans.assessment import CONFIG_SCHEMA, VALIDATIONS_SQL, export_render, validators_run
@@ -176,27 +175,10 @@ def topic_save_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("slot_loop")
 def slot_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots of a job in order: up to three attempts each, and chunks of failed attempts are not used again."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        out = []
-        for r in pdf.sort_values("question_id").itertuples(index=False):
-            free = [c for c in range(40) if c not in used]
-            chosen, attempts = -1, 0
-            for attempts in range(1, 4):
-                if not free:
-                    break
-                pick = free[(r.question_id ^ (attempts * 0x9E3779B9)) % len(free)]
-                used.add(pick)
-                free.remove(pick)
-                if pick % 4:
-                    chosen = pick
-                    break
-            out.append((r.set_id, r.question_id, chosen, attempts))
-        return pd.DataFrame(out, columns=["set_id", "question_id", "chunk_id", "attempts"])
-
-    return stems(spark, sf_dir).select("set_id", "question_id").groupBy("set_id").applyInPandas(run, "set_id long, question_id long, chunk_id long, attempts long")
+    """User turns as the slots of their conversation's job, over the chunks of their topic; replies by question and attempt."""
+    replies = F.array(*(F.pmod(F.xxhash64("question_id", F.lit(k)), F.lit(4)) != 0 for k in range(slots.ATTEMPTS)))
+    asked = stems(spark, sf_dir).select(F.floor(F.col("question_id") / 100).alias("job_id"), F.col("question_id").alias("slot"), (F.col("question_id") % 25).alias("topic_id"), "difficulty", "stem", replies.alias("replies"))
+    return slots.fill_slots(asked, topic_map(spark, sf_dir))
 
 
 @query("exam_add", "SELECT l_orderkey AS exam_id, l_partkey AS question_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY added, l_linenumber, l_partkey) AS position FROM (SELECT l_orderkey, l_partkey, l_linenumber, 0 AS added FROM lineitem UNION ALL SELECT o_orderkey, 1, 1, 1 FROM orders)")

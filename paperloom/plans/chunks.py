@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from paperloom.functions import cleaning, rules, similarity
 from paperloom.operators import chunking
 from paperloom.operators.generation import FACTS, is_fact
+from paperloom.operators.headings import HEADING_REGEX
 from paperloom.plans.fixtures import derived, literal, outline, stems, strip, with_sql
 from paperloom.registry import query, table
 
@@ -285,8 +286,6 @@ def toc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where(F.col("line").rlike(pattern)).select("doc_id", "seq", F.regexp_extract("line", pattern, 1).alias("title"), F.regexp_extract("line", pattern, 2).cast("int").alias("page"), level.alias("level"))
 
 
-#: Heading lines by pattern, tried in this order.
-HEADING_REGEX = {"numbered": r"^\d+(?:\.\d+){0,3}\s{1,4}[A-Z][\pL\pN_ ,\-:()/'\"]+$", "labelled": r"(?i)^(Chapter|Section|Part|Unit|Module|Topic|Lecture)\s+[\dIVX]+\s*[:\-–—.]?\s+.+$", "caps": r"^[A-Z0-9][A-Z0-9 ,:;\-/&()]{8,}$"}
 _KIND = "CASE " + " ".join(f"WHEN regexp_matches(trim(raw), {literal(p)}) THEN {literal(k)}" for k, p in HEADING_REGEX.items()) + " END"
 
 

@@ -75,7 +75,35 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.selectExpr("l_orderkey AS doc_id", "l_linenumber AS seq", "cast(1 + l_partkey % 3 AS int) AS level", "concat(CASE l_partkey % 4 WHEN 0 THEN 'Chapter 3: ' WHEN 1 THEN '1.2 ' ELSE '' END, 'Part ', cast(l_partkey AS string)) AS title", "cast(CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE l_linenumber * 3 + l_suppkey % 3 END AS int) AS page")
 
 
+# twenty documents are the pages of a book: a running header, here and there a heading line, and a printed table of contents
+_BOOK_TEXT = """CASE
+ WHEN doc_id % 20 = 0 AND doc_id % 3 = 0 THEN concat('LECTURE NOTES ON GRAPHS', chr(10), 'Contents', chr(10), '1.1 Sets and Maps ..... 3', chr(10), '    2.1 Trees of Order ', doc_id, ' . . . . ', 5 + doc_id % 9, chr(10), '        Walks on Graphs and Trees', chr(10), '  Sets and  maps ..... 4', chr(10), 'Index ..... 99', chr(10), 'Homework Problems ..... 12')
+ WHEN doc_id % 20 = 2 AND doc_id % 3 <> 1 THEN concat('Trees in Order ..... 8', chr(10), 'lower case line', chr(10), 'Flows of Order ', doc_id, ' .... 9', chr(10), '      Cuts and Flows . . 11', chr(10), 'Trees in Order ..... 9')
+ ELSE concat('LECTURE NOTES ON GRAPHS', chr(10), CASE doc_id % 9
+  WHEN 1 THEN concat(1 + doc_id % 20, '.2  Matchings and Covers ', doc_id, chr(10))
+  WHEN 2 THEN concat('Chapter ', 1 + doc_id % 20, ': Flows of Order ', doc_id, chr(10))
+  WHEN 3 THEN concat('  INDUCTION (PART ', doc_id, ')', chr(10), 'AND RECURSION-TREES', chr(10))
+  WHEN 4 THEN concat('HTTP://WWW.EXAMPLE.ORG', chr(10), '12345678901', chr(10))
+  WHEN 5 THEN concat('1.2.3.4 Deep Part', chr(10), '7 Order of Growth', chr(10), '3.1.4 Small Part', chr(10)) ELSE '' END, text) END"""
+_SPAN = {"size": "CASE WHEN length(text) <= 80 THEN 10 + length(text) % 5 ELSE 10 END", "bold": "length(text) % 7 = 0"}
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_number, text: the pages of books."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select(F.floor(F.col("doc_id") / 20).alias("doc_id"), (F.col("doc_id") % 20 + 1).alias("page_number"), F.expr(_BOOK_TEXT).alias("text"))
+
+
+def book_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page, seq, text, size, bold: the lines of the books' pages as layout spans."""
+    lines = books(spark, sf_dir).select("doc_id", F.col("page_number").alias("page"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    return lines.select("doc_id", "page", F.col("seq").cast("long").alias("seq"), "text", F.expr(_SPAN["size"]).cast("double").alias("size"), F.expr(_SPAN["bold"]).alias("bold"))
+
+
 CTE = {
+    "books": f"SELECT cast(floor(doc_id / 20) AS BIGINT) AS doc_id, doc_id % 20 + 1 AS page_number, {_BOOK_TEXT} AS text FROM documents WHERE text IS NOT NULL",
+    "book_lines": "SELECT doc_id, page_number AS page, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS raw FROM books",
+    "book_spans": f"SELECT doc_id, page, line_no AS seq, raw AS text, cast({_SPAN['size'].replace('text', 'raw')} AS DOUBLE) AS size, {_SPAN['bold'].replace('text', 'raw')} AS bold FROM book_lines",
     "derived": f"SELECT doc_id, doc_id % 5 AS course_id, doc_id % 10 AS chunk_index, {_DERIVE.format(first60="array_to_string(string_split(text, ' ')[1:60], ' ')")} AS content FROM documents",
     "stems": "SELECT conv_id * 100 + turn AS question_id, " + ", ".join(f"{e} AS {n}" for n, e in _STEM_COLUMNS.items()) + " FROM conversations WHERE role = 'user'",
     "options": f"SELECT question_id, k, substr('ABCD', k + 1, 1) AS label, {_OPTION_TEXT} AS text, k = question_id % 5 AS is_correct FROM stems, (SELECT cast(unnest(range(4)) AS INTEGER) AS k) WHERE type = 'mcq'",

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperloom.functions import notation
+from paperloom.operators import headings
 from paperloom.operators import topics as ops
-from paperloom.plans.fixtures import outline, topics, with_sql
+from paperloom.plans.chunks import _TOC as TOC_NOISE_SQL
+from paperloom.plans.fixtures import book_spans, books, literal, outline, strip, topics, with_sql
 from paperloom.registry import query, table
 
 # extractor results: orders as courses, line items as the methods that were tried
@@ -79,22 +82,62 @@ def heading_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.merge_headings(spans)
 
 
-query("layout_topics")(lambda spark, sf_dir: heading_merge(spark, sf_dir).where("size >= 40").select("doc_id", "page", "text", F.when(F.col("size") >= 45, "CHAPTER").otherwise("SECTION").alias("level")))
+_LINE = strip("raw")
+_MARKED = "SELECT h.*, p.n_pages, o.n_on / p.n_pages::DOUBLE >= {share} AS boilerplate FROM {hits} h JOIN (SELECT doc_id, count(DISTINCT page_number) AS n_pages FROM books GROUP BY 1) p USING (doc_id) JOIN (SELECT doc_id, lower(title) AS low, count(DISTINCT page) AS n_on FROM {hits} GROUP BY 1, 2) o ON o.doc_id = h.doc_id AND o.low = lower(h.title)"
+_LAYOUT = f"""facts AS (SELECT doc_id, median(size) AS m FROM book_spans GROUP BY 1),
+found AS (SELECT doc_id, page, seq, size, {strip('text')} AS title FROM book_spans JOIN facts USING (doc_id) WHERE length({strip('text')}) BETWEEN 4 AND 120 AND (size >= 1.2 * m OR (bold AND size >= 1.05 * m))),
+marked AS ({_MARKED.format(share=0.30, hits='found')}),
+sums AS (SELECT doc_id, sum(n) AS n_spans, count_if(NOT b) AS headed, max(n_pages) AS n_pages FROM (SELECT doc_id, page, count(*) AS n, bool_or(boilerplate) AS b, max(n_pages) AS n_pages FROM marked GROUP BY 1, 2) GROUP BY 1),
+clean AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, seq, size, title) AS i FROM marked WHERE NOT boilerplate),
+walk AS (SELECT doc_id, i, page, size, title, i AS g FROM clean WHERE i = 1 UNION ALL
+SELECT c.doc_id, c.i, c.page, CASE WHEN j THEN greatest(w_size, c.size) ELSE c.size END, CASE WHEN j THEN w_title || ' ' || c.title ELSE c.title END, CASE WHEN j THEN g ELSE c.i END
+FROM (SELECT c.*, w.size AS w_size, w.title AS w_title, w.g, w.page = c.page AND abs(w.size - c.size) < 1.0 AS j FROM walk w JOIN clean c ON c.doc_id = w.doc_id AND c.i = w.i + 1) c),
+merged AS (SELECT w.doc_id, w.page, c.seq, w.size, w.title FROM walk w JOIN (SELECT doc_id, g, max(i) AS i FROM walk GROUP BY 1, 2) l USING (doc_id, g, i) JOIN clean c ON c.doc_id = w.doc_id AND c.i = w.g)
+SELECT doc_id, page, seq, title, CASE WHEN size >= 0.9 * max(size) OVER own THEN 'CHAPTER' WHEN size >= 1.2 * m THEN 'SECTION' ELSE 'HEADING' END AS level, lead(page) OVER (PARTITION BY doc_id ORDER BY page, seq) - 1 AS end_page, round(least(0.85, 0.50 + 0.005 * n_spans), 6)::DOUBLE AS confidence,
+round(least(0.82, 0.35 + 0.35 * least(headed / n_pages::DOUBLE, 1.0) + 0.02 * least(count(*) OVER own, 10)), 6) AS overall FROM merged JOIN facts USING (doc_id) JOIN sums USING (doc_id) WINDOW own AS (PARTITION BY doc_id)"""
 
 
-@query("toc_union", with_sql("outline", "SELECT doc_id, seq, title, 'outline' AS origin FROM outline WHERE doc_id % 3 <> 0 UNION ALL SELECT l_orderkey, l_linenumber, 'Line ' || l_partkey, 'text' FROM lineitem WHERE l_orderkey NOT IN (SELECT doc_id FROM outline WHERE doc_id % 3 <> 0)"))
-def toc_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's outline, or its scanned contents where it has none."""
-    first = outline(spark, sf_dir).where("doc_id % 3 <> 0").select("doc_id", "seq", "title", F.lit("outline").alias("origin"))
-    scanned = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), F.concat(F.lit("Line "), F.col("l_partkey").cast("string")).alias("title"), F.lit("text").alias("origin"))
-    return first.unionByName(scanned.join(first.select("doc_id").distinct(), "doc_id", "left_anti"))
+@query("layout_topics", with_sql("books book_lines book_spans", "").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + _LAYOUT)
+def layout_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headings.layout_headings(book_spans(spark, sf_dir))
+
+
+_HIT_KIND = "CASE " + " ".join(f"WHEN regexp_matches(line, {literal(p)}) THEN {literal(k)}" for k, p in headings.HEADING_REGEX.items()) + " END"
+_REGEX = f"""l AS (SELECT doc_id, page, line_no, {_LINE} AS line FROM book_lines),
+h AS (SELECT * FROM (SELECT *, {_HIT_KIND} AS kind FROM l WHERE length(line) BETWEEN 4 AND 120) WHERE kind IS NOT NULL AND NOT (kind = 'caps' AND regexp_matches(line, {literal(headings.ADDRESS)}))),
+t AS (SELECT doc_id, page, line_no, kind, CASE kind WHEN 'numbered' THEN {strip(f"regexp_extract(line, {literal(headings.HEADING_REGEX['numbered'])}, 2)")} WHEN 'labelled' THEN {strip(f"regexp_extract(line, {literal(headings.HEADING_REGEX['labelled'])}, 2)")}
+ELSE array_to_string(list_transform(regexp_extract_all(lower(line), '[a-z]+|[^a-z]+'), lambda r: concat(upper(r[1]), r[2:])), '') END AS title,
+CASE WHEN kind = 'labelled' THEN 'CHAPTER' WHEN kind = 'caps' THEN 'HEADING' ELSE coalesce(['CHAPTER', 'SECTION', 'SUBSECTION'][1 + len(string_split(regexp_extract(line, '^[0-9.]+'), '.')) - 1], 'HEADING') END AS level FROM h),
+kept AS (SELECT * FROM ({_MARKED.format(share=0.28, hits='t')}) WHERE NOT boilerplate)
+SELECT doc_id, page, line_no, kind, title, level, lead(page) OVER (PARTITION BY doc_id ORDER BY page, line_no, title) - 1 AS end_page, round(least(0.72, 0.30 + 0.20 * avg(CASE WHEN kind = 'numbered' THEN 1.0 ELSE 0.0 END) OVER own + 0.15 * avg(CASE WHEN kind = 'labelled' THEN 1.0 ELSE 0.0 END) OVER own), 6) AS confidence FROM kept WINDOW own AS (PARTITION BY doc_id)"""
+
+
+@query("regex_topics", with_sql("books book_lines", "").rstrip() + ", " + _REGEX)
+def regex_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headings.regex_headings(books(spark, sf_dir))
+
 
+_ENTRY, _SUFFIX = literal(headings.TOC_ENTRY), literal(notation.PAGE_SUFFIX)
+_TOC_TITLE = f"regexp_replace(trim(regexp_replace(trim(regexp_replace(raw_title, {_SUFFIX}, '')), '[.\\s]{{2,}}$', '')), '\\s{{2,}}', ' ', 'g')"
+_CONTENTS = f"""l AS (SELECT doc_id, page AS page_number, line_no, raw, {_LINE} AS line FROM book_lines),
+f AS (SELECT doc_id, page_number, count(*) >= 3 AND (bool_or(k <= 5 AND regexp_matches(line, {literal(headings.TOC_HEAD)})) OR count_if(regexp_matches(line, {literal(headings.TOC_PAGED)})) >= 0.4 * count(*)) AS toc
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_no) AS k FROM l WHERE line <> '') GROUP BY 1, 2),
+e AS (SELECT doc_id, page_number, line_no, length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS indent, {strip(f"regexp_extract(line, {_ENTRY}, 1)")} AS raw_title, TRY_CAST(nullif(regexp_extract(line, {_ENTRY}, 2), '') AS INTEGER) AS told
+FROM l JOIN f USING (doc_id, page_number) WHERE toc AND page_number <= 20 AND regexp_matches(line, {_ENTRY})),
+n AS (SELECT doc_id, page_number, line_no, {_TOC_TITLE} AS title, CASE WHEN indent <= 2 THEN 'CHAPTER' WHEN indent <= 5 THEN 'SECTION' ELSE 'SUBSECTION' END AS level, coalesce(told, TRY_CAST(nullif(regexp_extract(raw_title, {_SUFFIX}, 1), '') AS INTEGER)) AS page FROM e),
+scanned AS (SELECT doc_id, page_number, line_no, title, level, page FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(lower(trim(title)), '\\s+', ' ', 'g') ORDER BY line_no) AS r
+FROM (SELECT *, min(page_number) OVER (PARTITION BY doc_id) AS first FROM n WHERE NOT ({TOC_NOISE_SQL.replace('p_name', 'title')}) AND length(title) >= 3) WHERE page_number = first) WHERE r = 1)"""
 
-@query("toc_from_text", with_sql("outline", "SELECT doc_id, seq, title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(trim(title)) ORDER BY seq) AS r FROM outline WHERE seq <= 20) WHERE r = 1"))
+
+@query("toc_from_text", with_sql("books book_lines", "").rstrip() + ", " + _CONTENTS + " SELECT * FROM scanned")
 def toc_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the first 20 lines, the first of each title."""
-    rank = F.row_number().over(Window.partitionBy("doc_id", F.lower(F.trim("title"))).orderBy("seq"))
-    return outline(spark, sf_dir).where("seq <= 20").withColumn("r", rank).where("r = 1").select("doc_id", "seq", "title")
+    return headings.contents_from_text(books(spark, sf_dir))
+
+
+@query("toc_union", with_sql("books book_lines outline", "").rstrip() + ", " + _CONTENTS + " SELECT doc_id, seq, title, page, 'outline' AS origin FROM outline WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, line_no, title, page, 'text' FROM scanned WHERE doc_id NOT IN (SELECT doc_id FROM outline WHERE doc_id % 3 <> 0)")
+def toc_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three documents have an outline; the books among the others are scanned."""
+    return headings.contents(outline(spark, sf_dir).where("doc_id % 3 <> 0"), books(spark, sf_dir))
 
 
 @query("topic_reextract", with_sql("topics", "SELECT topic_id, name, 'MANUAL' AS source FROM topics WHERE NOT is_auto UNION ALL SELECT 1000 + r_regionkey, r_name, 'AUTO' FROM region"))
@@ -119,13 +162,6 @@ def topic_tree_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(parents, "parent_id", "left").select("topic_id", F.concat(depth, "name").alias("line"), F.coalesce("parent_name", "name").alias("top"))
 
 
-@query("regex_topics", "SELECT l_orderkey AS doc_id, round(least(0.72, 0.30 + 0.20 * (count_if(l_partkey % 4 = 1) / count(*)::DOUBLE) + 0.15 * (count_if(l_partkey % 4 = 0) / count(*)::DOUBLE)), 6) AS confidence FROM lineitem GROUP BY 1")
-def regex_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence of heading lines, from the shares of numbered and labelled ones."""
-    share = lambda k: F.count_if(F.col("l_partkey") % 4 == k) / F.count("*")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.round(F.least(F.lit(0.72), 0.30 + 0.20 * share(1) + 0.15 * share(0)), 6).alias("confidence"))
-
-
 @query("topic_names_v1", "WITH w AS (SELECT w AS name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) GROUP BY 1 ORDER BY n DESC, name LIMIT 60) SELECT name, n FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.name <> a.name AND contains(b.name, a.name))")
 def topic_names_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 60 most frequent words without those that lie in another one."""
