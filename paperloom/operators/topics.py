@@ -1,15 +1,36 @@
-"""Topic operators whose order of acceptance matters: near-duplicate removal and heading merges, a group at a time."""
+"""Topic operators: near-duplicate removal and heading merges in order, names by headings and phrases, labels of clusters."""
 
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from paperloom.functions import notation, rules
 
 #: Near-duplicate ratio and most topics of a course.
 NEAR_RATIO, MOST_TOPICS = 0.82, 25
+#: Most frequent phrases of three and of two words that may name a topic.
+TRIGRAMS, BIGRAMS = 60, 80
+
+#: Words that neither start nor end a phrase.
+STOPWORDS = "a about above after again against all also am an and any are as at be because been before being between both but by can cannot could did do does doing down during each few for from further get got had has have having he her here him his how i if in into is it its itself let me more most my no nor not now of off on once only or other our out over own per same she should so some such than that the their them then there these they this those through to under until up us was we were what when where which while who will with would you your".split()
+#: Lines that are headings, and the ones that never are.
+HEADING = [r"(?i)^(Chapter|Section|Unit|Lecture|Topic|Part|Module|Appendix)\s*[\d:–\-]", r"^(\d+\.)+(\d+)?\s+[A-Z]", r"^[A-Z][A-Z\s\-/]{2,}$", r"^[A-Z][a-zA-Z\s\-/:()']{2,}$"]
+#: Words that label no cluster.
+CLUSTER_STOPWORDS = "the a an and or but in on at to for of with is are was were be been being have has had do does did will would shall should may might can could that this these those it its which who from by as not no if then so we you they i he she all also".split()
+
+
+def _near(low: str, other: str) -> bool:
+    """Whether the ratio reaches NEAR_RATIO; its two upper bounds are cheaper and settle most pairs."""
+    m = difflib.SequenceMatcher(None, low, other)
+    return m.real_quick_ratio() >= NEAR_RATIO and m.quick_ratio() >= NEAR_RATIO and m.ratio() >= NEAR_RATIO
 
 
 def postprocess(topics: DataFrame, most: int = MOST_TOPICS) -> DataFrame:
@@ -18,17 +39,90 @@ def postprocess(topics: DataFrame, most: int = MOST_TOPICS) -> DataFrame:
     A course's topics are a bounded group (an outline's entries); courses run side by side.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for row in pdf.sort_values(["confidence", "seq"], ascending=[False, True]).itertuples(index=False):
-            low = row.title.lower()
-            if not any(difflib.SequenceMatcher(None, low, k.title.lower()).ratio() >= NEAR_RATIO for k in kept):
-                kept.append(row)
-        out = pd.DataFrame(kept[:most], columns=pdf.columns)
-        out = out.sort_values(["page", "title"], kind="stable", na_position="last")
-        return out.assign(rank=range(1, len(out) + 1))[["course_id", "seq", "title", "rank"]]
-
-    return topics.groupBy("course_id").applyInPandas(one, "course_id long, seq long, title string, rank long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for course, entries in zip(pdf["course_id"], pdf["entries"]):
+                kept: list[dict] = []
+                for e in sorted(entries, key=lambda e: (-e["confidence"], e["seq"])):
+                    if not any(_near(e["title"].lower(), k["title"].lower()) for k in kept):
+                        kept.append(e)
+                placed = sorted(kept[:most], key=lambda e: (e["page"] is None, e["page"], e["title"]))
+                out += [(course, e["seq"], e["title"], rank) for rank, e in enumerate(placed, 1)]
+            yield pd.DataFrame(out, columns=["course_id", "seq", "title", "rank"])
+
+    courses = topics.groupBy("course_id").agg(F.collect_list(F.struct("seq", "title", "confidence", "page")).alias("entries"))
+    return courses.mapInPandas(run, "course_id long, seq long, title string, rank long")
+
+
+def heading_names(chunks: DataFrame) -> DataFrame:
+    """name of each heading line of content: the subtitle of a labelled one, else the line, without numbering, in title case."""
+    lines = chunks.select(F.explode(F.split("content", "\n")).alias("raw")).select(F.regexp_replace("raw", r"^\s+|\s+$", "").alias("line"))
+    kind = F.coalesce(*(F.when(F.col("line").rlike(p), k) for p, k in zip(HEADING, ("keyword", "numbered", "caps", "title"))))
+    fits = F.length("line").between(3, 80) & ~F.col("line").rlike(r"[.,;]\s*$")
+    bare = F.col("line").rlike(rf"(?i)^({notation.STRUCTURAL})\s*[\d.\-–]*\s*$")
+    after = F.trim(F.regexp_extract("line", r"[:\-–]\s*(.+)$", 1))
+    stem = F.trim(F.regexp_replace("line", r"^[\d.\-–•*]+\s*", ""))
+    name = F.when(F.col("kind") == "keyword", F.when(~bare & (F.length(after) >= 3), after)).when(F.col("kind") == "numbered", F.when(F.length(stem) >= 3, stem)).otherwise(F.col("line"))
+    named = lines.where(fits).withColumn("kind", kind).where("kind is not null").select(notation.title_case(name).alias("name"))
+    return named.where((F.length("name") >= 3) & ~rules.is_service_noise(F.col("name")))
+
+
+def _phrases(chunks: DataFrame, n: int, most: int) -> DataFrame:
+    """The most frequent runs of n words that no stop word opens or closes: kind, rank, name, n, score."""
+    stop = F.array(*map(F.lit, STOPWORDS))
+    words = chunks.select(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w")).where(F.size("w") >= n)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.slice("w", i, n))
+    open_ = F.filter(runs, lambda g: ~F.array_contains(stop, F.get(g, 0)) & ~F.array_contains(stop, F.get(g, n - 1)))
+    top = words.select(F.explode(open_).alias("g")).groupBy(F.array_join("g", " ").alias("g")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(most)
+    length = (F.length("g") - (n - 1)) / n
+    return top.select(F.lit(n).alias("kind"), F.struct((-F.col("n")).alias("n"), "g").alias("rank"), notation.title_case(F.col("g")).alias("name"), F.round(F.col("n") * length * length, 6).alias("score"))
+
+
+def topic_names(chunks: DataFrame, most: int = MOST_TOPICS) -> DataFrame:
+    """rank and name of the topics of a course's chunks (content): repeated headings first, then key phrases.
+
+    A phrase of two words is left out if it lies in one of three or in a more frequent one of two; of names of which one lies
+    in the other the longer stays. Counting is distributed; what is merged in one row is at most ``most`` headings, TRIGRAMS
+    and BIGRAMS phrases.
+    """
+    heads = heading_names(chunks).groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(most)
+    heads = heads.select(F.lit(1).alias("kind"), F.struct((-F.col("n")).alias("n"), F.col("name").alias("g")).alias("rank"), "name", F.lit(0.0).alias("score"))
+    phrases = _phrases(chunks, 3, TRIGRAMS).unionByName(_phrases(chunks, 2, BIGRAMS)).where(~rules.is_service_noise(F.col("name")))
+    row = heads.unionByName(phrases).groupBy().agg(F.array_sort(F.collect_list(F.struct("kind", "rank", "name", "score"))).alias("a"))
+    inside = lambda x, y: F.contains(F.lower(y["name"]), F.lower(x["name"]))
+    covered = lambda x: F.exists("a", lambda y: inside(x, y) & ((y["kind"] == 3) | ((y["kind"] == 2) & (y["rank"] < x["rank"]))))
+    first = F.transform(F.filter("a", lambda x: x["kind"] == 1), lambda x: x["name"])
+    free = F.filter("a", lambda x: (x["kind"] == 3) | ((x["kind"] == 2) & ~covered(x)))
+    row = row.select(first.alias("first"), F.array_sort(F.transform(free, lambda x: F.struct((-x["score"]).alias("s"), x["name"].alias("name")))).alias("free"))
+    new = F.transform(F.filter("free", lambda x: ~F.array_contains("first", x["name"])), lambda x: x["name"])
+    row = row.select(F.concat("first", F.slice(new, F.lit(1), F.greatest(F.lit(0), F.lit(2 * most) - F.size("first")))).alias("names"))
+    low = F.transform("names", F.lower)
+    row = row.select("names", low.alias("low"))
+    longer = lambda i: F.exists("low", lambda y: (y != F.get("low", i)) & F.contains(y, F.get("low", i)))
+    again = lambda i: F.array_position("low", F.get("low", i)) <= i
+    kept = F.filter("names", lambda x, i: ~longer(i) & ~again(i))
+    return row.select(F.posexplode(F.slice(kept, 1, most)).alias("rank", "name")).select((F.col("rank") + 1).alias("rank"), "name")
+
+
+def cluster_topics(members: DataFrame) -> DataFrame:
+    """cluster, title, confidence, n, first_page, last_page of clusters of chunks (cluster, chunk_id, vec of unit length, text, page).
+
+    The title joins the three words of most weight: counts squared over lengths, times the log of the cluster's chunks over
+    those with the word (ties to the smaller word). The confidence maps the mean cosine to the cluster's mean vector from
+    .3-.9 to .25-.55. A cluster without such words gives no topic.
+    """
+    words = members.select("cluster", "chunk_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w"))
+    tf = words.select("cluster", "chunk_id", F.size("w").alias("len"), F.explode("w").alias("word")).groupBy("cluster", "chunk_id", "word").agg(F.count("*").alias("c"), F.first("len").alias("len"))
+    sums = tf.groupBy("cluster", "word").agg(F.sum(F.col("c") * F.col("c") / F.col("len")).alias("tf"), F.count("*").alias("df"))
+    facts = members.groupBy("cluster").agg(F.count("*").alias("n"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), Summarizer.mean(array_to_vector("vec")).alias("centre"))
+    weight = F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 9)
+    named = sums.where((F.length("word") >= 4) & ~F.col("word").isin(CLUSTER_STOPWORDS)).join(facts.select("cluster", "n"), "cluster").withColumn("weight", weight)
+    best = named.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("weight"), "word"))).where("r <= 3")
+    titles = best.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: F.initcap(x["word"])), " / ").alias("title"))
+    cosine = F.aggregate(vector_to_array("centre"), F.lit(0.0), lambda s, x: s + x * x)
+    confidence = 0.25 + 0.30 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (cosine - 0.30) / 0.60))
+    return facts.withColumn("confidence", F.round(confidence, 6)).join(titles, "cluster").select("cluster", "title", "confidence", "n", "first_page", "last_page")
 
 
 def merge_headings(spans: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from paperloom.functions import cleaning, rules, similarity
 from paperloom.operators import chunking
 from paperloom.operators.generation import FACTS, is_fact
 from paperloom.operators.headings import HEADING_REGEX
+from paperloom.operators.topics import HEADING, STOPWORDS
 from paperloom.plans.fixtures import derived, literal, outline, stems, strip, with_sql
 from paperloom.registry import query, table
 
@@ -104,8 +105,6 @@ def tokens_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stems(spark, sf_dir).select("question_id", F.size(similarity.tokens(F.col("stem"))).alias("n_tokens"))
 
 
-#: Words that neither start nor end a phrase.
-STOPWORDS = "a about above after again against all also am an and any are as at be because been before being between both but by can cannot could did do does doing down during each few for from further get got had has have having he her here him his how i if in into is it its itself let me more most my no nor not now of off on once only or other our out over own per same she should so some such than that the their them then there these they this those through to under until up us was we were what when where which while who will with would you your".split()
 _STOP_SQL = "[" + ", ".join(map(literal, STOPWORDS)) + "]"
 
 
@@ -117,8 +116,6 @@ def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy(F.concat_ws(" ", "a", "b").alias("phrase")).agg(F.count("*").alias("n")).where("n >= 5")
 
 
-#: Lines that are headings, and the ones that never are.
-HEADING = [r"(?i)^(Chapter|Section|Unit|Lecture|Topic|Part|Module|Appendix)\s*[\d:–\-]", r"^(\d+\.)+(\d+)?\s+[A-Z]", r"^[A-Z][A-Z\s\-/]{2,}$", r"^[A-Z][a-zA-Z\s\-/:()']{2,}$"]
 _LINES = "l AS (SELECT doc_id, unnest(string_split(content, chr(10))) AS raw, unnest(range(len(string_split(content, chr(10))))) AS line_no FROM derived)"
 _HEADING_SQL = "CASE " + " ".join(f"WHEN regexp_matches(line, {literal(p)}) THEN {literal(k)}" for p, k in zip(HEADING, ("keyword", "numbered", "caps", "title"))) + " END"
 

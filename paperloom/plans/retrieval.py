@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from paperloom.functions import rules, similarity
 from paperloom.operators.generation import FACTS, build_context, context_chunks, greedy_duplicates, near_pairs, written
+from paperloom.operators import topics as topic_ops
 from paperloom.operators.vectors import nearest
 from paperloom.plans.chunks import EXCLUDED_SQL
 from paperloom.plans.fixtures import derived, literal, stems, strip, topic_map, topics, with_sql
@@ -92,7 +93,12 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return KMeans(k=k, seed=42, maxIter=50).fit(vectors).transform(vectors).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-query("cluster_topics")(lambda spark, sf_dir: kmeans(spark, sf_dir).groupBy("cluster").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id")))
+@query("cluster_topics")
+def cluster_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and texts that share an id are chunks; a chunk's page is its id."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    chunks = table(spark, sf_dir, "embeddings").join(texts, "vec_id").join(kmeans(spark, sf_dir), "vec_id")
+    return topic_ops.cluster_topics(chunks.select("cluster", F.col("vec_id").alias("chunk_id"), similarity.l2_normalise(F.col("embedding")).alias("vec"), "text", F.col("vec_id").alias("page")))
 
 
 @query("theta_similarity", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id WHERE round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) >= 0.3")

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.functions import notation
+from paperloom.functions import notation, rules
 from paperloom.operators import headings
 from paperloom.operators import topics as ops
 from paperloom.plans.chunks import _TOC as TOC_NOISE_SQL
-from paperloom.plans.fixtures import book_spans, books, literal, outline, strip, topics, with_sql
+from paperloom.plans.fixtures import book_spans, books, derived, literal, outline, strip, topics, with_sql
 from paperloom.registry import query, table
 
 # extractor results: orders as courses, line items as the methods that were tried
@@ -68,7 +68,7 @@ def pdf_outline_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr("p_partkey % 50 AS course_id", "p_partkey AS seq", "p_name AS title", "(p_partkey % 97) / 100.0D AS confidence", "cast(p_size AS bigint) AS page")
+    return table(spark, sf_dir, "part").selectExpr("cast(floor(p_partkey / 40) AS bigint) AS course_id", "p_partkey AS seq", "p_name AS title", "(p_partkey % 97) / 100.0D AS confidence", "cast(p_size AS bigint) AS page")
 
 
 @query("topic_postprocess")
@@ -162,11 +162,34 @@ def topic_tree_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(parents, "parent_id", "left").select("topic_id", F.concat(depth, "name").alias("line"), F.coalesce("parent_name", "name").alias("top"))
 
 
-@query("topic_names_v1", "WITH w AS (SELECT w AS name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) GROUP BY 1 ORDER BY n DESC, name LIMIT 60) SELECT name, n FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.name <> a.name AND contains(b.name, a.name))")
+_SERVICE_NOISE = (TOC_NOISE_SQL + " OR " + " OR ".join(f"regexp_matches(trim(p_name), {literal(p)})" for p in rules.SERVICE_NOISE_PATTERNS)).replace("p_name", "name")
+_STOP = "[" + ", ".join(map(literal, ops.STOPWORDS)) + "]"
+_HEAD_KIND = "CASE " + " ".join(f"WHEN regexp_matches(line, {literal(p)}) THEN {literal(k)}" for p, k in zip(ops.HEADING, ("keyword", "numbered", "caps", "title"))) + " END"
+_BARE = "trim(regexp_replace({x}, '^[\\d.\\-–•*]+\\s*', ''))"
+
+
+def _titled(x: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all(regexp_replace({_BARE.format(x=x)}, '\\s+', ' ', 'g'), '\\pL+|\\PL+'), lambda r: concat(upper(r[1]), lower(r[2:]))), '')"
+
+
+def _top(n: int, most: int) -> str:
+    return f"""SELECT row_number() OVER (ORDER BY n DESC, g) AS r, {_titled('g')} AS name, round(n * pow((length(g) - {n - 1}) / {n}.0::DOUBLE, 2), 6) AS score FROM
+(SELECT array_to_string(g, ' ') AS g, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: w[i:i + {n - 1}])) AS g FROM t) WHERE NOT list_contains({_STOP}, g[1]) AND NOT list_contains({_STOP}, g[{n}]) GROUP BY 1 ORDER BY n DESC, g LIMIT {most})"""
+
+
+_NAMES = f"""l AS (SELECT {strip('raw')} AS line FROM (SELECT unnest(string_split(content, chr(10))) AS raw FROM derived)),
+k AS (SELECT line, {_HEAD_KIND} AS kind, trim(regexp_extract(line, '[:\\-–]\\s*(.+)$', 1)) AS sub, {_BARE.format(x='line')} AS bare FROM l WHERE length(line) BETWEEN 3 AND 80 AND NOT regexp_matches(line, '[.,;]\\s*$')),
+c AS (SELECT CASE kind WHEN 'keyword' THEN CASE WHEN NOT regexp_matches(line, '(?i)^({notation.STRUCTURAL})\\s*[\\d.\\-–]*\\s*$') AND length(sub) >= 3 THEN sub END WHEN 'numbered' THEN CASE WHEN length(bare) >= 3 THEN bare END ELSE line END AS x FROM k WHERE kind IS NOT NULL),
+heads AS (SELECT row_number() OVER (ORDER BY n DESC, name) AS r, name FROM (SELECT name, count(*) AS n FROM (SELECT {_titled('x')} AS name FROM c WHERE x IS NOT NULL) WHERE length(name) >= 3 AND NOT ({_SERVICE_NOISE}) GROUP BY 1 ORDER BY n DESC, name LIMIT 25)),
+t AS (SELECT regexp_extract_all(lower(content), '[a-z]{{3,}}') AS w FROM derived),
+tri AS (SELECT * FROM ({_top(3, ops.TRIGRAMS)}) WHERE NOT ({_SERVICE_NOISE})),
+bi AS (SELECT * FROM ({_top(2, ops.BIGRAMS)}) WHERE NOT ({_SERVICE_NOISE})),
+free AS (SELECT name, score FROM tri UNION ALL SELECT name, score FROM bi b WHERE NOT EXISTS (SELECT 1 FROM tri WHERE contains(lower(tri.name), lower(b.name))) AND NOT EXISTS (SELECT 1 FROM bi o WHERE o.r < b.r AND contains(lower(o.name), lower(b.name)))),
+put AS (SELECT r, name FROM heads UNION ALL SELECT 1000 + row_number() OVER (ORDER BY score DESC, name), name FROM free WHERE name NOT IN (SELECT name FROM heads)),
+names AS (SELECT row_number() OVER (ORDER BY r) AS r, name FROM put ORDER BY r LIMIT 50)
+SELECT cast(row_number() OVER (ORDER BY r) AS INTEGER) AS rank, name FROM names a WHERE NOT EXISTS (SELECT 1 FROM names b WHERE lower(b.name) <> lower(a.name) AND contains(lower(b.name), lower(a.name))) AND NOT EXISTS (SELECT 1 FROM names b WHERE b.r < a.r AND lower(b.name) = lower(a.name)) ORDER BY r LIMIT 25"""
+
+
+@query("topic_names_v1", with_sql("derived", "").rstrip() + ", " + _NAMES)
 def topic_names_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 60 most frequent words without those that lie in another one."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("name"))
-    top = words.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(60)
-    names = top.agg(F.collect_list("name").alias("names"))  # 60 at most
-    inside = F.exists("names", lambda x: (x != F.col("name")) & F.contains(x, F.col("name")))
-    return top.join(F.broadcast(names)).where(~inside).select("name", "n")
+    return ops.topic_names(derived(spark, sf_dir))

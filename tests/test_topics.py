@@ -1,10 +1,14 @@
 """Topic extraction, slots and time slices against plain loops and hand cases."""
 
+import difflib
+import math
+from collections import Counter, defaultdict
+
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.operators import headings, slots
+from paperloom.operators import headings, slots, topics
 from paperloom.streaming.budgets import time_slices
 
 
@@ -75,3 +79,44 @@ def test_time_slices_hold_what_windows_look_back_to(spark):
     load = F.sum("id").over(Window.partitionBy("provider", "slice").orderBy("us").rangeBetween(-100, 0))
     got = {r["id"]: r["load"] for r in df.withColumn("load", load).where("own").collect()}
     assert got == {k: sum(i for i, q, u in calls if q == p and us - 100 <= u <= us) for k, p, us in calls}
+
+
+def test_labels_of_clusters(spark):
+    rng = np.random.default_rng(5)
+    words = ["graph", "trees", "flow", "maps", "with", "set", "cycle"]
+    vecs = rng.normal(size=(30, 3)) + [2, 0, 0]
+    rows = [(k % 3, k, (v / np.linalg.norm(v)).tolist(), " ".join(rng.choice(words, rng.integers(1, 30))), k) for k, v in enumerate(vecs)] + [(7, 99, [0.0, 0.0, 0.0], None, 1)]
+    got = {r["cluster"]: r for r in topics.cluster_topics(spark.createDataFrame(rows, "cluster int, chunk_id long, vec array<double>, text string, page long")).collect()}
+    assert sorted(got) == [0, 1, 2]
+    for c, r in got.items():
+        own = [x for x in rows if x[0] == c]
+        texts = [x[3].split() for x in own]
+        df, weight = Counter(w for t in texts for w in set(t)), defaultdict(float)
+        for t in texts:
+            for w in t:
+                if len(w) >= 4 and w != "with":
+                    weight[w] += t.count(w) / len(t) * math.log(len(texts) / df[w])
+        centre = np.mean([x[2] for x in own], axis=0)
+        mean = float(np.mean([np.dot(x[2], centre) for x in own]))
+        assert r["title"] == " / ".join(w.title() for w, _ in sorted(weight.items(), key=lambda e: (-round(e[1], 9), e[0]))[:3])
+        assert r["confidence"] == round(0.25 + 0.30 * min(1.0, max(0.0, (mean - 0.3) / 0.6)), 6)
+        assert (r["n"], r["first_page"], r["last_page"]) == (10, c, 27 + c)
+
+
+def test_near_titles_against_the_plain_ratio():
+    titles = ["graph theory", "graph theories", "theory of graphs", "graphs", "graph", "trees and maps", "trees and a map", "", "x"]
+    for a in titles:
+        for b in titles:
+            assert topics._near(a, b) == (difflib.SequenceMatcher(None, a, b).ratio() >= topics.NEAR_RATIO)
+
+
+def test_names_of_topics(spark):
+    text = "Chapter 7: Graph Theory\nChapter 8\nGraph\n1.2. Sets of maps\nPage 4\nthis line ends.\nrandom walks\n" + "simple random walks mix. " * 3 + "the random walk"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "content string")
+    assert {r["name"] for r in topics.heading_names(df).collect()} == {"Graph Theory", "Graph", "Sets Of Maps"}
+    rows = sorted(topics.topic_names(df).collect())
+    names = [r["name"] for r in rows]
+    assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+    assert names[0] == "Sets Of Maps" and "Simple Random Walks" in names  # a phrase runs on from "Graph Theory" and is longer
+    assert not any(a != b and a.lower() in b.lower() for a in names for b in names)
+    assert topics.topic_names(spark.createDataFrame([], "content string")).count() == 0
