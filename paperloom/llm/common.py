@@ -42,12 +42,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the interpreter ends."""
+    path = f"{scratch_dir(spark)}/paperloom/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def write_scratch(df: DataFrame, label: str, owner: SparkSession | None = None) -> str:
     """Write df as a table in the shared folder (of the owner's session) and return its path."""
-    spark = owner or df.sparkSession
-    path = f"{scratch_dir(spark)}/paperloom/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(owner or df.sparkSession, label)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return path
 
 
@@ -100,6 +105,28 @@ def small(table: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+#: Keys that may be looked up apart: those with more than this part of all rows.
+HOT_KEYS = 10_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of a table that has one row for each key, null where it has none.
+
+    A table of few bytes is broadcast. Else the keys with over a HOT_KEYS-th of all rows, which are at most HOT_KEYS, are
+    broadcast with their row of the table, so that no key's rows meet in one task; only the others are shuffled.
+    """
+    few = BROADCAST_BYTES // (64 * len(table.columns))  # short strings: 64 bytes each
+    if table.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(table), key, "left")
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
+    most = rows.count() // HOT_KEYS
+    hot = materialise(table.join(counts.where(F.col("_rows") > most), key), "hot-keys")
+    is_hot = F.broadcast(hot.select(key))
+    apart = rows.join(F.broadcast(hot.drop("_rows")), key)
+    rest = rows.where(F.col(key).isNull()).unionByName(rows.where(F.col(key).isNotNull()).join(is_hot, key, "left_anti"))
+    return apart.unionByName(rest.join(table, key, "left"))
+
+
 def _hashable(column: Column, kind: DataType) -> Column:
     """column without maps, which have no order and no hash in Spark: their entries in the order of the keys instead."""
     if isinstance(kind, MapType):

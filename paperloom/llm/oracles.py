@@ -60,4 +60,36 @@ _JOINED = "coalesce(string_agg(concat(name, ':', (stop - n)::BIGINT, ':', stop::
 SECRETS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({_SPANS})
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, sha256({_JOINED.format(" FILTER (kind < 3)")}) AS base_sha256, {_JOINED.format(" FILTER (kind IS NOT NULL)")} AS spans FROM d LEFT JOIN s USING (doc_id) GROUP BY 1"""
 
-ORACLES = {"op7_secret_scan": SECRETS, "op1_sharding": SHARDING, "op3_license_scan": LICENSES, "op9_jaccard_join": JACCARD}
+# CRC-32 of the features: worked out once for each distinct one
+_FEATURE_BYTES = "list_transform(range(octet_length(encode(f))), lambda k: instr('0123456789ABCDEF', digits[2 * k + 1]) * 16 + instr('0123456789ABCDEF', digits[2 * k + 2]) - 17)"
+IMPORTANCE = f"""WITH a AS (SELECT doc_id AS id, true AS own, text FROM documents UNION ALL SELECT item_id, false, text FROM benchmark),
+w AS (SELECT id, own, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM a),
+u AS (SELECT id, own, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda k: concat(ws[k], ' ', ws[k + 1])))) AS f FROM w),
+h AS (SELECT DISTINCT f, hex(encode(f)) AS digits FROM u),
+c AS (SELECT f, xor(list_reduce({_FEATURE_BYTES}, lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM h, ({_TABLE})),
+b AS (SELECT id, own, bucket, count(*) AS n FROM u JOIN c USING (f) GROUP BY ALL),
+t AS (SELECT coalesce(sum(n) FILTER (own), 0)::DOUBLE AS ds, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS dt FROM b),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE + 1) * (any_value(ds) + 10000)) / ((coalesce(sum(n) FILTER (own), 0)::DOUBLE + 1) * (any_value(dt) + 10000))))::BIGINT AS gain FROM b, t GROUP BY bucket),
+d AS (SELECT id AS doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM b JOIN g USING (bucket) WHERE own GROUP BY id),
+s AS (SELECT w.id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(ws) >= 20 AS eligible,
+coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256(concat('7:', w.id)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN d ON d.doc_id = w.id WHERE own),
+r AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS place, count(*) FILTER (eligible) OVER () AS n FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= 25 * n // 100 THEN place END AS rank FROM r"""
+
+FILL_MIDDLE = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256(concat('1:', doc_id)) AS x FROM documents),
+h AS (SELECT *, ('0x' || substr(x, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(x, 9, 8))::BIGINT % (n + 1) AS b, ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT doc_id, t, n, least(a, b) AS low, greatest(a, b) AS high, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(t, 1, low) AS prefix, substring(t, low + 1, high - low) AS middle, substring(t, high + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes,
+array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+
+ORACLES = {
+    "op7_secret_scan": SECRETS, "op1_sharding": SHARDING, "op3_license_scan": LICENSES, "op9_jaccard_join": JACCARD,
+    "op11_importance": IMPORTANCE, "op12_fill_middle": FILL_MIDDLE, "op13_warc": WARC,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import jaccard_join, language_id, license_scan, line_dedup, media, mixing, packing, quality_rules, secret_scan, sharding
+from paperloom.llm import fill_middle, importance, jaccard_join, language_id, license_scan, line_dedup, media, mixing, packing, quality_rules, secret_scan, sharding, warc
 from paperloom.llm.oracles import ORACLES
 
 
@@ -54,6 +54,22 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op5_mixing, op8_packing, op4_quality_rules, op7_secret_scan, op3_license_scan, op2_line_dedup, op9_jaccard_join, op6_language_id, op10_media_columns)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_middle_digest(_documents(spark, sf_dir))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_digest(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+_ALL = (
+    op1_sharding, op5_mixing, op8_packing, op4_quality_rules, op7_secret_scan, op3_license_scan, op2_line_dedup, op9_jaccard_join, op6_language_id, op10_media_columns,
+    op11_importance, op12_fill_middle, op13_warc,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 __all__ = ["ORACLES", "QUERIES"]
