@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.cleaning import trim_space
+from paperloom.operators.page_join import overlapping
 
 SEPARATOR = r"\n\n+|(?<=[.!?])\s+"
+#: Characters of a bin when chunks and pages meet.
+CHAR_WIDTH = 2048
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -67,7 +70,8 @@ def page_offsets(pages: DataFrame, doc: str = "doc_id", page: str = "page_number
 
 
 def page_ranges(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """First and last page that each chunk overlaps; equal document ids keep the range join local to a document."""
-    c, p = chunks.alias("c"), pages.alias("p")
-    on = (F.col("c.doc_id") == F.col("p.doc_id")) & (F.col("p.char_end") > F.col("c.start_char")) & (F.col("p.char_start") < F.col("c.end_char"))
-    return c.join(p, on).groupBy("c.doc_id", "c.chunk_index").agg(F.min("p.page_number").alias("page_start"), F.max("p.page_number").alias("page_end"))
+    """First and last page that each chunk overlaps; a join by bins of CHAR_WIDTH characters, so that a document of very many pages is no nested comparison."""
+    spans = chunks.select(F.col("doc_id").alias("scope"), "chunk_index", F.col("start_char").alias("a_first"), (F.col("end_char") - 1).alias("a_last"))
+    laid = pages.select(F.col("doc_id").alias("scope"), "page_number", F.col("char_start").alias("b_first"), (F.col("char_end") - 1).alias("b_last"))
+    both = overlapping(spans, laid, CHAR_WIDTH).groupBy(F.col("scope").alias("doc_id"), "chunk_index")
+    return both.agg(F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"))

@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import re
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import similarity
 from paperloom.functions.cleaning import trim_space
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the folder that the driver and all executors share; in local mode, in one of our own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared or f'/tmp/paperloom-{os.getuid()}'}/paperloom/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The table, written to the shared folder and read again."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from paperloom.scratch import written
 
 
 def _top(rows: DataFrame, k: int, *order: Column | str) -> DataFrame:

@@ -11,13 +11,14 @@ from pyspark.sql.window import Window
 
 from paperloom.functions import notation
 from paperloom.operators import chunking, models, slots
-from paperloom.operators.generation import scratch
+from paperloom.operators.page_join import overlapping
 from paperloom.plans.assessment import _EXPORT_SQL as EXPORT_SQL
 from paperloom.plans.assessment import CONFIG_SCHEMA, VALIDATIONS_SQL, export_render, validators_run
 from paperloom.plans.chunks import _CLASS, _OFFSETS, _classified, _pages
 from paperloom.plans.fixtures import options, stems, topic_map, topics, with_sql
 from paperloom.plans.text import MATH_CASES, _cases
 from paperloom.registry import query, table
+from paperloom.scratch import scratch_path
 from paperloom.sources import sinks
 
 
@@ -43,14 +44,14 @@ def src_unclassified_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sink_chunks", "SELECT doc_id % 5 AS course_id, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY 1")
 def sink_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
+    path = scratch_path(spark)
     sinks.write_chunks(table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("course_id"), "text"), path)
     return spark.read.parquet(path).groupBy(F.col("course_id").cast("long").alias("course_id")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("sink_topics", with_sql("topics topic_map", "SELECT t.topic_id, md5(concat(course_id, chr(31), name)) AS topic_key, n FROM topics t JOIN (SELECT topic_id, count(*) AS n FROM topic_map GROUP BY 1) m USING (topic_id)"))
 def sink_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
+    path = scratch_path(spark)
     sinks.write_topics(topics(spark, sf_dir), topic_map(spark, sf_dir), path)
     counts = spark.read.parquet(f"{path}/topic_chunk_map").groupBy("topic_id").agg(F.count("*").alias("n"))
     return spark.read.parquet(f"{path}/topics").join(counts, "topic_id").select("topic_id", "topic_key", "n")
@@ -59,7 +60,7 @@ def sink_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sink_question_family", with_sql("stems options topic_map", "SELECT 'questions' AS kind, count(*) AS n FROM stems UNION ALL SELECT 'options', count(*) FROM options UNION ALL SELECT 'sources', count(*) FROM stems JOIN topic_map ON topic_id = set_id WHERE score > 0.9"))
 def sink_question_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions, options and sources go to tables of their own."""
-    path = scratch(spark)
+    path = scratch_path(spark)
     q = stems(spark, sf_dir)
     sources = q.join(topic_map(spark, sf_dir).where("score > 0.9").withColumnRenamed("topic_id", "set_id"), "set_id").select("question_id", "chunk_id")
     for name, rows in (("questions", q), ("options", options(spark, sf_dir)), ("sources", sources)):
@@ -71,7 +72,7 @@ def sink_question_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sink_tex", with_sql("stems options", f"SELECT exam_id, length(paper) AS chars, md5(paper) AS digest FROM ({EXPORT_SQL})"))
 def sink_tex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every exam's paper is a file of its own, read back whole."""
-    path = scratch(spark)
+    path = scratch_path(spark)
     sinks.write_tex(export_render(spark, sf_dir), path, "exam_id", "paper")
     paper = F.regexp_replace("value", r"\n\z", "")
     return spark.read.text(path, wholetext=True).select(F.col("exam_id").cast("long").alias("exam_id"), F.length(paper).cast("long").alias("chars"), F.md5(paper).alias("digest"))
@@ -80,7 +81,7 @@ def sink_tex(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sink_validation", with_sql("stems options topic_map", VALIDATIONS_SQL))
 def sink_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are appended, kind after kind, to the log of validations, and read back."""
-    path, rows = scratch(spark), validators_run(spark, sf_dir)
+    path, rows = scratch_path(spark), validators_run(spark, sf_dir)
     for kind in ("distractor", "grounding"):
         sinks.append_rows(rows.where(F.col("validation_type") == kind), path, "validation_type")
     return spark.read.parquet(path).select("question_id", "validation_type", "score")
@@ -89,7 +90,7 @@ def sink_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sink_job_progress", "SELECT user_id AS job_id, arg_max(event_type, epoch_us(ts)::HUGEINT * 1000000 + event_id % 1000000) AS status, count(*) AS n_events FROM events GROUP BY 1")
 def sink_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates are appended in two batches; the view of the log has each job's last state."""
-    path = scratch(spark)
+    path = scratch_path(spark)
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "ts", (F.col("event_id") % 1000000).alias("no"), (F.col("event_id") % 2).alias("batch"))
     for batch in (1, 0):
         sinks.append_rows(log.where(F.col("batch") == batch), path, "batch")
@@ -136,10 +137,15 @@ def defaults_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", c["counts"]["mcq"].alias("mcq"), c["total_points"].alias("total_points"))
 
 
-@query("range_join_char", f"SELECT doc_id, page_number FROM (SELECT *, char_start + length(text) AS char_end FROM ({_OFFSETS})) WHERE char_end > 100 AND char_start < 900")
+_CITED = "doc_id * 37 % 1000 AS a_first, doc_id * 37 % 1000 + 799 AS a_last"
+
+
+@query("range_join_char", f"SELECT doc_id, page_number FROM (SELECT *, char_start + length(text) AS char_end, {_CITED} FROM ({_OFFSETS})) WHERE char_end > a_first AND char_start <= a_last")
 def range_join_char(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that overlap the characters 100 to 900 of their document."""
-    return chunking.page_offsets(_pages(spark, sf_dir)).where("char_end > 100 AND char_start < 900").select("doc_id", "page_number")
+    """Pages that overlap a passage of 800 characters of their document, which starts elsewhere in each."""
+    passages = table(spark, sf_dir, "documents").selectExpr("doc_id AS scope", *_CITED.split(", "))
+    pages = chunking.page_offsets(_pages(spark, sf_dir)).select(F.col("doc_id").alias("scope"), "page_number", F.col("char_start").alias("b_first"), (F.col("char_end") - 1).alias("b_last"))
+    return overlapping(passages, pages, chunking.CHAR_WIDTH).select(F.col("scope").alias("doc_id"), "page_number")
 
 
 @query("map_counter", "SELECT source, lang, n FROM (SELECT source, lang, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(doc_id)) AS r FROM documents GROUP BY 1, 2) WHERE r = 1")
@@ -193,7 +199,7 @@ def exam_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rt_ingest_on_upload", "SELECT count(DISTINCT sha256(html)) AS processed FROM pages")
 def rt_ingest_on_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages arrive as a file stream, and each content is processed once."""
-    path, at = scratch(spark), F.timestamp_micros(F.col("page_id") + 1_000_000)
+    path, at = scratch_path(spark), F.timestamp_micros(F.col("page_id") + 1_000_000)
     table(spark, sf_dir, "pages").select("page_id", "url", "html").write.parquet(f"{path}/in")  # the arrivals
     source = spark.readStream.schema("page_id long, url string, html string").parquet(f"{path}/in")
     once = source.select("page_id", F.sha2("html", 256).alias("sha"), at.alias("ts")).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["sha"])
@@ -204,7 +210,7 @@ def rt_ingest_on_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rt_task_queue", "SELECT count(*) AS n, count(DISTINCT event_id) AS distinct_n FROM events")
 def rt_task_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks in micro-batches with acknowledgement by checkpoint; a batch that is delivered again overwrites its own folder."""
-    path = scratch(spark)
+    path = scratch_path(spark)
     arrived = table(spark, sf_dir, "events").select("event_id", "event_type")
     arrived.write.parquet(f"{path}/in")
 

@@ -100,7 +100,39 @@ def book_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "page", F.col("seq").cast("long").alias("seq"), "text", F.expr(_SPAN["size"]).cast("double").alias("size"), F.expr(_SPAN["bold"]).alias("bold"))
 
 
+# chunks that name topics: early, late and again, or only a word of a name; a page each, and the vector of the same id
+_PLANTED = """CASE doc_id % 12
+ WHEN 0 THEN concat('On Nation_', doc_id % 25, ': ', text)
+ WHEN 2 THEN concat(text, ' About NATION_', doc_id % 25, ', nation_', doc_id % 25, 'nation_', doc_id % 25, '.')
+ WHEN 3 THEN concat(text, ' of the nations and nationalities')
+ ELSE text END"""
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id, course_id, page, vec, text: the documents as chunks of courses."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    chunks = d.select(F.col("doc_id"), F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 5).alias("course_id"), (F.col("doc_id") % 997).alias("page"), F.expr(_PLANTED).alias("text"))
+    return chunks.join(vectors, "doc_id", "left").drop("doc_id")
+
+
+_PAGED = {
+    "start_page": "cast(CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_nationkey * 3 END as bigint)",
+    "end_page": "cast(CASE n_nationkey % 4 WHEN 1 THEN n_nationkey * 3 + 29 WHEN 2 THEN n_nationkey * 3 + 4 END as bigint)",
+}
+
+
+def paged_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topic_id, course_id, name, start_page, end_page, vec: topics with many pages, few, one or none, and some without a vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("topic_id"), F.col("embedding").alias("vec"))
+    pages = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("topic_id"), *(F.expr(e).alias(n) for n, e in _PAGED.items()))
+    t = topics(spark, sf_dir).select("topic_id", "course_id", "name").join(pages, "topic_id").join(vectors.where("topic_id < 25 and topic_id % 3 <> 0"), "topic_id", "left")
+    return t.select("topic_id", "course_id", "name", "start_page", "end_page", "vec")
+
+
 CTE = {
+    "planted": f"SELECT doc_id AS chunk_id, doc_id % 5 AS course_id, doc_id % 997 AS page, embedding::DOUBLE[] AS vec, {_PLANTED} AS text FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
+    "paged_topics": f"SELECT topic_id, course_id, name, {', '.join(f'{e} AS {n}' for n, e in _PAGED.items())}, CASE WHEN topic_id % 3 <> 0 THEN embedding::DOUBLE[] END AS vec FROM topics JOIN nation ON n_nationkey = topic_id LEFT JOIN embeddings ON vec_id = topic_id",
     "books": f"SELECT cast(floor(doc_id / 20) AS BIGINT) AS doc_id, doc_id % 20 + 1 AS page_number, {_BOOK_TEXT} AS text FROM documents WHERE text IS NOT NULL",
     "book_lines": "SELECT doc_id, page_number AS page, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS raw FROM books",
     "book_spans": f"SELECT doc_id, page, line_no AS seq, raw AS text, cast({_SPAN['size'].replace('text', 'raw')} AS DOUBLE) AS size, {_SPAN['bold'].replace('text', 'raw')} AS bold FROM book_lines",

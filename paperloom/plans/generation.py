@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import notation, rules, similarity
-from paperloom.operators.generation import greedy_duplicates, near_pairs, written
+from paperloom.operators.generation import greedy_duplicates, near_pairs
 from paperloom.operators.models import hashed_embedding
-from paperloom.operators.vectors import nearest
+from paperloom.operators.vector_index import build_index, search
 from paperloom.plans.fixtures import literal, options, stems, with_sql
 from paperloom.registry import query
+from paperloom.scratch import written
 
 #: Cosines from which a question is like a blacklisted or a recent one; recent questions of a course; questions that a set asks for.
 BLACKLIST, RECENT, NEWEST, COUNT = 0.90, 0.92, 100, 5
@@ -27,12 +28,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(q: DataFrame) -> DataFrame:
-    return q.select(F.col("question_id").alias("id"), hashed_embedding(F.col("stem")).alias("vec"))
-
-
-def _other_course_or_self(ids, query):  # noqa: ANN001, ANN202
-    """In these tables a question's number tells its course."""
-    return ((ids // 100) % 20 % 5 != (query // 100) % 20 % 5) | (ids == query)
+    return q.select(F.col("question_id").alias("id"), F.col("course_id").alias("scope"), hashed_embedding(F.col("stem")).alias("vec"), F.array("question_id").alias("skip"))
 
 
 def matches(asked: DataFrame, listed: DataFrame, threshold: float) -> DataFrame:
@@ -43,7 +39,7 @@ def matches(asked: DataFrame, listed: DataFrame, threshold: float) -> DataFrame:
     print_ = notation.fingerprint(F.col("stem")).alias("print")
     prints = listed.select("course_id", print_, "question_id").groupBy("course_id", "print").agg(F.min("question_id").alias("least"), F.max("question_id").alias("most"))
     exact = asked.select("question_id", "course_id", print_).join(prints, ["course_id", "print"], "left").select("question_id", F.coalesce((F.col("least") != F.col("question_id")) | (F.col("most") != F.col("question_id")), F.lit(False)).alias("exact"))
-    top = nearest(_vectors(listed), _vectors(asked), 1, "dot", _other_course_or_self).select(F.col("query_id").alias("question_id"), "score")
+    top = search(build_index(_vectors(listed)), _vectors(asked), 1, metric="dot").select(F.col("query_id").alias("question_id"), "score")
     score = F.coalesce("score", F.lit(0.0))
     reason = F.when(F.col("exact"), "fingerprint").when(score >= threshold, "similarity").otherwise("")
     return exact.join(top, "question_id", "left").select("question_id", reason.alias("reason"), score.alias("similarity"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions.ordinals import ordinal, ordinal_sql
+from paperloom.operators.page_join import in_ranges
 from paperloom.plans.fixtures import options, outline, stems, topic_map, topics, with_sql
 from paperloom.registry import query, table
 
@@ -92,10 +93,10 @@ _RANGES = "SELECT l_orderkey AS topic_id, min(l_linenumber) * 10 AS a, max(l_lin
 
 @query("range_join_pages", "SELECT topic_id, doc_id AS chunk_id FROM (SELECT cast(n_nationkey AS BIGINT) AS topic_id, n_nationkey % 5 AS course, n_nationkey * 3 AS a, n_nationkey * 3 + 10 AS b FROM nation) t JOIN (SELECT doc_id, doc_id % 5 AS course, doc_id % 80 AS page FROM documents) c ON c.course = t.course AND page BETWEEN a AND b")
 def range_join_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics span pages; the course is the equi-key that keeps the range comparison within a course."""
-    t = table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey AS bigint) AS topic_id", "cast(n_nationkey % 5 AS bigint) AS course", "n_nationkey * 3 AS a", "n_nationkey * 3 + 10 AS b")
-    c = table(spark, sf_dir, "documents").selectExpr("doc_id AS chunk_id", "doc_id % 5 AS course", "doc_id % 80 AS page")
-    return c.join(t, (c["course"] == t["course"]) & F.col("page").between(F.col("a"), F.col("b"))).select("topic_id", "chunk_id")
+    """Topics span pages of their course: spans fall into bins of pages, so chunks and spans meet by equal keys."""
+    t = table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey AS bigint) AS topic_id", "cast(n_nationkey % 5 AS bigint) AS scope", "n_nationkey * 3 AS first", "n_nationkey * 3 + 10 AS last")
+    c = table(spark, sf_dir, "documents").selectExpr("doc_id AS chunk_id", "doc_id % 5 AS scope", "doc_id % 80 AS page")
+    return in_ranges(c, t).select("topic_id", "chunk_id")
 
 
 @query("self_join_dominance", "SELECT DISTINCT s_name AS name FROM (SELECT 'topic ' || s_suppkey AS s_name FROM supplier) a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE 'topic ' || b.s_suppkey <> a.s_name AND contains('topic ' || b.s_suppkey, a.s_name))")

@@ -11,11 +11,15 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from paperloom.functions import rules, similarity
-from paperloom.operators.generation import FACTS, build_context, context_chunks, greedy_duplicates, near_pairs, written
+from paperloom.operators.generation import FACTS, build_context, context_chunks, greedy_duplicates, near_pairs
+from paperloom.operators import topic_map as topic_map_ops
 from paperloom.operators import topics as topic_ops
+from paperloom.operators.phrases import best_share, term_relevance
+from paperloom.operators.vector_index import build_index, search, search_range
 from paperloom.operators.vectors import nearest
 from paperloom.plans.chunks import EXCLUDED_SQL
-from paperloom.plans.fixtures import derived, literal, stems, strip, topic_map, topics, with_sql
+from paperloom.plans.fixtures import derived, literal, paged_topics, planted, stems, strip, topic_map, topics, with_sql
+from paperloom.scratch import written
 from paperloom.registry import query, table
 
 _PAIRS = "(SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
@@ -52,7 +56,8 @@ _RANKED = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC
 
 @query("topk_vector", f"SELECT query_id, vec_id, sim, rank FROM ({_RANKED}) WHERE rank <= 10")
 def topk_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(*_searched(spark, sf_dir), 10).select("query_id", "vec_id", F.col("score").alias("sim"), "rank")
+    everything, asked = _searched(spark, sf_dir)
+    return search(build_index(everything), asked, 10).select("query_id", "vec_id", F.col("score").alias("sim"), "rank")
 
 
 @query("retrieve_by_query", f"SELECT query_id, vec_id, greatest(0.0, sim) AS score FROM ({_RANKED}) WHERE rank <= 10 AND sim >= 0.25")
@@ -61,11 +66,15 @@ def retrieve_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_vector(spark, sf_dir).where("sim >= 0.25").select("query_id", "vec_id", F.greatest(F.lit(0.0), "sim").alias("score"))
 
 
-@query("topk_map_sim", f"SELECT query_id AS topic_id, vec_id AS chunk_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM ({_SIMS}) WHERE (vec_id + query_id) % 10 <> 0 AND sim >= 0.1) WHERE r <= 8")
+_MAPPED_ALREADY = "vec_id BETWEEN query_id AND query_id + 2"
+
+
+@query("topk_map_sim", f"SELECT query_id AS topic_id, vec_id AS chunk_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM ({_SIMS}) WHERE NOT ({_MAPPED_ALREADY}) AND sim >= 0.3) WHERE r <= 8")
 def topk_map_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that are mapped already (here by the ids) use up no place."""
-    found = nearest(*_searched(spark, sf_dir), 8, skip=lambda ids, query: (ids + query) % 10 == 0)
-    return found.where("score >= 0.1").select(F.col("query_id").alias("topic_id"), F.col("vec_id").alias("chunk_id"), F.col("score").alias("sim"))
+    """Chunks that are mapped already (here the next three ids) use up no place."""
+    everything, asked = _searched(spark, sf_dir)
+    asked = asked.withColumn("skip", F.sequence("id", F.col("id") + 2))
+    return search(build_index(everything), asked, 8, 0.3).select(F.col("query_id").alias("topic_id"), F.col("vec_id").alias("chunk_id"), F.col("score").alias("sim"))
 
 
 @query("euclid_argmin", "SELECT vec_id, min_by(c, d * 1000000000 + c) AS centre FROM (SELECT e.vec_id, q.vec_id AS c, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS d FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) GROUP BY 1")
@@ -101,22 +110,24 @@ def cluster_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topic_ops.cluster_topics(chunks.select("cluster", F.col("vec_id").alias("chunk_id"), similarity.l2_normalise(F.col("embedding")).alias("vec"), "text", F.col("vec_id").alias("page")))
 
 
+def _scoped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors with their label as scope, and the stated query set, each of which is skipped by its own search."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("scope"))
+    return e, e.where("id % 50 = 0").withColumn("skip", F.array("id"))
+
+
 @query("theta_similarity", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id WHERE round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) >= 0.3")
 def theta_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stated query set against the vectors of its own scope (the label)."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
-    both = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y")).join(q, "label").where("a <> b")
-    return both.select("a", "b", F.round(similarity.dot(F.col("x"), F.col("y")), 5).alias("sim")).where("sim >= 0.3")
+    everything, asked = _scoped(spark, sf_dir)
+    return search_range(build_index(everything), asked, 0.3, "dot").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.col("score").alias("sim"))
 
 
 @query("agg_max_similarity", "SELECT a.vec_id AS a, round(coalesce(max(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 0), 5) AS max_sim FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND b.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1")
 def agg_max_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
-    others = e.select(F.col("vec_id").alias("b"), F.col("label").alias("l"), F.col("embedding").alias("y"))
-    both = q.join(others, (F.col("label") == F.col("l")) & (F.col("a") != F.col("b")), "left")
-    return both.groupBy("a").agg(F.round(F.coalesce(F.max(similarity.dot(F.col("x"), F.col("y"))), F.lit(0.0)), 5).alias("max_sim"))
+    everything, asked = _scoped(spark, sf_dir)
+    best = search(build_index(everything), asked, 1, metric="dot").select(F.col("query_id").alias("id"), "score")
+    return asked.select("id").join(best, "id", "left").select(F.col("id").alias("a"), F.coalesce("score", F.lit(0.0)).alias("max_sim"))
 
 
 _TOK = "list_distinct(list_filter(regexp_split_to_array(lower(stem), '[^\\pL\\pN_]+'), lambda x: length(x) >= 3))"
@@ -154,55 +165,52 @@ def ratcliff_obershelp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("p_partkey", F.round(matching_ratio(F.col("x"), F.col("y")), 6).alias("ratio"))
 
 
-def occurrences(text: Column, needle: Column) -> Column:
-    """Non-overlapping occurrences."""
-    return F.floor((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle))
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Topics and chunks for term frequencies, within a course."""
+    t = topics(spark, sf_dir).select("topic_id", F.col("course_id").alias("scope"), "name")
+    return t, planted(spark, sf_dir).select(F.col("chunk_id").alias("id"), F.col("course_id").alias("scope"), "text")
 
 
-@query("tf_relevance_v1", with_sql("topics", "SELECT topic_id, doc_id, round(s / max(s) OVER (PARTITION BY topic_id), 6) AS score FROM (SELECT topic_id, doc_id, ((length(t) - length(replace(t, n, ''))) // length(n)) / greatest(1, len(regexp_extract_all(t, '[a-z]{3,}')))::DOUBLE * CASE WHEN contains(substr(t, 1, 120), n) THEN 2 ELSE 1 END AS s FROM (SELECT topic_id, course_id, substr(lower(name), 1, 2) AS n FROM topics) JOIN (SELECT doc_id, doc_id % 5 AS course_id, lower(text) AS t FROM documents) USING (course_id)) WHERE s > 0"))
-def tf_relevance_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrase count over word count, doubled for an early hit, over the topic's best; within a course."""
-    t = topics(spark, sf_dir).select("topic_id", "course_id", F.substring(F.lower("name"), 1, 2).alias("n"))
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("course_id"), F.lower("text").alias("t")).withColumn("words", F.greatest(F.lit(1), F.regexp_count("t", F.lit("[a-z]{3,}"))))
-    s = occurrences(F.col("t"), F.col("n")) / F.col("words") * F.when(F.instr(F.substring("t", 1, 120), F.col("n")) > 0, 2).otherwise(1)
-    scored = d.join(F.broadcast(t), "course_id").withColumn("s", s).where("s > 0")
-    return scored.select("topic_id", "doc_id", F.round(F.col("s") / F.max("s").over(Window.partitionBy("topic_id")), 6).alias("score"))
+# the plain form: every name and keyword is counted in every text of its course
+_COUNT = "(length(t) - length(replace(t, {0}, ''))) // length({0})"
+_COUNTED = f"""nt AS (SELECT topic_id, course_id, lower(name) AS n, regexp_extract_all(lower(name), '[a-z]{{3,}}') AS ks FROM topics),
+pt AS (SELECT chunk_id, course_id, lower(text) AS t, greatest(1, len(regexp_extract_all(lower(text), '[a-z]{{3,}}')))::DOUBLE AS w FROM planted WHERE text IS NOT NULL),
+rel AS (SELECT topic_id, chunk_id, w, {_COUNT.format('n')} AS hits, contains(substr(t, 1, 120), n) AS early, coalesce(list_sum(list_transform(ks, lambda k: {_COUNT.format('k')})), 0)::BIGINT AS kw FROM nt JOIN pt USING (course_id))"""
+_V2 = "SELECT topic_id, chunk_id AS doc_id, round((2 * hits + kw) / w, 6) AS s FROM rel"
 
 
-_V2 = "SELECT topic_id, doc_id, round((2 * ((length(t) - length(replace(t, n, ''))) // length(n)) + ((length(t) - length(replace(t, k, ''))) // length(k))) / greatest(1, len(regexp_extract_all(t, '[a-z]{3,}')))::DOUBLE, 6) AS s FROM (SELECT topic_id, course_id, substr(lower(name), 1, 2) AS n, substr(lower(name), 1, 3) AS k FROM topics) JOIN (SELECT doc_id, doc_id % 5 AS course_id, lower(text) AS t FROM documents) USING (course_id)"
+@query("tf_relevance_v1", with_sql("topics planted", "").rstrip() + f", {_COUNTED} SELECT topic_id, chunk_id AS doc_id, round(s / max(s) OVER (PARTITION BY topic_id), 6) AS score FROM (SELECT topic_id, chunk_id, hits / w * CASE WHEN early THEN 2 ELSE 1 END AS s FROM rel) WHERE s > 0")
+def tf_relevance_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase count over word count, doubled for an early hit, over the topic's best; within a course."""
+    return best_share(term_relevance(*_named(spark, sf_dir))).withColumnRenamed("id", "doc_id")
 
 
-def _v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = topics(spark, sf_dir).select("topic_id", "course_id", F.substring(F.lower("name"), 1, 2).alias("n"), F.substring(F.lower("name"), 1, 3).alias("k"))
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("course_id"), F.lower("text").alias("t"))
-    s = (2 * occurrences(F.col("t"), F.col("n")) + occurrences(F.col("t"), F.col("k"))) / F.greatest(F.lit(1), F.regexp_count("t", F.lit("[a-z]{3,}")))
-    return d.join(F.broadcast(t), "course_id").select("topic_id", "doc_id", F.round(s, 6).alias("s"))
+@query("tf_relevance_v2", with_sql("topics planted", "").rstrip() + f", {_COUNTED} SELECT topic_id, doc_id, s FROM ({_V2}) WHERE s > 0")
+def tf_relevance_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice the whole name and its keywords, over word count."""
+    return term_relevance(*_named(spark, sf_dir)).select("topic_id", F.col("id").alias("doc_id"), F.round("by_keywords", 6).alias("s")).where("s > 0")
 
 
-@query("tf_relevance_v2", with_sql("topics", f"SELECT topic_id, doc_id, s FROM ({_V2}) WHERE s > 0"))
-def tf_relevance_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _v2(spark, sf_dir).where("s > 0")
+_TF_RANKED = f"SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY s DESC, doc_id) AS r FROM ({_V2}) WHERE s >= 0.01"
 
 
-@query("topk_map_tf", with_sql("topics", f"SELECT topic_id, doc_id, round(least(s, 0.75), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY s DESC, doc_id) AS r FROM ({_V2}) WHERE s >= 0.01) WHERE r <= 5"))
+@query("topk_map_tf", with_sql("topics planted", "").rstrip() + f", {_COUNTED} SELECT topic_id, doc_id, round(least(s, 0.75), 4) AS score FROM ({_TF_RANKED}) WHERE r <= 5")
 def topk_map_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("s"), "doc_id"))
-    return _v2(spark, sf_dir).where("s >= 0.01").withColumn("r", rank).where("r <= 5").select("topic_id", "doc_id", F.round(F.least("s", F.lit(0.75)), 4).alias("score"))
+    return topic_map_ops.frequent_terms(*_named(spark, sf_dir)).withColumnRenamed("chunk_id", "doc_id")
 
 
-_PAGE_HITS = "SELECT t.topic_id, c.doc_id AS chunk_id FROM topics t JOIN (SELECT doc_id, doc_id % 5 AS course_id, doc_id % 80 AS page FROM documents) c ON c.course_id = t.course_id AND c.page BETWEEN t.topic_id * 3 AND t.topic_id * 3 + 2 WHERE t.topic_id % 4 <> 0"
+_COSINE = "round(list_inner_product(c.vec, t.vec) / ((sqrt(list_inner_product(c.vec, c.vec)) + 1e-10) * (sqrt(list_inner_product(t.vec, t.vec)) + 1e-10)), 5)"
 
 
-@query("topic_chunk_map", with_sql("topics", "").rstrip() + f", p AS ({_PAGE_HITS}), tf AS (SELECT topic_id, doc_id AS chunk_id, round(least(s, 0.75), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY s DESC, doc_id) AS r FROM ({_V2}) WHERE s >= 0.01 AND topic_id NOT IN (SELECT topic_id FROM p)) WHERE r <= 5) SELECT topic_id, chunk_id, 0.8 AS score FROM p UNION ALL SELECT topic_id, chunk_id, score FROM tf")
+@query("topic_chunk_map", with_sql("topics planted paged_topics", "").rstrip() + f""", {_COUNTED},
+p AS (SELECT DISTINCT topic_id, chunk_id FROM paged_topics t JOIN planted c USING (course_id) WHERE page BETWEEN start_page AND coalesce(end_page, start_page)),
+e AS (SELECT topic_id, chunk_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY sim DESC, chunk_id) AS r FROM (SELECT t.topic_id, c.chunk_id, {_COSINE} AS sim FROM paged_topics t JOIN planted c USING (course_id)
+WHERE t.vec IS NOT NULL AND c.vec IS NOT NULL AND (SELECT count(*) FROM p WHERE p.topic_id = t.topic_id) < 2 AND NOT EXISTS (SELECT 1 FROM p WHERE p.topic_id = t.topic_id AND p.chunk_id = c.chunk_id)) WHERE sim >= 0.3) WHERE r <= 8)
+SELECT topic_id, chunk_id, 0.8::DOUBLE AS score, 1 AS path FROM p UNION ALL SELECT topic_id, chunk_id, round(sim, 4), 2 FROM e
+UNION ALL SELECT topic_id, doc_id, round(least(s, 0.75), 4), 3 FROM ({_TF_RANKED}) WHERE r <= 5 AND topic_id NOT IN (SELECT topic_id FROM p) AND topic_id NOT IN (SELECT topic_id FROM e)""")
 def topic_chunk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page matches first; topics without any fall back to term frequency."""
-    t = topics(spark, sf_dir)
-    c = table(spark, sf_dir, "documents").selectExpr("doc_id AS chunk_id", "doc_id % 5 AS course_id", "doc_id % 80 AS page")
-    pages = c.join(F.broadcast(t.where("topic_id % 4 <> 0")), "course_id").where("page BETWEEN topic_id * 3 AND topic_id * 3 + 2").select("topic_id", "chunk_id", F.lit(0.8).alias("score"))
-    rest = _v2(spark, sf_dir).where("s >= 0.01").join(pages.select("topic_id").distinct(), "topic_id", "left_anti")
-    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("s"), "doc_id"))
-    tf = rest.withColumn("r", rank).where("r <= 5").select("topic_id", F.col("doc_id").alias("chunk_id"), F.round(F.least("s", F.lit(0.75)), 4).alias("score"))
-    return pages.unionByName(tf)
+    """Page matches; similar chunks for topics with under two; term frequency for topics that still have none."""
+    return topic_map_ops.map_chunks(paged_topics(spark, sf_dir), planted(spark, sf_dir))
 
 
 @query("diversity_context", with_sql("stems", "SELECT course_id, count_if(status = 'rejected') AS n_blacklist, least(100, count(*)) AS n_recent FROM stems GROUP BY 1"))
