@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,3 +41,19 @@ def jaccard(a: Column, b: Column) -> Column:
     """Of two token arrays: 1 if both are empty, 0 if one is."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+@F.pandas_udf(DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Twice the matched characters over all characters, by longest matching blocks; for pairs that cheaper bounds have left."""
+    return _ratio(F.lower(a), F.lower(b))
+
+
+def character_set(text: Column) -> Column:
+    """The characters of text as a set: each with the number of its occurrence, so that common members are common counts."""
+    ordered = F.array_sort(F.split(text, ""))
+    return F.transform(ordered, lambda c, i: F.concat(c, (i + 2 - F.array_position(ordered, c)).cast("string")))

@@ -1,11 +1,7 @@
-"""Topic operators: near-duplicate removal and heading merges in order, names by headings and phrases, labels of clusters."""
+"""Topic operators: heading merges in order, names by headings and phrases, labels of clusters."""
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -14,8 +10,8 @@ from pyspark.sql.window import Window
 
 from paperloom.functions import notation, rules
 
-#: Near-duplicate ratio and most topics of a course.
-NEAR_RATIO, MOST_TOPICS = 0.82, 25
+#: Most topics of a course.
+MOST_TOPICS = 25
 #: Most frequent phrases of three and of two words that may name a topic.
 TRIGRAMS, BIGRAMS = 60, 80
 
@@ -27,34 +23,6 @@ HEADING = [r"(?i)^(Chapter|Section|Unit|Lecture|Topic|Part|Module|Appendix)\s*[\
 CLUSTER_STOPWORDS = "the a an and or but in on at to for of with is are was were be been being have has had do does did will would shall should may might can could that this these those it its which who from by as not no if then so we you they i he she all also".split()
 
 
-def _near(low: str, other: str) -> bool:
-    """Whether the ratio reaches NEAR_RATIO; its two upper bounds are cheaper and settle most pairs."""
-    m = difflib.SequenceMatcher(None, low, other)
-    return m.real_quick_ratio() >= NEAR_RATIO and m.quick_ratio() >= NEAR_RATIO and m.ratio() >= NEAR_RATIO
-
-
-def postprocess(topics: DataFrame, most: int = MOST_TOPICS) -> DataFrame:
-    """course_id, seq, title, confidence, page: drop near-duplicates of more confident titles, cap, and order by page.
-
-    A course's topics are a bounded group (an outline's entries); courses run side by side.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for course, entries in zip(pdf["course_id"], pdf["entries"]):
-                kept: list[dict] = []
-                for e in sorted(entries, key=lambda e: (-e["confidence"], e["seq"])):
-                    if not any(_near(e["title"].lower(), k["title"].lower()) for k in kept):
-                        kept.append(e)
-                placed = sorted(kept[:most], key=lambda e: (e["page"] is None, e["page"], e["title"]))
-                out += [(course, e["seq"], e["title"], rank) for rank, e in enumerate(placed, 1)]
-            yield pd.DataFrame(out, columns=["course_id", "seq", "title", "rank"])
-
-    courses = topics.groupBy("course_id").agg(F.collect_list(F.struct("seq", "title", "confidence", "page")).alias("entries"))
-    return courses.mapInPandas(run, "course_id long, seq long, title string, rank long")
-
-
 def heading_names(chunks: DataFrame) -> DataFrame:
     """name of each heading line of content: the subtitle of a labelled one, else the line, without numbering, in title case."""
     lines = chunks.select(F.explode(F.split("content", "\n")).alias("raw")).select(F.regexp_replace("raw", r"^\s+|\s+$", "").alias("line"))

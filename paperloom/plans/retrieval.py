@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from paperloom.functions import rules, similarity
@@ -148,21 +144,11 @@ def theta_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(stems(spark, sf_dir).select(F.col("question_id").alias("id"), similarity.tokens(F.col("stem")).alias("t")), 0.72)
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-
-def matching_ratio(a: Column, b: Column) -> Column:
-    """Twice the matched characters over all characters, by longest matching blocks."""
-    return _ratio(F.lower(a), F.lower(b))
-
-
 @query("ratcliff_obershelp")
 def ratcliff_obershelp(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     both = p.select("p_partkey", F.col("p_name").alias("x")).join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("y")), "p_partkey")
-    return both.select("p_partkey", F.round(matching_ratio(F.col("x"), F.col("y")), 6).alias("ratio"))
+    return both.select("p_partkey", F.round(similarity.matching_ratio(F.col("x"), F.col("y")), 6).alias("ratio"))
 
 
 def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

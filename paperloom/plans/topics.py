@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from paperloom.functions import notation, rules
 from paperloom.operators import headings
 from paperloom.operators import topics as ops
+from paperloom.operators.topic_filter import postprocess
 from paperloom.plans.chunks import _TOC as TOC_NOISE_SQL
 from paperloom.plans.fixtures import book_spans, books, derived, literal, outline, strip, topics, with_sql
 from paperloom.registry import query, table
@@ -67,13 +68,19 @@ def pdf_outline_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "seq", level.alias("level"), "page", F.when(F.col("n").isNull(), 99).otherwise(F.greatest(F.col("n") - 1, "page")).alias("end_page"), F.lit(0.95).alias("confidence"))
 
 
+_TITLE = """CASE p_partkey % 13 WHEN 0 THEN 'Chapter 7' WHEN 1 THEN concat('Slide 3: ', p_name, ' parts') WHEN 2 THEN concat('1.2  ', p_name, '  and  parts 45') WHEN 3 THEN concat('"', initcap(p_name), ' parts!"')
+ WHEN 4 THEN 'References' WHEN 5 THEN 'www.example.org' ELSE concat(p_name, ' ', p_type, ' ', p_partkey % 5) END"""
+
+
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr("cast(floor(p_partkey / 40) AS bigint) AS course_id", "p_partkey AS seq", "p_name AS title", "(p_partkey % 97) / 100.0D AS confidence", "cast(p_size AS bigint) AS page")
+    """Parts as titles of courses of 40; every seventh course has nothing but noise."""
+    title = f"CASE WHEN floor(p_partkey / 40) % 7 = 3 THEN element_at(array('Summary', 'Table of Contents', 'Glossary', '12', 'Index'), cast(p_partkey % 5 + 1 as int)) ELSE {_TITLE} END AS title"
+    return table(spark, sf_dir, "part").selectExpr("cast(floor(p_partkey / 40) AS bigint) AS course_id", "p_partkey AS seq", title, "(p_partkey % 97) / 100.0D AS confidence", "cast(p_size % 30 AS bigint) AS page")
 
 
 @query("topic_postprocess")
 def topic_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.postprocess(_extracted(spark, sf_dir))
+    return postprocess(_extracted(spark, sf_dir)).select("course_id", "seq", "title", F.col("rank").cast("long").alias("rank"))
 
 
 @query("heading_merge")
