@@ -7,49 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import notation, rules
-from paperloom.operators import headings
+from paperloom.operators import extraction, headings
 from paperloom.operators import topics as ops
 from paperloom.operators.topic_filter import postprocess
 from paperloom.plans.chunks import _TOC as TOC_NOISE_SQL
 from paperloom.plans.fixtures import book_spans, books, derived, literal, outline, strip, topics, with_sql
 from paperloom.registry import query, table
 
-# extractor results: orders as courses, line items as the methods that were tried
-_RESULTS = "SELECT l_orderkey AS course_id, l_linenumber AS method, count(*) * 3 AS n, round(0.3 + (min(l_partkey) % 70) / 100.0, 2) AS conf, round((min(l_suppkey) % 40) / 100.0, 2) AS cov FROM lineitem GROUP BY 1, 2"
-_SCORED = f"SELECT *, n BETWEEN 3 AND 50 AND conf > 0 AS usable, n BETWEEN 3 AND 50 AND conf > 0 AND cov >= 0.2 AS sane, conf * CASE WHEN n BETWEEN 3 AND 50 AND conf > 0 AND cov >= 0.2 THEN 1.3 WHEN n BETWEEN 3 AND 50 AND conf > 0 THEN 1.0 ELSE 0.7 END + least(1.0, n / 20.0) * 0.1 AS score FROM ({_RESULTS})"
-
-
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("course_id"), F.col("l_linenumber").alias("method")).agg((F.count("*") * 3).alias("n"), F.round(0.3 + (F.min("l_partkey") % 70) / 100.0, 2).alias("conf"), F.round((F.min("l_suppkey") % 40) / 100.0, 2).alias("cov"))
-    usable = F.col("n").between(3, 50) & (F.col("conf") > 0)
-    r = r.withColumn("usable", usable).withColumn("sane", usable & (F.col("cov") >= 0.2))
-    return r.withColumn("score", F.col("conf") * F.when(F.col("sane"), 1.3).when(F.col("usable"), 1.0).otherwise(0.7) + F.least(F.lit(1.0), F.col("n") / 20.0) * 0.1)
-
-
-@query("extractor_score", f"SELECT course_id, method, round(score, 6) AS score FROM ({_SCORED})")
-def extractor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("course_id", "method", F.round("score", 6).alias("score"))
-
-
-_STOP = "max(CASE WHEN sane AND conf >= 0.75 THEN 1 ELSE 0 END) OVER (PARTITION BY course_id ORDER BY method ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-
-
-@query("topic_select", f"SELECT course_id, method FROM (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY round(score, 9) DESC, method) AS r FROM (SELECT *, {_STOP} AS stopped FROM ({_SCORED})) WHERE coalesce(stopped, 0) = 0) WHERE r = 1")
-def topic_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best extractor; those after a first one that is sane and sure do not compete."""
-    own = Window.partitionBy("course_id")
-    sure = F.when(F.col("sane") & (F.col("conf") >= 0.75), 1).otherwise(0)
-    stopped = F.coalesce(F.max(sure).over(own.orderBy("method").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_ = _scored(spark, sf_dir).withColumn("stopped", stopped).where("stopped = 0")
-    return open_.withColumn("r", F.row_number().over(own.orderBy(F.desc(F.round("score", 9)), "method"))).where("r = 1").select("course_id", "method")
-
-
-@query("low_confidence_flag", f"SELECT course_id, method, (conf < 0.45 OR (NOT sane AND cov < 0.2)) AND NOT (conf >= 0.75 AND sane) AS low FROM ({_SCORED})")
-def low_confidence_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = ((F.col("conf") < 0.45) | (~F.col("sane") & (F.col("cov") < 0.2))) & ~((F.col("conf") >= 0.75) & F.col("sane"))
-    return _scored(spark, sf_dir).select("course_id", "method", low.alias("low"))
-
-
 @query("agg_confidence", with_sql("outline", "SELECT doc_id, round(least(0.98, 0.60 + 0.04 * least(count_if(level = 1), 8) + 0.01 * least(count_if(level = 2), 20)), 6) AS confidence FROM outline GROUP BY 1"))
 def agg_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of an outline, from its chapters and sections."""
@@ -147,6 +111,76 @@ def toc_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headings.contents(outline(spark, sf_dir).where("doc_id % 3 <> 0"), books(spark, sf_dir))
 
 
+_OUTLINE_TITLE = "concat(CASE seq % 3 WHEN 0 THEN 'Chapter 3: ' WHEN 1 THEN '1.2  ' ELSE '' END, 'Theory ', chr(cast(64 + seq as int)), ' of ', title)"
+
+
+def library(spark: SparkSession, sf_dir: str) -> extraction.Books:
+    """The books as extractors read them: two of three have an outline, and each page is a chunk."""
+    pages = books(spark, sf_dir)
+    entries = outline(spark, sf_dir).where("doc_id % 3 <> 0").join(pages.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("title", F.expr(_OUTLINE_TITLE))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    chunks = pages.select("doc_id", (F.col("doc_id") * 20 + F.col("page_number") - 1).alias("chunk_id"), F.col("page_number").alias("page"), "text").join(vectors, "chunk_id", "left")
+    return extraction.Books(entries, pages, book_spans(spark, sf_dir), chunks.select("doc_id", "chunk_id", "page", "vec", "text"))
+
+
+def _selection(spark: SparkSession, sf_dir: str) -> extraction.Selection:
+    return extraction.select_topics(library(spark, sf_dir), extraction.all_extractors()[:3])
+
+
+_ENTRY_TITLE = f"regexp_replace({strip(f'regexp_replace(raw, {literal(extraction.PREFIX)}, {literal(str())})')}, '\\s{{2,}}', ' ', 'g')"
+_N = "least(count_if(level = '{0}') OVER own, {1})"
+# all extractors run on all books here, and what would not have been tried is left out by its place
+_EXTRACTED = f"""tot AS (SELECT doc_id, max(page_number) AS total FROM books GROUP BY 1),
+ent AS (SELECT doc_id, seq, level AS depth, trim({_OUTLINE_TITLE}) AS raw, CASE WHEN page > 0 THEN page END AS first, total FROM outline JOIN tot USING (doc_id) WHERE doc_id % 3 <> 0),
+nxt AS (SELECT *, first_value(first IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM ent),
+ttl AS (SELECT doc_id, seq, {_ENTRY_TITLE} AS title, CASE WHEN depth = 1 AND regexp_matches(raw, '(?i)^part\\b') THEN 'PART' WHEN depth = 1 THEN 'CHAPTER' WHEN depth = 2 THEN 'SECTION' ELSE 'SUBSECTION' END AS level, first, CASE WHEN nx IS NOT NULL THEN greatest(nx - 1, coalesce(first, 1)) ELSE nullif(total, 0) END AS last FROM nxt),
+found AS (SELECT doc_id, 0 AS place, 'PDF_OUTLINE' AS method, first, last, round(least(0.98, 0.60 + 0.04 * {_N.format('CHAPTER', 8)} + 0.01 * {_N.format('SECTION', 20)}), 6)::DOUBLE AS conf FROM ttl WHERE length(title) >= 3 WINDOW own AS (PARTITION BY doc_id)
+UNION ALL SELECT doc_id, 1, 'LAYOUT_HEADINGS', page, end_page, overall::DOUBLE FROM (WITH RECURSIVE {_LAYOUT})
+UNION ALL SELECT doc_id, 2, 'REGEX_HEADINGS', page, end_page, confidence::DOUBLE FROM (WITH {_REGEX})),
+cvd AS (SELECT doc_id, place, count(*) AS covered FROM (SELECT DISTINCT doc_id, place, unnest(range(first::BIGINT, coalesce(last, first)::BIGINT + 1)) AS page FROM found) GROUP BY 1, 2),
+res AS (SELECT doc_id, place, method, count(*) AS n, max(conf) AS conf, round(least(1.0, CASE WHEN max(total) = 0 THEN 1.0 WHEN count(first) = 0 THEN count(*) / greatest(1.0, max(total) / 10.0) ELSE coalesce(max(covered), 0) / max(total)::DOUBLE END), 6)::DOUBLE AS cov FROM found JOIN tot USING (doc_id) LEFT JOIN cvd USING (doc_id, place) GROUP BY 1, 2, 3),
+scd AS (SELECT *, n BETWEEN 3 AND 50 AND cov >= 0.2 AS sane, round(conf * CASE WHEN n BETWEEN 3 AND 50 AND cov >= 0.2 THEN 1.3 WHEN n BETWEEN 3 AND 50 THEN 1.0 ELSE 0.7 END + least(1.0, n / 20.0) * 0.1, 6)::DOUBLE AS score FROM res),
+tried AS (SELECT * FROM scd a WHERE NOT EXISTS (SELECT 1 FROM scd b WHERE b.doc_id = a.doc_id AND b.place < a.place AND b.sane AND b.conf >= 0.75))"""
+
+
+def _extracted_sql(body: str) -> str:
+    return with_sql("books book_lines book_spans outline", "").rstrip() + f", {_EXTRACTED} {body}"
+
+
+@query("extractor_score", _extracted_sql("SELECT doc_id, method, n, conf, cov, score FROM tried"))
+def extractor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the extractors that were tried on a book: those after a first one that is sane and sure are not."""
+    return _selection(spark, sf_dir).tried.select("doc_id", "method", "n", "conf", "cov", "score")
+
+
+@query("topic_select", _extracted_sql("SELECT doc_id, method FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS r FROM tried) WHERE r = 1"))
+def topic_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best extractor of each book."""
+    return _selection(spark, sf_dir).chosen.select("doc_id", "method")
+
+
+@query("low_confidence_flag", _extracted_sql("SELECT doc_id, method, (conf < 0.45 OR (NOT sane AND cov < 0.2)) AND NOT (conf >= 0.75 AND sane) AS low FROM tried"))
+def low_confidence_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = extraction.is_low(F.col("conf"), F.col("sane"), F.col("cov"))
+    return _selection(spark, sf_dir).tried.select("doc_id", "method", low.alias("low"))
+
+
+def _extraction(spark: SparkSession, sf_dir: str) -> extraction.Extraction:
+    return extraction.extract_topics(library(spark, sf_dir), extraction.all_extractors())
+
+
+@query("topic_orchestrate")
+def topic_orchestrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topics of every book by whichever extractor wins, clean, in a tree, with their coverage."""
+    return _extraction(spark, sf_dir).topics
+
+
+@query("topic_extraction_meta")
+def topic_extraction_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a book's topics came about, and whether they deserve a warning."""
+    return _extraction(spark, sf_dir).meta
+
+
 @query("topic_reextract", with_sql("topics", "SELECT topic_id, name, 'MANUAL' AS source FROM topics WHERE NOT is_auto UNION ALL SELECT 1000 + r_regionkey, r_name, 'AUTO' FROM region"))
 def topic_reextract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manual topics stay, automatic ones are replaced."""
