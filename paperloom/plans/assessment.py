@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from paperloom.functions import notation, rules
 from paperloom.functions.ordinals import ordinal, ordinal_sql
+from paperloom.operators import blueprints
 from paperloom.operators.apportion import largest_remainder
 from paperloom.plans.fixtures import literal, options, stems, strip, topic_map, with_sql
 from paperloom.plans.text import tex_sql
@@ -38,14 +39,45 @@ def q_largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slots(spark, sf_dir).select("blueprint_id", "type", "level", "share")
 
 
-@query("blueprint_expand", f"SELECT blueprint_id, type, level, share FROM ({_SHARES}) WHERE share > 0")
+# configurations as JSON: automatic and manual topics, sums that fail, values out of range, and text that is no JSON
+_CONFIG_JSON = """CASE WHEN o_orderkey % 41 = 0 THEN 'no json' ELSE concat('{"question_counts":{"mcq":', o_orderkey % 7, ',"true_false":', o_orderkey % 5, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE concat(',"short_answer":', o_orderkey % 3) END, ',"essay":', o_orderkey % 2 - CASE WHEN o_orderkey % 37 = 0 THEN 2 ELSE 0 END, '}',
+ CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN ',"difficulty_mix":{"easy":0.3,"medium":0.4,"hard":0.3}' WHEN 2 THEN ',"difficulty_mix":{"easy":0.25,"medium":0.75,"hard":0.0}' ELSE ',"difficulty_mix":{"easy":0.0,"medium":0.0,"hard":0.0}' END,
+ CASE o_custkey % 5 WHEN 0 THEN ',"bloom_mix":{"apply":0.5,"create":0.5}' WHEN 1 THEN ',"bloom_mix":{"remember":0.7,"apply":0.7}' ELSE '' END,
+ CASE o_orderkey % 4 WHEN 0 THEN concat(',"topic_mix":{"mode":"manual","topics":[{"topic_id":', o_custkey % 25, ',"question_count":', o_orderkey % 7 + o_orderkey % 5, '},{"topic_id":', o_custkey % 7, ',"question_count":', o_orderkey % 3, '}]}') WHEN 1 THEN concat(',"topic_mix":{"mode":"manual","topics":[{"topic_id":', o_custkey % 25, ',"question_count":', o_orderkey % 7 + o_orderkey % 5 + o_orderkey % 3 + o_orderkey % 2, '}]}') WHEN 2 THEN CASE WHEN o_custkey % 9 = 0 THEN ',"topic_mix":{"mode":"manual","topics":[]}' ELSE '' END ELSE ',"topic_mix":{"mode":"auto","topics":[]}' END,
+ ',"total_points":', o_orderkey % 90, CASE WHEN o_orderkey % 3 = 0 THEN concat(',"duration_minutes":', o_orderkey % 60) ELSE '' END, '}') END"""
+_CONFIG_TYPES = '{"question_counts":{' + ",".join(f'"{t}":"BIGINT"' for t in blueprints.TYPES) + '},"difficulty_mix":{' + ",".join(f'"{x}":"DOUBLE"' for x in blueprints.LEVELS) + '},"bloom_mix":{' + ",".join(f'"{x}":"DOUBLE"' for x in blueprints.BLOOM) + '},"topic_mix":{"mode":"VARCHAR","topics":[{"topic_id":"BIGINT","question_count":"BIGINT"}]},"total_points":"BIGINT","duration_minutes":"BIGINT"}'
+_TYPES_SQL = ", ".join(f"('{t}', {k}, CASE WHEN c.question_counts IS NOT NULL THEN coalesce(c.question_counts.{t}, 0) END)" for k, t in enumerate(blueprints.TYPES))
+_LEVELS_SQL = ", ".join(f"('{x}', {k}, coalesce(c.difficulty_mix.{x}, {w}))" for k, (x, w) in enumerate(blueprints.DEFAULT_MIX.items()))
+_DECODED = f"cf AS (SELECT blueprint_id, from_json(config, '{_CONFIG_TYPES}') AS c FROM (SELECT o_orderkey AS blueprint_id, CASE WHEN x = 'no json' THEN NULL ELSE x::JSON END AS config FROM (SELECT o_orderkey, {_CONFIG_JSON} AS x FROM orders)))"
+
+
+def _apportioned(rows: str, group: str, weight: str, order: str) -> str:
+    """The largest-remainder shares of rows with a total."""
+    raw = f"SELECT *, CASE WHEN sum({weight}) OVER (PARTITION BY {group}) > 0 THEN total * {weight} / (sum({weight}) OVER (PARTITION BY {group}))::DOUBLE ELSE 0 END AS raw, sum({weight}) OVER (PARTITION BY {group}) AS al FROM {rows}"
+    return f"SELECT *, fl + CASE WHEN al > 0 AND row_number() OVER (PARTITION BY {group} ORDER BY round(raw - fl, 9) DESC, {order}) <= total - sum(fl) OVER (PARTITION BY {group}) THEN 1 ELSE 0 END AS share FROM (SELECT *, floor(raw)::BIGINT AS fl FROM ({raw}))"
+
+
+_EXPANDED = f"""{_DECODED},
+tn AS (SELECT blueprint_id, c, unnest(CASE WHEN coalesce(c.topic_mix.mode, 'auto') = 'manual' THEN list_transform(coalesce(c.topic_mix.topics, []), lambda t, i: struct_pack(no := i - 1, topic_id := t.topic_id, n := t.question_count)) ELSE [struct_pack(no := 0, topic_id := NULL::BIGINT, n := NULL::BIGINT)] END) AS t FROM cf),
+ty AS (SELECT blueprint_id, c, t.no AS topic_no, t.topic_id AS topic_id, t.n AS n, coalesce(t.n, 0) AS total, y.type, y.type_ord, y.asked FROM tn, LATERAL (VALUES {_TYPES_SQL}) AS y(type, type_ord, asked) WHERE y.asked > 0),
+ts AS ({_apportioned('ty', 'blueprint_id, topic_no', 'asked', 'type_ord')}),
+lv AS (SELECT blueprint_id, topic_no, topic_id, type, CASE WHEN n IS NULL THEN asked ELSE share END AS total, l.level, l.level_ord, l.w FROM ts, LATERAL (VALUES {_LEVELS_SQL}) AS l(level, level_ord, w)),
+ex AS (SELECT * FROM ({_apportioned('lv', 'blueprint_id, topic_no, type', 'w', 'level_ord')}) WHERE share > 0)"""
+
+
+def _configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blueprints.parsed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("blueprint_id"), F.expr(_CONFIG_JSON).alias("config_json")))
+
+
+@query("blueprint_expand", f"WITH {_EXPANDED} SELECT blueprint_id, topic_no, topic_id, type, level, share::BIGINT AS share FROM ex")
 def blueprint_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _slots(spark, sf_dir).where("share > 0").select("blueprint_id", "type", "level", "share")
+    """Slots of automatic and manual blueprints."""
+    return blueprints.expand(_configs(spark, sf_dir)).withColumn("topic_no", F.col("topic_no").cast("long"))
 
 
-@query("slot_explode", f"SELECT blueprint_id, type, level, unnest(range(1, share + 1)) AS item FROM ({_SHARES}) WHERE share > 0")
+@query("slot_explode", f"WITH {_EXPANDED} SELECT blueprint_id, topic_no, type, level, unnest(range(1, share::BIGINT + 1)) AS item FROM ex")
 def slot_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blueprint_expand(spark, sf_dir).select("blueprint_id", "type", "level", F.explode(F.sequence(F.lit(1).cast("long"), "share")).alias("item"))
+    return blueprint_expand(spark, sf_dir).select("blueprint_id", "topic_no", "type", "level", F.explode(F.sequence(F.lit(1).cast("long"), "share")).alias("item"))
 
 
 @query("ceil_div", "SELECT o_orderkey, cast(ceil((o_orderkey % 17) / 4.0) AS BIGINT) AS per_type FROM orders")
@@ -60,13 +92,18 @@ def practice_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.where("per_type > 0").select("o_orderkey", "topic", "per_type", F.ceil(F.col("per_type") / 3.0).alias("per_topic"))
 
 
-@query("config_validation", "SELECT o_orderkey, concat_ws(',', CASE WHEN t < 1 THEN 'no_questions' END, CASE WHEN m NOT BETWEEN 0.99 AND 1.01 THEN 'mix_sum' END, CASE WHEN p <= 0 THEN 'points' END) AS reasons FROM (SELECT o_orderkey, o_orderkey % 7 + o_orderkey % 5 AS t, CASE WHEN o_orderkey % 4 = 0 THEN 0.9 ELSE 1.0 END AS m, o_orderkey % 9 AS p FROM orders)")
+_MIX_SUM = " + ".join(f"coalesce(c.difficulty_mix.{x}, {w})" for x, w in blueprints.DEFAULT_MIX.items())
+_BLOOM_SUM = " + ".join(f"coalesce(c.bloom_mix.{x}, 0)" for x in blueprints.BLOOM)
+_TOTAL = "CASE WHEN c.question_counts IS NOT NULL THEN " + " + ".join(f"coalesce(c.question_counts.{t}, 0)" for t in blueprints.TYPES) + " END"
+_OUT_OF_RANGE = " OR ".join([f"c.question_counts.{t} < 0" for t in blueprints.TYPES] + [f"c.difficulty_mix.{x} NOT BETWEEN 0 AND 1" for x in blueprints.LEVELS] + [f"c.bloom_mix.{x} NOT BETWEEN 0 AND 1" for x in blueprints.BLOOM] + ["len(list_filter(c.topic_mix.topics, lambda t: t.topic_id IS NULL OR coalesce(t.question_count, 0) < 1)) > 0"])
+
+
+@query("config_validation", f"""WITH {_DECODED} SELECT blueprint_id, concat_ws(',', CASE WHEN coalesce({_TOTAL}, 0) < 1 THEN 'no_questions' END, CASE WHEN {_OUT_OF_RANGE} THEN 'ranges' END, CASE WHEN round({_MIX_SUM}, 9) NOT BETWEEN 0.99 AND 1.01 THEN 'difficulty_sum' END,
+CASE WHEN c.bloom_mix IS NOT NULL AND round({_BLOOM_SUM}, 9) NOT BETWEEN 0.99 AND 1.01 THEN 'bloom_sum' END, CASE WHEN coalesce(c.topic_mix.mode, 'auto') NOT IN ('auto', 'manual') THEN 'topic_mode' END, CASE WHEN c.topic_mix.mode = 'manual' AND coalesce(len(c.topic_mix.topics), 0) = 0 THEN 'manual_topics' END,
+CASE WHEN c.topic_mix.mode = 'manual' AND len(c.topic_mix.topics) > 0 AND list_sum(list_transform(c.topic_mix.topics, lambda t: t.question_count)) <> {_TOTAL} THEN 'manual_total' END, CASE WHEN coalesce(c.total_points, 100) < 1 THEN 'points' END, CASE WHEN c.duration_minutes < 5 THEN 'duration' END) AS reasons FROM cf""")
 def config_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons for a rejection of a blueprint's configuration; none: accepted."""
-    k = F.col("o_orderkey")
-    c = table(spark, sf_dir, "orders").select("o_orderkey", (k % 7 + k % 5).alias("t"), F.when(k % 4 == 0, 0.9).otherwise(1.0).alias("m"), (k % 9).alias("p"))
-    reasons = F.concat_ws(",", F.when(F.col("t") < 1, "no_questions"), F.when(~F.col("m").between(0.99, 1.01), "mix_sum"), F.when(F.col("p") <= 0, "points"))
-    return c.select("o_orderkey", reasons.alias("reasons"))
+    return blueprints.reasons(_configs(spark, sf_dir))
 
 
 _CONFIG = "'{\"counts\":{\"mcq\":' || (o_orderkey % 7) || ',\"essay\":' || (o_orderkey % 3) || '},\"total_points\":' || (o_orderkey % 90) || '}'"
