@@ -6,7 +6,7 @@ from paperloom.registry import ORACLES, QUERIES
 MODULES = (assessment, boundary, chunks, generation, relational, retrieval, text, topics)
 #: SQL types that would otherwise differ from those of the queries (decimals and wide sums).
 CASTS = {
-    "DOUBLE": {"score": ("validate_distractors", "validate_grounding", "validate_grounding_batch", "persist_correctness", "map_lookup", "validators_run", "sink_validation"), "confidence": ("agg_confidence", "pdf_outline_topics")},
+    "DOUBLE": {"score": ("validate_distractors", "validate_grounding", "validate_grounding_batch", "persist_correctness", "map_lookup"), "confidence": ("agg_confidence", "pdf_outline_topics")},
     "BIGINT": {
         "correct_count": ("validate_distractors",), "generated": ("agg_job_summary",), "failed": ("agg_job_summary",), "char_start": ("src_page_offsets",), "char_end": ("src_page_offsets",),
         "changed": ("backfill_classes",), "skipped": ("backfill_classes",), "n": ("agg_excluded_count",), "chars": ("sink_chunks",), "draft": ("agg_status_counts",), "reviewed": ("agg_status_counts",),

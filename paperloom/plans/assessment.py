@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from paperloom.functions import notation, rules
 from paperloom.functions.ordinals import ordinal, ordinal_sql
-from paperloom.operators import blueprints
+from paperloom.operators import blueprints, validators
 from paperloom.operators.apportion import largest_remainder
+from paperloom.plans.chunks import BLOOM_SQL, CLAUSE_SQL, DIFFICULTY_SQL, TRIVIAL_SQL, VERB_SQL
 from paperloom.plans.fixtures import literal, options, stems, strip, topic_map, with_sql
 from paperloom.plans.text import tex_sql
 from paperloom.registry import query, table
@@ -159,25 +160,17 @@ def enum_parse_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OPT_NORM = "trim(regexp_replace(regexp_replace(" + strip("lower(text)") + ", '^\\.+|\\.+$', '', 'g'), '\\s+', ' ', 'g'))"
-#: Options that refer to other options.
-CATCH_ALL = ("all of the above", "all of the above.", "none of the above", "none of the above.", "all of these", "none of these", "both a and b", "both of the above")
-_CHECKED = f"SELECT question_id, count(*) AS n, count_if(is_correct) AS c, count(*) - count(DISTINCT {_OPT_NORM}) AS dup, count_if({_OPT_NORM} IN ({', '.join(repr(x) for x in CATCH_ALL)})) AS ca, max(length(text)) > 3 * avg(length(text)) AS outlier FROM options GROUP BY 1"
+_CHECKED = f"SELECT question_id, count(*) AS n, count_if(is_correct) AS c, count(*) - count(DISTINCT {_OPT_NORM}) AS dup, count_if({_OPT_NORM} IN ({', '.join(repr(x) for x in validators.CATCH_ALL)})) AS ca, max(length(text)) > 3 * avg(length(text)) AS outlier FROM options GROUP BY 1"
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = notation.option_text(F.col("text"))
-    n = F.length("text")
-    return options(spark, sf_dir).groupBy("question_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"), (F.count("*") - F.count_distinct(norm)).alias("dup"), F.count_if(norm.isin(*CATCH_ALL)).alias("ca"), (F.max(n) > 3 * F.avg(n)).alias("outlier"))
-
-
-def _fails() -> Column:
-    return (F.col("n") != 4) | (F.col("c") != 1) | (F.col("dup") > 0)
+    return validators.option_facts(options(spark, sf_dir))
 
 
 @query("validate_distractors", with_sql("stems options", f"SELECT question_id, CASE WHEN n <> 4 OR c <> 1 OR dup > 0 THEN 'fail' WHEN ca > 0 OR outlier THEN 'warn' ELSE 'pass' END AS outcome, CASE WHEN n <> 4 OR c <> 1 OR dup > 0 THEN 0.0 WHEN ca > 0 OR outlier THEN 0.5 ELSE 1.0 END AS score, n AS option_count, c AS correct_count FROM ({_CHECKED})"))
 def validate_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcome = F.when(_fails(), "fail").when((F.col("ca") > 0) | F.col("outlier"), "warn").otherwise("pass")
-    score = F.when(_fails(), 0.0).when((F.col("ca") > 0) | F.col("outlier"), 0.5).otherwise(1.0)
+    outcome = validators.option_outcome()
+    score = F.when(outcome == "fail", 0.0).when(outcome == "warn", 0.5).otherwise(1.0)
     return _checked(spark, sf_dir).select("question_id", outcome.alias("outcome"), score.alias("score"), F.col("n").alias("option_count"), F.col("c").alias("correct_count"))
 
 
@@ -258,14 +251,32 @@ def validate_triviality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stems(spark, sf_dir).select("question_id", F.when(~is_trivial(F.col("stem")), "pass").when(wanted, "warn").otherwise("fail").alias("outcome"))
 
 
-VALIDATIONS_SQL = f"SELECT question_id, 'distractor' AS validation_type, CASE WHEN n <> 4 OR c <> 1 OR dup > 0 THEN 0.0 WHEN ca > 0 OR outlier THEN 0.5 ELSE 1.0 END AS score FROM ({_CHECKED}) UNION ALL SELECT question_id, 'grounding', CASE WHEN sources = 0 THEN 0.0 WHEN linked = 0 THEN 0.5 ELSE 1.0 END FROM ({_GROUND})"
+_SOURCED = "SELECT q.question_id, CASE WHEN m.chunk_id % 3 <> 0 THEN m.chunk_id END AS chunk_id FROM stems q JOIN topic_map m ON m.topic_id = q.set_id AND m.score > 0.9"
+_GATE = "SELECT question_id, '{0}' AS validation_type, 'ok' AS status, outcome <> 'fail' AS passed, CASE outcome WHEN 'pass' THEN 1.0 WHEN 'warn' THEN 0.5 ELSE 0.0 END::DOUBLE AS score, outcome FROM ({1})"
+VALIDATIONS_SQL = " UNION ALL ".join([
+    _GATE.format("grounding", "SELECT question_id, CASE WHEN count(s) = 0 THEN 'fail' WHEN count(c) = 0 THEN 'warn' ELSE 'pass' END AS outcome FROM (SELECT q.question_id, x.question_id AS s, x.chunk_id AS c FROM stems q LEFT JOIN (" + _SOURCED + ") x USING (question_id)) GROUP BY 1"),
+    _GATE.format("distractor", f"SELECT question_id, CASE WHEN n <> 4 OR c <> 1 OR dup > 0 THEN 'fail' WHEN ca > 0 OR outlier THEN 'warn' ELSE 'pass' END AS outcome FROM ({_CHECKED})"),
+    f"SELECT question_id, 'difficulty', 'ok', true, (CASE WHEN {TRIVIAL_SQL} AND level <> 'easy' THEN greatest(confidence, 0.55) ELSE confidence END)::DOUBLE, CASE WHEN {TRIVIAL_SQL} THEN 'easy' ELSE level END FROM ({DIFFICULTY_SQL})",
+    f"SELECT question_id, 'bloom', 'ok', true, (CASE WHEN raised THEN greatest(conf, 0.55) ELSE conf END)::DOUBLE, CASE WHEN raised THEN 'understand' ELSE b END FROM (SELECT *, {TRIVIAL_SQL} AND b NOT IN ('remember', 'understand') AS raised, CASE WHEN v IS NULL THEN 0.40 ELSE 0.65 END AS conf FROM (SELECT *, {BLOOM_SQL} AS b, {VERB_SQL} AS v FROM (SELECT *, {CLAUSE_SQL} AS c FROM stems)))",
+    _GATE.format("triviality", f"SELECT question_id, CASE WHEN NOT {TRIVIAL_SQL} THEN 'pass' WHEN difficulty = 'easy' OR bloom = 'remember' THEN 'warn' ELSE 'fail' END AS outcome FROM stems"),
+    f"SELECT question_id, 'correctness', 'ok', v <> 'ambiguous', (CASE v WHEN 'correct' THEN 1.0 WHEN 'incorrect' THEN 0.0 ELSE 0.5 END)::DOUBLE, v FROM (SELECT question_id, {_VERDICT} AS v FROM stems WHERE type IN ('mcq', 'true_false') AND question_id % 7 <> 0)",
+])
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six kinds; the checking model was asked about six of seven questions."""
+    q = stems(spark, sf_dir)
+    sources = topic_map(spark, sf_dir).where("score > 0.9").select(F.col("topic_id").alias("set_id"), F.when(F.col("chunk_id") % 3 != 0, F.col("chunk_id")).alias("chunk_id")).join(q.select("question_id", "set_id"), "set_id")
+    verdict = F.expr(_VERDICT)
+    verdicts = q.where("question_id % 7 <> 0").select("question_id", verdict.alias("verdict"), (verdict == "ambiguous").alias("rejects"))
+    kinds = [validators.grounding(sources), validators.distractors(options(spark, sf_dir)), validators.difficulty(), validators.bloom(), validators.triviality(), validators.correctness(verdicts)]
+    return validators.run_validators(q, kinds)
 
 
 @query("validators_run", with_sql("stems options topic_map", VALIDATIONS_SQL))
 def validators_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the validators, one after the other."""
-    rows = lambda df, kind: df.select("question_id", F.lit(kind).alias("validation_type"), "score")
-    return rows(validate_distractors(spark, sf_dir), "distractor").unionByName(rows(validate_grounding(spark, sf_dir), "grounding"))
+    return _validated(spark, sf_dir).drop("detail")
 
 
 @query("question_transitions", with_sql("stems", "SELECT question_id, a AS action, CASE WHEN a = status THEN 'conflict' ELSE 'ok' END AS result, CASE WHEN a = status THEN status ELSE a END AS new_status FROM (SELECT *, CASE WHEN question_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS a FROM stems)"))
@@ -383,7 +394,7 @@ def json_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("set_id", F.to_json(F.struct(*s.columns)).alias("summary"))
 
 
-query("json_detail_encode")(lambda spark, sf_dir: validate_distractors(spark, sf_dir).select("question_id", F.to_json(F.struct("outcome", "score", "option_count", "correct_count")).alias("detail")))
+query("json_detail_encode")(lambda spark, sf_dir: _validated(spark, sf_dir).select("question_id", "validation_type", "detail"))
 
 
 @query("progress_pct", "SELECT l_orderkey, l_linenumber, cast(floor(r / n::DOUBLE * 90) AS BIGINT) AS pct FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)")

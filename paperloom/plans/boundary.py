@@ -82,9 +82,9 @@ def sink_tex(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are appended, kind after kind, to the log of validations, and read back."""
     path, rows = scratch_path(spark), validators_run(spark, sf_dir)
-    for kind in ("distractor", "grounding"):
+    for kind in ("grounding", "distractor", "difficulty", "bloom", "triviality", "correctness"):
         sinks.append_rows(rows.where(F.col("validation_type") == kind), path, "validation_type")
-    return spark.read.parquet(path).select("question_id", "validation_type", "score")
+    return spark.read.parquet(path).select("question_id", "validation_type", "status", "passed", "score", "outcome")
 
 
 @query("sink_job_progress", "SELECT user_id AS job_id, arg_max(event_type, epoch_us(ts)::HUGEINT * 1000000 + event_id % 1000000) AS status, count(*) AS n_events FROM events GROUP BY 1")

@@ -187,15 +187,15 @@ def agg_excluded_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir).groupBy("course_id").agg(F.count_if(rules.is_excluded(F.col("content"))).alias("n"))
 
 
-_TRIVIAL_SQL = "regexp_matches(lower(trim(stem)), " + literal("|".join(rules.TRIVIAL)) + ")"
+TRIVIAL_SQL = "regexp_matches(lower(trim(stem)), " + literal("|".join(rules.TRIVIAL)) + ")"
 
 
-@query("is_trivial", with_sql("stems", f"SELECT question_id, {_TRIVIAL_SQL} AS trivial FROM stems"))
+@query("is_trivial", with_sql("stems", f"SELECT question_id, {TRIVIAL_SQL} AS trivial FROM stems"))
 def is_trivial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stems(spark, sf_dir).select("question_id", rules.is_trivial(F.col("stem")).alias("trivial"))
 
 
-@query("reject_trivial", with_sql("stems", f"SELECT question_id, {_TRIVIAL_SQL} AND difficulty <> 'easy' AND bloom <> 'remember' AS rejected FROM stems"))
+@query("reject_trivial", with_sql("stems", f"SELECT question_id, {TRIVIAL_SQL} AND difficulty <> 'easy' AND bloom <> 'remember' AS rejected FROM stems"))
 def reject_trivial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stems(spark, sf_dir).select("question_id", rules.reject_trivial(F.col("stem"), F.col("difficulty"), F.col("bloom")).alias("rejected"))
 
@@ -204,30 +204,30 @@ def _n(pattern: str) -> str:
     return f"len(regexp_extract_all(stem, {literal('(?i)' + pattern)}))"
 
 
-_DIFF = f"SELECT *, CASE WHEN sc > 2 THEN 'hard' WHEN sc > 0 THEN 'medium' ELSE 'easy' END AS level, CASE WHEN sc > 2 THEN least(0.5::DOUBLE + h * 0.08::DOUBLE, 0.75) WHEN sc > 0 THEN 0.55 ELSE least(0.5::DOUBLE + e * 0.08::DOUBLE, 0.70) END AS confidence FROM (SELECT *, 2.0 * h + m - e + 0.5 * (x // 2) - CASE WHEN w <= 8 THEN 1 ELSE 0 END AS sc FROM (SELECT *, least(4, {_n(rules.HARD)}) AS h, least(4, {_n(rules.MEDIUM)}) AS m, {_n(rules.EASY)} AS e, {_n(rules.COMPOUND)} AS x, len(list_filter(regexp_split_to_array(trim(stem), '\\s+'), lambda t: t <> '')) AS w FROM stems))"
+DIFFICULTY_SQL = f"SELECT *, CASE WHEN sc > 2 THEN 'hard' WHEN sc > 0 THEN 'medium' ELSE 'easy' END AS level, CASE WHEN sc > 2 THEN least(0.5::DOUBLE + h * 0.08::DOUBLE, 0.75) WHEN sc > 0 THEN 0.55 ELSE least(0.5::DOUBLE + e * 0.08::DOUBLE, 0.70) END AS confidence FROM (SELECT *, 2.0 * h + m - e + 0.5 * (x // 2) - CASE WHEN w <= 8 THEN 1 ELSE 0 END AS sc FROM (SELECT *, least(4, {_n(rules.HARD)}) AS h, least(4, {_n(rules.MEDIUM)}) AS m, {_n(rules.EASY)} AS e, {_n(rules.COMPOUND)} AS x, len(list_filter(regexp_split_to_array(trim(stem), '\\s+'), lambda t: t <> '')) AS w FROM stems))"
 
 
-@query("difficulty_heur", with_sql("stems", f"SELECT question_id, level, confidence FROM ({_DIFF})"))
+@query("difficulty_heur", with_sql("stems", f"SELECT question_id, level, confidence FROM ({DIFFICULTY_SQL})"))
 def difficulty_heur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stems(spark, sf_dir).select("question_id", rules.difficulty(F.col("stem")).alias("d")).select("question_id", "d.*")
 
 
-@query("tag_difficulty", with_sql("stems", f"SELECT question_id, CASE WHEN {_TRIVIAL_SQL} THEN 'easy' ELSE level END AS level, CASE WHEN {_TRIVIAL_SQL} AND level <> 'easy' THEN greatest(confidence, 0.55) ELSE confidence END AS confidence FROM ({_DIFF})"))
+@query("tag_difficulty", with_sql("stems", f"SELECT question_id, CASE WHEN {TRIVIAL_SQL} THEN 'easy' ELSE level END AS level, CASE WHEN {TRIVIAL_SQL} AND level <> 'easy' THEN greatest(confidence, 0.55) ELSE confidence END AS confidence FROM ({DIFFICULTY_SQL})"))
 def tag_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stems(spark, sf_dir).select("question_id", rules.tag_difficulty(F.col("stem")).alias("d")).select("question_id", "d.*")
 
 
-_CLAUSE = "string_split(string_split(stem, '?')[1], '.')[1]"
-_BLOOM = "CASE " + " ".join(f"WHEN regexp_matches(c, {literal(f'(?i)\\b({v})\\b')}) THEN {literal(k)}" for k, v in rules.BLOOM.items()) + " ELSE 'remember' END"
-_VERB = "CASE " + " ".join(f"WHEN regexp_matches(c, {literal(f'(?i)\\b({v})\\b')}) THEN lower(regexp_extract(c, {literal(f'(?i)\\b({v})\\b')}, 1))" for v in rules.BLOOM.values()) + " END"
+CLAUSE_SQL = "string_split(string_split(stem, '?')[1], '.')[1]"
+BLOOM_SQL = "CASE " + " ".join(f"WHEN regexp_matches(c, {literal(f'(?i)\\b({v})\\b')}) THEN {literal(k)}" for k, v in rules.BLOOM.items()) + " ELSE 'remember' END"
+VERB_SQL = "CASE " + " ".join(f"WHEN regexp_matches(c, {literal(f'(?i)\\b({v})\\b')}) THEN lower(regexp_extract(c, {literal(f'(?i)\\b({v})\\b')}, 1))" for v in rules.BLOOM.values()) + " END"
 
 
-@query("bloom_heur", with_sql("stems", f"SELECT question_id, {_BLOOM} AS level, {_VERB} AS verb FROM (SELECT *, {_CLAUSE} AS c FROM stems)"))
+@query("bloom_heur", with_sql("stems", f"SELECT question_id, {BLOOM_SQL} AS level, {VERB_SQL} AS verb FROM (SELECT *, {CLAUSE_SQL} AS c FROM stems)"))
 def bloom_heur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stems(spark, sf_dir).select("question_id", rules.bloom(F.col("stem")).alias("b")).select("question_id", "b.level", "b.verb")
 
 
-@query("tag_bloom", with_sql("stems", f"SELECT question_id, CASE WHEN {_TRIVIAL_SQL} AND b NOT IN ('remember', 'understand') THEN 'understand' ELSE b END AS level FROM (SELECT *, {_BLOOM} AS b FROM (SELECT *, {_CLAUSE} AS c FROM stems))"))
+@query("tag_bloom", with_sql("stems", f"SELECT question_id, CASE WHEN {TRIVIAL_SQL} AND b NOT IN ('remember', 'understand') THEN 'understand' ELSE b END AS level FROM (SELECT *, {BLOOM_SQL} AS b FROM (SELECT *, {CLAUSE_SQL} AS c FROM stems))"))
 def tag_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stems(spark, sf_dir).select("question_id", rules.tag_bloom(F.col("stem")).alias("level"))
 
