@@ -14,6 +14,8 @@ from paperloom.plans.chunks import BLOOM_SQL, CLAUSE_SQL, DIFFICULTY_SQL, TRIVIA
 from paperloom.plans.fixtures import literal, options, stems, strip, topic_map, with_sql
 from paperloom.plans.text import tex_sql
 from paperloom.registry import query, table
+from paperloom.scratch import scratch_path
+from paperloom.streaming import jobs
 from paperloom.streaming.budgets import time_slices
 
 # blueprints: orders, with counts by type and a difficulty mix from their keys
@@ -507,11 +509,41 @@ def rt_retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.least(F.lit(20.0), F.coalesce(found("h", _HINTS[0]), found("b", _HINTS[1]), F.pow(F.lit(2.0), "attempt") + jitter)).alias("wait_s"))
 
 
-@query("rt_job_lifecycle", "SELECT user_id AS job_id, arg_max(event_type, epoch_us(ts)::HUGEINT * 1000000 + event_id % 1000000) AS status, count(*) AS n_events FROM events GROUP BY 1")
+# job events: a minute of the log is a second, and event types are statuses
+_JOB_US = "epoch_us(ts) // 60"
+_JOB_STATUS = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failure' ELSE 'running' END"
+
+
+@query("rt_job_lifecycle", f"""WITH e AS (SELECT user_id AS job_id, event_id, {_JOB_US} AS us, {_JOB_STATUS} AS status FROM events),
+n AS (SELECT *, CASE WHEN lag(us) OVER w IS NULL OR lag(status) OVER w IN ('success', 'failure') OR us - lag(us) OVER w > 600000000 THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY job_id ORDER BY us, event_id)),
+a AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS attempt FROM n),
+g AS (SELECT job_id, attempt, last(status ORDER BY us, event_id) AS s, min(us)::BIGINT AS started, max(us)::BIGINT AS latest, count(*) AS n_events FROM a GROUP BY 1, 2)
+SELECT job_id, attempt, CASE WHEN s IN ('success', 'failure') THEN s ELSE 'timeout' END AS status, started, CASE WHEN s IN ('success', 'failure') THEN latest ELSE latest + 600000000 END AS ended, n_events FROM g""")
 def rt_job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest state of each job from its log."""
+    """The events arrive in four files, out of order by up to half the watermark's delay; an event of no job long after ends all silences."""
+    path = scratch_path(spark)
+    us = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60)
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "event_id", F.timestamp_micros(us).alias("ts"), F.expr(_JOB_STATUS).alias("status"))
+    jitter = F.pmod(F.xxhash64("event_id"), F.lit(1_800_000_000))
+    arrival = (F.unix_micros("ts") - jitter).alias("arrival")
+    first, last = log.agg(F.min(arrival), F.max(arrival)).first()
+    quarter = F.least(F.lit(3), F.floor((F.col("arrival") - (first or 0)) * 4 / max(1, (last or 0) - (first or 0))))
+    parts = log.select("*", arrival).select("*", quarter.alias("part"))
+    for k in range(4):
+        parts.where(F.col("part") == k).select("job_id", "event_id", "ts", "status").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("job_id"), F.lit(-1).cast("long").alias("event_id"), F.timestamp_micros(F.lit((last or 0) + 10**11)).alias("ts"), F.lit("running").alias("status"))
+    end.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    with jobs.keyed_state(spark):
+        stream = spark.readStream.schema("job_id long, event_id long, ts timestamp, status string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        out = jobs.attempts(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(jobs.ATTEMPT).parquet(f"{path}/out")
+
+
+def rt_latest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state of each job from its log, as a poll sees it."""
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max_by("event_type", F.struct("ts", F.col("event_id") % 1000000)).alias("status"), F.count("*").alias("n_events"))
 
 
 for _alias in ("rt_polling",):
-    query(_alias, "SELECT user_id AS job_id, arg_max(event_type, epoch_us(ts)::HUGEINT * 1000000 + event_id % 1000000) AS status, count(*) AS n_events FROM events GROUP BY 1")(rt_job_lifecycle)
+    query(_alias, "SELECT user_id AS job_id, arg_max(event_type, epoch_us(ts)::HUGEINT * 1000000 + event_id % 1000000) AS status, count(*) AS n_events FROM events GROUP BY 1")(rt_latest_states)

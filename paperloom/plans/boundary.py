@@ -20,6 +20,7 @@ from paperloom.plans.text import MATH_CASES, _cases
 from paperloom.registry import query, table
 from paperloom.scratch import scratch_path
 from paperloom.sources import sinks
+from paperloom.streaming.budgets import arrivals
 
 
 _cases("norm_alias", notation.repair_math, MATH_CASES)
@@ -200,9 +201,8 @@ def exam_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rt_ingest_on_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages arrive as a file stream, and each content is processed once."""
     path, at = scratch_path(spark), F.timestamp_micros(F.col("page_id") + 1_000_000)
-    table(spark, sf_dir, "pages").select("page_id", "url", "html").write.parquet(f"{path}/in")  # the arrivals
-    source = spark.readStream.schema("page_id long, url string, html string").parquet(f"{path}/in")
-    once = source.select("page_id", F.sha2("html", 256).alias("sha"), at.alias("ts")).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["sha"])
+    table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha"), at.alias("ts")).write.parquet(f"{path}/in")  # the arrivals
+    once = arrivals(spark, f"{path}/in", "page_id long, sha string, ts timestamp", "sha", "1 day")
     once.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("page_id long, sha string, ts timestamp").parquet(f"{path}/out").agg(F.count("*").alias("processed"))
 

@@ -10,6 +10,7 @@ from paperloom.functions import rules, similarity
 from paperloom.operators.generation import FACTS, build_context, context_chunks, greedy_duplicates, near_pairs
 from paperloom.operators import topic_map as topic_map_ops
 from paperloom.operators import topics as topic_ops
+from paperloom.operators.embedding import embed
 from paperloom.operators.phrases import best_share, term_relevance
 from paperloom.operators.vector_index import build_index, search, search_range
 from paperloom.operators.vectors import nearest
@@ -56,10 +57,23 @@ def topk_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(build_index(everything), asked, 10).select("query_id", "vec_id", F.col("score").alias("sim"), "rank")
 
 
-@query("retrieve_by_query", f"SELECT query_id, vec_id, greatest(0.0, sim) AS score FROM ({_RANKED}) WHERE rank <= 10 AND sim >= 0.25")
+_HASHED = "list_transform(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: ('0x' || md5(w)[:8])::BIGINT % 64)"
+
+
+def _text_vectors(key: str, rows: str) -> str:
+    return f"SELECT id, list_transform(range(64), lambda k: len(list_filter(s, lambda x: x = k))::DOUBLE) AS v FROM (SELECT {key} AS id, {_HASHED} AS s FROM {rows})"
+
+
+
+@query("retrieve_by_query", f"""WITH q AS ({_text_vectors('item_id', 'benchmark WHERE item_id % 4 = 0')}), d AS ({_text_vectors('doc_id', "documents WHERE regexp_matches(text, '[^ \\t\\n\\r]')")}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS r FROM (SELECT q.id AS query_id, d.id AS chunk_id, round(CASE WHEN list_inner_product(d.v, d.v) = 0 OR list_inner_product(q.v, q.v) = 0 THEN 0 ELSE list_inner_product(d.v, q.v) / (sqrt(list_inner_product(d.v, d.v)) * sqrt(list_inner_product(q.v, q.v))) END, 5) AS sim FROM q, d))
+SELECT query_id, chunk_id, greatest(0.0, sim)::DOUBLE AS score FROM r WHERE r <= 10 AND sim >= 0.25""")
 def retrieve_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The threshold comes after the limit."""
-    return topk_vector(spark, sf_dir).where("sim >= 0.25").select("query_id", "vec_id", F.greatest(F.lit(0.0), "sim").alias("score"))
+    """Texts as queries (every fourth benchmark item) against all texts, by the vectors of one model; the threshold comes after the limit."""
+    items = embed(table(spark, sf_dir, "benchmark").where("item_id % 4 = 0").select(F.col("item_id").alias("id"), "text"), "text", 64)
+    texts = embed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "text", 64)
+    found = search(build_index(texts.select("id", F.col("embedding").alias("vec"))), items.select("id", F.col("embedding").alias("vec")), 10)
+    return found.where("score >= 0.25").select("query_id", F.col("vec_id").alias("chunk_id"), F.greatest(F.lit(0.0), "score").alias("score"))
 
 
 _MAPPED_ALREADY = "vec_id BETWEEN query_id AND query_id + 2"
