@@ -1,11 +1,13 @@
-"""Quality rules as weak supervision: rules vote or abstain, and expectation-maximisation weighs their votes.
+"""Quality rules as weak supervision: rules vote or abstain, and expectation-maximisation weighs what they do.
 
-Every document gets its counts, and each rule votes good (1), bad (-1) or abstains (0) on them. No label is used: the
-documents are counted by vote pattern, and expectation-maximisation over these patterns estimates how often each rule
-votes what on good and on bad documents. There are at most 2 to the number of rules that only know a fault, times 3 to
-the number of the others, patterns (20736; some dozens in fact), however many documents there are, so all rounds run over
-them in one row of one expression. A document is kept if its posterior probability of being good is at least a half and
-no base rule fails. All of it is DataFrame operations.
+Every document gets its counts, and each rule votes good (1), bad (-1) or abstains (0) on them. Rules are noisy: one alone is
+often wrong. No label is used: the documents are counted by vote pattern, and expectation-maximisation over these patterns
+estimates how often each rule does each of the three on good and on bad documents; abstaining is an outcome like the
+others. The estimates are those of the largest posterior density, with weak beliefs that tell the two classes apart, so
+that density rises in every round, and the rounds end when it no longer does. There are at most 3 to the number of rules
+patterns (177147; some hundreds in fact), however many documents there are, so all rounds run over them in one row of one
+expression. A document is kept if its posterior probability of being good is at least a half and no base rule fails: a
+bad vote can be outvoted, and silence can speak against a document. All of it is DataFrame operations.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; very long texts are counted
 whole; repeated rows get the same verdict each; a posterior of exactly a half keeps; an empty table gives no rows;
@@ -31,23 +33,22 @@ def _share(part: str, whole: str) -> Column:
 
 
 def rules() -> dict[str, tuple[Column, Column]]:
-    """name: (votes good, votes bad); a document of which neither holds gets no vote. Most rules only know a fault."""
-    n, never = F.col("n_words"), F.lit(False)
+    """name: (votes good, votes bad); a document of which neither holds gets no vote."""
+    n = F.col("n_words")
     per_word = lambda part: _share(part, "n_words")
-    symbols, enders, length = _share("n_symbols", "word_chars"), per_word("n_enders"), per_word("word_chars")
+    symbols, enders, length, variety, copies = _share("n_symbols", "word_chars"), per_word("n_enders"), per_word("word_chars"), per_word("n_distinct"), _share("n_dup_lines", "n_lines")
     return {
-        "length": (never, n < 50),
-        "sentences": (enders.between(0.02, 0.35), enders < 0.004),
-        "word_length": (length.between(3.5, 8.0), (length < 2.5) | (length > 14)),
-        "variety": (per_word("n_distinct") > 0.3, (n >= 80) & (per_word("n_distinct") < 0.15)),
-        "symbols": (never, symbols > 0.04),
-        "symbol_runs": (never, per_word("n_symbol_runs") > 0.08),
-        "bars": (never, per_word("n_bars") > 0.15),
-        "shouts": (never, per_word("n_shouts") > 0.08),
-        "capitals": (never, per_word("n_capital_runs") > 0.20),
-        "digits": (never, per_word("n_digit_runs") > 0.25),
-        "repeats": (never, per_word("n_repeat_words") > 0.35),
-        "lines": (never, (F.col("n_dup_lines") >= 3) & (_share("n_dup_lines", "n_lines") > 0.30)),
+        "sentences": (enders.between(0.04, 0.25), (enders < 0.02) | (enders > 0.35)),
+        "word_length": (length.between(4.4, 6.2), (length < 4.2) | (length > 7.0)),
+        "variety": (variety >= 0.62, (n >= 80) & (variety < 0.52)),
+        "symbols": (symbols < 0.005, symbols > 0.04),
+        "symbol_runs": (F.col("n_symbol_runs") == 0, per_word("n_symbol_runs") > 0.08),
+        "bars": (F.col("n_bars") == 0, per_word("n_bars") > 0.05),
+        "shouts": (F.col("n_shouts") == 0, per_word("n_shouts") > 0.08),
+        "capitals": (F.col("n_capital_runs") == 0, per_word("n_capital_runs") > 0.02),
+        "digits": (per_word("n_digit_runs") < 0.01, per_word("n_digit_runs") > 0.05),
+        "repeats": (per_word("n_repeat_words") < 0.01, per_word("n_repeat_words") > 0.05),
+        "lines": (F.col("n_dup_lines") == 0, copies > 0.10),
     }
 
 
@@ -95,78 +96,89 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class VoteModel:
-    """The share of good documents, and for each rule how often it votes what: by (rule, vote, class)."""
+    """The share of good documents, how often each rule does what by (rule, vote, class), the log density and the rounds that it took."""
 
     prior: float
     rates: dict[tuple[str, int, str], float]
+    density: float
+    rounds: int
 
     def posterior(self) -> Column:
-        """The probability of a good document, from its vote columns. A rule that abstains says nothing."""
+        """The probability of a good document, from its vote columns; a rule that abstains says something as well."""
         odds = F.lit(log(self.prior) - log(1 - self.prior))
-        for name in rules():
-            vote = F.col(f"_v_{name}")
-            says = {v: log(self.rates[name, v, "good"]) - log(self.rates[name, v, "bad"]) for v in (1, -1)}
-            odds = odds + F.when(vote == 1, says[1]).when(vote == -1, says[-1]).otherwise(0.0)
+        for name in dict.fromkeys(rule for rule, _, _ in self.rates):
+            says = {v: log(self.rates[name, v, "good"]) - log(self.rates[name, v, "bad"]) for v in VOTES}
+            odds = odds + F.when(F.col(f"_v_{name}") == 1, says[1]).when(F.col(f"_v_{name}") == -1, says[-1]).otherwise(says[0])
         return 1 / (1 + F.exp(-odds))
 
 
-#: What is believed before any document is seen: the share of good documents, and the rates of votes on good and on bad
-#: ones. A bad document is bad in some way, not in every way.
-PRIOR, START = 0.9, {(1, "good"): 0.9, (1, "bad"): 0.7, (-1, "good"): 0.005, (-1, "bad"): 0.3}
-#: Rounds of expectation-maximisation; documents that the beliefs count as in each estimate, as a share of all documents and at least.
-ROUNDS, WEIGHT, LEAST_WEIGHT = 40, 0.01, 4.0
-#: Rates stay this far from 0 and 1.
-MARGIN = 1e-3
+VOTES, CLASSES = (1, 0, -1), ("good", "bad")
+#: What is believed before any document is seen: the share of good documents, and how often a rule does what on good and on
+#: bad ones. A bad document is bad in some way, not in every way.
+PRIOR = 0.85
+START = {(1, "good"): 0.80, (0, "good"): 0.15, (-1, "good"): 0.05, (1, "bad"): 0.40, (0, "bad"): 0.25, (-1, "bad"): 0.35}
+#: Documents that the beliefs count as in each estimate, as a share of all documents and at least; most rounds, and the relative rise of the log density that ends them.
+WEIGHT, LEAST_WEIGHT, ROUNDS, RISE = 0.01, 4.0, 300, 1e-10
+_NAMES = {way: f"{('none', 'up', 'down')[way[0]]}_{way[1]}" for way in START}
 
 
 def fit(patterns: DataFrame, names: Sequence[str] | None = None, rounds: int = ROUNDS) -> VoteModel:
     """Expectation-maximisation over counted vote patterns (column ``n`` and a vote column for each name).
 
-    The estimates are posterior means with the beliefs as a weak prior, so a rule that hardly ever votes stays where it
-    started. What gives the two classes their meaning is an anchor: a document that some rule votes for and none against
-    counts as good. How often each rule is right, and what its vote weighs, is estimated; a rule that goes off alone on
-    documents that are like the good ones loses its weight. The patterns become one array, and every round is a step of
-    one fold.
+    Each round shares every pattern's documents out between the classes by the posterior of all three outcomes, and estimates
+    the rates from the shares and the beliefs. A rule that does the same on both classes loses its weight, whatever it was
+    thought to be worth. The patterns become one array, and every round is a step of one fold; after the last rise of the
+    density the steps leave everything as it is.
     """
     names = list(names or rules())
-    state = "good double, prior double, rates array<struct<up_good:double,up_bad:double,down_good:double,down_bad:double>>"
     cast = F.array(*(F.col(f"_v_{k}").cast("int") for k in names))
-    anchored = F.array_contains(cast, 1) & ~F.array_contains(cast, -1)
-    counted = patterns.agg(F.collect_list(F.struct(cast.alias("votes"), F.col("n").cast("double").alias("n"), anchored.alias("anchored"))).alias("seen"))
+    counted = patterns.agg(F.array_sort(F.collect_list(F.struct(cast.alias("votes"), F.col("n").cast("double").alias("n")))).alias("seen"))
     total = F.aggregate("seen", F.lit(0.0), lambda s, x: s + x["n"])
     counted = counted.withColumn("total", total).withColumn("weight", F.greatest(F.lit(LEAST_WEIGHT), F.lit(WEIGHT) * F.col("total")))
-    belief = F.struct(*(F.lit(START[way]).alias(f"{'up' if way[0] == 1 else 'down'}_{way[1]}") for way in START))
-    start = F.struct(F.lit(0.0).alias("good"), F.lit(PRIOR).alias("prior"), F.array(*[belief] * len(names)).alias("rates")).cast(f"struct<{state.replace(' ', ':').replace(',:', ',')}>")
-
-    def odds(acc: Column, pattern: Column) -> Column:
-        says = F.zip_with(pattern["votes"], acc["rates"], lambda v, r: F.when(v == 1, F.log(r["up_good"] / r["up_bad"])).when(v == -1, F.log(r["down_good"] / r["down_bad"])).otherwise(0.0))
-        return F.aggregate(says, F.log(acc["prior"] / (1 - acc["prior"])), lambda s, x: s + x)
-
-    def held(x: Column) -> Column:
-        return F.greatest(F.lit(MARGIN), F.least(F.lit(1 - MARGIN), x))
-
-    def new_rates(shares: Column, good: Column) -> Column:
-        bad = F.col("total") - good
-
-        def rate(rule: Column, vote: int, kind: str) -> Column:
-            voted = F.aggregate(shares, F.lit(0.0), lambda s, x: s + F.when(F.get(x["votes"], rule) == vote, x[kind]).otherwise(0.0))
-            return held((voted + F.col("weight") * START[vote, kind]) / ((good if kind == "good" else bad) + F.col("weight")))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.struct(*(rate(k, *way).alias(f"{'up' if way[0] == 1 else 'down'}_{way[1]}") for way in START)))
+    belief = F.struct(*(F.lit(p).alias(_NAMES[way]) for way, p in START.items()))
+    start = F.struct(F.lit(PRIOR).alias("prior"), F.array(*[belief] * len(names)).alias("rates"), F.lit(float("-inf")).alias("density"), F.lit(0).alias("rounds"), F.lit(False).alias("done"))
+    state = f"struct<prior:double,rates:array<struct<{','.join(f'{n}:double' for n in _NAMES.values())}>>,density:double,rounds:int,done:boolean>"
+    share = {"good": F.lit(PRIOR), "bad": F.lit(1 - PRIOR)}
+
+    def likelihood(acc: Column, votes: Column, kind: str) -> Column:
+        said = F.zip_with(votes, acc["rates"], lambda v, r: F.log(F.when(v == 1, r[_NAMES[1, kind]]).when(v == -1, r[_NAMES[-1, kind]]).otherwise(r[_NAMES[0, kind]])))
+        return F.aggregate(said, F.log(acc["prior"] if kind == "good" else 1 - acc["prior"]), lambda s, x: s + x)
+
+    def named(value: Column, use) -> Column:  # noqa: ANN001
+        """use(value), with value computed once: an array of one entry gives it a name."""
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def density(acc: Column, shares: Column) -> Column:
+        seen = F.aggregate(shares, F.lit(0.0), lambda s, x: s + x["n"] * x["both"])
+        believed = F.aggregate(acc["rates"], F.lit(0.0), lambda s, r: s + sum((F.lit(p) * F.log(r[_NAMES[way]]) for way, p in START.items()), F.lit(0.0)))
+        return seen + F.col("weight") * (believed + share["good"] * F.log(acc["prior"]) + share["bad"] * F.log(1 - acc["prior"]))
+
+    def estimate(acc: Column, shares: Column) -> Column:
+        def sums(kept: Column) -> Column:
+            whole = lambda kind: F.aggregate(kept, F.lit(0.0), lambda s, x: s + x[kind])
+            of = {kind: whole(kind) for kind in CLASSES}
+
+            def rate(rule: Column, vote: int, kind: str) -> Column:
+                did = F.aggregate(kept, F.lit(0.0), lambda s, x: s + F.when(F.get(x["votes"], rule) == vote, x[kind]).otherwise(0.0))
+                return (did + F.col("weight") * START[vote, kind]) / (of[kind] + F.col("weight"))
+
+            rates = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.struct(*(rate(k, *way).alias(name) for way, name in _NAMES.items())))
+            prior = (of["good"] + F.col("weight") * PRIOR) / (F.col("total") + F.col("weight"))
+            now = density(acc, kept)
+            over = (acc["rounds"] > 0) & (now - acc["density"] <= RISE * F.abs(now))
+            moved = F.struct(prior.alias("prior"), rates.alias("rates"), now.alias("density"), (acc["rounds"] + 1).alias("rounds"), F.lit(False).alias("done"))
+            return F.when(over, F.struct(acc["prior"].alias("prior"), acc["rates"].alias("rates"), now.alias("density"), acc["rounds"].alias("rounds"), F.lit(True).alias("done"))).otherwise(moved)
+
+        return named(shares, sums)
 
     def step(acc: Column, _: Column) -> Column:
-        shares = F.transform("seen", lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), (x["n"] * F.when(x["anchored"], 1.0).otherwise(1 / (1 + F.exp(-odds(acc, x))))).alias("good")))
-        both = F.transform(shares, lambda x: F.struct(x["votes"].alias("votes"), x["good"].alias("good"), (x["n"] - x["good"]).alias("bad")))
-        # an array of one entry gives the shares a name, so that they are computed once a round
-        def estimate(kept: Column) -> Column:
-            good = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x["good"])
-            prior = held((good + F.col("weight") * PRIOR) / (F.col("total") + F.col("weight")))
-            return F.struct(good.alias("good"), prior.alias("prior"), new_rates(kept, good).alias("rates"))
-
-        return F.get(F.transform(F.array(both), estimate), 0)
-
-    fitted = counted.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("m")).select("m.prior", "m.rates").first()
-    return VoteModel(fitted["prior"], {(k, *way): r[f"{'up' if way[0] == 1 else 'down'}_{way[1]}"] for k, r in zip(names, fitted["rates"]) for way in START})
+        each = F.transform("seen", lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), likelihood(acc, x["votes"], "good").alias("g"), likelihood(acc, x["votes"], "bad").alias("b")))
+        both = F.transform(each, lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), x["g"].alias("g"), (F.greatest(x["g"], x["b"]) + F.log1p(F.exp(-F.abs(x["g"] - x["b"])))).alias("both")))
+        shares = F.transform(both, lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), x["both"].alias("both"), (x["n"] * F.exp(x["g"] - x["both"])).alias("good"), (x["n"] * -F.expm1(x["g"] - x["both"])).alias("bad")))
+        return F.when(acc["done"], acc).otherwise(estimate(acc, shares)).cast(state)
+
+    fitted = counted.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start.cast(state), step).alias("m")).select("m.*").first()
+    return VoteModel(fitted["prior"], {(k, *way): r[name] for k, r in zip(names, fitted["rates"]) for way, name in _NAMES.items()}, fitted["density"], fitted["rounds"])
 
 
 def _patterns(counted: DataFrame) -> DataFrame:

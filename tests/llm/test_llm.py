@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on fixtures with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -283,34 +284,89 @@ def test_written_shards_and_tied_rows(spark, tmp_path):
     assert sorted(len(s) for s in by.values()) == [12, 12, 13, 13] and all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
-def test_estimated_rates_of_simulated_votes(spark):
-    """Votes drawn with known rates: the estimates come near them, and so do the posterior's verdicts.
-
-    Bad documents that no rule speaks against count as good, so the rates on bad ones come out a little off.
+def plain_em(counted, names):
+    """Expectation-maximisation over {pattern: n} by loops: prior, rates and the log density of each round."""
+    q, patterns, n = quality_rules, list(counted), np.array([float(c) for c in counted.values()])
+    weight = max(q.LEAST_WEIGHT, q.WEIGHT * n.sum())
+    prior, rates, densities = q.PRIOR, {(k, *way): p for k in names for way, p in q.START.items()}, []
+    while True:
+        logs = {c: np.array([math.log(prior if c == "good" else 1 - prior) + sum(math.log(rates[k, v, c]) for k, v in zip(names, pattern)) for pattern in patterns]) for c in q.CLASSES}
+        both = np.logaddexp(logs["good"], logs["bad"])
+        believed = sum(q.START[v, c] * math.log(p) for (_, v, c), p in rates.items()) + q.PRIOR * math.log(prior) + (1 - q.PRIOR) * math.log(1 - prior)
+        densities.append(float((n * both).sum() + weight * believed))
+        if len(densities) > 1 and densities[-1] - densities[-2] <= q.RISE * abs(densities[-1]):
+            return prior, rates, densities
+        mass = {c: n * np.exp(logs[c] - both) for c in q.CLASSES}
+        prior = (mass["good"].sum() + weight * q.PRIOR) / (n.sum() + weight)
+        rates = {(k, v, c): (sum(m for m, pattern in zip(mass[c], patterns) if pattern[j] == v) + weight * q.START[v, c]) / (mass[c].sum() + weight) for j, k in enumerate(names) for v, c in q.START}
+
+
+def counted_patterns(spark, votes, names):
+    counted = Counter(map(tuple, votes))
+    return counted, spark.createDataFrame([(*key, n) for key, n in counted.items()], ", ".join(f"_v_{k} int" for k in names) + ", n long")
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fit_is_plain_expectation_maximisation(spark, seed):
+    rng = np.random.default_rng(seed)
+    names = [f"r{k}" for k in range(5)]
+    good = rng.random(3000) < 0.6 + 0.1 * seed
+    votes = [[int(rng.choice([1, 0, -1], p=[0.6, 0.3, 0.1] if g else rng.permutation([0.2, 0.3, 0.5]))) for _ in names] for g in good]
+    counted, patterns = counted_patterns(spark, votes, names)
+    prior, rates, densities = plain_em(counted, names)
+    model = quality_rules.fit(patterns, names)
+    assert model.prior == pytest.approx(prior, abs=1e-6) and model.rates == {k: pytest.approx(p, abs=1e-6) for k, p in rates.items()}
+    assert model.density == pytest.approx(densities[-1], rel=1e-9) and model.rounds == len(densities) - 1 < quality_rules.ROUNDS
+    some = [quality_rules.fit(patterns, names, rounds).density for rounds in (1, 2, 3, 5, 9, quality_rules.ROUNDS)]
+    assert some == sorted(some) and densities == sorted(densities)  # the density never falls
+    for kind in quality_rules.CLASSES:
+        assert all(sum(model.rates[k, v, kind] for v in quality_rules.VOTES) == pytest.approx(1) for k in names)
+
+
+def test_no_votes_leave_the_beliefs(spark):
+    names = list(quality_rules.rules())
+    _, patterns = counted_patterns(spark, [[0] * len(names)], names)
+    model = quality_rules.fit(patterns.limit(0))
+    assert model.prior == quality_rules.PRIOR and model.rates == {(k, *way): pytest.approx(p) for k in names for way, p in quality_rules.START.items()}
+
+
+def test_votes_are_weighed_and_not_just_counted(spark):
+    """Votes drawn with known rates: three rules are noise that speaks against a fifth of all documents, and silence tells something.
+
+    Verdicts come near those of the posterior with the known rates, which no method can beat; all-must-pass is far worse.
     """
     rng = np.random.default_rng(8)
     names, docs = list(quality_rules.rules()), 20000
     good = rng.random(docs) < 0.8
-    truth = {k: (0.9, 0.5, 0.004 * (1 + k % 3), 0.25 + 0.03 * k) if k < 5 else (0.0, 0.0, 0.003, 0.2 + 0.03 * k) for k in range(len(names))}
+    known = {k: ((0.2, 0.6, 0.2), (0.2, 0.6, 0.2)) if k < 3 else ((0.7, 0.28, 0.02), (0.2, 0.5, 0.3)) if k < 9 else ((0.8, 0.19, 0.01), (0.1, 0.88, 0.02)) for k in range(len(names))}
     votes = np.zeros((docs, len(names)), dtype=int)
-    for k, (up_good, up_bad, down_good, down_bad) in truth.items():
-        up, down, draw = np.where(good, up_good, up_bad), np.where(good, down_good, down_bad), rng.random(docs)
-        votes[:, k] = np.where(draw < down, -1, np.where(draw < down + up, 1, 0))
-    counted = Counter(map(tuple, votes.tolist()))
-    patterns = spark.createDataFrame([(*key, n) for key, n in counted.items()], ", ".join(f"_v_{k} int" for k in names) + ", n long")
+    for k, (on_good, on_bad) in known.items():
+        votes[:, k] = np.where(good, rng.choice([1, 0, -1], docs, p=on_good), rng.choice([1, 0, -1], docs, p=on_bad))
+    _, patterns = counted_patterns(spark, votes.tolist(), names)
     model = quality_rules.fit(patterns)
-    assert abs(model.prior - 0.8) < 0.05
-    for k, (up_good, up_bad, down_good, down_bad) in truth.items():
-        assert abs(model.rates[names[k], -1, "bad"] - down_bad) < 0.12 and model.rates[names[k], -1, "good"] < 0.03
-        assert k >= 5 or (abs(model.rates[names[k], 1, "good"] - up_good) < 0.05 and abs(model.rates[names[k], 1, "bad"] - up_bad) < 0.12)
     verdicts = {tuple(r[f"_v_{k}"] for k in names): r["p"] >= 0.5 for r in patterns.withColumn("p", model.posterior()).collect()}
-    # the same rule (silent where rules abstain) with the known rates is right about 0.967 of them; the estimates come near
-    known = np.full(docs, np.log(4.0))
-    for k, (up_good, up_bad, down_good, down_bad) in truth.items():
-        known += np.where(votes[:, k] == -1, np.log(down_good / down_bad), np.where(votes[:, k] == 1, np.log(up_good / up_bad) if up_bad else 0.0, 0.0))
-    right = np.mean([verdicts[tuple(v)] == g for v, g in zip(votes.tolist(), good)])
-    assert right > np.mean((known >= 0) == good) - 0.015
-    assert quality_rules.fit(patterns.limit(0)).rates == {(k, *way): pytest.approx(p) for k in names for way, p in quality_rules.START.items()}
+    kept = np.array([verdicts[tuple(v)] for v in votes.tolist()])
+    best = np.log(4.0) + sum(np.log(np.array(known[k][0]) / np.array(known[k][1]))[1 - votes[:, k]] for k in known)
+    right, most, passing = ((x == good).mean() for x in (kept, best >= 0, votes.min(axis=1) >= 0))
+    # verdicts of estimates differ from the best ones only where the odds are near even; 20000 documents fix 33 rates to about a hundredth
+    assert right > most - 0.01 and right > passing + 0.2
+    assert (kept & (votes.min(axis=1) < 0)).any() and (~kept & (votes.min(axis=1) >= 0)).any()  # outvoted, and condemned by silence
+    for k in range(3):
+        assert all(abs(model.rates[names[k], v, "good"] - model.rates[names[k], v, "bad"]) < 0.05 for v in quality_rules.VOTES)
+
+
+def test_verdicts_beat_all_must_pass_on_labels(spark):
+    """On labelled documents no more bad ones are kept than by the AND of the rules, and fewer good ones are lost."""
+    sf = "/root/testdata/sf0.01"
+    counted = quality_rules.count_text(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    names = [f"_v_{k}" for k in quality_rules.rules()]
+    voted = counted.select("doc_id", *quality_rules.votes(), quality_rules.base_failed().alias("failed")).cache()
+    model = quality_rules.fit(voted.groupBy(*names).agg(F.count("*").alias("n")))
+    rows = voted.where("not failed").withColumn("kept", model.posterior() >= 0.5).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    passed = lambda r: min(r[n] for n in names) >= 0
+    bad_kept = [sum(keep(r) for r in rows if r["quality"] == 0) for keep in (lambda r: r["kept"], passed)]
+    good_lost = [sum(not keep(r) for r in rows if r["quality"] == 1) for keep in (lambda r: r["kept"], passed)]
+    assert bad_kept[0] <= bad_kept[1] and good_lost[0] < good_lost[1]
 
 
 def test_templates_of_any_length(spark):
