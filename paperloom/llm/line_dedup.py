@@ -4,9 +4,11 @@ Documents are lists of line hashes. Each shortest run of lines with enough words
 that several documents hold names the earliest of them, so a document is paired with the earliest holders of its runs:
 at most two pairs a line, however many documents share a run, and no shared block is without a pair.
 Spark joins the two lists of each pair, patience diff aligns them (lines that are unique on both sides and keep their
-order, then the same between them), and aligned blocks of enough words are deleted from the later document. What it
-leaves (lines that repeat, blocks in another order) is looked up by hashes of the shortest runs of enough words. A line
-that only many short pages share, such as a menu entry, forms no block of enough words and stays.
+order, then the same between them), and aligned blocks of enough words are deleted from the later document. A block goes
+on where up to GAP lines of either side have been put in or changed, so a passage with an edited line is one block, whose
+common lines go and whose edited line stays. What alignment must leave (lines that repeat, blocks in another order) is
+looked up by hashes of the shortest runs of enough words; ``n_aligned`` tells how many lines went by alignment. A line that
+only many short pages share, such as a menu entry, forms no block of enough words and stays.
 
 Earlier means a smaller doc_id (null first), then a smaller text hash. Defined results: a null text stays null and has
 no lines; an empty text is one line without words, and is never deleted; very long texts are aligned whole, a pair at a
@@ -31,6 +33,8 @@ from paperloom.llm.common import SPACES, materialise, mix64, powers, slices
 BASE = 0x9E3779B97F4A7C15
 #: Words of a block that is deleted.
 BLOCK_WORDS = 20
+#: Lines that an edit may put between two lines of a block, on either side; pairs that are aligned at a time.
+GAP, PAIRS = 1, 64
 
 Span = tuple[int, int, int, int]
 
@@ -94,26 +98,29 @@ def runs(lines: np.ndarray, words: np.ndarray, begins: np.ndarray, least: int) -
     return start, end, mix64((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)).view(np.int64)
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
-    """Positions in b of blocks (unbroken on both sides) whose lines have ``least`` words or more together.
-
-    Aligned blocks first; where lines of b that a has are left, all runs of b are looked up among those of a.
-    """
+def aligned_blocks(a: list[int], b: list[int], words: list[int], least: int, gap: int = GAP) -> list[int]:
+    """Positions in b of the aligned lines of blocks with ``least`` words or more: neighbours in a block have at most ``gap`` other lines between them on either side."""
     out, block = [], []
-    for i, j in [*patience(a, b), (-9, -9)]:
-        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
+    for i, j in [*patience(a, b), (len(a) + gap + 9, len(b) + gap + 9)]:
+        if block and (i - block[-1][0] > gap + 1 or j - block[-1][1] > gap + 1):
             if sum(words[k] for _, k in block) >= least:
                 out += [k for _, k in block]
             block = []
         block.append((i, j))
-    own, gone = set(a), set(out)
+    return out
+
+
+def common_blocks(a: list[int], b: list[int], words: list[int], least: int, gap: int = GAP) -> tuple[list[int], list[int]]:
+    """Positions in b that go by alignment, and those that go besides: unbroken blocks of a that alignment does not pass."""
+    gone, own = set(aligned_blocks(a, b, words, least, gap)), set(a)
+    rest: list[int] = []
     if any(line in own for k, line in enumerate(b) if k not in gone):
         known = dict(zip(b, words))
         of_a, of_b = (runs(np.array(x, dtype=np.int64), np.array([known.get(line, 0) for line in x], dtype=np.int64), np.array([0, len(x)]), least) for x in (a, b))
         start, end = (x[np.isin(of_b[2], of_a[2])] for x in of_b[:2])
         deep = np.cumsum(np.bincount(start, minlength=len(b) + 1) - np.bincount(end, minlength=len(b) + 1))
-        gone.update(np.flatnonzero(deep[:-1]).tolist())
-    return sorted(gone)
+        rest = [k for k in np.flatnonzero(deep[:-1]).tolist() if k not in gone]
+    return sorted(gone), rest
 
 
 def _lines(text: Column) -> Column:
@@ -135,8 +142,8 @@ def _run_seeds(lists: DataFrame, block_words: int) -> DataFrame:
     return made.select(F.struct("doc_id", "text_hash").alias("doc"), "run")
 
 
-def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, text_hash and the positions of the lines to delete, for documents that have any."""
+def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, gap: int = GAP) -> DataFrame:
+    """doc_id, text_hash, the positions of the lines to delete, and how many of them alignment found, for documents that have any."""
     per_line = F.transform(_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.array_remove(F.split(x, SPACES), "")).alias("words")))
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), per_line.alias("l"))
     lists = materialise(own.select("doc_id", "text_hash", F.col("l.line").alias("lines"), F.col("l.words").alias("words")), "lines")
@@ -148,31 +155,33 @@ def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame
     both = later.join(lists.alias("a"), same("first", "a")).select("doc.doc_id", "doc.text_hash", F.col("a.lines").alias("a_lines"), "b_lines", later["words"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, rows=PAIRS):  # a pair's lists are Python numbers only while it is aligned
             doc_id, text_hash, a, b, words = (batch.column(k) for k in range(5))
-            found = [common_blocks(x.as_py(), y.as_py(), w.as_py(), block_words) for x, y, w in zip(a, b, words)]
-            yield pa.RecordBatch.from_arrays([doc_id, text_hash, pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "gone"])
+            found = [common_blocks(x.as_py(), y.as_py(), w.as_py(), block_words, gap) for x, y, w in zip(a, b, words)]
+            by_alignment, besides = (pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([doc_id, text_hash, by_alignment, besides], names=["doc_id", "text_hash", "aligned", "besides"])
 
-    aligned = both.mapInArrow(align, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, gone array<int>")
-    each = aligned.select("doc_id", "text_hash", F.explode("gone").alias("line"))
-    return each.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("gone"))  # a document's own lines
+    found = both.mapInArrow(align, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, aligned array<int>, besides array<int>")
+    tell = lambda column, how: F.transform(column, lambda x: F.struct(x.alias("line"), F.lit(how).alias("aligned")))
+    each = found.select("doc_id", "text_hash", F.explode(F.concat(tell("aligned", True), tell("besides", False))).alias("x"))
+    return each.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("x.line")).alias("gone"), F.size(F.collect_set(F.when(F.col("x.aligned"), F.col("x.line")))).alias("n_aligned"))  # a document's own lines
 
 
-def drop_repeats(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """row (the columns of docs), text with repeated blocks deleted, gone (positions of deleted lines, null if none) and n_lines."""
-    gone = repeated_lines(docs, block_words).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "gone")
+def drop_repeats(docs: DataFrame, block_words: int = BLOCK_WORDS, gap: int = GAP) -> DataFrame:
+    """row (the columns of docs), text with repeated blocks deleted, gone (positions of deleted lines, null if none), n_aligned and n_lines."""
+    gone = repeated_lines(docs, block_words, gap).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "gone", "n_aligned")
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
     joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
     split = joined.withColumn("every", F.when(F.col("gone").isNotNull(), _lines(F.col("text"))))
     left = F.array_join(F.filter("every", lambda x, k: ~F.array_contains("gone", k)), "\n")
-    return split.select("row", F.when(F.col("gone").isNotNull(), left).otherwise(F.col("text")).alias("text"), "gone", F.size(_lines(F.col("text"))).alias("n_lines"))
+    return split.select("row", F.when(F.col("gone").isNotNull(), left).otherwise(F.col("text")).alias("text"), "gone", F.coalesce("n_aligned", F.lit(0)).cast("long").alias("n_aligned"), F.size(_lines(F.col("text"))).alias("n_lines"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_deleted, deleted (line positions from 0) and the text that is left."""
-    out = drop_repeats(docs.select("doc_id", "text"))
+def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, gap: int = GAP) -> DataFrame:
+    """doc_id, n_lines, n_deleted, n_aligned (of these), deleted (line positions from 0) and the text that is left."""
+    out = drop_repeats(docs.select("doc_id", "text"), block_words, gap)
     none = F.array().cast("array<int>")
-    return out.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"), F.coalesce("gone", none).alias("deleted"), "text")
+    return out.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"), "n_aligned", F.coalesce("gone", none).alias("deleted"), "text")
 
 
 def keep_new_lines(docs: DataFrame) -> DataFrame:

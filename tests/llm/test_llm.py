@@ -129,13 +129,76 @@ def test_common_blocks_are_all_found():
     words = {1: 12, 2: 12, 3: 3}
     for a, b, want in (([1, 2, 3, 1, 2], [1, 2], [0, 1]), ([1, 2], [9, 1, 2, 9, 1, 2, 9], [1, 2, 4, 5]), ([1, 2, 3, 2, 1], [2, 1, 3, 1, 2], [0, 1, 3, 4])):
         own = [words.get(line, 0) for line in b]
-        assert line_dedup.common_blocks(a, b, own, 20) == brute_blocks(a, b, own, 20) == want
+        assert sorted(sum(line_dedup.common_blocks(a, b, own, 20, 0), [])) == brute_blocks(a, b, own, 20) == want
     rng = np.random.default_rng(11)
     for _ in range(400):
         size = rng.integers(0, 9, 6)
         a, b = (rng.integers(0, 6, rng.integers(0, 16)).tolist() for _ in range(2))
         own = [int(size[line]) for line in b]
-        assert line_dedup.common_blocks(a, b, own, 12) == brute_blocks(a, b, own, 12)
+        assert sorted(sum(line_dedup.common_blocks(a, b, own, 12, 0), [])) == brute_blocks(a, b, own, 12)
+
+
+def plain_patience(a, b, at=(0, 0)):
+    """Aligned positions by the definition, recursively: common ends, then the longest rising chain of lines unique on both sides."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [at, *plain_patience(a[1:], b[1:], (at[0] + 1, at[1] + 1))]
+    if a[-1] == b[-1]:
+        return [*plain_patience(a[:-1], b[:-1], at), (at[0] + len(a) - 1, at[1] + len(b) - 1)]
+    once = [(a.index(x), j) for j, x in enumerate(b) if a.count(x) == b.count(x) == 1]
+    chains = [[]]
+    for p in once:
+        chains.append(max((c for c in chains if not c or c[-1][0] < p[0]), key=len) + [p])
+    best = max(map(len, chains))
+    if not best:
+        return []
+    (chain,) = [c for c in chains if len(c) == best][:1]
+    out, i0, j0 = [], 0, 0
+    for i, j in [*chain, (len(a), len(b))]:
+        out += plain_patience(a[i0:i], b[j0:j], (at[0] + i0, at[1] + j0))
+        out += [(at[0] + i, at[1] + j)] if i < len(a) else []
+        i0, j0 = i + 1, j + 1
+    return out
+
+
+def test_alignment_decides(spark):
+    """A passage with an edited line goes as one block, its edited line stays; without the alignment neither part has words enough."""
+    passage = [f"p{k} a b c d e f" for k in range(5)]
+    edited = [*passage[:2], "another line here", *passage[3:]]
+    other = [f"q{k} one two three four five six seven" for k in range(4)]
+    rows = [(1, "\n".join(["intro", *passage, "x", *other])), (2, "\n".join(["start", *edited, "y", *other, "end"])), (3, "\n".join([*other, *passage]))]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["deleted"] == [] and got[2]["text"] == "start\nanother line here\ny\nend"
+    assert (got[2]["n_deleted"], got[2]["n_aligned"]) == (8, 8)
+    assert got[3]["text"] == "" or got[3]["n_deleted"] == 9
+    assert 0 < got[3]["n_aligned"] < 9  # blocks in another order: one is aligned, the other is looked up
+    plain = {r["doc_id"]: r["deleted"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), gap=0).collect()}
+    assert plain[2] == [7, 8, 9, 10]
+
+
+def test_alignment_is_patience_diff():
+    """Where one chain is the longest, alignment is that of the definition, and blocks are its lines across gaps."""
+    rng = np.random.default_rng(5)
+    decided = 0
+    for _ in range(300):
+        a = rng.permutation(40)[: rng.integers(5, 30)].tolist()
+        b = [x for x in a if rng.random() < 0.8]
+        for _ in range(rng.integers(0, 4)):
+            b.insert(rng.integers(0, len(b) + 1), 100 + int(rng.integers(0, 50)))
+        pairs = plain_patience(a, b)
+        assert line_dedup.patience(a, b) == pairs  # lines occur once, in order: there is one longest chain
+        words = [5] * len(b)
+        blocks, block = set(), []
+        for p in [*pairs, None]:
+            if block and (p is None or p[0] - block[-1][0] > 2 or p[1] - block[-1][1] > 2):
+                blocks |= {j for _, j in block} if 5 * len(block) >= 20 else set()
+                block = []
+            block.append(p)
+        by_alignment, besides = line_dedup.common_blocks(a, b, words, 20)
+        assert set(by_alignment) == blocks and set(by_alignment) | set(besides) >= set(brute_blocks(a, b, words, 20))
+        decided += bool(set(by_alignment) - set(brute_blocks(a, b, words, 20)))
+    assert decided > 100  # lines that no look-up of unbroken blocks would find
 
 
 def test_line_dedup_leaves_no_shared_block(spark):
@@ -156,8 +219,11 @@ def test_line_dedup_leaves_no_shared_block(spark):
         want[doc_id] = sorted({k for a in earlier for k in brute_blocks(a, lines, n, 20)})
         earlier.append(lines)
     assert want[11] == [1, 2, 3, 4, 5] and want[13] == [*range(25)]
-    got = {r["doc_id"]: r["deleted"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["deleted"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), gap=0).collect()}
     assert got == want
+    gapped = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(set(r["deleted"]) >= set(want[k]) and r["n_deleted"] >= r["n_aligned"] for k, r in gapped.items())
+    assert sum(r["n_aligned"] for r in gapped.values()) > 0.3 * sum(r["n_deleted"] for r in gapped.values())
 
 
 def test_licenses(docs, rows):
