@@ -33,12 +33,15 @@ SCRIPT_SHARE = 0.01
 SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"), (0x900, "devanagari"), (0x980, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0xFF66, "kana"), (0xFFA0, "other"), (0x20000, "han"), (0x32000, "other")]
 _STARTS, _KINDS = np.array([s for s, _ in SCRIPTS]), sorted({k for _, k in SCRIPTS})
 _KIND_OF = np.array([_KINDS.index(k) for _, k in SCRIPTS])
-_WORD = re.compile(r"[^\W\d_]+")  # letters, and numerals that are no digits, which go below
+_WORD = re.compile(r"[^\W\d_]+")
+#: Numerals that are neither letters nor decimal digits, such as ½ or ².
+_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters. A run of numerals such as ½ or ² has none (isalpha of no character), and is no word."""
-    return [w for w in _WORD.findall(text.lower()) if w.isalpha() or any(c.isalpha() for c in w)] if text else []
+    """Runs of letters; a run of numerals has none, and is no word."""
+    words = _WORD.findall(text.lower()) if text else []
+    return [w for w in words if any(map(str.isalpha, w))] if words and _NUMERALS.search(text.lower()) else words
 
 
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
