@@ -756,3 +756,25 @@ def test_pipeline_with_hard_rows(spark, tmp_path, docs, none):
     assert out and all(sum(n for _, n in own) <= 2048 for own in bins.values())
     assert not {9000, 9001, 9002, 9005, 9007} & {r["doc_id"] for r in out}  # without words, short, or repetitive
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("n", [500, 1000, 2000])
+def test_templates_bring_about_no_pairs(spark, n):
+    """Pages of 64 words of a template and 40 of their own, of which none are linked: comparisons stay few as pages grow in number."""
+    rng = np.random.default_rng(n)
+    template = " ".join(f"t{k}" for k in range(64))
+    rows = [(k, template + " " + " ".join(f"w{w}" for w in rng.integers(0, 10**6, 40))) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = jaccard_join.materialise(jaccard_join.sizes(docs), "keyed")
+    pairs, members = jaccard_join.candidates(docs, keyed)
+    alone = spark.createDataFrame([], "node long, root long")  # as if nothing were linked yet, which is so
+    sides = jaccard_join.gatherings(members, alone).groupBy("main").agg(F.count("*").alias("all"), F.count_if(F.col("root") != F.col("main")).alias("apart"))
+    across = sides.agg(F.coalesce(F.sum(F.col("all") * F.col("apart")), F.lit(0))).first()[0]
+    assert pairs.count() + across < 5 * n
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(1, "² ½ ①", "en"), (2, "½ cup of the word and the other", "en"), (3, "12 34", None), (4, "the words of the other", "en"), (5, "ⅷ", None), (7, "des mots de la langue", "fr")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.language_digest(spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1] == got[3] == ("und", 0.0) and got[2][0] == "en"
+    assert language_id.words_of("a² ½ word ①x") == ["a²", "word", "①x"]
