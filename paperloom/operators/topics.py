@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -9,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import notation, rules
+from paperloom.scratch import written
 
 #: Most topics of a course.
 MOST_TOPICS = 25
@@ -20,7 +26,11 @@ STOPWORDS = "a about above after again against all also am an and any are as at
 #: Lines that are headings, and the ones that never are.
 HEADING = [r"(?i)^(Chapter|Section|Unit|Lecture|Topic|Part|Module|Appendix)\s*[\d:–\-]", r"^(\d+\.)+(\d+)?\s+[A-Z]", r"^[A-Z][A-Z\s\-/]{2,}$", r"^[A-Z][a-zA-Z\s\-/:()']{2,}$"]
 #: Words that label no cluster.
-CLUSTER_STOPWORDS = "the a an and or but in on at to for of with is are was were be been being have has had do does did will would shall should may might can could that this these those it its which who from by as not no if then so we you they i he she all also".split()
+CLUSTER_STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "is", "are", "was", "were", "be", "been", "being", "have",
+    "has", "had", "do", "does", "did", "will", "would", "shall", "should", "may", "might", "can", "could", "that", "this", "these", "those", "it",
+    "its", "which", "who", "from", "by", "as", "not", "no", "if", "then", "so", "we", "you", "they", "i", "he", "she", "all", "also",
+]
 
 
 def heading_names(chunks: DataFrame) -> DataFrame:
@@ -36,15 +46,29 @@ def heading_names(chunks: DataFrame) -> DataFrame:
     return named.where((F.length("name") >= 3) & ~rules.is_service_noise(F.col("name")))
 
 
-def _phrases(chunks: DataFrame, n: int, most: int) -> DataFrame:
-    """The most frequent runs of n words that no stop word opens or closes: kind, rank, name, n, score."""
+def phrase_counts(chunks: DataFrame, sizes: Sequence[int] = (2, 3)) -> DataFrame:
+    """size, phrase and n of all runs of so many words (of three letters or more) that no stop word opens or closes; counted before they are shuffled."""
     stop = F.array(*map(F.lit, STOPWORDS))
-    words = chunks.select(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w")).where(F.size("w") >= n)
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.slice("w", i, n))
-    open_ = F.filter(runs, lambda g: ~F.array_contains(stop, F.get(g, 0)) & ~F.array_contains(stop, F.get(g, n - 1)))
-    top = words.select(F.explode(open_).alias("g")).groupBy(F.array_join("g", " ").alias("g")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(most)
-    length = (F.length("g") - (n - 1)) / n
-    return top.select(F.lit(n).alias("kind"), F.struct((-F.col("n")).alias("n"), "g").alias("rank"), notation.title_case(F.col("g")).alias("name"), F.round(F.col("n") * length * length, 6).alias("score"))
+    words = chunks.select(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w")).withColumn("open", F.transform("w", lambda x: ~F.array_contains(stop, x)))
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        kept = F.filter(starts, lambda i: F.get("open", i - 1) & F.get("open", i + (n - 2)))
+        return F.transform(kept, lambda i: F.struct(F.lit(n).cast("long").alias("size"), F.concat_ws(" ", *(F.get("w", i - 1 + k) for k in range(n))).alias("phrase")))
+
+    return words.select(F.explode(F.concat(*map(runs, sizes))).alias("g")).groupBy("g.size", "g.phrase").agg(F.count("*").alias("n"))
+
+
+def phrase_score(n: Column, phrase: Column, size: int) -> Column:
+    """Frequency times the squared mean length of the words."""
+    length = (F.length(phrase) - (size - 1)) / size
+    return F.round(n * length * length, 6)
+
+
+def top_phrases(counts: DataFrame) -> DataFrame:
+    """size, phrase, n, score of the TRIGRAMS and BIGRAMS most frequent phrases of phrase_counts."""
+    top = lambda size, most: counts.where(F.col("size") == size).orderBy(F.desc("n"), "phrase").limit(most).withColumn("score", phrase_score(F.col("n"), F.col("phrase"), size))
+    return top(3, TRIGRAMS).unionByName(top(2, BIGRAMS))
 
 
 def topic_names(chunks: DataFrame, most: int = MOST_TOPICS) -> DataFrame:
@@ -56,7 +80,9 @@ def topic_names(chunks: DataFrame, most: int = MOST_TOPICS) -> DataFrame:
     """
     heads = heading_names(chunks).groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(most)
     heads = heads.select(F.lit(1).alias("kind"), F.struct((-F.col("n")).alias("n"), F.col("name").alias("g")).alias("rank"), "name", F.lit(0.0).alias("score"))
-    phrases = _phrases(chunks, 3, TRIGRAMS).unionByName(_phrases(chunks, 2, BIGRAMS)).where(~rules.is_service_noise(F.col("name")))
+    found = top_phrases(written(phrase_counts(chunks)))
+    phrases = found.select(F.col("size").cast("int").alias("kind"), F.struct((-F.col("n")).alias("n"), F.col("phrase").alias("g")).alias("rank"), notation.title_case(F.col("phrase")).alias("name"), "score")
+    phrases = phrases.where(~rules.is_service_noise(F.col("name")))
     row = heads.unionByName(phrases).groupBy().agg(F.array_sort(F.collect_list(F.struct("kind", "rank", "name", "score"))).alias("a"))
     inside = lambda x, y: F.contains(F.lower(y["name"]), F.lower(x["name"]))
     covered = lambda x: F.exists("a", lambda y: inside(x, y) & ((y["kind"] == 3) | ((y["kind"] == 2) & (y["rank"] < x["rank"]))))
@@ -73,6 +99,34 @@ def topic_names(chunks: DataFrame, most: int = MOST_TOPICS) -> DataFrame:
     return row.select(F.posexplode(F.slice(kept, 1, most)).alias("rank", "name")).select((F.col("rank") + 1).alias("rank"), "name")
 
 
+def term_weights(texts: DataFrame) -> DataFrame:
+    """term and score: the sum over texts of each occurrence's share of its text, times the log of texts over texts with the term.
+
+    A term's count enters twice, as each occurrence adds the share. Words have four letters or more, and CLUSTER_STOPWORDS do
+    not count, neither as terms nor in a text's length. Texts lie whole in a batch, so counts are added up there, and only a
+    batch's distinct terms are shuffled.
+    """
+    stop = pa.array(CLUSTER_STOPWORDS)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0)
+            text = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+            flat = words.flatten()
+            kept = pc.invert(pc.is_in(flat, stop)).to_numpy(zero_copy_only=False)
+            coded, text = flat.filter(pa.array(kept)).dictionary_encode(), text[kept]
+            size = max(1, len(coded.dictionary))
+            pair, n = np.unique(text * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            share = n * (n / np.bincount(text, minlength=len(words))[pair // size])
+            term = pair % size
+            sums = (pa.array(np.bincount(term, weights=share, minlength=len(coded.dictionary))), pa.array(np.bincount(term, minlength=len(coded.dictionary)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([coded.dictionary, *sums], names=["term", "share", "df"])
+
+    words = texts.select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("w"))
+    sums = words.mapInArrow(run, "term string, share double, df long").groupBy("term").agg(F.sum("share").alias("share"), F.sum("df").alias("df"))
+    return sums.select("term", F.round(F.col("share") * F.log(F.lit(float(max(1, texts.count()))) / F.col("df")), 6).alias("score"))
+
+
 def cluster_topics(members: DataFrame) -> DataFrame:
     """cluster, title, confidence, n, first_page, last_page of clusters of chunks (cluster, chunk_id, vec of unit length, text, page).
 

@@ -10,9 +10,10 @@ from paperloom.functions import cleaning, rules, similarity
 from paperloom.operators import chunking
 from paperloom.operators.generation import FACTS, is_fact
 from paperloom.operators.headings import HEADING_REGEX
+from paperloom.operators import topics as topic_ops
 from paperloom.operators.topics import HEADING, STOPWORDS
 from paperloom.plans.fixtures import derived, literal, outline, stems, strip, with_sql
-from paperloom.registry import query, table
+from paperloom.registry import query, spread, table
 
 SIZE, OVERLAP = 3000, 400
 # pages: a document's paragraphs (lines) are its pages
@@ -108,12 +109,16 @@ def tokens_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STOP_SQL = "[" + ", ".join(map(literal, STOPWORDS)) + "]"
 
 
-@query("ngrams", "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS b FROM t WHERE len(w) > 1) SELECT b[1] || ' ' || b[2] AS phrase, count(*) AS n FROM g WHERE NOT list_contains(" + _STOP_SQL + ", b[1]) AND NOT list_contains(" + _STOP_SQL + ", b[2]) GROUP BY 1 HAVING count(*) >= 5")
+NGRAMS_SQL = " UNION ALL ".join(
+    f"SELECT {n}::BIGINT AS size, array_to_string(g, ' ') AS phrase, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: w[i:i + {n - 1}])) AS g FROM (SELECT regexp_extract_all(lower(TEXTS), '[a-z]{{3,}}') AS w FROM ROWS)) WHERE NOT list_contains({_STOP_SQL}, g[1]) AND NOT list_contains({_STOP_SQL}, g[{n}]) GROUP BY 1, 2"
+    for n in (2, 3)
+)
+
+
+@query("ngrams", NGRAMS_SQL.replace("TEXTS", "text").replace("ROWS", "documents"))
 def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w")).where("size(w) > 1")
-    pairs = words.select(F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> struct(w[i] AS a, w[i + 1] AS b))")).alias("p")).select("p.*")
-    kept = pairs.where(~F.col("a").isin(STOPWORDS) & ~F.col("b").isin(STOPWORDS))
-    return kept.groupBy(F.concat_ws(" ", "a", "b").alias("phrase")).agg(F.count("*").alias("n")).where("n >= 5")
+    """Runs of two and of three words that no stop word opens or closes, over all texts."""
+    return topic_ops.phrase_counts(spread(table(spark, sf_dir, "documents").select(F.col("text").alias("content"))))
 
 
 _LINES = "l AS (SELECT doc_id, unnest(string_split(content, chr(10))) AS raw, unnest(range(len(string_split(content, chr(10))))) AS line_no FROM derived)"

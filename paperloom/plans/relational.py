@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions.ordinals import ordinal, ordinal_sql
+from paperloom.operators import topics as topic_ops
 from paperloom.operators.page_join import in_ranges
-from paperloom.plans.fixtures import options, outline, stems, topic_map, topics, with_sql
-from paperloom.registry import query, table
+from paperloom.plans.chunks import NGRAMS_SQL
+from paperloom.plans.fixtures import derived, options, outline, stems, topic_map, topics, with_sql
+from paperloom.plans.topics import HEADING_NAMES_SQL
+from paperloom.registry import query, spread, table
+from paperloom.scratch import written
 
 TYPE_ORD = ordinal_sql("type", "question_type")
 
@@ -138,10 +142,11 @@ def agg_exam_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("exam_id")).agg(F.count("*").alias("n_slots"))
 
 
-@query("agg_total_questions", "SELECT o_orderkey AS id, o_orderkey % 4 + o_orderkey % 3 + o_orderkey % 7 + o_orderkey % 2 AS total, (o_orderkey % 4) * 25 + (100 - (o_orderkey % 4) * 25) = 100 AS mix_ok FROM orders")
+@query("agg_total_questions", "SELECT o_orderkey AS id, o_orderkey % 4 + o_orderkey % 3 + o_orderkey % 7 + o_orderkey % 2 AS total, (o_orderkey % 5) * 25 + (o_custkey % 4) * 25 + (o_orderkey % 3) * 10 = 100 AS mix_ok FROM orders")
 def agg_total_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(k.alias("id"), (k % 4 + k % 3 + k % 7 + k % 2).alias("total"), ((k % 4) * 25 + (100 - (k % 4) * 25) == 100).alias("mix_ok"))
+    """The questions of all types, and whether the percentages of the three difficulties make 100."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(k.alias("id"), (k % 4 + k % 3 + k % 7 + k % 2).alias("total"), ((k % 5) * 25 + (c % 4) * 25 + (k % 3) * 10 == 100).alias("mix_ok"))
 
 
 @query("agg_coverage_topic", with_sql("topic_map", "SELECT topic_id, round(count(DISTINCT chunk_id) / (SELECT count(*) FROM documents)::DOUBLE, 4) AS coverage FROM topic_map GROUP BY 1"))
@@ -168,22 +173,21 @@ def agg_est_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.least(F.lit(1.0), F.count_distinct("p") / F.lit(30.0)).alias("coverage"))
 
 
-@query("agg_term_freq", "SELECT w AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) GROUP BY 1 HAVING count(*) >= 20")
+@query("agg_term_freq", with_sql("derived", "").rstrip() + f", {HEADING_NAMES_SQL} SELECT 1::BIGINT AS size, name AS term, count(*) AS n FROM hn GROUP BY 1, 2 UNION ALL SELECT size, phrase, n FROM (" + NGRAMS_SQL.replace("TEXTS", "content").replace("ROWS", "derived") + ")")
 def agg_term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("n")).where("n >= 20")
+    """How often each heading (size 1), bigram and trigram stands in the chunks."""
+    chunks = derived(spark, sf_dir)
+    heads = topic_ops.heading_names(chunks).groupBy(F.col("name").alias("term")).agg(F.count("*").alias("n"))
+    return heads.select(F.lit(1).cast("long").alias("size"), "term", "n").unionByName(topic_ops.phrase_counts(chunks).withColumnRenamed("phrase", "term"))
 
 
-@query("agg_tfidf", "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents), f AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS len FROM f GROUP BY 1), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1) SELECT f.term, round(sum(tf * (tf / len::DOUBLE) * ln((SELECT count(*) FROM documents) / df::DOUBLE)), 6) AS score FROM f JOIN l USING (doc_id) JOIN d USING (term) WHERE df >= 5 GROUP BY 1")
+_CLUSTER_STOP = "[" + ", ".join(f"'{w}'" for w in topic_ops.CLUSTER_STOPWORDS) + "]"
+
+
+@query("agg_tfidf", f"WITH w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{{4,}}'), lambda x: NOT list_contains({_CLUSTER_STOP}, x))) AS term FROM documents), f AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS len FROM f GROUP BY 1), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1) SELECT f.term, round(sum(tf * (tf / len::DOUBLE)) * ln((SELECT count(*) FROM documents) / any_value(df)::DOUBLE), 6) AS score FROM f JOIN l USING (doc_id) JOIN d USING (term) GROUP BY 1")
 def agg_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summed per occurrence, so that a term's count enters twice."""
-    docs = table(spark, sf_dir, "documents")
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term"))
-    tf = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    lengths = words.groupBy("doc_id").agg(F.count("*").alias("len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
-    score = F.col("tf") * (F.col("tf") / F.col("len")) * F.log(F.lit(float(docs.count())) / F.col("df"))
-    return tf.join(df, "term").join(lengths, "doc_id").groupBy("term").agg(F.round(F.sum(score), 6).alias("score"))
+    """The weight of every word over all documents."""
+    return topic_ops.term_weights(spread(table(spark, sf_dir, "documents").select("text")))
 
 
 @query("agg_page_spread", "SELECT line, count(DISTINCT source) AS pages FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1 HAVING count(DISTINCT source) >= 0.28 * (SELECT count(DISTINCT source) FROM documents)")
@@ -294,11 +298,10 @@ query("retrieve_by_topic", with_sql("topic_map", "SELECT topic_id, chunk_id, coa
 query("null_handling", with_sql("topic_map", "SELECT topic_id, chunk_id, coalesce(score, 0.0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC NULLS LAST, chunk_id) AS r FROM topic_map) WHERE r <= 10 AND (score IS NULL OR score >= 0.1)"))(topk_topic)
 
 
-@query("topk_keyphrase", "WITH g AS (SELECT w AS phrase, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) GROUP BY 1 ORDER BY n DESC, phrase LIMIT 80) SELECT phrase, n, n * (length(phrase) * length(phrase))::DOUBLE AS score FROM g ORDER BY score DESC, phrase LIMIT 20")
+@query("topk_keyphrase", " UNION ALL ".join(f"SELECT size, phrase, n, round(n * pow((length(phrase) - {k - 1}) / {k}::DOUBLE, 2), 6) AS score FROM (SELECT * FROM ({NGRAMS_SQL.replace('TEXTS', 'text').replace('ROWS', 'documents')}) WHERE size = {k} ORDER BY n DESC, phrase LIMIT {most})" for k, most in ((3, topic_ops.TRIGRAMS), (2, topic_ops.BIGRAMS))))
 def topk_keyphrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("phrase"))
-    top = words.groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(80)
-    return top.withColumn("score", (F.col("n") * F.length("phrase") * F.length("phrase")).cast("double")).orderBy(F.desc("score"), "phrase").limit(20)
+    """The 60 most frequent trigrams and 80 bigrams, with their scores."""
+    return topic_ops.top_phrases(written(topic_ops.phrase_counts(spread(table(spark, sf_dir, "documents").select(F.col("text").alias("content"))))))
 
 
 query("keyphrase_score", "SELECT p_partkey, p_size * pow(length(p_name) / len(string_split(p_name, ' '))::DOUBLE, 2) AS score FROM part")(
@@ -306,10 +309,13 @@ query("keyphrase_score", "SELECT p_partkey, p_size * pow(length(p_name) / len(st
 )
 
 
-@query("topk_topics_cap", with_sql("outline", "SELECT doc_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY level, doc_id, seq) AS r FROM outline) WHERE r <= 25"))
+@query("topk_topics_cap", "SELECT course_id, seq, row_number() OVER (PARTITION BY course_id ORDER BY page, seq) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY confidence DESC, seq) AS r FROM (SELECT floor(p_partkey / 40)::BIGINT AS course_id, p_partkey AS seq, p_partkey % 97 AS confidence, CASE WHEN p_size % 9 = 0 THEN 999999 ELSE p_size END AS page FROM part)) WHERE r <= 25")
 def topk_topics_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(F.col("doc_id") % 50).orderBy("level", "doc_id", "seq"))
-    return outline(spark, sf_dir).withColumn("r", rank).where("r <= 25").select("doc_id", "seq")
+    """The 25 topics of a course of most confidence, in the order of their pages; those without a page come last."""
+    t = table(spark, sf_dir, "part").selectExpr("cast(floor(p_partkey / 40) AS bigint) AS course_id", "p_partkey AS seq", "p_partkey % 97 AS confidence", "CASE WHEN p_size % 9 = 0 THEN 999999 ELSE p_size END AS page")
+    own = Window.partitionBy("course_id")
+    kept = t.withColumn("r", F.row_number().over(own.orderBy(F.desc("confidence"), "seq"))).where("r <= 25")
+    return kept.select("course_id", "seq", F.row_number().over(own.orderBy("page", "seq")).alias("rank"))
 
 
 @query("sort_band_seeded", with_sql("topic_map", "SELECT topic_id, chunk_id, row_number() OVER (PARTITION BY topic_id ORDER BY round_even(coalesce(score, 0) * 20, 0) / 20 DESC, md5('7:' || chunk_id)) AS rank FROM topic_map"))
@@ -388,11 +394,13 @@ def bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stems(spark, sf_dir).where("bloom = 'apply'").select("question_id")
 
 
-@query("noisy_suspect", with_sql("topics topic_map", "SELECT t.topic_id, count(m.chunk_id) / 1000.0::DOUBLE < 0.01 OR (count(m.chunk_id) = 0 AND is_auto) AS suspect FROM topics t LEFT JOIN topic_map m ON m.topic_id = t.topic_id AND m.score > 0.9 GROUP BY 1, is_auto"))
+@query("noisy_suspect", with_sql("topics topic_map", "SELECT t.topic_id, count(m.chunk_id) / (SELECT greatest(1, count(*)) FROM documents)::DOUBLE < 0.01 OR (count(m.chunk_id) = 0 AND is_auto) AS suspect FROM topics t LEFT JOIN topic_map m ON m.topic_id = t.topic_id AND m.score > 0.9 GROUP BY 1, is_auto"))
 def noisy_suspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topic that covers less than a hundredth of all chunks, or none though it was found automatically."""
+    total = float(max(1, table(spark, sf_dir, "documents").count()))
     counts = topic_map(spark, sf_dir).where("score > 0.9").groupBy("topic_id").agg(F.count("*").alias("n"))
     t = topics(spark, sf_dir).join(counts, "topic_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return t.select("topic_id", ((F.col("n") / 1000.0 < 0.01) | ((F.col("n") == 0) & F.col("is_auto"))).alias("suspect"))
+    return t.select("topic_id", ((F.col("n") / total < 0.01) | ((F.col("n") == 0) & F.col("is_auto"))).alias("suspect"))
 
 
 @query("min_context_gate", with_sql("stems topic_map", "SELECT question_id FROM stems WHERE set_id IN (SELECT topic_id FROM topic_map WHERE score > 0.8 GROUP BY 1 HAVING count(*) >= 3)"))

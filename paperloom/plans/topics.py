@@ -218,10 +218,12 @@ def _top(n: int, most: int) -> str:
 (SELECT array_to_string(g, ' ') AS g, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: w[i:i + {n - 1}])) AS g FROM t) WHERE NOT list_contains({_STOP}, g[1]) AND NOT list_contains({_STOP}, g[{n}]) GROUP BY 1 ORDER BY n DESC, g LIMIT {most})"""
 
 
-_NAMES = f"""l AS (SELECT {strip('raw')} AS line FROM (SELECT unnest(string_split(content, chr(10))) AS raw FROM derived)),
+HEADING_NAMES_SQL = f"""l AS (SELECT {strip('raw')} AS line FROM (SELECT unnest(string_split(content, chr(10))) AS raw FROM derived)),
 k AS (SELECT line, {_HEAD_KIND} AS kind, trim(regexp_extract(line, '[:\\-–]\\s*(.+)$', 1)) AS sub, {_BARE.format(x='line')} AS bare FROM l WHERE length(line) BETWEEN 3 AND 80 AND NOT regexp_matches(line, '[.,;]\\s*$')),
 c AS (SELECT CASE kind WHEN 'keyword' THEN CASE WHEN NOT regexp_matches(line, '(?i)^({notation.STRUCTURAL})\\s*[\\d.\\-–]*\\s*$') AND length(sub) >= 3 THEN sub END WHEN 'numbered' THEN CASE WHEN length(bare) >= 3 THEN bare END ELSE line END AS x FROM k WHERE kind IS NOT NULL),
-heads AS (SELECT row_number() OVER (ORDER BY n DESC, name) AS r, name FROM (SELECT name, count(*) AS n FROM (SELECT {_titled('x')} AS name FROM c WHERE x IS NOT NULL) WHERE length(name) >= 3 AND NOT ({_SERVICE_NOISE}) GROUP BY 1 ORDER BY n DESC, name LIMIT 25)),
+hn AS (SELECT name FROM (SELECT {_titled('x')} AS name FROM c WHERE x IS NOT NULL) WHERE length(name) >= 3 AND NOT ({_SERVICE_NOISE}))"""
+_NAMES = f"""{HEADING_NAMES_SQL},
+heads AS (SELECT row_number() OVER (ORDER BY n DESC, name) AS r, name FROM (SELECT name, count(*) AS n FROM hn GROUP BY 1 ORDER BY n DESC, name LIMIT 25)),
 t AS (SELECT regexp_extract_all(lower(content), '[a-z]{{3,}}') AS w FROM derived),
 tri AS (SELECT * FROM ({_top(3, ops.TRIGRAMS)}) WHERE NOT ({_SERVICE_NOISE})),
 bi AS (SELECT * FROM ({_top(2, ops.BIGRAMS)}) WHERE NOT ({_SERVICE_NOISE})),
