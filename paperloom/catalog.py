@@ -8,7 +8,7 @@ MODULES = (assessment, boundary, chunks, generation, relational, retrieval, text
 CASTS = {
     "DOUBLE": {"score": ("validate_distractors", "validate_grounding", "validate_grounding_batch", "persist_correctness", "map_lookup"), "confidence": ("agg_confidence", "pdf_outline_topics")},
     "BIGINT": {
-        "correct_count": ("validate_distractors",), "generated": ("agg_job_summary",), "failed": ("agg_job_summary",), "char_start": ("src_page_offsets",), "char_end": ("src_page_offsets",),
+        "correct_count": ("validate_distractors",), "char_start": ("src_page_offsets",), "char_end": ("src_page_offsets",),
         "changed": ("backfill_classes",), "skipped": ("backfill_classes",), "n": ("agg_excluded_count",), "chars": ("sink_chunks",), "draft": ("agg_status_counts",), "reviewed": ("agg_status_counts",),
         "approved": ("agg_status_counts",), "rejected": ("agg_status_counts",), "n_blacklist": ("diversity_context",), "start": ("build_chunks",), "stop": ("build_chunks",), "start_char": ("chunk_document",),
         "end_char": ("chunk_document",), "fl": ("math_scalars",), "ce": ("math_scalars",),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.functions import similarity
+from paperloom.functions import rules, similarity
 from paperloom.functions.cleaning import trim_space
 from paperloom.scratch import written
 
@@ -16,23 +16,37 @@ def _top(rows: DataFrame, k: int, *order: Column | str) -> DataFrame:
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-def context_chunks(requests: DataFrame, mapped: DataFrame, chunks: DataFrame, k: int = 10, min_score: float = 0.0, broad_score: float = 0.05) -> DataFrame:
+#: Bytes of request vectors that are broadcast at most.
+BROADCAST_BYTES = 16 << 20
+
+
+def _sized(requests: DataFrame) -> DataFrame:
+    """The requests, broadcast if their vectors are counted to have few bytes; else Spark joins them by course."""
+    size = requests.agg(F.coalesce(F.sum(8 * F.size("q") + 32), F.lit(0))).first()[0]
+    return F.broadcast(requests) if size <= BROADCAST_BYTES else requests
+
+
+def context_chunks(requests: DataFrame, mapped: DataFrame, chunks: DataFrame, texts: DataFrame, k: int = 10, min_score: float = 0.0, broad_score: float = 0.05) -> DataFrame:
     """The k context chunks of every request: request_id, chunk_id, stage, score, rank.
 
     requests: request_id, course_id, q (query vector or null). mapped: request_id, chunk_id, score (null: unknown).
-    chunks: chunk_id, course_id, chunk_index, vec (or null), allowed (by class), boilerplate (by text), used, penalised;
-    texts are not needed here. Stages: chunks of the topic; chunks like the query, while there is room for 3 k; both without
+    chunks: chunk_id, course_id, chunk_index, vec (or null), allowed (by class), used, penalised. texts: chunk_id, content;
+    only those of chunks that come into question are judged as boilerplate. Stages: chunks of the topic; chunks like the query, while there is room for 3 k; both without
     boilerplate and used chunks. If none is left: a wider search for unseen chunks, unused ones first; if still none, the
     course's first chunks with a neutral score. Chunks that are not penalised come first.
     """
     fetch = 3 * k
     own = chunks.where("allowed")
-    topic = mapped.join(own.select("chunk_id", "boilerplate", "used"), "chunk_id").where(F.col("score").isNull() | (F.col("score") >= min_score))
+    topic = mapped.join(own.select("chunk_id", "used"), "chunk_id").where(F.col("score").isNull() | (F.col("score") >= min_score))
     topic = _top(topic, fetch, F.desc_nulls_last("score"), "chunk_id").withColumns({"score": F.coalesce("score", F.lit(0.0)), "stage": F.lit(1)})
-    vectors = own.where("vec is not null").select("chunk_id", "course_id", "vec", "boilerplate", "used")
-    asked = requests.where("q is not null").select("request_id", "course_id", "q")
-    scored = vectors.join(asked, "course_id").select("request_id", "chunk_id", "boilerplate", "used", F.round(similarity.cosine(F.col("vec"), F.col("q")), 5).alias("score"))
+    vectors = own.where("vec is not null").select("chunk_id", "course_id", "vec", "used")
+    asked = _sized(requests.where("q is not null").select("request_id", "course_id", "q"))
+    scored = vectors.join(asked, "course_id").select("request_id", "chunk_id", "used", F.round(similarity.cosine(F.col("vec"), F.col("q")), 5).alias("score"))
     wide = written(_top(scored, 4 * fetch, F.desc("score"), "chunk_id").where(F.col("score") >= F.least(F.lit(min_score), F.lit(broad_score))))
+    topic = written(topic)
+    chosen = wide.select("chunk_id").unionByName(topic.select("chunk_id")).distinct()
+    judged = written(texts.join(chosen, "chunk_id", "left_semi").select("chunk_id", rules.is_excluded(F.col("content")).alias("boilerplate")))
+    wide, topic = wide.join(judged, "chunk_id"), topic.join(judged, "chunk_id")
     room = topic.groupBy("request_id").agg(F.count("*").alias("n"))
     near = _top(wide, fetch, F.desc("score"), "chunk_id").where(F.col("score") >= min_score).join(topic.select("request_id", "chunk_id"), ["request_id", "chunk_id"], "left_anti")
     near = near.join(room, "request_id", "left").withColumn("free", fetch - F.coalesce("n", F.lit(0))).drop("n")

@@ -281,21 +281,46 @@ def validators_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _validated(spark, sf_dir).drop("detail")
 
 
-@query("question_transitions", with_sql("stems", "SELECT question_id, a AS action, CASE WHEN a = status THEN 'conflict' ELSE 'ok' END AS result, CASE WHEN a = status THEN status ELSE a END AS new_status FROM (SELECT *, CASE WHEN question_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS a FROM stems)"))
+_ACTION = "CASE WHEN question_id % 2 = 0 THEN 'approved' ELSE 'rejected' END"
+_REASON = "CASE question_id % 5 WHEN 1 THEN 'off topic' WHEN 3 THEN ' ' END"
+_PRINT = "lower(trim(regexp_replace(stem, '\\s+', ' ', 'g')))"
+
+
+@query("question_transitions", with_sql("stems", f"SELECT question_id, a AS action, CASE WHEN a = status THEN 'conflict' ELSE 'ok' END AS result, CASE WHEN a = status THEN status ELSE a END AS new_status, CASE WHEN a <> status AND a = 'rejected' AND trim(r) <> '' THEN trim(r) END AS explanation, a <> status AND a = 'rejected' AS blacklists FROM (SELECT *, {_ACTION} AS a, {_REASON} AS r FROM stems)"))
 def question_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approving an approved question, or rejecting a rejected one, is a conflict."""
-    q = stems(spark, sf_dir).withColumn("a", F.when(F.col("question_id") % 2 == 0, "approved").otherwise("rejected"))
+    """Approving an approved question, or rejecting a rejected one, is a conflict; a rejection takes its reason down and goes to the blacklist."""
+    q = stems(spark, sf_dir).withColumns({"a": F.expr(_ACTION), "r": F.trim(F.expr(_REASON))})
     same = F.col("a") == F.col("status")
-    return q.select("question_id", F.col("a").alias("action"), F.when(same, "conflict").otherwise("ok").alias("result"), F.when(same, F.col("status")).otherwise(F.col("a")).alias("new_status"))
+    rejects = ~same & (F.col("a") == "rejected")
+    return q.select("question_id", F.col("a").alias("action"), F.when(same, "conflict").otherwise("ok").alias("result"), F.when(same, F.col("status")).otherwise(F.col("a")).alias("new_status"), F.when(rejects & (F.col("r") != ""), F.col("r")).alias("explanation"), rejects.alias("blacklists"))
+
+
+@query("blacklist_on_reject", with_sql("stems", f"SELECT course_id, md5({_PRINT}) AS fingerprint, min(question_id) AS question_id, count(*) AS n FROM stems WHERE status <> 'rejected' AND ({_ACTION}) = 'rejected' AND {_PRINT} <> '' GROUP BY 1, 2"))
+def blacklist_on_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rejections add to a course's blacklist: each fingerprint once, by its first question."""
+    rejected = question_transitions(spark, sf_dir).where("blacklists").select("question_id")
+    print_ = F.lower(F.trim(F.regexp_replace("stem", r"\s+", " ")))
+    q = stems(spark, sf_dir).join(rejected, "question_id", "left_semi").where(print_ != "")
+    return q.groupBy("course_id", F.md5(print_).alias("fingerprint")).agg(F.min("question_id").alias("question_id"), F.count("*").alias("n"))
 
 
-@query("question_patch", with_sql("stems", "SELECT question_id, coalesce(p, stem) AS stem, CASE WHEN p IS NOT NULL AND status = 'rejected' THEN 'reviewed' ELSE status END AS status FROM (SELECT *, CASE WHEN question_id % 3 = 0 THEN 'New ' || stem END AS p FROM stems)"))
+# option edits: new text for one option, a new key for some questions, and two keys (an error) for others
+_EDITS = "CASE WHEN question_id % 3 = 0 AND k = 1 THEN concat('New ', text) END AS new_text, CASE question_id % 4 WHEN 0 THEN k = 2 WHEN 1 THEN k >= 2 END AS new_key"
+
+
+@query("question_patch", with_sql("stems options", f"""SELECT question_id, coalesce(p, stem) AS stem, result, CASE WHEN result = 'ok' AND (p IS NOT NULL OR edited) AND status = 'rejected' THEN 'reviewed' ELSE status END AS status, CASE WHEN result = 'ok' THEN edited_options END AS options
+FROM (SELECT *, CASE WHEN question_id % 3 = 0 THEN 'New ' || stem END AS p FROM stems) JOIN (SELECT question_id, CASE WHEN count_if(ck) = 1 OR NOT bool_or(new_key IS NOT NULL) THEN 'ok' ELSE 'one_correct' END AS result, bool_or(new_text IS NOT NULL OR new_key IS NOT NULL) AS edited, string_agg(concat(label, CASE WHEN ck THEN '*' ELSE '' END, ') ', coalesce(new_text, text)), chr(10) ORDER BY k) AS edited_options FROM (SELECT *, coalesce(new_key, is_correct) AS ck FROM (SELECT *, {_EDITS} FROM options)) GROUP BY 1) USING (question_id)"""))
 def question_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only given fields change; edited content takes a rejected question back to review."""
-    q = stems(spark, sf_dir)
-    patch = q.where("question_id % 3 = 0").select("question_id", F.concat(F.lit("New "), "stem").alias("p"))
-    j = q.join(patch, "question_id", "left")
-    return j.select("question_id", F.coalesce("p", "stem").alias("stem"), F.when(F.col("p").isNotNull() & (F.col("status") == "rejected"), "reviewed").otherwise(F.col("status")).alias("status"))
+    """Only given fields change; options that would have other than one key are refused; edited content takes a rejected question back to review."""
+    edits = options(spark, sf_dir).select("*", *(F.expr(x) for x in _EDITS.replace(", CASE question_id", "|CASE question_id").split("|")))
+    keyed = edits.withColumn("ck", F.coalesce("new_key", "is_correct"))
+    rows = F.array_sort(F.collect_list(F.struct("k", "label", "ck", F.coalesce("new_text", "text").alias("t"))))
+    own = keyed.groupBy("question_id").agg(F.count_if("ck").alias("keys"), F.bool_or(F.col("new_key").isNotNull()).alias("rekeyed"), F.bool_or(F.col("new_key").isNotNull() | F.col("new_text").isNotNull()).alias("edited"), rows.alias("o"))
+    listing = F.array_join(F.transform("o", lambda x: F.concat(x["label"], F.when(x["ck"], "*").otherwise(""), F.lit(") "), x["t"])), "\n")
+    ok = (F.col("keys") == 1) | ~F.col("rekeyed")
+    q = stems(spark, sf_dir).withColumn("p", F.when(F.col("question_id") % 3 == 0, F.concat(F.lit("New "), "stem"))).join(own, "question_id")
+    back = ok & (F.col("p").isNotNull() | F.col("edited")) & (F.col("status") == "rejected")
+    return q.select("question_id", F.coalesce("p", "stem").alias("stem"), F.when(ok, "ok").otherwise("one_correct").alias("result"), F.when(back, "reviewed").otherwise(F.col("status")).alias("status"), F.when(ok, listing).alias("options"))
 
 
 @query("replacement_candidates", with_sql("stems", "SELECT type, question_id FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY question_id DESC) AS r FROM stems WHERE status = 'approved' AND question_id NOT IN (SELECT question_id FROM stems WHERE blueprint_id = 2)) WHERE r <= 100"))
@@ -341,11 +366,23 @@ def exam_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("l_orderkey").alias("exam_id"), F.col("l_partkey").alias("question_id"), F.row_number().over(own.orderBy(place)).alias("position"))
 
 
-@query("exam_reorder", "SELECT exam_id, count(*) <> count(DISTINCT position) OR min(position) < 1 AS rejected FROM (SELECT l_orderkey AS exam_id, l_linenumber AS position FROM lineitem) GROUP BY 1")
+# orders of exams: the questions backwards, with one place given twice, one question of another exam, or one place left out
+_NEW_PLACE = "CASE l_orderkey % 5 WHEN 0 THEN greatest(l_linenumber, 2) WHEN 2 THEN 20 - 2 * l_linenumber ELSE 8 - l_linenumber END"
+_NAMED = "CASE WHEN l_orderkey % 5 = 1 AND l_linenumber = 1 THEN -1 ELSE l_partkey END"
+
+
+@query("exam_reorder", f"""WITH s AS (SELECT l_orderkey AS exam_id, l_partkey AS question_id, l_linenumber AS place, {_NAMED} AS named, {_NEW_PLACE} AS wanted FROM lineitem),
+v AS (SELECT exam_id, CASE WHEN bool_or(named <> question_id) THEN 'foreign' WHEN count(*) <> count(DISTINCT wanted) THEN 'duplicate' WHEN min(wanted) < 1 THEN 'place' ELSE 'ok' END AS result FROM s GROUP BY 1)
+SELECT exam_id, question_id, result, row_number() OVER (PARTITION BY exam_id ORDER BY CASE WHEN result = 'ok' THEN wanted ELSE place END, place, question_id) AS position FROM s JOIN v USING (exam_id)""")
 def exam_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with a place given twice are rejected."""
-    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("exam_id"), F.col("l_linenumber").alias("position"))
-    return p.groupBy("exam_id").agg(((F.count("*") != F.count_distinct("position")) | (F.min("position") < 1)).alias("rejected"))
+    """New orders with foreign questions or a place given twice change nothing; accepted ones are closed up from 1."""
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("exam_id"), F.col("l_partkey").alias("question_id"), F.col("l_linenumber").alias("place"), F.expr(_NAMED).alias("named"), F.expr(_NEW_PLACE).alias("wanted"))
+    own = Window.partitionBy("exam_id")
+    faults = s.groupBy("exam_id").agg(F.bool_or(F.col("named") != F.col("question_id")).alias("foreign"), (F.count("*") != F.count_distinct("wanted")).alias("twice"), F.min("wanted").alias("least"))
+    result = F.when(F.col("foreign"), "foreign").when(F.col("twice"), "duplicate").when(F.col("least") < 1, "place").otherwise("ok")
+    both = s.join(faults.select("exam_id", result.alias("result")), "exam_id")
+    order = F.when(F.col("result") == "ok", F.col("wanted")).otherwise(F.col("place"))
+    return both.select("exam_id", "question_id", "result", F.row_number().over(own.orderBy(order, "place", "question_id")).alias("position"))
 
 
 _BEFORE_EXPORT = "SELECT *, question_id // 100 AS exam_id FROM stems"
@@ -384,16 +421,45 @@ def persist_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stems(spark, sf_dir).join(m, "set_id").select("question_id", "chunk_id")
 
 
-@query("agg_job_summary", with_sql("stems", "SELECT set_id, count(*) AS requested, count_if(status = 'approved') AS generated, count_if(status = 'rejected') AS failed, round(count_if(bloom = 'remember') / count(*)::DOUBLE, 2) AS trivial_share FROM stems GROUP BY 1"))
+# attempts of a job: each question used a chunk and belongs to a slot; rejected ones have a reason
+_ATTEMPTS = {"slot": "question_id // 100 % 3", "chunk_id": "question_id % 37", "generated": "status <> 'rejected'", "reason": "CASE WHEN status = 'rejected' THEN concat('question ', question_id, ': ', CASE WHEN question_id % 2 = 0 THEN 'blacklisted' ELSE 'near duplicate' END) END"}
+_JOB_SQL = f"""ta AS (SELECT set_id, question_id, {", ".join(f"{e} AS {n}" for n, e in _ATTEMPTS.items())}, {TRIVIAL_SQL} AS trivial FROM stems),
+js AS (SELECT set_id, count(*) AS requested, count_if(generated)::BIGINT AS generated, count_if(NOT generated)::BIGINT AS failed, count(DISTINCT chunk_id) AS unique_chunks, count_if(generated AND trivial)::BIGINT AS trivial, round(count_if(generated AND trivial) / greatest(1, count_if(generated))::DOUBLE, 2) AS trivial_fraction,
+count_if(NOT generated AND question_id % 2 = 0)::BIGINT AS blacklist_avoided, count_if(NOT generated AND question_id % 2 <> 0)::BIGINT AS dedup_avoided, list(reason ORDER BY question_id) FILTER (reason IS NOT NULL) AS rs FROM ta GROUP BY 1)"""
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = {**_ATTEMPTS, "slot": "cast(floor(question_id / 100) % 3 as bigint)"}
+    return stems(spark, sf_dir).select("set_id", "question_id", *(F.expr(e).alias(n) for n, e in made.items()), rules.is_trivial(F.col("stem")).alias("trivial"))
+
+
+def _job_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, bad = F.col("generated"), ~F.col("generated")
+    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("question_id", "reason")))), 1, 20)  # of a job's own questions
+    grouped = _attempts(spark, sf_dir).groupBy("set_id").agg(
+        F.count("*").alias("requested"), F.count_if(good).alias("n_good"), F.count_if(bad).alias("failed"), F.count_distinct("chunk_id").alias("unique_chunks"), F.count_if(good & F.col("trivial")).alias("n_trivial"),
+        F.count_if(bad & (F.col("question_id") % 2 == 0)).alias("blacklist_avoided"), F.count_if(bad & (F.col("question_id") % 2 != 0)).alias("dedup_avoided"), first.alias("first"),
+    )
+    fraction = F.round(F.col("n_trivial") / F.greatest(F.lit(1), F.col("n_good")), 2)
+    return grouped.select("set_id", "requested", F.col("n_good").alias("generated"), "failed", "unique_chunks", F.col("n_trivial").alias("trivial"), fraction.alias("trivial_fraction"), "blacklist_avoided", "dedup_avoided", F.transform("first", lambda x: x["reason"]).alias("reasons"))
+
+
+@query("agg_job_summary", with_sql("stems", "").rstrip() + f", {_JOB_SQL} SELECT * EXCLUDE (rs), coalesce(array_to_string(rs[:20], '; '), '') AS reasons, concat(CASE WHEN generated < requested THEN 'PARTIAL — ' ELSE '' END, 'Generated ', generated, '/', requested, ' question(s).') AS message FROM js")
 def agg_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count("*")
-    return stems(spark, sf_dir).groupBy("set_id").agg(n.alias("requested"), F.count_if(F.col("status") == "approved").alias("generated"), F.count_if(F.col("status") == "rejected").alias("failed"), F.round(F.count_if(F.col("bloom") == "remember") / n, 2).alias("trivial_share"))
+    """What a job made of its questions: counts, chunks, recall questions, what memory avoided, and the first twenty reasons."""
+    told = F.concat(F.when(F.col("generated") < F.col("requested"), "PARTIAL — ").otherwise(""), F.lit("Generated "), F.col("generated").cast("string"), F.lit("/"), F.col("requested").cast("string"), F.lit(" question(s)."))
+    return _job_facts(spark, sf_dir).withColumn("message", told).withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query("json_job_summary")
+@query("json_job_summary", with_sql("stems", "").rstrip() + f""", {_JOB_SQL}, sl AS (SELECT set_id, string_agg(concat('{{"slot":', slot, ',"requested":', r, ',"generated":', g, '}}'), ',' ORDER BY slot) AS slots FROM (SELECT set_id, slot, count(*) AS r, count_if(generated) AS g FROM ta GROUP BY 1, 2) GROUP BY 1)
+SELECT set_id, concat('{{"requested":', requested, ',"generated":', generated, ',"failed":', failed, ',"failure_reasons":[', coalesce(array_to_string(list_transform(rs[:20], lambda r: concat('"', r, '"')), ','), ''), '],"unique_chunks_used":', unique_chunks, ',"trivial_questions":', trivial, ',"trivial_fraction":', trivial_fraction, ',"blacklist_avoided":', blacklist_avoided, ',"cross_run_dedup_avoided":', dedup_avoided, ',"slots":[', slots, ']}}') AS summary FROM js JOIN sl USING (set_id)""")
 def json_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = agg_job_summary(spark, sf_dir)
-    return s.select("set_id", F.to_json(F.struct(*s.columns)).alias("summary"))
+    """The summary as JSON, with what became of each slot."""
+    slot = _attempts(spark, sf_dir).groupBy("set_id", "slot").agg(F.count("*").alias("requested"), F.count_if("generated").alias("generated"))
+    slots = slot.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("slot", "requested", "generated"))).alias("slots"))
+    names = {"reasons": "failure_reasons", "unique_chunks": "unique_chunks_used", "trivial": "trivial_questions", "trivial_fraction": "trivial_fraction", "blacklist_avoided": "blacklist_avoided", "dedup_avoided": "cross_run_dedup_avoided"}
+    row = F.struct("requested", "generated", "failed", *(F.col(n).alias(m) for n, m in names.items()), "slots")
+    return _job_facts(spark, sf_dir).join(slots, "set_id").select("set_id", F.to_json(row).alias("summary"))
 
 
 query("json_detail_encode")(lambda spark, sf_dir: _validated(spark, sf_dir).select("question_id", "validation_type", "detail"))

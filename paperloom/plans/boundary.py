@@ -188,13 +188,24 @@ def slot_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.fill_slots(asked, topic_map(spark, sf_dir))
 
 
-@query("exam_add", "SELECT l_orderkey AS exam_id, l_partkey AS question_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY added, l_linenumber, l_partkey) AS position FROM (SELECT l_orderkey, l_partkey, l_linenumber, 0 AS added FROM lineitem UNION ALL SELECT o_orderkey, 1, 1, 1 FROM orders)")
+# questions that are put into exams: an approved one, one that is in it already, one that is not approved, and one that does not exist
+_ASKED = "CASE o_orderkey % 4 WHEN 0 THEN o_custkey % 20 WHEN 1 THEN (SELECT min(l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey) WHEN 2 THEN 7 ELSE -5 END"
+
+
+@query("exam_add", f"""WITH a AS (SELECT o_orderkey AS exam_id, {_ASKED} AS question_id FROM orders), h AS (SELECT l_orderkey AS exam_id, count(*) AS n, max(l_linenumber) AS latest FROM lineitem GROUP BY 1)
+SELECT exam_id, question_id, result, CASE WHEN result = 'ok' THEN coalesce(latest, 0) + 1 END AS position FROM (SELECT a.exam_id, a.question_id, latest, CASE WHEN p.p_partkey IS NULL THEN 'unknown' WHEN p.p_partkey % 10 = 7 THEN 'not_approved' WHEN EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = a.exam_id AND l.l_partkey = a.question_id) THEN 'already' ELSE 'ok' END AS result FROM a LEFT JOIN part p ON p.p_partkey = a.question_id LEFT JOIN h ON h.exam_id = a.exam_id)""")
 def exam_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question is put behind the last one of every exam."""
-    old = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.lit(0).alias("added"))
-    new = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).cast("long").alias("l_partkey"), F.lit(1).alias("l_linenumber"), F.lit(1).alias("added"))
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("added", "l_linenumber", "l_partkey"))
-    return old.unionByName(new).select(F.col("l_orderkey").alias("exam_id"), F.col("l_partkey").alias("question_id"), place.alias("position"))
+    """A question goes behind the last one of an exam, unless it is unknown, not approved (parts ending in 7), or in it already."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("exam_id"), F.col("l_partkey").alias("question_id"), "l_linenumber")
+    held = items.groupBy("exam_id").agg(F.max("l_linenumber").alias("latest"), F.min("question_id").alias("own"))
+    key = F.col("exam_id") % 4
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("exam_id"), "o_custkey").join(held, "exam_id", "left")
+    asked = asked.select("exam_id", "latest", F.when(key == 0, F.col("o_custkey") % 20).when(key == 1, F.col("own")).when(key == 2, 7).otherwise(-5).cast("long").alias("question_id"))
+    known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("question_id"), (F.col("p_partkey") % 10 == 7).alias("open"))
+    there = items.select("exam_id", "question_id").distinct().withColumn("there", F.lit(True))
+    both = asked.join(known, "question_id", "left").join(there, ["exam_id", "question_id"], "left")
+    result = F.when(F.col("open").isNull(), "unknown").when(F.col("open"), "not_approved").when(F.col("there"), "already").otherwise("ok")
+    return both.select("exam_id", "question_id", result.alias("result"), F.when(result == "ok", F.coalesce("latest", F.lit(0)) + 1).alias("position"))
 
 
 @query("rt_ingest_on_upload", "SELECT count(DISTINCT sha256(html)) AS processed FROM pages")

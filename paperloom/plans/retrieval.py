@@ -223,13 +223,13 @@ _MAPPED = "CASE topic_id % 5 WHEN 0 THEN true WHEN 1 THEN chunk_id % 16 = 3 WHEN
 _FLAGS = {"allowed": "chunk_id % 11 <> 0", "used": "chunk_id % 7 = 0 OR chunk_id % 5 = 4 AND chunk_id % 25 <> 9", "penalised": "chunk_id % 3 = 0"}
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     requests = topics(spark, sf_dir).join(vectors, F.col("id") == F.col("topic_id"), "left").select(F.col("topic_id").alias("request_id"), "course_id", F.when(F.col("topic_id") % 5 != 2, F.col("vec")).alias("q"))
     mapped = topic_map(spark, sf_dir).where(_MAPPED).withColumnRenamed("topic_id", "request_id")
-    content = derived(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "course_id", "chunk_index", rules.is_excluded(F.col("content")).alias("boilerplate"))
-    chunks = content.join(vectors, F.col("id") == F.col("chunk_id"), "left").drop("id").withColumns({name: F.expr(flag) for name, flag in _FLAGS.items()})
-    return requests, mapped, written(chunks)  # texts are judged once; what follows reads flags and vectors
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 5).alias("course_id"), (F.col("doc_id") % 10).alias("chunk_index"))
+    chunks = chunks.join(vectors, F.col("id") == F.col("chunk_id"), "left").drop("id").withColumns({name: F.expr(flag) for name, flag in _FLAGS.items()})
+    return requests, mapped, chunks, derived(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "content")
 
 
 def _gen_sql(least: float) -> str:

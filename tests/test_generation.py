@@ -52,10 +52,12 @@ def test_stages_of_context_chunks(spark):
     unit = lambda k: [1.0 if i == k else 0.0 for i in range(3)]
     chunks = [(k, k // 10, k % 10, unit(k % 3) if k % 10 < 9 else None, k % 10 != 8, k in (1, 21, 22), k // 10 in (2, 3) and k % 10 < 6 or k // 10 == 3, k % 2 == 0) for k in range(50)]
     c = spark.createDataFrame(chunks, "chunk_id long, course_id long, chunk_index long, vec array<double>, allowed boolean, boilerplate boolean, used boolean, penalised boolean")
+    texts = c.select("chunk_id", F.when(F.col("boilerplate"), "This internal assessment follows the mark allocation.").otherwise("The sum of the angles is two right angles.").alias("content"))
+    c = c.drop("boilerplate")
     requests = spark.createDataFrame([(0, 0, unit(0)), (1, 1, None), (2, 2, unit(0)), (3, 3, unit(1)), (4, 4, None), (5, 9, None)], "request_id long, course_id long, q array<double>")
     mapped = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.9), (1, 10, None), (2, 20, 0.9), (2, 22, 0.9)], "request_id long, chunk_id long, score double")
     got = {}
-    for r in generation.context_chunks(requests, mapped, c, k=1, min_score=0.3).collect():
+    for r in generation.context_chunks(requests, mapped, c, texts, k=1, min_score=0.3).collect():
         got[r["request_id"]] = (r["chunk_id"], r["stage"])
     # 0: its topic's other chunk, as 1 is boilerplate; 1: the topic's, score unknown; 2, 3: a wider search; 4: the course's first; 5: nothing
     assert got[0] == (3, 2) and got[1] == (10, 1) and got[4] == (41, 5) and 5 not in got
