@@ -16,14 +16,14 @@ from paperloom.plans.assessment import _EXPORT_SQL as EXPORT_SQL
 from paperloom.plans.assessment import CONFIG_SCHEMA, VALIDATIONS_SQL, export_render, validators_run
 from paperloom.plans.chunks import _CLASS, _OFFSETS, _classified, _pages
 from paperloom.plans.fixtures import options, stems, topic_map, topics, with_sql
-from paperloom.plans.text import MATH_CASES, _cases
+from paperloom.plans.text import MATH_CASES, _cases, _spelled
 from paperloom.registry import query, table
 from paperloom.scratch import scratch_path
 from paperloom.sources import sinks
 from paperloom.streaming.budgets import arrivals
 
 
-_cases("norm_alias", notation.repair_math, MATH_CASES)
+_cases("norm_alias", notation.repair_math, MATH_CASES, _spelled("text"))
 
 
 @query("src_pdf_spans", "SELECT l_orderkey AS doc_id, l_suppkey % 3 AS page, l_linenumber AS seq, l_quantity AS size, l_returnflag = 'R' AS bold FROM lineitem")

@@ -19,7 +19,7 @@ BLACKLIST, RECENT, NEWEST, COUNT = 0.90, 0.92, 100, 5
 
 # candidates: the questions, and every sixth once more with a word added
 _AGAIN = "question_id + 50 AS question_id, set_id, course_id, blueprint_id, type, difficulty, bloom, status, concat(stem, ' again') AS stem"
-_CANDIDATES = f"c AS (SELECT * FROM stems UNION ALL SELECT {_AGAIN} FROM stems WHERE question_id % 6 = 0)"
+CANDIDATES_SQL = f"c AS (SELECT * FROM stems UNION ALL SELECT {_AGAIN} FROM stems WHERE question_id % 6 = 0)"
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,12 +66,12 @@ def _match_sql(listed: str, threshold: float) -> str:
     return f"SELECT question_id, CASE WHEN e = 1 THEN 'fingerprint' WHEN m >= {threshold} THEN 'similarity' ELSE '' END AS reason, coalesce(m, 0.0)::DOUBLE AS similarity FROM ({both})"
 
 
-@query("is_blacklisted", with_sql("stems", "").rstrip() + f", {_CANDIDATES} {_match_sql(_BAD, BLACKLIST)}")
+@query("is_blacklisted", with_sql("stems", "").rstrip() + f", {CANDIDATES_SQL} {_match_sql(_BAD, BLACKLIST)}")
 def is_blacklisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(candidates(spark, sf_dir), _listed(spark, sf_dir), BLACKLIST)
 
 
-@query("is_recent_duplicate", with_sql("stems", "").rstrip() + f", {_CANDIDATES} {_match_sql(_NEW, RECENT)}")
+@query("is_recent_duplicate", with_sql("stems", "").rstrip() + f", {CANDIDATES_SQL} {_match_sql(_NEW, RECENT)}")
 def is_recent_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(candidates(spark, sf_dir), _recent(spark, sf_dir), RECENT)
 
@@ -135,7 +135,7 @@ def _gates_sql(kind: str) -> str:
     own = "o AS (SELECT question_id AS of, count(*) AS n_options, count_if(is_correct) AS n_correct, min_by(label, CASE WHEN is_correct THEN k END) AS key, min_by(text, CASE WHEN is_correct THEN k END) AS option FROM options GROUP BY 1), "
     joined = "LEFT JOIN o ON of = question_id - CASE WHEN stem LIKE '% again' AND question_id % 100 >= 50 THEN 50 ELSE 0 END" if kind == "mcq" else ""
     structure = structure.replace("n_options", "coalesce(n_options, 0)").replace("n_correct", "coalesce(n_correct, 0)")
-    return with_sql("stems options", "").rstrip() + f""", {_CANDIDATES}, {own if kind == 'mcq' else ''}bl AS ({_match_sql(_BAD, BLACKLIST)}), rc AS ({_match_sql(_NEW, RECENT)}),
+    return with_sql("stems options", "").rstrip() + f""", {CANDIDATES_SQL}, {own if kind == 'mcq' else ''}bl AS ({_match_sql(_BAD, BLACKLIST)}), rc AS ({_match_sql(_NEW, RECENT)}),
 q AS (SELECT *, length(trim(stem)) > 0 AND ({structure}) AS whole, regexp_matches(lower(trim(stem)), {literal('|'.join(rules.TRIVIAL))}) AND difficulty <> 'easy' AND bloom <> 'remember' AS trivial, {rejected} AS refused, {tokens} AS t
 FROM (SELECT c.*, {_REPLIES}, bl.reason <> '' AS listed, rc.reason <> '' AS recent FROM c JOIN bl USING (question_id) JOIN rc USING (question_id) WHERE type = '{kind}') {joined}),
 u AS (SELECT *, coalesce(whole AND NOT trivial AND NOT listed AND NOT recent AND NOT refused, false) AS able FROM q),

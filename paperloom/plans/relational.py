@@ -403,9 +403,9 @@ def noisy_suspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("topic_id", ((F.col("n") / total < 0.01) | ((F.col("n") == 0) & F.col("is_auto"))).alias("suspect"))
 
 
-@query("min_context_gate", with_sql("stems topic_map", "SELECT question_id FROM stems WHERE set_id IN (SELECT topic_id FROM topic_map WHERE score > 0.8 GROUP BY 1 HAVING count(*) >= 3)"))
+@query("min_context_gate", with_sql("stems topic_map", "SELECT question_id FROM stems WHERE set_id IN (SELECT topic_id FROM topic_map WHERE score > 0.5 GROUP BY 1 HAVING count(*) >= 3)"))
 def min_context_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    enough = topic_map(spark, sf_dir).where("score > 0.8").groupBy(F.col("topic_id").alias("set_id")).agg(F.count("*").alias("n")).where("n >= 3")
+    enough = topic_map(spark, sf_dir).where("score > 0.5").groupBy(F.col("topic_id").alias("set_id")).agg(F.count("*").alias("n")).where("n >= 3")
     return stems(spark, sf_dir).join(enough, "set_id", "left_semi").select("question_id")
 
 

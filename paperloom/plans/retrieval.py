@@ -15,6 +15,7 @@ from paperloom.operators.phrases import best_share, term_relevance
 from paperloom.operators.vector_index import build_index, search, search_range
 from paperloom.operators.vectors import nearest
 from paperloom.plans.chunks import EXCLUDED_SQL
+from paperloom.plans.generation import CANDIDATES_SQL, candidates
 from paperloom.plans.fixtures import derived, literal, paged_topics, planted, stems, strip, topic_map, topics, with_sql
 from paperloom.scratch import written
 from paperloom.registry import query, table
@@ -152,10 +153,10 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("x.question_id").alias("a"), F.col("y.question_id").alias("b"), F.round(similarity.jaccard(F.col("x.t"), F.col("y.t")), 6).alias("sim"))
 
 
-@query("theta_jaccard", with_sql("stems", "").rstrip() + f", t AS (SELECT question_id, {_TOK} AS a FROM stems) SELECT x.question_id AS a, y.question_id AS b FROM t x JOIN t y ON x.question_id < y.question_id WHERE len(list_intersect(x.a, y.a)) > 0.72 * len(list_distinct(list_concat(x.a, y.a)))")
+@query("theta_jaccard", with_sql("stems", "").rstrip() + f", {CANDIDATES_SQL}, t AS (SELECT question_id, {_TOK} AS a FROM c) SELECT x.question_id AS a, y.question_id AS b FROM t x JOIN t y ON x.question_id < y.question_id WHERE len(list_intersect(x.a, y.a)) > 0.72 * len(list_distinct(list_concat(x.a, y.a)))")
 def theta_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs above 0.72."""
-    return near_pairs(stems(spark, sf_dir).select(F.col("question_id").alias("id"), similarity.tokens(F.col("stem")).alias("t")), 0.72)
+    """Pairs above 0.72 among the questions, every sixth of which comes twice."""
+    return near_pairs(candidates(spark, sf_dir).select(F.col("question_id").alias("id"), similarity.tokens(F.col("stem")).alias("t")), 0.72)
 
 
 @query("ratcliff_obershelp")
@@ -292,6 +293,6 @@ def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dup_in_job")
 def dup_in_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Within a set, in order: a question is a duplicate if it is too similar to one that was accepted before."""
-    q = stems(spark, sf_dir).select(F.col("question_id").alias("id"), "set_id", similarity.tokens(F.col("stem")).alias("t"))
+    q = candidates(spark, sf_dir).select(F.col("question_id").alias("id"), "set_id", similarity.tokens(F.col("stem")).alias("t"))
     again = greedy_duplicates(near_pairs(q, 0.72, ("set_id",))).withColumn("duplicate", F.lit(True))
     return q.join(again, "id", "left").select(F.col("id").alias("question_id"), F.coalesce("duplicate", F.lit(False)).alias("duplicate"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import cleaning, notation, similarity
 from paperloom.plans.fixtures import derived, literal, outline, stems, strip, with_sql
-from paperloom.registry import query, table
+from paperloom.registry import query, spread, table
 
 _SPACED = "regexp_replace(content, '[\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]', ' ', 'g')"
 _TIDY = "array_to_string(list_transform(string_split(@, chr(10)), lambda l: " + strip("regexp_replace(l, '[ \\t]{2,}', ' ', 'g')") + "), chr(10))"
@@ -112,19 +112,28 @@ MATH_CASES = [("8z: (z 2 x IMPLIES z 2 y)", "∀z: (z∈x ⇒ z∈y)"), ("a IFF
 MCS_CASES = [(".z∈x ⇔ z∈y/", "(z ∈ x ⇔ z ∈ y)"), ("x = y := ∀z: .z∈x ⇔ z∈y/", "x = y ⇔ ∀z: (z ∈ x ⇔ z ∈ y)"), ("8z: .z 2 x IFF z 2 y/", "∀z: (z ∈ x ⇔ z ∈ y)"), ("n := 5", "n := 5")]
 
 
-def _cases(name: str, f, cases: list[tuple[str, str]]) -> None:  # noqa: ANN001
-    """The artefact before each document's id; the expected repair is the oracle."""
+def _spelled(text: str) -> str:
+    """text with the connectives that the generated prose writes in capitals as signs."""
+    for word, sign in (("AND", "∧"), ("OR", "∨"), ("NOT", "¬"), ("UNION", "∪")):
+        text = f"regexp_replace({text}, '\\b{word}\\b', '{sign}', 'g')"
+    return text
+
+
+def _cases(name: str, f, cases: list[tuple[str, str]], text: str = "text") -> None:  # noqa: ANN001
+    """Each document's whole text with an artefact before it and one behind it; the oracle has the expected repairs in their place."""
     rows = ", ".join(f"({k}, {literal(good)})" for k, (_, good) in enumerate(cases))
 
-    @query(name, f"SELECT doc_id, concat(good, ' #', doc_id) AS result FROM documents JOIN (VALUES {rows}) AS v(k, good) ON doc_id % {len(cases)} = k")
+    @query(name, f"SELECT doc_id, concat(a.good, ' #', doc_id, chr(10), {text}, chr(10), 'so ', b.good) AS result FROM documents JOIN (VALUES {rows}) AS a(k, good) ON doc_id % {len(cases)} = a.k JOIN (VALUES {rows}) AS b(k, good) ON (doc_id + 1) % {len(cases)} = b.k")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        texts: Column = F.get(F.array(*(F.lit(bad) for bad, _ in cases)), (F.col("doc_id") % len(cases)).cast("int"))
-        return table(spark, sf_dir, "documents").select("doc_id", f(F.concat(texts, F.lit(" #"), F.col("doc_id").cast("string"))).alias("result"))
+        texts = F.array(*(F.lit(bad) for bad, _ in cases))
+        artefact = lambda shift: F.get(texts, ((F.col("doc_id") + shift) % len(cases)).cast("int"))
+        whole = F.concat(artefact(0), F.lit(" #"), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\nso "), artefact(1))
+        return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", f(whole).alias("result"))
 
 
-_cases("norm_math", notation.repair_math, MATH_CASES)
+_cases("norm_math", notation.repair_math, MATH_CASES, _spelled("text"))
 _cases("norm_def_equiv", notation.definitions_to_equivalence, [("p := ∀x q", "p ⇔ ∀x q"), ("n := 5", "n := 5"), ("a", "a")])
-_cases("norm_mcs", notation.repair_notation, MCS_CASES)
+_cases("norm_mcs", notation.repair_notation, MCS_CASES, _spelled("text"))
 
 
 @query("slot_query", with_sql("stems", "SELECT question_id, trim(concat_ws(' ', CASE WHEN set_id % 4 = 0 THEN NULL ELSE 'Topic ' || set_id END, CASE type WHEN 'mcq' THEN 'key concepts and definitions' WHEN 'true_false' THEN 'facts and statements' WHEN 'short_answer' THEN 'explanations and examples' ELSE 'analysis and discussion' END)) AS result FROM stems"))
