@@ -131,7 +131,7 @@ def json_list_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_orderkey", (F.col("mcq") + F.col("essay")).alias("total_questions"), "total_points")
 
 
-@query("json_config_encode")
+@query("json_config_encode", f"SELECT o_orderkey, {_CONFIG} AS config_json FROM orders")
 def json_config_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _config(spark, sf_dir).select("o_orderkey", F.from_json("config_json", CONFIG_SCHEMA).alias("c"))
     return c.select("o_orderkey", F.to_json("c").alias("config_json"))

@@ -47,7 +47,12 @@ def topic_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postprocess(_extracted(spark, sf_dir)).select("course_id", "seq", "title", F.col("rank").cast("long").alias("rank"))
 
 
-@query("heading_merge")
+_SPANS = "SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY seq, size, text) AS i FROM (SELECT l_orderkey AS doc_id, (l_suppkey % 3)::BIGINT AS page, l_linenumber::BIGINT AS seq, l_quantity::DOUBLE AS size, l_partkey::VARCHAR AS text FROM lineitem)"
+
+
+@query("heading_merge", f"""WITH RECURSIVE c AS ({_SPANS}),
+w AS (SELECT doc_id, page, i, seq, size, text, i AS g FROM c WHERE i = 1 UNION ALL SELECT doc_id, page, i, CASE WHEN j THEN a ELSE seq END, CASE WHEN j THEN greatest(b, size) ELSE size END, CASE WHEN j THEN t || ' ' || text ELSE text END, CASE WHEN j THEN g ELSE i END FROM (SELECT c.*, w.seq AS a, w.size AS b, w.text AS t, w.g, abs(w.size - c.size) < 1.0 AS j FROM w JOIN c ON c.doc_id = w.doc_id AND c.page = w.page AND c.i = w.i + 1))
+SELECT doc_id, page, seq, size, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, g ORDER BY i DESC) AS latest FROM w) WHERE latest = 1""")
 def heading_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "cast(l_suppkey % 3 AS bigint) AS page", "cast(l_linenumber AS bigint) AS seq", "l_quantity AS size", "cast(l_partkey AS string) AS text")
     return ops.merge_headings(spans)
