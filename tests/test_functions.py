@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import cleaning, notation, rules
+from paperloom.functions.similarity import matching_ratio
 from paperloom.operators import chunking
 from paperloom.operators.apportion import largest_remainder
-from paperloom.operators.topics import merge_headings, postprocess
-from paperloom.plans.retrieval import matching_ratio
+from paperloom.operators.topic_filter import postprocess
+from paperloom.operators.topics import merge_headings
+
 from paperloom.plans.text import MATH_CASES, MCS_CASES
 from paperloom.sources.pages import read_pages, read_uploads
 from paperloom.streaming.budgets import token_load

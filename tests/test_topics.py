@@ -1,6 +1,5 @@
 """Topic extraction, slots and time slices against plain loops and hand cases."""
 
-import difflib
 import math
 from collections import Counter, defaultdict
 
@@ -103,13 +102,6 @@ def test_labels_of_clusters(spark):
         assert (r["n"], r["first_page"], r["last_page"]) == (10, c, 27 + c)
 
 
-def test_near_titles_against_the_plain_ratio():
-    titles = ["graph theory", "graph theories", "theory of graphs", "graphs", "graph", "trees and maps", "trees and a map", "", "x"]
-    for a in titles:
-        for b in titles:
-            assert topics._near(a, b) == (difflib.SequenceMatcher(None, a, b).ratio() >= topics.NEAR_RATIO)
-
-
 def test_names_of_topics(spark):
     text = "Chapter 7: Graph Theory\nChapter 8\nGraph\n1.2. Sets of maps\nPage 4\nthis line ends.\nrandom walks\n" + "simple random walks mix. " * 3 + "the random walk"
     df = spark.createDataFrame([(text,), (None,), ("",)], "content string")
