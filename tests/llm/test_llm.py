@@ -766,9 +766,11 @@ def test_templates_bring_about_no_pairs(spark, n):
     rows = [(k, template + " " + " ".join(f"w{w}" for w in rng.integers(0, 10**6, 40))) for k in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     keyed = jaccard_join.materialise(jaccard_join.sizes(docs), "keyed")
-    pairs, members = jaccard_join.candidates(docs, keyed)
+    common = jaccard_join.common_shingles(docs, n)
+    pairs, members = jaccard_join.candidates(docs, common)
     alone = spark.createDataFrame([], "node long, root long")  # as if nothing were linked yet, which is so
-    sides = jaccard_join.gatherings(members, alone).groupBy("main").agg(F.count("*").alias("all"), F.count_if(F.col("root") != F.col("main")).alias("apart"))
+    crowded = jaccard_join.gatherings(members, alone)
+    sides = jaccard_join.gatherings(jaccard_join.refined(docs, keyed, crowded, common), alone).groupBy("main").agg(F.count("*").alias("all"), F.count_if(F.col("root") != F.col("main")).alias("apart"))
     across = sides.agg(F.coalesce(F.sum(F.col("all") * F.col("apart")), F.lit(0))).first()[0]
     assert pairs.count() + across < 5 * n
 
