@@ -16,14 +16,14 @@ _DERIVE = """CASE doc_id % 8
  WHEN 3 THEN concat('Problem 7', chr(10), '(a) Find x. (b) Show y.', chr(10), text)
  WHEN 4 THEN replace(text, chr(10), concat(chr(10), chr(10), chr(10), chr(10)))
  WHEN 5 THEN concat(replace(text, ' ', '  '), chr(160), chr(10), chr(1), 'end')
- WHEN 6 THEN concat({first60}, ' [1] [2] [3] [4]')
+ WHEN 6 THEN replace(text, '.', ' [1] [2] [3].')
  WHEN 7 THEN concat('1.2 Title Case Heading', chr(10), 'CHAPTER 3: SOMETHING', chr(10), text)
  ELSE text END"""
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, course_id, chunk_index, content: every document with artefacts put in by doc_id."""
-    content = F.expr(_DERIVE.format(first60="array_join(slice(split(text, ' '), 1, 60), ' ')"))
+    content = F.expr(_DERIVE)
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", (F.col("doc_id") % 5).alias("course_id"), (F.col("doc_id") % 10).alias("chunk_index"), content.alias("content"))
 
 
@@ -136,7 +136,7 @@ CTE = {
     "books": f"SELECT cast(floor(doc_id / 20) AS BIGINT) AS doc_id, doc_id % 20 + 1 AS page_number, {_BOOK_TEXT} AS text FROM documents WHERE text IS NOT NULL",
     "book_lines": "SELECT doc_id, page_number AS page, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS raw FROM books",
     "book_spans": f"SELECT doc_id, page, line_no AS seq, raw AS text, cast({_SPAN['size'].replace('text', 'raw')} AS DOUBLE) AS size, {_SPAN['bold'].replace('text', 'raw')} AS bold FROM book_lines",
-    "derived": f"SELECT doc_id, doc_id % 5 AS course_id, doc_id % 10 AS chunk_index, {_DERIVE.format(first60="array_to_string(string_split(text, ' ')[1:60], ' ')")} AS content FROM documents",
+    "derived": f"SELECT doc_id, doc_id % 5 AS course_id, doc_id % 10 AS chunk_index, {_DERIVE} AS content FROM documents",
     "stems": "SELECT conv_id * 100 + turn AS question_id, " + ", ".join(f"{e} AS {n}" for n, e in _STEM_COLUMNS.items()) + " FROM conversations WHERE role = 'user'",
     "options": f"SELECT question_id, k, substr('ABCD', k + 1, 1) AS label, {_OPTION_TEXT} AS text, k = question_id % 5 AS is_correct FROM stems, (SELECT cast(unnest(range(4)) AS INTEGER) AS k) WHERE type = 'mcq'",
     "topics": "SELECT cast(n_nationkey AS BIGINT) AS topic_id, cast(n_nationkey % 5 AS BIGINT) AS course_id, n_name AS name, cast(CASE WHEN n_nationkey < 5 THEN NULL ELSE n_nationkey % 5 END AS BIGINT) AS parent_id, n_nationkey % 3 <> 0 AS is_auto FROM nation",
