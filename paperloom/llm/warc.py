@@ -244,7 +244,7 @@ def warc_digest(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_pages(pages, path)
-    records = read_records(spark, path)
+    records = materialise(read_records(spark, path).drop("payload"), "warc-records")  # the archives are read once; lengths and digests are those of what was read
     captures = resolve(materialise(assemble(records, payloads=False), "warc-captures"))
     kind = dict(pages.dtypes)["page_id"]
     page = lambda metadata: F.element_at(F.get(F.col(metadata), 0)["fields"], "page-id").cast(kind)
