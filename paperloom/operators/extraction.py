@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import similarity
-from paperloom.functions.cleaning import trim_space
+from paperloom.functions.cleaning import trim_blanks, trim_space
 from paperloom.operators import headings
 from paperloom.operators.topic_filter import postprocess
 from paperloom.operators.topic_map import map_chunks
@@ -69,7 +69,7 @@ class OutlineExtractor:
     def extract(self, books: Books) -> DataFrame:
         later = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
         page = F.when(F.col("page") > 0, F.col("page").cast("long"))
-        rows = books.outline.select("doc_id", F.col("seq").cast("long").alias("seq"), F.greatest(F.lit(1), F.least(F.lit(3), "level")).alias("depth"), F.trim(F.coalesce("title", F.lit(""))).alias("raw"), page.alias("start_page"))
+        rows = books.outline.select("doc_id", F.col("seq").cast("long").alias("seq"), F.greatest(F.lit(1), F.least(F.lit(3), "level")).alias("depth"), trim_blanks(F.coalesce("title", F.lit(""))).alias("raw"), page.alias("start_page"))
         rows = rows.withColumn("next", F.first("start_page", ignorenulls=True).over(later)).join(_last_page(books.chunks), "doc_id", "left")
         end = F.when(F.col("next").isNotNull(), F.greatest(F.col("next") - 1, F.coalesce("start_page", F.lit(1)))).otherwise(F.nullif("total", F.lit(0)))
         level = F.when((F.col("depth") == 1) & F.col("raw").rlike(r"(?i)^part\b"), "PART").when(F.col("depth") == 1, "CHAPTER").when(F.col("depth") == 2, "SECTION").otherwise("SUBSECTION")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import notation, rules
+from paperloom.functions.cleaning import trim_blanks
 from paperloom.operators.topics import merge_headings
 
 #: Heading lines by pattern, tried in this order.
@@ -108,7 +109,7 @@ def contents_from_text(pages: DataFrame, most_pages: int = TOC_PAGES) -> DataFra
     entries = raw.where(F.col("line").rlike(TOC_ENTRY)).select("doc_id", "page_number", "line_no", notation.toc_title(found).alias("title"), level.alias("level"), page.alias("page"))
     entries = entries.where(~rules.is_toc_noise(F.col("title")) & (F.length("title") >= 3))
     first = entries.withColumn("first", F.min("page_number").over(Window.partitionBy("doc_id"))).where("page_number = first").drop("first")
-    key = F.regexp_replace(F.lower(F.trim("title")), r"\s+", " ")
+    key = F.regexp_replace(F.lower(trim_blanks("title")), r"\s+", " ")
     rank = F.row_number().over(Window.partitionBy("doc_id", key).orderBy("line_no"))
     return first.withColumn("rank", rank).where("rank = 1").drop("rank")
 
