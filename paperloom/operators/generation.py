@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import rules, similarity
-from paperloom.functions.cleaning import trim_space
+from paperloom.functions.cleaning import trim_blanks, trim_space
 from paperloom.scratch import written
 
 
@@ -107,7 +107,7 @@ def build_context(ranked: DataFrame, budget: int = BUDGET, pieces: int = PIECES)
     left = budget - 20 - F.aggregate("evidence", F.lit(0), lambda s, x: s + F.length(x) + 2)
     lines = ranked.where(F.col("rank") > pieces).select("request_id", "rank", F.posexplode(F.split("content", "\n")).alias("line_no", "raw")).withColumn("line", trim_space(F.col("raw")))
     facts = lines.where(is_fact(F.col("line"))).withColumn("fact", F.substring("line", 1, FACT))
-    once = F.row_number().over(Window.partitionBy("request_id", F.trim(F.lower("fact"))).orderBy("rank", "line_no"))
+    once = F.row_number().over(Window.partitionBy("request_id", trim_blanks(F.lower("fact"))).orderBy("rank", "line_no"))
     upto = Window.partitionBy("request_id").orderBy("rank", "line_no")
     kept = facts.withColumn("again", once).where("again = 1").withColumn("used", F.sum(F.length("fact") + 3).over(upto))
     fits = kept.join(sections.select("request_id", left.alias("left")), "request_id").where("left > 100 and used <= left")
