@@ -25,11 +25,12 @@ def _scores(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.round(dots / (norms[0][:, None] * norms[1][None, :]), 5)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", skip: Callable[[np.ndarray, int], np.ndarray] | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", skip: Callable[[np.ndarray, int], np.ndarray] | None = None, order: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """query_id, vec_id, score and rank of the k nearest vectors of every query; both sides have id and vec.
 
     Every pair of a block of vectors and a block of queries is one small matrix product, of which only the k best of each
-    query are kept; ties go to the smaller id. ``skip(ids, query)`` marks vectors that take no place.
+    query are kept; ties go to the smaller id. ``skip(ids, query)`` marks vectors that take no place; ``order(ids, scores)``
+    gives what ranks vectors in place of their scores, larger first.
     """
     n_v, n_q = (max(1, -(-side.count() // BLOCK)) for side in (vectors, queries))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -43,7 +44,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
             own = own.sort_values("id", ignore_index=True)
             ids = own["id"].to_numpy()
             scores = _scores(*(np.stack(side["vec"].to_numpy()).astype(np.float64) for side in (own, asked)), metric)
-            for query, score in zip(asked["id"], scores):
+            for query, score in zip(asked["id"], scores if order is None else order(ids, scores)):
                 at = np.arange(len(ids)) if skip is None else np.flatnonzero(~skip(ids, query))
                 top = at[np.argsort(-score[at], kind="stable")[:k]]
                 rows += zip([query] * len(top), ids[top], score[top])
