@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from paperloom.functions.cleaning import nfkc, trim_space
 from paperloom.functions.similarity import character_set, matching_ratio
-from paperloom.operators.generation import greedy_duplicates, near_pairs
+from paperloom.operators.generation import greedy_duplicates
+from paperloom.operators.token_pairs import common_tokens
 from paperloom.operators.topics import MOST_TOPICS
 from paperloom.scratch import written
 
@@ -66,14 +67,13 @@ def is_noise(title: Column) -> Column:
 def without_near_copies(topics: DataFrame) -> DataFrame:
     """topics (course_id, seq, title, confidence, ...) without those that are too like an accepted one of more confidence.
 
-    The matching ratio is at most twice the common character counts over both lengths, and what reaches that bound is found
-    by rare counts within the course; only those pairs are matched. Who is accepted is settled in rounds, over all courses.
+    The matching ratio is at most twice the common character counts over both lengths, which products of small blocks of a
+    course's titles give; only pairs that reach it are matched. Who is accepted is settled in rounds, over all courses.
     """
-    own = F.struct("course_id", "seq")
-    named = topics.select(own.alias("id"), "course_id", character_set(F.lower("title")).alias("t"))
-    able = near_pairs(named, NEAR_RATIO / (2 - NEAR_RATIO) - 1e-9, ("course_id",))
-    side = lambda n: topics.select(own.alias(n), F.struct((-F.col("confidence")).alias("c"), "seq").alias(f"{n}_place"), F.col("title").alias(f"{n}_title"))
-    both = able.join(side("a"), "a").join(side("b"), "b")
+    named = topics.select(F.col("seq").cast("long").alias("id"), F.col("course_id").alias("scope"), character_set(F.lower("title")).alias("t"))
+    able = common_tokens(named, NEAR_RATIO - 1e-9).select(F.col("scope").alias("course_id"), "a", "b")
+    side = lambda n: topics.select("course_id", F.col("seq").cast("long").alias(n), F.struct((-F.col("confidence")).alias("c"), "seq").alias(f"{n}_place"), F.col("title").alias(f"{n}_title"))
+    both = able.join(side("a"), ["course_id", "a"]).join(side("b"), ["course_id", "b"]).withColumns({n: F.struct("course_id", F.col(n).alias("seq")) for n in ("a", "b")})
     in_order = F.col("a_place") < F.col("b_place")
     first = lambda x, y: F.when(in_order, F.col(x)).otherwise(F.col(y))
     turned = both.select(first("a", "b").alias("a"), first("b", "a").alias("b"), first("a_title", "b_title").alias("held"), first("b_title", "a_title").alias("new"))
