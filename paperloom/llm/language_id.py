@@ -34,14 +34,12 @@ SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armen
 _STARTS, _KINDS = np.array([s for s, _ in SCRIPTS]), sorted({k for _, k in SCRIPTS})
 _KIND_OF = np.array([_KINDS.index(k) for _, k in SCRIPTS])
 _WORD = re.compile(r"[^\W\d_]+")
-#: Numerals that are neither letters nor decimal digits, such as ½ or ².
-_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters; a run of numerals has none, and is no word."""
     words = _WORD.findall(text.lower()) if text else []
-    return [w for w in words if any(map(str.isalpha, w))] if words and _NUMERALS.search(text.lower()) else words
+    return words if "".join(words).isalpha() else [w for w in words if any(map(str.isalpha, w))]
 
 
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
