@@ -814,3 +814,15 @@ def test_crowds_lose_no_link(spark, monkeypatch, few):
             break
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == root and len(set(root.values())) < len(rows)
+
+
+def test_crowded_nodes_are_signed_once(spark):
+    """A node in several gatherings has its signatures once, so rows do not grow with the number of gatherings."""
+    template = " ".join(f"t{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, f"{template} w{k} x{k} y{k}") for k in range(6)], "doc_id long, text string")
+    keyed = jaccard_join.sizes(docs)
+    gathered = keyed.crossJoin(spark.range(5).withColumnRenamed("id", "main")).select("main", "node", F.col("node").alias("root"))
+    found = jaccard_join.refined(docs, keyed, gathered, np.zeros(0, dtype=np.uint64))
+    assert found.columns == ["signature", "node"] and found.select("node").distinct().count() == 6
+    n, most = found.count(), sum(len(set(jaccard_join.signatures(s, np.zeros(0, dtype=np.uint64), jaccard_join.FINE))) for s in (jaccard_join.shingles(w) for w in jaccard_join.hashed_words(r.text.encode() for r in docs.collect())))
+    assert n <= most
