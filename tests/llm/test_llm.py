@@ -826,3 +826,18 @@ def test_crowded_nodes_are_signed_once(spark):
     assert found.columns == ["signature", "node"] and found.select("node").distinct().count() == 6
     n, most = found.count(), sum(len(set(jaccard_join.signatures(s, np.zeros(0, dtype=np.uint64), jaccard_join.FINE))) for s in (jaccard_join.shingles(w) for w in jaccard_join.hashed_words(r.text.encode() for r in docs.collect())))
     assert n <= most
+
+
+def test_only_sets_of_the_crowd_are_signed_again(spark, monkeypatch):
+    """What leaves the crowd leaves as one row for each set, before its signatures are made."""
+    signing = jaccard_join.signed_sets
+    asked = []
+    monkeypatch.setattr(jaccard_join, "signed_sets", lambda sets, *rest: asked.append(sets) or signing(sets, *rest))
+    template = " ".join(f"t{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, f"{template} w{k} x{k} y{k}") for k in range(6)] + [(0, f"{template} another row of this id")], "doc_id long, text string")
+    keyed = jaccard_join.sizes(docs)
+    other = jaccard_join.node_key(jaccard_join.shingles(next(jaccard_join.hashed_words([f"{template} another row of this id".encode()]))))
+    crowd = keyed.where(F.col("node") != other).select(F.lit(1).alias("main"), "node", F.col("node").alias("root"))
+    found = jaccard_join.refined(docs, keyed, crowd, np.zeros(0, dtype=np.uint64))
+    assert asked[0].count() == 6 == found.select("node").distinct().count()
+    assert found.where(F.col("node") == other).isEmpty()
