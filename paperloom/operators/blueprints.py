@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.operators.apportion import largest_remainder
+from paperloom.operators.apportion import shares_within
 
 #: Types and levels in their order, and what a configuration has where it says nothing.
 TYPES = ["mcq", "true_false", "short_answer", "essay"]
@@ -73,13 +73,16 @@ def expand(configs: DataFrame) -> DataFrame:
 
     Automatic: each type's count is shared out over the levels. Manual: each listed topic's count is shared out over the types
     by their counts, and what a type gets there over the levels. Both are the same chain of two apportionments, since an
-    automatic blueprint is one without topic whose types have their counts already; a listed topic may come twice.
+    automatic blueprint is one without topic whose types have their counts already; a listed topic may come twice. A blueprint
+    is one row, and so is a group of shares: rows are only mapped, and no table is sorted or shuffled.
     """
     auto = F.array(F.struct(F.lit(None).cast("long").alias("topic_id"), F.lit(None).cast("long").alias("question_count")))
     each = configs.select("blueprint_id", "counts", "mix", F.posexplode(F.when(F.col("mode") == "manual", F.col("topics")).otherwise(auto)).alias("topic_no", "t"))
-    types = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(k).alias("type_ord"), F.col(f"counts.{t}").alias("asked")) for k, t in enumerate(TYPES)))
-    levels = F.array(*(F.struct(F.lit(x).alias("level"), F.lit(k).alias("level_ord"), F.col(f"mix.{x}").alias("weight")) for k, x in enumerate(LEVELS)))
-    by_type = each.select("blueprint_id", "topic_no", F.col("t.topic_id").alias("topic_id"), F.col("t.question_count").alias("given"), "mix", F.explode(types).alias("y")).select("*", "y.*").drop("y").where("asked > 0")
-    shared = largest_remainder(by_type.withColumn("total", F.coalesce("given", F.lit(0))), ["blueprint_id", "topic_no"], "total", "asked", "type_ord")
-    of_type = shared.select("blueprint_id", "topic_no", "topic_id", "type", F.when(F.col("given").isNull(), F.col("asked")).otherwise(F.col("share")).alias("total"), F.explode(levels).alias("l")).select("*", "l.*").drop("l")
-    return largest_remainder(of_type, ["blueprint_id", "topic_no", "type"], "total", "weight", "level_ord").where("share > 0").select("blueprint_id", "topic_no", "topic_id", "type", "level", "share")
+    each = each.select("blueprint_id", "topic_no", F.col("t.topic_id").alias("topic_id"), F.col("t.question_count").alias("given"), "counts", "mix")
+    asked = [F.when(F.col(f"counts.{t}") > 0, F.col(f"counts.{t}")) for t in TYPES]
+    shared = shares_within(each, F.coalesce("given", F.lit(0)), asked)
+    types = F.array(*(F.struct(F.lit(t).alias("type"), F.when(asked[k].isNotNull(), F.when(F.col("given").isNull(), asked[k]).otherwise(F.col("shares")[k])).alias("total")) for k, t in enumerate(TYPES)))
+    of_type = shared.select("blueprint_id", "topic_no", "topic_id", "mix", F.explode(types).alias("y")).select("blueprint_id", "topic_no", "topic_id", "mix", "y.*").where("total is not null")
+    of_level = shares_within(of_type, F.col("total"), [F.col(f"mix.{x}") for x in LEVELS])
+    levels = F.array(*(F.struct(F.lit(x).alias("level"), F.col("shares")[k].alias("share")) for k, x in enumerate(LEVELS)))
+    return of_level.select("blueprint_id", "topic_no", "topic_id", "type", F.explode(levels).alias("l")).select("blueprint_id", "topic_no", "topic_id", "type", "l.*").where("share > 0")

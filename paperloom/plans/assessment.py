@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from paperloom.functions import notation, rules
 from paperloom.functions.ordinals import ordinal, ordinal_sql
 from paperloom.operators import blueprints, validators
-from paperloom.operators.apportion import largest_remainder
+from paperloom.operators.apportion import shares_within
 from paperloom.plans.chunks import BLOOM_SQL, CLAUSE_SQL, DIFFICULTY_SQL, TRIVIAL_SQL, VERB_SQL
 from paperloom.plans.fixtures import literal, options, stems, strip, topic_map, with_sql
 from paperloom.plans.text import tex_sql
@@ -32,9 +32,10 @@ _SHARES = f"SELECT *, fl + CASE WHEN row_number() OVER (PARTITION BY blueprint_i
 def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """blueprint_id, type, level and share of every combination that gets a question."""
     types = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(k).alias("type_ord"), F.expr(e).alias("total")) for k, (t, e) in enumerate(_COUNTS.items())))
-    levels = F.array(*(F.struct(F.lit(d).alias("level"), F.lit(k).alias("level_ord"), F.expr(e).cast("long").alias("w")) for k, (d, e) in enumerate(_MIX.items())))
-    cells = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("blueprint_id"), F.explode(types).alias("t"), levels.alias("l")).select("blueprint_id", "t.*", F.explode("l").alias("d")).select("blueprint_id", "type", "type_ord", "total", "d.*")
-    return largest_remainder(cells, ["blueprint_id", "type"], "total", "w", "level_ord")
+    rows = table(spark, sf_dir, "orders").select("*", F.explode(types).alias("t")).select(F.col("o_orderkey").alias("blueprint_id"), "t.*", *(F.expr(e).cast("long").alias(d) for d, e in _MIX.items()))
+    shared = shares_within(rows, F.col("total"), [F.col(d) for d in _MIX])
+    levels = F.array(*(F.struct(F.lit(d).alias("level"), F.lit(k).alias("level_ord"), F.col(d).alias("w"), F.col("shares")[k].alias("share")) for k, d in enumerate(_MIX)))
+    return shared.select("blueprint_id", "type", "type_ord", "total", F.explode(levels).alias("d")).select("blueprint_id", "type", "type_ord", "total", "d.*")
 
 
 @query("largest_remainder", f"SELECT blueprint_id, type, level, share FROM ({_SHARES})")
