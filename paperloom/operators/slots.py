@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,9 @@ from paperloom.functions import rules
 ATTEMPTS, CHUNKS, TRIVIAL_SHARE = 3, 4, 0.30
 #: The step of an attempt's seed, and the cognitive level that a difficulty asks for.
 SEED_STEP = 0x9E3779B9
+#: Jobs whose slots are put out at a time.
+JOBS = 200
+FILLED = pa.schema({"job_id": pa.int64(), "slot": pa.int64(), "attempts": pa.int32(), "chunks": pa.list_(pa.int64()), "bloom": pa.string()})
 BLOOM = {"easy": "understand", "medium": "apply", "hard": "analyze"}
 
 
@@ -50,6 +55,20 @@ def fill(slots: list[tuple], candidates: dict[int, list[tuple[int, float]]], see
     return out
 
 
+def filled(batch: pa.RecordBatch, k: int = CHUNKS) -> Iterator[pa.RecordBatch]:
+    """The filled slots of a batch of jobs (job_id, slots, heads); only one job's chunks are Python objects at a time."""
+    jobs, slots, heads = (batch.column(name) for name in ("job_id", "slots", "heads"))
+    for start in range(0, batch.num_rows, JOBS):
+        rows = []
+        for at in range(start, min(start + JOBS, batch.num_rows)):
+            job, known, own = jobs[at].as_py(), {}, heads[at].values
+            if own is not None:
+                for topic, head in zip(own.field("topic_id").to_pylist(), own.field("head")):
+                    known[topic] = [*zip(head.values.field("chunk_id").to_pylist(), head.values.field("score").to_pylist())]
+            rows += [(job, *r) for r in fill([(s["slot"], s["topic_id"], s["difficulty"], s["trivial"], s["replies"]) for s in slots[at].as_py()], known, job, k)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), FILLED.types)], schema=FILLED)
+
+
 def fill_slots(slots: DataFrame, topic_chunks: DataFrame, k: int = CHUNKS) -> DataFrame:
     """job_id, slot, attempts, chunks, bloom of the slots (job_id, slot, topic_id, difficulty, stem, replies array<boolean>).
 
@@ -66,12 +85,7 @@ def fill_slots(slots: DataFrame, topic_chunks: DataFrame, k: int = CHUNKS) -> Da
     own = asked.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("slot", "topic_id", "difficulty", "trivial", "replies"))).alias("slots"))
     needed = asked.select("job_id", "topic_id").distinct().join(heads, "topic_id").groupBy("job_id").agg(F.collect_list(F.struct("topic_id", "head")).alias("heads"))
 
-    def run(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            rows = []
-            for job, todo, heads in zip(pdf["job_id"], pdf["slots"], pdf["heads"]):
-                known = {h["topic_id"]: [(c["chunk_id"], c["score"]) for c in h["head"]] for h in (heads if heads is not None else ())}
-                rows += [(job, *r) for r in fill([(s["slot"], s["topic_id"], s["difficulty"], s["trivial"], list(s["replies"])) for s in todo], known, job, k)]
-            yield pd.DataFrame(rows, columns=["job_id", "slot", "attempts", "chunks", "bloom"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (out for batch in batches for out in filled(batch, k))
 
-    return own.join(needed, "job_id", "left").mapInPandas(run, "job_id long, slot long, attempts int, chunks array<long>, bloom string")
+    return own.join(needed, "job_id", "left").mapInArrow(run, "job_id long, slot long, attempts int, chunks array<long>, bloom string")
