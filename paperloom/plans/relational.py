@@ -301,7 +301,7 @@ query("null_handling", with_sql("topic_map", "SELECT topic_id, chunk_id, coalesc
 @query("topk_keyphrase", " UNION ALL ".join(f"SELECT size, phrase, n, round(n * pow((length(phrase) - {k - 1}) / {k}::DOUBLE, 2), 6) AS score FROM (SELECT * FROM ({NGRAMS_SQL.replace('TEXTS', 'text').replace('ROWS', 'documents')}) WHERE size = {k} ORDER BY n DESC, phrase LIMIT {most})" for k, most in ((3, topic_ops.TRIGRAMS), (2, topic_ops.BIGRAMS))))
 def topk_keyphrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 60 most frequent trigrams and 80 bigrams, with their scores."""
-    return topic_ops.top_phrases(written(topic_ops.phrase_counts(spread(table(spark, sf_dir, "documents").select(F.col("text").alias("content"))))))
+    return topic_ops.top_phrases(spread(table(spark, sf_dir, "documents").select(F.col("text").alias("content"))))
 
 
 query("keyphrase_score", "SELECT p_partkey, p_size * pow(length(p_name) / len(string_split(p_name, ' '))::DOUBLE, 2) AS score FROM part")(
