@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import notation, rules, similarity
+from paperloom.operators.embedding import embed
 from paperloom.operators.generation import greedy_duplicates, near_pairs
-from paperloom.operators.models import hashed_embedding
 from paperloom.operators.vector_index import build_index, search
 from paperloom.plans.fixtures import literal, options, stems, with_sql
-from paperloom.registry import query
+from paperloom.registry import query, spread
 from paperloom.scratch import written
 
 #: Cosines from which a question is like a blacklisted or a recent one; recent questions of a course; questions that a set asks for.
@@ -28,7 +28,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(q: DataFrame) -> DataFrame:
-    return q.select(F.col("question_id").alias("id"), F.col("course_id").alias("scope"), hashed_embedding(F.col("stem")).alias("vec"), F.array("question_id").alias("skip"))
+    """id, scope, vec and skip; written, as an index reads its vectors three times."""
+    slim = q.select(F.col("question_id").alias("id"), F.col("course_id").alias("scope"), F.array("question_id").alias("skip"), "stem")
+    return written(embed(spread(slim), "stem", 64).select("id", "scope", F.col("embedding").alias("vec"), "skip"))
 
 
 def matches(asked: DataFrame, listed: DataFrame, threshold: float) -> DataFrame:
