@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -12,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts that a model is given at a time.
-BATCH = 32
+#: Texts that a model is given at a time; words whose hashes a worker keeps, since all words of a corpus have no bound.
+BATCH, KNOWN = 32, 1 << 16
 
 
 class EmbeddingModel(Protocol):
@@ -42,12 +43,10 @@ class HashedModel:
     """Counts of hashed words: an embedding without a model, for tests and as a baseline."""
 
     def __init__(self, size: int = 64) -> None:
-        self.size, self._slots = size, {}
+        self.size, self._slot = size, lru_cache(KNOWN)(self._hashed)
 
-    def _slot(self, word: str) -> int:
-        if word not in self._slots:
-            self._slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.size
-        return self._slots[word]
+    def _hashed(self, word: str) -> int:
+        return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.size
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.size))

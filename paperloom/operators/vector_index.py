@@ -44,6 +44,11 @@ def _distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(axis=1)[None, :], 0))
 
 
+def _few(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """BLOCK rows at a time, so that a task holds few distances to all centroids."""
+    return (batch.slice(k, BLOCK) for batch in batches for k in range(0, batch.num_rows, BLOCK))
+
+
 def _stack(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
@@ -73,7 +78,7 @@ def build_index(vectors: DataFrame) -> VectorIndex:
     centroids = _fit(sample, max(1, min(MOST_LISTS, int(n**0.5), len(sample))))
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             x = _stack(batch.column(1), width)
             d = _distances(_unit(x), centroids)
             own = d.argmin(axis=1)
@@ -91,7 +96,7 @@ def _reach(index: VectorIndex, queries: DataFrame) -> DataFrame:
     centroids = index.centroids
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             x = _stack(batch.column(1), centroids.shape[1])
             d = _distances(_unit(x), centroids)
             zero = pa.array((x * x).sum(axis=1) == 0)
