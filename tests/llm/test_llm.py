@@ -841,3 +841,35 @@ def test_only_sets_of_the_crowd_are_signed_again(spark, monkeypatch):
     found = jaccard_join.refined(docs, keyed, crowd, np.zeros(0, dtype=np.uint64))
     assert asked[0].count() == 6 == found.select("node").distinct().count()
     assert found.where(F.col("node") == other).isEmpty()
+
+
+def test_near_copies_move_few_bytes(spark):
+    """Buckets with the same nodes are one."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(20):
+        words = [f"w{w}" for w in rng.integers(0, 10**6, 300)]
+        rows += [(10 * k + c, " ".join(words + [f"variant{c}", "of", "it"])) for c in range(6)] + [(10 * k + 6, " ".join(words + ["variant0", "of", "it"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = jaccard_join.materialise(jaccard_join.sizes(docs), "keyed")
+    pairs, members = jaccard_join.candidates(docs, np.zeros(0, dtype=np.uint64))
+    held = {}
+    for r in members.collect():
+        held.setdefault(r["signature"], set()).add(r["node"])
+    assert held and len(held) == len(set(map(frozenset, held.values())))  # before: some hundred times each
+    assert all(r["most"] > 7 * 20 for r in members.groupBy("node").agg(F.max("n").alias("most")).collect())  # the weight of those that one stands for
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.join_digest(docs).collect()} == {(i, i // 10 * 10) for i, _ in rows}
+
+
+def test_sets_meet_their_hub_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MEETING", 3)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base[: 60 - k] + [f"x{k}_{j}" for j in range(k)])) for k in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = jaccard_join.materialise(jaccard_join.sizes(docs), "keyed")
+    node = {r["doc_id"]: r["node"] for r in keyed.collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    every = [(0, k) for k in range(1, 25)] + [(7, k) for k in range(8, 25)]
+    pairs = spark.createDataFrame([tuple(sorted((node[a], node[b]))) for a, b in every], "a long, b long")
+    want = {tuple(sorted((node[a], node[b]))) for a, b in every if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in jaccard_join.verify(pairs, docs, keyed).collect()} == want and 0 < len(want) < len(every)
