@@ -173,11 +173,12 @@ class Selection:
 
 def select_topics(books: Books, extractors: Sequence[Extractor]) -> Selection:
     """Run the extractors in turn, each on the documents that are still open; the best score wins, of equals the earlier extractor."""
-    open_ = written(books.chunks.select("doc_id").distinct())
+    pages = written(_last_page(books.chunks).withColumnRenamed("total", "page"))  # all that results need of the chunks
+    open_ = pages.select("doc_id")
     tried, found = [], []
     for place, extractor in enumerate(extractors):
         rows = written(extractor.extract(books.only(open_) if place else books).select(*FOUND).join(open_, "doc_id", "left_semi"))
-        scored = written(results(rows, books.chunks).select("doc_id", F.lit(place).alias("place"), F.lit(extractor.method).alias("method"), "n", "conf", "cov", "usable", "sane", "score"))
+        scored = written(results(rows, pages).select("doc_id", F.lit(place).alias("place"), F.lit(extractor.method).alias("method"), "n", "conf", "cov", "usable", "sane", "score"))
         tried.append(scored)
         found.append(rows.withColumn("place", F.lit(place)))
         open_ = written(open_.join(scored.where(F.col("sane") & (F.col("conf") >= SURE)), "doc_id", "left_anti"))

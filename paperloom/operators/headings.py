@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from paperloom.functions import notation, rules
 from paperloom.functions.cleaning import trim_blanks
 from paperloom.operators.topics import merge_headings
+from paperloom.scratch import written
 
 #: Heading lines by pattern, tried in this order.
 HEADING_REGEX = {"numbered": r"^(\d+(?:\.\d+){0,3})\s{1,4}([A-Z][\pL\pN_ ,\-:()/'\"]+)$", "labelled": r"(?i)^(Chapter|Section|Part|Unit|Module|Topic|Lecture)\s+[\dIVX]+\s*[:\-–—.]?\s+(.+)$", "caps": r"^[A-Z0-9][A-Z0-9 ,:;\-/&()]{8,}$"}
@@ -32,8 +33,11 @@ def strip(text: Column) -> Column:
 
 
 def mark_boilerplate(headings: DataFrame, n_pages: DataFrame, share: float) -> DataFrame:
-    """Add n_pages, and whether the title (in any case) heads at least that share of the document's pages."""
-    low = F.lower("title")
+    """Add n_pages, and whether the title (in any case) heads at least that share of the document's pages.
+
+    The headings are written first, as they are read twice: pages are looked through once.
+    """
+    headings, low = written(headings), F.lower("title")
     on = headings.groupBy("doc_id", low.alias("low")).agg(F.count_distinct("page").alias("on"))
     return headings.withColumn("low", low).join(on, ["doc_id", "low"]).join(n_pages, "doc_id").withColumn("boilerplate", F.col("on") / F.col("n_pages") >= share).drop("low", "on")
 
@@ -75,7 +79,7 @@ def layout_headings(spans: DataFrame, most_pages: int = MOST_PAGES) -> DataFrame
     left is merged within a page, and chapters have at least .9 of the largest size.
     """
     scanned = spans.where(F.col("page") <= most_pages)
-    facts = scanned.groupBy("doc_id").agg(F.median(F.when(F.col("size") > 0, F.col("size"))).alias("median"), F.count_distinct("page").alias("n_pages"))
+    facts = written(scanned.groupBy("doc_id").agg(F.median(F.when(F.col("size") > 0, F.col("size"))).alias("median"), F.count_distinct("page").alias("n_pages")))
     named = scanned.withColumn("title", strip(F.col("text"))).where(F.length("title").between(*LENGTHS))
     big = (F.col("size") >= 1.2 * F.col("median")) | (F.col("bold") & (F.col("size") >= 1.05 * F.col("median")))
     found = named.join(facts.select("doc_id", "median"), "doc_id").where(big).select("doc_id", "page", "seq", "size", "title")

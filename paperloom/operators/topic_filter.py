@@ -71,7 +71,7 @@ def without_near_copies(topics: DataFrame) -> DataFrame:
     course's titles give; only pairs that reach it are matched. Who is accepted is settled in rounds, over all courses.
     """
     named = topics.select(F.col("seq").cast("long").alias("id"), F.col("course_id").alias("scope"), character_set(F.lower("title")).alias("t"))
-    able = common_tokens(named, NEAR_RATIO - 1e-9).select(F.col("scope").alias("course_id"), "a", "b")
+    able = common_tokens(written(named), NEAR_RATIO - 1e-9).select(F.col("scope").alias("course_id"), "a", "b")
     side = lambda n: topics.select("course_id", F.col("seq").cast("long").alias(n), F.struct((-F.col("confidence")).alias("c"), "seq").alias(f"{n}_place"), F.col("title").alias(f"{n}_title"))
     both = able.join(side("a"), ["course_id", "a"]).join(side("b"), ["course_id", "b"]).withColumns({n: F.struct("course_id", F.col(n).alias("seq")) for n in ("a", "b")})
     in_order = F.col("a_place") < F.col("b_place")
